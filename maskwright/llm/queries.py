@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
 from .matroska import op1_matroska
+from .simhash import op3_simhash
+from .toxicity import op2_toxicity
 from .url_cascade import OP10_SQL, op10_url_cascade
 
 QUERIES = {
     "op1_matroska": op1_matroska,
+    "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
     "op6_decontamination": op6_decontamination,
     "op10_url_cascade": op10_url_cascade,
 }
