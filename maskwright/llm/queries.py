@@ -7,13 +7,15 @@ from .matroska import op1_matroska
 from .simhash import op3_simhash
 from .toxicity import op2_toxicity
 from .url_cascade import OP10_SQL, op10_url_cascade
+from .warc_index import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op6_decontamination": op6_decontamination,
+    "op9_warc": op9_warc,
     "op10_url_cascade": op10_url_cascade,
 }
 
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op10_url_cascade": OP10_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL}
