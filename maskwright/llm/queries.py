@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
 from .simhash import op3_simhash
 from .toxicity import op2_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op6_decontamination": op6_decontamination,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_warc": op9_warc,
     "op10_url_cascade": op10_url_cascade,
 }
