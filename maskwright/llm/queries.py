@@ -6,6 +6,7 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
 from .simhash import op3_simhash
+from .template_extraction import op5_template_extraction
 from .toxicity import op2_toxicity
 from .url_cascade import OP10_SQL, op10_url_cascade
 from .warc_index import OP9_SQL, op9_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op5_template_extraction": op5_template_extraction,
     "op6_decontamination": op6_decontamination,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_warc": op9_warc,
