@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .compaction import OP7_SQL, op7_compaction
 from .decontamination import OP6_SQL, op6_decontamination
 from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
+from .segment_sampling import op4_segment_sampling
 from .simhash import op3_simhash
 from .template_extraction import op5_template_extraction
 from .toxicity import op2_toxicity
@@ -15,11 +17,13 @@ QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_segment_sampling": op4_segment_sampling,
     "op5_template_extraction": op5_template_extraction,
     "op6_decontamination": op6_decontamination,
+    "op7_compaction": op7_compaction,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_warc": op9_warc,
     "op10_url_cascade": op10_url_cascade,
 }
 
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL}
