@@ -195,9 +195,10 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
     return n, out
 
 
-def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
-    """The expected differing bits of two texts of one length whose shingle sets have this Jaccard similarity."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75) -> int:
+    """The differing bits of two texts of one length whose shingle sets have this Jaccard similarity: what is expected and slack standard deviations more, so that most pairs just at the similarity are in."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(share * bits + slack * np.sqrt(share * (1 - share) * bits))
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 64) -> DataFrame:
