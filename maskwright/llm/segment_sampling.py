@@ -37,6 +37,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -109,9 +110,27 @@ class Vocabulary:
         known.update((p, (i, w)) for p, i, w in pieces)
         hashes = np.array([self._of(p) for p in known], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[order], np.array([i for i, _ in known.values()])[order], np.array([w for _, w in known.values()])[order]
+        self.hashes, self.ids = hashes[order], np.array([i for i, _ in known.values()], np.int32)[order]
+        self.weight = np.zeros(n)
+        for _, i, w in pieces:
+            self.weight[i] = w
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # Where the hashes with the same first 20 bits begin; a search looks at the few from there.
+        self.slot = np.searchsorted(self.hashes, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.slot_size = int(np.diff(self.slot).max())
+        self.hashes = np.concatenate([self.hashes, np.full(self.slot_size, self.hashes[-1] ^ np.uint64(1))])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and where those stand."""
+        at = self.slot[(h >> np.uint64(44)).astype(np.int64)]
+        hit = self.hashes[at] == h
+        for more in range(1, self.slot_size):
+            other = np.flatnonzero(~hit)
+            found = other[self.hashes[at[other] + more] == h[other]]
+            at[found] += more
+            hit[found] = True
+        return hit, at[hit]
 
     @staticmethod
     def _of(piece: str) -> np.uint64:
@@ -168,37 +187,32 @@ class Units:
         left = np.repeat(starts + sizes, sizes) - np.arange(n)
         # A space is the mark; a mark in the text is no piece's and goes by bytes.
         seen = np.where(codes == 32, ord(MARK), np.where(codes == ord(MARK), 0, codes)).astype(np.uint64)
-        at, length, piece, weight = [], [], [], []
+        # A row for each place, a column for each length: the piece, or none.
+        none = np.iinfo(np.int32).min
+        pieces = np.full((n, v.longest), none, np.int32)
         h, open_ = np.zeros(n, np.uint64), np.arange(n)
-        has_one = np.zeros(n, bool)
         for k in range(1, v.longest + 1):
-            open_ = open_[left[open_] >= k]
+            on = left[open_] >= k
+            open_, h = open_[on], h[on]
             if not len(open_):
                 break
-            h[open_] = v.grow(h[open_], seen[open_ + k - 1])
-            q = h[open_]
-            found = np.minimum(np.searchsorted(v.hashes, q), len(v.hashes) - 1)
-            hit = v.hashes[found] == q
-            open_, found = open_[hit], found[hit]
-            hit = v.ids[found] >= 0
-            at.append(open_[hit])
-            length.append(np.full(len(at[-1]), k))
-            piece.append(v.ids[found[hit]])
-            weight.append(v.weights[found[hit]])
-            if k == 1:
-                has_one[at[-1]] = True
-        rest = np.flatnonzero(~has_one)
-        c = codes[rest]
-        at.append(rest)
-        length.append(np.ones(len(rest), np.int64))
-        piece.append(-1 - c)
-        weight.append(v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-        at_, length_, piece_, weight_ = (np.concatenate(x) for x in (at, length, piece, weight))
-        order = np.lexsort((length_, at_))
-        at_, length_, piece_, weight_ = at_[order], length_[order], piece_[order], weight_[order]
+            h = v.grow(h, seen[open_ + k - 1])
+            hit, found = v.find(h)
+            open_, h = open_[hit], h[hit]
+            whole = v.ids[found]
+            pieces[open_, k - 1] = np.where(whole >= 0, whole, none)
+        rest = np.flatnonzero(pieces[:, 0] == none)
+        pieces[rest, 0] = -1 - codes[rest]
+        at_, length_ = np.nonzero(pieces != none)
+        piece_ = pieces[at_, length_]
+        length_ = length_ + 1
+        by_bytes = np.flatnonzero(piece_ < 0)
+        weight_ = v.weight[np.maximum(piece_, 0)]
+        c = -1 - piece_[by_bytes]
+        weight_[by_bytes] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         # Mass of all ways from a place to its unit's end, from the ends backwards.
         mass = np.zeros(n + 1)
-        edge_from = np.searchsorted(at_, np.arange(n + 1))
+        edge_from = np.concatenate([[0], np.cumsum(np.bincount(at_, minlength=n))])
         target_is_end = length_ == left[at_]
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, left.max(initial=0) + 2))
@@ -215,14 +229,15 @@ class Units:
         chance = np.exp(weight_ + np.where(target_is_end, 0.0, mass[at_ + length_]) - mass[at_])
         counts = np.diff(edge_from)
         chance[np.repeat(counts == 1, counts)] = 1.0
-        # The likeliest edge of a place first: most draws end there.
-        order = np.lexsort((length_, -chance, at_))
-        length_, piece_, chance = length_[order], piece_[order], chance[order]
+        # The likeliest edge of a place first: most draws end there. It changes places with the first.
+        top = np.flatnonzero(chance == np.repeat(np.maximum.reduceat(chance, edge_from[:-1]), counts))
+        top = top[np.concatenate([[True], at_[top[1:]] != at_[top[:-1]]])]
+        for x in (length_, piece_, chance):
+            x[top], x[edge_from[:-1]] = x[edge_from[:-1]], x[top]
         # The chances up to and with each edge's at its place, in whole 2^-30: draws are exact however places are numbered.
-        rank = np.arange(len(at_)) - np.repeat(edge_from[:-1], counts)
         below = chance.copy()
         for r in range(1, counts.max(initial=1)):
-            of_rank = np.flatnonzero(rank == r)
+            of_rank = edge_from[:-1][counts > r] + r
             below[of_rank] += below[of_rank - 1]
         below = np.minimum(np.floor(below * GRID), GRID - 1).astype(np.int32)
         below[edge_from[1:] - 1] = GRID
@@ -249,8 +264,7 @@ class Local:
         self.final = place + length == np.repeat(places, counts)
         self.piece, self.chance = store.piece[edges], store.chance[edges]
         self.log_chance = np.log(self.chance)
-        self.log_rest = _log_rest(self.chance)
-        self.edge_from = np.searchsorted(self.place, np.arange(places.sum() + 1))
+        self.edge_from = np.concatenate([[0], np.cumsum(np.bincount(self.place, minlength=places.sum()))])
         self.below = store.below[edges]
 
     def draw(self, place: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +358,7 @@ class Search:
         p = self.paths[number]
         until = p.since + len(p.bounds)
         logs = self.local.log_chance[p.edges]
-        mass = (np.cumsum(logs) - logs)[until:] + self.local.log_rest[p.edges[until:]]
+        mass = (np.cumsum(logs) - logs)[until:] + _log_rest(self.local.chance[p.edges[until:]])
         share = np.cumsum(np.exp(mass - mass.max()))
         chosen = int(np.searchsorted(share, share[-1] * _draw_one(self.seed, 3, number), side="right"))
         with np.errstate(invalid="ignore"):
@@ -392,7 +406,7 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
     inside = since[:, None] + step < sizes[:, None]
     at = np.minimum(begins[:, None] + since[:, None] + step, len(flat) - 1)
     reached = before[:, None] + np.cumsum(np.where(inside, logs[at], 0.0), axis=1)
-    mass = np.concatenate([before[:, None], reached[:, :-1]], axis=1) + local.log_rest[flat[at]]
+    mass = np.concatenate([before[:, None], reached[:, :-1]], axis=1) + _log_rest(local.chance[flat[at]])
     seeds = np.array([s.seed for s in searches], np.uint64)
     with np.errstate(invalid="ignore", divide="ignore"):
         e = np.log(-np.log(_uniform(seeds[:, None], 2, number, step)))
@@ -414,11 +428,15 @@ def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k:
     if store.size > most_edges:
         store.__init__()
     of = store.of
-    new = [u for u in {u for units in cut for u in units} if u not in of]
-    if new:
-        store.add(new, v)
     sizes = np.array([len(c) for c in cut], np.int64)
-    local = Local(store, np.array([of[u] for c in cut for u in c], np.int64))
+    flat = list(chain.from_iterable(cut))
+    numbers = np.array(list(map(of.get, flat, repeat(-1))), np.int64)
+    missing = np.flatnonzero(numbers < 0)
+    if len(missing):
+        unknown = [flat[i] for i in missing.tolist()]
+        store.add(list(dict.fromkeys(unknown)), v)
+        numbers[missing] = [of[u] for u in unknown]
+    local = Local(store, numbers)
     begins = np.cumsum(sizes) - sizes
     seeds = [_seed(key, seed) for key in keys]
     searches = [Search(local, s) for s in seeds]
