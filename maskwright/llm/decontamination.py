@@ -16,7 +16,7 @@ column is an error before anything runs.
 The benchmark goes to the workers as a broadcast variable. Its size is checked:
 blocks of at most block_bytes are scanned one after another, each with its own
 automaton, and their hits are joined, so a large benchmark costs passes and not
-memory.
+the workers' memory.
 """
 
 from __future__ import annotations
@@ -37,15 +37,20 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 
 
-def folded_words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(FOLD)) if text else []
+#: Bytes of words as they are, A-Z in lower case, all others as spaces. UTF-8's longer sequences have no byte under 0x80.
+_SPLIT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """What WORD finds in the folded text, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
 
 
 class Scanner:
     """The automaton over the items' windows."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         patterns: dict[tuple[int, ...], set] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in folded_words(text)]
@@ -58,7 +63,7 @@ class Scanner:
         if patterns:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Runs of hit words as (first, end), apart from each other and in order, and the items found."""
         if self.empty or not words:
             return [], set()
@@ -120,21 +125,24 @@ def _scanner(shared, window: int) -> Scanner:
     return _scanners[key]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
-    """The documents with n_words, hit_runs (runs of words), hit_spans (characters of the original text) and hit_items (distinct, in text order)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
+    """The documents (their columns in keep; all, by default) with n_words, hit_runs (runs of words), hit_spans (characters of the original text) and hit_items (distinct, in text order)."""
     new = {"n_words", "hit_runs", "hit_spans", "hit_items"}
     if clash := new & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are already there")
     pair = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_runs", pair), T.StructField("hit_spans", pair), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-    out = docs
     context = docs.sparkSession.sparkContext
-    for number, block in enumerate(blocks_of(benchmark, item, item_text, block_bytes) if benchmark is not None else ()):
-        out = out.mapInPandas(_pass(context.broadcast(block), text, window, number > 0), schema)
-    return out if out is not docs else docs.mapInPandas(_pass(context.broadcast([]), text, window, False), schema)
+    blocks = list(blocks_of(benchmark, item, item_text, block_bytes)) or [[]]
+    # The text leaves the workers only where a later pass or the caller needs it.
+    last = T.StructType([f for f in schema.fields if keep is None or f.name in keep or f.name in new])
+    out = docs
+    for number, block in enumerate(blocks):
+        out = out.mapInPandas(_pass(context.broadcast(block), text, window, number > 0, (last if number == len(blocks) - 1 else schema).names), last if number == len(blocks) - 1 else schema)
+    return out
 
 
-def _pass(shared, text: str, window: int, again: bool):
+def _pass(shared, text: str, window: int, again: bool, names: list[str]):
     """One pass over the documents with one block's automaton; later passes add to the hits so far."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,15 +152,15 @@ def _pass(shared, text: str, window: int, again: bool):
             for i, t in enumerate(batch[text]):
                 words = folded_words(t)
                 runs, found = scanner.scan(words)
-                names = {str(x) for x in found}
+                owners = {str(x) for x in found}
                 if again:
                     runs = merged([*runs, *((r["first"], r["end"]) for r in batch["hit_runs"].iloc[i])])
-                    names |= set(batch["hit_items"].iloc[i])
+                    owners |= set(batch["hit_items"].iloc[i])
                 counts.append(len(words))
                 all_runs.append([{"first": a, "end": b} for a, b in runs])
                 spans.append([{"first": a, "end": b} for a, b in offsets(t, runs)])
-                items.append(sorted(names))
-            yield batch.assign(n_words=counts, hit_runs=all_runs, hit_spans=spans, hit_items=items)
+                items.append(sorted(owners))
+            yield batch.assign(n_words=counts, hit_runs=all_runs, hit_spans=spans, hit_items=items)[names]
 
     return rows
 
@@ -160,7 +168,7 @@ def _pass(shared, text: str, window: int, again: bool):
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document stands in the benchmark, and in which items."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
     return found.select(
         "doc_id",
