@@ -60,6 +60,8 @@ def _picker(pairs: list[tuple[str, str]]):
         import ahocorasick
     except ImportError:
         return lambda text: [p for p in pairs if p[0] in text]
+    if not pairs:
+        return lambda text: []
     automaton = ahocorasick.Automaton()
     for number, (k, _) in enumerate(pairs):
         automaton.add_word(k, number)
