@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Byte-free lower-casing of A-Z only; other letters stay as they are.
@@ -59,6 +62,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(n: int, size: int) -> Iterator[slice]:
-    for at in range(0, n, size):
-        yield slice(at, min(n, at + size))
+def map_columns(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow for a function that gives columns by name. Keys pass through as they are: pandas would make floats of integers beside nulls."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(fields)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in arrow)], schema=arrow)
+
+    return df.mapInArrow(rows, fields)

@@ -26,12 +26,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, table
+from .common import FOLD, map_columns, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -138,29 +138,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     last = T.StructType([f for f in schema.fields if keep is None or f.name in keep or f.name in new])
     out = docs
     for number, block in enumerate(blocks):
-        out = out.mapInPandas(_pass(context.broadcast(block), text, window, number > 0, (last if number == len(blocks) - 1 else schema).names), last if number == len(blocks) - 1 else schema)
+        kept = last if number == len(blocks) - 1 else schema
+        out = map_columns(out, _pass(context.broadcast(block), text, window, number > 0, kept.names), kept)
     return out
 
 
 def _pass(shared, text: str, window: int, again: bool, names: list[str]):
     """One pass over the documents with one block's automaton; later passes add to the hits so far."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scanner = _scanner(shared, window)
         for batch in batches:
+            before = (batch["hit_runs"].to_pylist(), batch["hit_items"].to_pylist()) if again else ([], [])
             counts, all_runs, spans, items = [], [], [], []
-            for i, t in enumerate(batch[text]):
+            for i, t in enumerate(batch[text].to_pylist()):
                 words = folded_words(t)
                 runs, found = scanner.scan(words)
                 owners = {str(x) for x in found}
                 if again:
-                    runs = merged([*runs, *((r["first"], r["end"]) for r in batch["hit_runs"].iloc[i])])
-                    owners |= set(batch["hit_items"].iloc[i])
+                    runs = merged([*runs, *((r["first"], r["end"]) for r in before[0][i])])
+                    owners |= set(before[1][i])
                 counts.append(len(words))
                 all_runs.append([{"first": a, "end": b} for a, b in runs])
                 spans.append([{"first": a, "end": b} for a, b in offsets(t, runs)])
                 items.append(sorted(owners))
-            yield batch.assign(n_words=counts, hit_runs=all_runs, hit_spans=spans, hit_items=items)[names]
+            made = {"n_words": counts, "hit_runs": all_runs, "hit_spans": spans, "hit_items": items}
+            yield {n: made[n] if n in made else batch[n] for n in names}
 
     return rows
 

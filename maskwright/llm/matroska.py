@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty
+from .common import map_columns, table, text_or_empty
 
 # Element identifiers of the Matroska format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -360,27 +360,28 @@ PACKETS = "track long, timestamp_ns long, byte_from long, byte_count long, is_ke
 def packet_table(files: DataFrame, key: str, content: str) -> DataFrame:
     """A row for each packet of each file: the key, its number in the file, and where and when it is. Files without packets have no rows."""
     schema = f"`{key}` {files.schema[key].dataType.simpleString()}, packet long, {PACKETS}"
+    names = ["track", "timestamp_ns", "byte_from", "byte_count", "is_key", "lace_index"]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "packet", "track", "timestamp_ns", "byte_from", "byte_count", "is_key", "lace_index"]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for k, data in zip(batch[key], batch[content], strict=True):
-                found = [(k, i, *p) for i, p in enumerate(parse(data).packets)]
+            for i, data in enumerate(batch[content]):
+                found = parse(data.as_py()).packets
                 if found:
-                    yield pd.DataFrame(found, columns=names)
+                    own = batch[key].take(pa.array([i] * len(found)))
+                    yield {key: own, "packet": list(range(len(found))), **dict(zip(names, map(list, zip(*found, strict=True)), strict=True))}
 
-    return files.select(key, content).mapInPandas(rows, schema)
+    return map_columns(files.select(key, content), rows, schema)
 
 
 def store_as_media(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every text as a file: (key, content). Null and empty texts are 64 samples of 0."""
     schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, content binary"
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "content": [write_pcm(padded(t or "")) for t in batch[text]]})
+            yield {key: batch[key], "content": [write_pcm(padded(t or "")) for t in batch[text].to_pylist()]}
 
-    return texts.select(key, text).mapInPandas(rows, schema)
+    return map_columns(texts.select(key, text), rows, schema)
 
 
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -396,14 +397,13 @@ def media_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
         back = payload(stored, media)
         return len((t or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            out = pd.DataFrame([describe(t) for t in batch[text]], columns=names)
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
+            found = list(map(describe, batch[text].to_pylist()))
+            yield {key: batch[key], **dict(zip(names, map(list, zip(*found, strict=True)) if found else [[]] * len(names), strict=True))}
 
-    return texts.select(key, text).mapInPandas(rows, schema)
+    return map_columns(texts.select(key, text), rows, schema)
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
