@@ -8,9 +8,10 @@ on to single words.
 
 N-grams travel as packed arrays, one for a bucket and a task, already summed
 there. A bucket is found from the hash of the n-gram's context, so that a
-context's sums are complete in one bucket; contexts that begin with a word of
-over one in `hot_share` tokens are dealt by the whole n-gram instead, and their
-sums are added in a second step. There are at most `hot_share` such words.
+context's sums are complete in one bucket; contexts that begin with a start
+or a very frequent word are dealt by the whole n-gram instead, and their sums
+are added in a second step. A word is very frequent if it stands once in
+8 * `hot_share` bytes of text, so there are at most so many such words.
 
 Each bucket ends as sorted arrays in a file of the shared folder: hashes of
 n-grams counted once, hashes and counts of the others, hashes and sums of
@@ -32,11 +33,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mounted, shared_path, table, text_or_empty, written
+from .common import map_columns, mounted, shared_path, table, text_or_empty, written
 
 END, START = (np.uint64(xxhash.xxh64_intdigest(name, 42)) for name in (b" end", b" start"))  # no word has a space
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,18 +67,17 @@ def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
 
 def sequences(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' words, with start and end, in one array, and each position's place in its text (0: start)."""
-    flat: list[int] = []
+    parts, ends = [], np.array([END, START], np.uint64)
     sizes = []
-    start, end = int(START), int(END)
     for t in texts:
         words = word_hashes(t)
-        flat.append(start)
-        flat += words
-        flat.append(end)
+        parts += [np.array(words, np.uint64), ends]
         sizes.append(len(words) + 2)
+    # The first start stands before all parts, the last part's start is one too many.
+    flat = np.concatenate([ends[1:], *parts])[:-1] if parts else np.zeros(0, np.uint64)
     sizes = np.array(sizes, np.int64)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.array(flat, np.uint64), place
+    return flat, place
 
 
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int)
     return docs.select(text).mapInPandas(rows, BLOBS)
 
 
-def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, raw: bool = False) -> DataFrame:
+def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, frequent: int = 0) -> DataFrame:
     """Sums each bucket and writes its arrays. Rows out: the next level's packed n-grams, sums of hot contexts, and what the driver keeps of each bucket."""
     place = mounted(folder)
 
@@ -194,9 +196,8 @@ def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, raw: bool = F
                 known = {"file": name, "at": at, "ones": len(arrays[0]), "many": len(arrays[1]), "wide": arrays[2].itemsize, "contexts": context_sizes}
                 known |= {"of": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "more": int((counts > 2).sum()), "total": int(counts.sum()), "distinct": len(h)}
                 at += len(data)
-                if raw:
-                    top = np.argsort(-counts, kind="stable")[: deal.buckets * 16]
-                    known["top"] = list(zip(h[top].tolist(), counts[top].tolist(), strict=True))
+                if frequent:
+                    known["frequent"] = h[counts >= frequent].tolist()
                 yield pd.DataFrame([("bucket", level, bucket, pickle.dumps(known), b"")], columns=["kind", "level", "bucket", "words", "counts"])
                 yield from extra
             file.flush()
@@ -281,17 +282,16 @@ class NGrams:
         return self.levels[0].distinct
 
 
-def count_ngrams(docs: DataFrame, text: str = "text", order: int = 2, bucket_bytes: int = 8 << 20, hot_share: int = 4096, at_once: int = 3_000_000) -> NGrams:
+def count_ngrams(docs: DataFrame, text: str = "text", order: int = 2, bucket_bytes: int = 8 << 20, hot_share: int = 4096, at_once: int = 2_000_000) -> NGrams:
     """The model of all texts of docs. bucket_bytes: of text for each bucket, which bounds what one bucket takes in memory."""
     spark = docs.sparkSession
     folder = shared_path(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = 1 << max(2, int(size // bucket_bytes).bit_length())
-    words = _merged(_gathered(docs, text, 1, Deal(buckets), at_once), 1, Deal(buckets), folder, raw=True)
+    frequent = int(size // (8 * hot_share)) + 1
+    words = _merged(_gathered(docs, text, 1, Deal(buckets), at_once), 1, Deal(buckets), folder, frequent)
     raw = _level(words, 1)
-    # Any word of at least 1/hot_share of all tokens is among its bucket's most frequent.
-    frequent = [h for b in raw.buckets.values() for h, c in b.pop("top") if c * hot_share >= raw.total]
-    deal = Deal(buckets, np.sort(np.array(frequent, np.uint64)))
+    deal = Deal(buckets, np.unique(np.array([int(START), *(h for b in raw.buckets.values() for h in b.pop("frequent"))], np.uint64)))
     rest = _gathered(docs, text, order, deal, at_once)
     levels, hot = [raw], {}
     forward: DataFrame | None = None
@@ -475,14 +475,14 @@ def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int
         logs = np.stack([np.ones(len(p)), known > 0, np.log10((known + 1) / (n + types + 1)), np.log10(p)])
         return np.add.reduceat(logs, cuts, axis=1)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if shared.value.key not in _readers:
             _readers.clear()
             _readers[shared.value.key] = Reader(shared.value)
         reader = _readers[shared.value.key]
         for batch in batches:
             parts, waiting, size = [], [], 0
-            for t in batch[text]:
+            for t in batch[text].to_pylist():
                 waiting.append(t)
                 size += len(t or "") // 5 + 2
                 if size > at_once:
@@ -491,10 +491,10 @@ def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int
             if waiting:
                 parts.append(of(reader, waiting))
             got = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0))
-            yield batch[names].assign(n_tokens=got[0].astype(np.int64), n_known=got[1].astype(np.int64), base_score=got[2], score=got[3], perplexity=10 ** (-got[3] / np.maximum(got[0], 1)))
+            yield {**{n: batch[n] for n in names}, "n_tokens": got[0].astype(np.int64), "n_known": got[1].astype(np.int64), "base_score": got[2], "score": got[3], "perplexity": 10 ** (-got[3] / np.maximum(got[0], 1))}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, n_known long, base_score double, score double, perplexity double"])
-    return docs.mapInPandas(rows, schema)
+    new = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score", "perplexity")]
+    return map_columns(docs, rows, T.StructType([*kept, *new]))
 
 
 def held_out(key: str, by: int = 7, at: int = 2) -> Column:
