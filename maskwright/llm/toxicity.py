@@ -13,8 +13,8 @@ window that the network (at first, how the words lean) finds most toxic. Labels
 are noisy: after a fifth of the steps, examples of label 1 that still score
 very low don't count.
 
-Nulls and empty texts are texts without words: they get the score of an empty
-window. Texts of any length are scored whole. Labels of null are no labels; a
+Nulls and empty texts are texts without words: with nothing in them that could be
+toxic their score is 0. Texts of any length are scored whole. Labels of null are no labels; a
 document with several labels counts with each. Without any label of one kind
 there is nothing to learn and every score is the share of label 1 (0 without
 labels). Repeated rows are scored each.
@@ -92,12 +92,11 @@ class Model:
         """What both directions' gates get from each word."""
         return self.inputs(words) @ self.p["wx"] + self.p["bx"]
 
-    def numbers(self, words: list[bytes], most: int = 200_000) -> np.ndarray:
+    def numbers(self, words: list[bytes], most: int = 80_000) -> np.ndarray:
         """Rows of the table of projected words. The table grows with new words and starts anew when it is full."""
         cache = self._cache
         if len(cache) > most:
-            cache.clear()
-            self._table = None
+            self.forget()
         known = len(cache)
         out = np.fromiter([cache.setdefault(w, len(cache)) for w in words], np.int64, len(words))
         if len(cache) > known:
@@ -111,6 +110,10 @@ class Model:
             self._table[known : len(cache)] = new
         return out
 
+    def forget(self) -> None:
+        self._cache.clear()
+        self._table = None
+
     def logits(self, projected: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """The score of each window, before the sigmoid. ids, mask: (windows, WINDOW)."""
         n, steps = ids.shape
@@ -137,19 +140,21 @@ class Model:
         """The largest window score of each text, 0 to 1."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        best = np.full(len(texts), -np.inf)
+        best, has_words = np.full(len(texts), -np.inf), np.ones(len(texts), bool)
         at, owners, starts, sizes, flat = 0, [], [], [], []
 
         def flush() -> None:
             if not owners:
                 return
-            numbers = self.numbers([w for ws in flat for w in ws] or [b""])
+            # A batch without words still has windows, all of them empty.
+            numbers = self.numbers([w for ws in flat for w in ws] or [b"\0"])
             ids, mask = _windows(numbers, np.concatenate(starts), np.concatenate(sizes))
             got = np.concatenate([self.logits(self._table, ids[s : s + windows_at_once], mask[s : s + windows_at_once]) for s in range(0, len(ids), windows_at_once)])
             np.maximum.at(best, np.concatenate(owners), got)
 
         for i, text in enumerate(texts):
             words = words_of(text)
+            has_words[i] = bool(words)
             own = window_starts(len(words))
             owners.append(np.full(len(own), i))
             starts.append(own + at)
@@ -160,7 +165,7 @@ class Model:
                 flush()
                 at, owners, starts, sizes, flat = 0, [], [], [], []
         flush()
-        return 1 / (1 + np.exp(-best))
+        return np.where(has_words, 1 / (1 + np.exp(-best)), 0.0)
 
 
 def _windows(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +236,9 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
         scale = (truth / truth.sum() / share)[y[pick].astype(int)].astype(np.float32) if n > batch else cost[pick] / cost[pick].mean()
         kept = mask[chosen[pick]]
         kept = kept & ((random.random(kept.shape) > 0.2) | (kept.sum(axis=1) < 4)[:, None])
+        # Any part of a text of label 0 has label 0: some are cut short, as texts and last windows can be.
+        short = (y[pick] == 0) & (random.random(len(pick)) < 0.3)
+        kept[short] &= np.arange(WINDOW) < random.integers(1, WINDOW, short.sum())[:, None]
         rate = 0.02 * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 0.001
         adam.step(_gradients(model, every, ids[chosen[pick]], kept, y[pick], scale, 0.15 if step > steps // 5 else 0.0), rate)
     digest = hashlib.sha256(b"".join(v.tobytes() for v in model.p.values()))
@@ -383,20 +391,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(texts, labels_, tuple(counts.get(y, 0) / max(1, here[y]) for y in (0, 1)))
 
 
-_models: dict[str, Model] = {}
-
-
 def score_texts(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """The documents with the score of their whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if shared.value.key not in _models:
-            _models.clear()
-            _models[shared.value.key] = shared.value
+        model = shared.value
         for batch in batches:
-            yield pd.Series(_models[shared.value.key].score(list(batch)).astype(float))
+            yield pd.Series(model.score(list(batch)).astype(float))
+        model.forget()  # a worker that goes on to other work should not keep the table
 
     return docs.withColumn(into, scores(F.col(text)))
 
