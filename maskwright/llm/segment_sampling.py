@@ -41,12 +41,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_or_empty
+from .common import map_columns, table, text_or_empty
 
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n▁]*|[^ \n▁]+|\n|▁")
@@ -114,6 +115,8 @@ class Vocabulary:
         self.weight = np.zeros(n)
         for _, i, w in pieces:
             self.weight[i] = w
+        self.byte_ids = np.array(self.byte_id, np.int32)
+        self.weight[self.byte_ids] = self.byte_weight
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
         # Where the hashes with the same first 20 bits begin; a search looks at the few from there.
@@ -148,7 +151,7 @@ class Vocabulary:
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of an encoding; its first byte is the space that encoding puts before every text."""
         table_ = self.bytes
-        return b"".join([table_[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(table_.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +162,7 @@ def vocabulary(path: str, theta: float) -> Vocabulary:
 class Units:
     """Lattices of distinct units, end to end. An edge has a place (in its unit, from 0), a length, a piece and its probability at that place."""
 
-    KINDS = (("place", np.int32), ("length", np.int16), ("piece", np.int32), ("chance", np.float64), ("below", np.int32))
+    KINDS = (("place", np.int32), ("length", np.int16), ("piece", np.int32), ("chance", np.float32), ("below", np.int32))
 
     def __init__(self) -> None:
         self.of: dict[str, int] = {}
@@ -201,8 +204,9 @@ class Units:
             open_, h = open_[hit], h[hit]
             whole = v.ids[found]
             pieces[open_, k - 1] = np.where(whole >= 0, whole, none)
+        # Characters without a piece: their byte, or (several bytes, spelled out at the end) a negative number.
         rest = np.flatnonzero(pieces[:, 0] == none)
-        pieces[rest, 0] = -1 - codes[rest]
+        pieces[rest, 0] = np.where(codes[rest] < 128, v.byte_ids[np.minimum(codes[rest], 255)], -1 - codes[rest])
         at_, length_ = np.nonzero(pieces != none)
         piece_ = pieces[at_, length_]
         length_ = length_ + 1
@@ -253,19 +257,37 @@ class Local:
 
     def __init__(self, store: Units, numbers: np.ndarray):
         types, self.type = np.unique(numbers, return_inverse=True)
-        first = np.array([store.first[t] for t in types.tolist()], np.int64)
-        counts = np.array([store.first[t + 1] for t in types.tolist()], np.int64) - first
-        places = np.array([store.places[t] for t in types.tolist()], np.int64)
+        known = types.tolist()
+        first = np.array([store.first[t] for t in known], np.int64)
+        counts = np.array([store.first[t + 1] for t in known], np.int64) - first
+        places = np.array([store.places[t] for t in known], np.int64)
         edges = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         self.root = np.cumsum(places) - places
-        place, length = store.place[edges].astype(np.int64), store.length[edges].astype(np.int64)
-        self.place = np.repeat(self.root, counts) + place
-        self.next = self.place + length
-        self.final = place + length == np.repeat(places, counts)
-        self.piece, self.chance = store.piece[edges], store.chance[edges]
-        self.log_chance = np.log(self.chance)
-        self.edge_from = np.concatenate([[0], np.cumsum(np.bincount(self.place, minlength=places.sum()))])
-        self.below = store.below[edges]
+        # Places are numbered over all units; the one that an edge leads to, or -1 at its unit's end.
+        place = np.repeat(self.root, counts) + store.place[edges]
+        ahead = place + store.length[edges]
+        ahead[ahead == np.repeat(self.root + places, counts)] = -1
+        self.next = ahead.astype(np.int32)
+        self.piece, self.chance, self.below = store.piece[edges], store.chance[edges], store.below[edges]
+        self.edge_from = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places.sum()))])
+
+        # What a place's other edges have together; one less the likeliest would lose what is very unlikely.
+        others = self.chance.astype(np.float64)
+        others[self.edge_from[:-1]] = 0
+        self.others = np.add.reduceat(others, self.edge_from[:-1]) if len(others) else others
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """What is left at each edge's place without it."""
+        place = np.searchsorted(self.edge_from, edges, side="right") - 1
+        rest = np.where(self.edge_from[place] == edges, self.others[place], 1 - self.chance[edges].astype(np.float64))
+        with np.errstate(divide="ignore"):
+            return np.log(np.minimum(rest, 1.0))
+
+    def log_chance(self, edges: np.ndarray) -> np.ndarray:
+        return np.log(self.chance[edges], dtype=np.float64)
+
+    def place_of(self, edge: int) -> int:
+        return int(np.searchsorted(self.edge_from, edge, side="right")) - 1
 
     def draw(self, place: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each place to its unit's end: all edges, in order, and how many each has."""
@@ -275,7 +297,7 @@ class Local:
         active = np.arange(n)
         with np.errstate(over="ignore"):
             while len(active):
-                u = (_finish(seeds[active] + _D * np.uint64(len(steps))) >> np.uint64(34)).astype(np.int64)
+                u = (_finish(seeds + _D * np.uint64(len(steps))) >> np.uint64(34)).astype(np.int32)
                 edge = self.edge_from[place]
                 over = np.flatnonzero(u >= self.below[edge])
                 while len(over):
@@ -283,8 +305,9 @@ class Local:
                     over = over[u[over] >= self.below[edge[over]]]
                 counts[active] += 1
                 steps.append((active, edge))
-                on = ~self.final[edge]
-                active, place = active[on], self.next[edge[on]]
+                place = self.next[edge]
+                on = np.flatnonzero(place >= 0)
+                active, place, seeds = active[on], place[on], seeds[on]
         first = np.cumsum(counts) - counts
         out = np.empty(counts.sum(), np.int64)
         for i, (entry, edge) in enumerate(steps):
@@ -357,8 +380,8 @@ class Search:
         """Gives every region in a path's tail its own bound; the largest stays what it was."""
         p = self.paths[number]
         until = p.since + len(p.bounds)
-        logs = self.local.log_chance[p.edges]
-        mass = (np.cumsum(logs) - logs)[until:] + _log_rest(self.local.chance[p.edges[until:]])
+        logs = self.local.log_chance(p.edges)
+        mass = (np.cumsum(logs) - logs)[until:] + self.local.log_rest(p.edges[until:])
         share = np.cumsum(np.exp(mass - mass.max()))
         chosen = int(np.searchsorted(share, share[-1] * _draw_one(self.seed, 3, number), side="right"))
         with np.errstate(invalid="ignore"):
@@ -372,7 +395,7 @@ class Search:
         """Draws the edge by which a path leaves another at a step, and what bound is left there."""
         p, local = self.paths[number], self.local
         taken = p.taken.setdefault(step, [int(p.edges[step])])
-        place = int(local.place[p.edges[step]])
+        place = local.place_of(int(p.edges[step]))
         chances = {e: float(local.chance[e]) for e in range(int(local.edge_from[place]), int(local.edge_from[place + 1])) if e not in taken}
         left = sum(chances.values()) * _draw_one(self.seed, 4, number, step, len(taken))
         for edge, chance in chances.items():
@@ -381,17 +404,12 @@ class Search:
                 break
         taken.append(edge)
         rest = sum(c for e, c in chances.items() if e != edge)
-        before = float(local.log_chance[p.edges[:step]].sum())
+        before = float(local.log_chance(p.edges[:step]).sum())
         mass = before + math.log(rest) if rest > 0 else -math.inf
         p.bounds[step - p.since] = _gumbel_below(mass, value, _draw_one(self.seed, 5, number, step, len(taken)))
         return edge
 
 
-def _log_rest(chance: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log1p(-np.minimum(chance, 1.0))
-
-
 def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, float, int]], local: Local, number: int) -> None:
     """Adds a path (edges, units, value, since) to each search, with the bounds of the regions that leave it, for all at once."""
     sizes = np.array([len(e) for e, _, _, _ in new])
@@ -399,14 +417,14 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
     begins = np.cumsum(sizes) - sizes
     since = np.array([s for _, _, _, s in new])
     values = np.array([v for _, _, v, _ in new])
-    logs = local.log_chance[flat]
+    logs = local.log_chance(flat)
     total = np.add.reduceat(logs, begins)
-    before = np.array([float(local.log_chance[e[:s]].sum()) if s else 0.0 for e, _, _, s in new])
+    before = np.array([float(local.log_chance(e[:s]).sum()) if s else 0.0 for e, _, _, s in new])
     step = np.arange(AHEAD)
     inside = since[:, None] + step < sizes[:, None]
     at = np.minimum(begins[:, None] + since[:, None] + step, len(flat) - 1)
     reached = before[:, None] + np.cumsum(np.where(inside, logs[at], 0.0), axis=1)
-    mass = np.concatenate([before[:, None], reached[:, :-1]], axis=1) + _log_rest(local.chance[flat[at]])
+    mass = np.concatenate([before[:, None], reached[:, :-1]], axis=1) + local.log_rest(flat[at])
     seeds = np.array([s.seed for s in searches], np.uint64)
     with np.errstate(invalid="ignore", divide="ignore"):
         e = np.log(-np.log(_uniform(seeds[:, None], 2, number, step)))
@@ -422,7 +440,7 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
         s.paths.append(Path(edges, units, value, first, log_p, row[:n], tail))
 
 
-def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 8_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 5_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its segmentations, from the largest perturbed value: pieces, log probability, perturbed value, log of the inclusion probability."""
     cut = [UNIT.findall(" " + t) if t else [] for t in texts]
     if store.size > most_edges:
@@ -485,7 +503,7 @@ def _next(s: Search, doc: int, n_units: int) -> tuple | None:
     p = s.paths[path]
     unit = int(p.units[step])
     stem = np.append(p.edges[:step], edge), p.units[: step + 1]
-    if not local.final[edge]:
+    if local.next[edge] >= 0:
         return doc, unit, int(local.next[edge]), stem, value, step + 1
     return doc, unit + 1, None, stem, value, step + 1
 
@@ -502,9 +520,9 @@ def _results(s: Search, v: Vocabulary) -> list[tuple[np.ndarray, float, float, f
 
 def _ids(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Piece numbers, characters without a piece as their bytes."""
-    by_bytes = np.flatnonzero(pieces < 0)
-    if not len(by_bytes):
+    if not len(pieces) or pieces.min() >= 0:
         return pieces
+    by_bytes = np.flatnonzero(pieces < 0)
     spelled = [[v.byte_id[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in pieces[by_bytes].tolist()]
     lengths = np.ones(len(pieces), np.int64)
     lengths[by_bytes] = [len(x) for x in spelled]
@@ -523,7 +541,7 @@ SAMPLES = T.StructType([T.StructField("sample", T.IntegerType()), T.StructField(
 _stores: dict[tuple[str, float], Units] = {}
 
 
-def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: int = 3, seed: int = 0, theta: float = 1.0, digest: bool = False, units_at_once: int = 60_000) -> DataFrame:
+def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: int = 3, seed: int = 0, theta: float = 1.0, digest: bool = False, units_at_once: int = 30_000) -> DataFrame:
     """(key, sample, log_prob, perturbed, log_inclusion, n_pieces, pieces) for every text and each of its segmentations.
 
     model: the vocabulary file's path, which every worker has. With digest,
@@ -533,26 +551,30 @@ def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: in
     last = [T.StructField("pieces_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())] if digest else [T.StructField("pieces", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([docs.schema[key], *SAMPLES.fields, *last])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in (*SAMPLES.fields, *last)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         v = vocabulary(model, theta)
         store = _stores.setdefault((model, theta), Units())
         for batch in batches:
-            ids, texts = batch[key].tolist(), batch[text].tolist()
+            ids, texts = batch[key].to_pylist(), batch[text].to_pylist()
             at = 0
             while at < len(ids):
                 end, size = at, 0
                 while end < len(ids) and (end == at or size < units_at_once):
                     size += len(texts[end] or "") // 6 + 1
                     end += 1
-                out = []
-                for one, t, found in zip(ids[at:end], texts[at:end], sample(texts[at:end], ids[at:end], v, store, k, seed), strict=True):
+                of, out = [], []
+                for number, t, found in zip(range(at, end), texts[at:end], sample(texts[at:end], ids[at:end], v, store, k, seed), strict=True):
                     for i, (pieces, log_p, value, inclusion) in enumerate(found):
                         shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decode(pieces) == (t or "")) if digest else (pieces.astype(np.int32),)
-                        out.append((one, i, log_p, value, inclusion, len(pieces), *shown))
-                yield pd.DataFrame(out, columns=schema.names)
+                        of.append(number)
+                        out.append((i, log_p, value, inclusion, len(pieces), *shown))
+                yield {key: batch[key].take(pa.array(of)), **dict(zip(names, map(list, zip(*out, strict=True)), strict=True))}
                 at = end
+        store.__init__()  # a worker that goes on to other work should not keep it
 
-    return docs.select(key, text).mapInPandas(rows, schema)
+    return map_columns(docs.select(key, text), rows, schema)
 
 
 def decode_pieces(encoded: DataFrame, pieces: str, model: str, into: str = "text") -> DataFrame:
