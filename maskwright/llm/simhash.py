@@ -22,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import map_columns, table, text_or_empty, written
 from .components import connected_components
 
 SEED = 42
@@ -66,12 +66,12 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = np.array([fingerprint(t, size) for t in batch[text]], np.uint64)
-            yield pd.DataFrame({key: batch[key], "fp": found.view(np.int64)})
+            found = np.array([fingerprint(t, size) for t in batch[text].to_pylist()], np.uint64)
+            yield {key: batch[key], "fp": found.view(np.int64)}
 
-    return docs.select(key, text).mapInPandas(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return map_columns(docs.select(key, text), rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 # --- the ring --------------------------------------------------------------
@@ -201,42 +201,46 @@ def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75
     return int(share * bits + slack * np.sqrt(share * (1 - share) * bits))
 
 
-def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 64) -> DataFrame:
-    """(key, component) for every row: the smallest key of the group that links of at least the similarity join.
+def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 12) -> DataFrame:
+    """(key, component) for every row, whose key must not be null: the smallest key of the group that links of at least the similarity join.
 
     Similarity is what the 256-bit fingerprints say of it: a link is at most
     `bits_for(similarity)` differing bits. Texts with equal fingerprints and
     lengths are one class from the start. A class stands in the index under
     each of its 16 segments with its length class (two texts of the similarity
-    are in equal or neighbouring ones); pairs from there are tried along the
-    ring, segment by segment, within the budgets, and by all bits at the end.
+    are in equal or neighbouring ones) and with the chain of four segments that
+    begins there. Pairs leave the index only if those chains differ in at most
+    the budget of five segments; they are then tried along the whole ring,
+    within the budgets, and by all bits at the end.
 
     In buckets of over `hot` classes each class is tried against its next
-    neighbours in fingerprint order, which joins the bulk of a large group.
+    neighbour in the chains' order, which joins the bulk of a large group.
     Then every class that is not in its bucket's largest component yet is tried
     against the whole bucket, so no link that the bucket holds is lost.
     """
     tau = bits_for(similarity)
     words = [f"f{i}" for i in range(WIDE_WORDS)]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [wide_fingerprint(t, size) for t in batch[text]]
+            found = [wide_fingerprint(t, size) for t in batch[text].to_pylist()]
             bits = np.array([f for _, f in found], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield pd.DataFrame({key: batch[key], "n": [n for n, _ in found], **{w: bits[:, i] for i, w in enumerate(words)}})
+            yield {key: batch[key], "n": [n for n, _ in found], **{w: np.ascontiguousarray(bits[:, i]) for i, w in enumerate(words)}}
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, " + ", ".join(f"{w} long" for w in words)
-    marked = written(docs.select(key, text).mapInPandas(rows, schema), "wide")
+    marked = written(map_columns(docs.select(key, text), rows, schema), "wide")
     classes = written(marked.groupBy("n", *words).agg(F.min(key).alias("id")), "classes")
-    index = written(classes.select("id", F.explode(_wide_keys(words, similarity)).alias("k")), "index")
+    index = written(classes.select("id", F.explode(_wide_keys(words, similarity)).alias("e")).select("id", "e.k", "e.chain"), "index")
     counts = index.groupBy("k").count()
     crowded = written(counts.where(F.col("count") > hot), "crowded")
 
     few = index.join(crowded.select("k"), "k", "left_anti")
-    pairs = few.select("k", F.col("id").alias("a")).join(few.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b").distinct()
+    left, right = few.select("k", F.col("id").alias("a"), F.col("chain").alias("chain_a")), few.select("k", F.col("id").alias("b"), F.col("chain").alias("chain_b"))
+    chains = F.bit_count(F.col("chain_a").bitwiseXOR(F.col("chain_b"))) <= 5 * tau // WIDE_SEGMENTS
+    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & chains).select("a", "b").distinct()
     links = _passing(pairs, classes, words, tau)
     if not crowded.isEmpty():
-        packed = written(_by_order(index, crowded, classes, words), "neighbours")
+        packed = written(_by_order(index, crowded), "neighbours")
         links = links.union(_passing(packed.select("a", "b").distinct(), classes, words, tau))
         links = written(links, "wide-links")
         roots = written(connected_components(links), "roots")
@@ -246,15 +250,17 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     return marked.join(of_class, ["n", *words]).select(key, "component")
 
 
-def _wide_keys(words: Iterable[str], similarity: float) -> Column:
-    """The class's keys: each 16-bit segment, its place, and its length class and the next; hashed to one long."""
+def _wide_keys(words: list[str], similarity: float) -> Column:
+    """The class's entries: a key of each 16-bit segment, its place, and its length class and the next, hashed to one long; and the chain of four segments that begins there."""
     step = float(-np.log(similarity))
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step)
     keys = []
     for i, w in enumerate(words):
         for part in range(4):
             segment = F.shiftrightunsigned(F.col(w), 48 - 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            keys += [F.xxhash64(segment, F.lit(4 * i + part), length + d) for d in (0, 1)]
+            after = F.col(words[(i + 1) % WIDE_WORDS])
+            chain = F.shiftleft(F.col(w), 16 * part).bitwiseOR(F.shiftrightunsigned(after, 64 - 16 * part)) if part else F.col(w)
+            keys += [F.struct(F.xxhash64(segment, F.lit(4 * i + part), length + d).alias("k"), chain.alias("chain")) for d in (0, 1)]
     return F.array(*keys)
 
 
@@ -295,17 +301,17 @@ def _passing(pairs: DataFrame, classes: DataFrame, words: list[str], tau: int) -
     return both.where(_ring_passes(differences, tau)).select("a", "b")
 
 
-def _by_order(index: DataFrame, crowded: DataFrame, classes: DataFrame, words: list[str], part_size: int = 256) -> DataFrame:
-    """(a, b): each member of a crowded bucket with its next two in fingerprint order and the first, within parts of the bucket that one task holds easily."""
-    members = index.join(crowded, "k").select("k", "id", F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size)).alias("part"))
-    w = Window.partitionBy("k", "part").orderBy(*words, "id")
-    near = members.join(classes.select("id", *words), "id").select("id", F.array(F.lead("id", 1).over(w), F.lead("id", 2).over(w), F.first("id").over(w)).alias("next"))
-    return near.select(F.col("id").alias("a"), F.explode("next").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _by_order(index: DataFrame, crowded: DataFrame, part_size: int = 256) -> DataFrame:
+    """(a, b): each member of a crowded bucket with its next in the chains' order, within parts of the bucket that one task holds easily."""
+    members = index.join(crowded, "k").select("k", "id", "chain", F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size)).alias("part"))
+    w = Window.partitionBy("k", "part").orderBy("chain", "id")
+    near = members.select("id", F.lead("id", 1).over(w).alias("next")).where("next is not null and next <> id")
+    return near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
 
 
 def _left_over(index: DataFrame, crowded: DataFrame, classes: DataFrame, roots: DataFrame, words: list[str], tau: int) -> DataFrame:
     """Links between components in crowded buckets: members outside the bucket's largest component against all of the bucket."""
-    members = index.join(crowded.select("k"), "k").join(classes.select("id", *words), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", *words, F.coalesce("root", "id").alias("root"))
+    members = index.select("k", "id").join(crowded.select("k"), "k").join(classes.select("id", *words), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", *words, F.coalesce("root", "id").alias("root"))
     members = written(members, "members")
     largest = members.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
     outside = members.join(largest, "k").where("root <> largest").select("k", F.col("id").alias("a"), F.col("root").alias("root_a"), *(F.col(x).alias(f"{x}_a") for x in words))
