@@ -116,6 +116,9 @@ class Vocabulary:
         for _, i, w in pieces:
             self.weight[i] = w
         self.byte_ids = np.array(self.byte_id, np.int32)
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.lengths = np.array([len(b) for b in self.bytes])
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.weight[self.byte_ids] = self.byte_weight
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
@@ -148,6 +151,13 @@ class Vocabulary:
             h = (h + code + np.uint64(1)) * _A
             return h ^ (h >> np.uint64(29))
 
+    def decodes_to(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decode gives the text, by arrays."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        own = self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        return own[1:] == text.encode("utf-8", "surrogatepass")
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of an encoding; its first byte is the space that encoding puts before every text."""
         table_ = self.bytes
@@ -440,7 +450,7 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
         s.paths.append(Path(edges, units, value, first, log_p, row[:n], tail))
 
 
-def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 5_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 8_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its segmentations, from the largest perturbed value: pieces, log probability, perturbed value, log of the inclusion probability."""
     cut = [UNIT.findall(" " + t) if t else [] for t in texts]
     if store.size > most_edges:
@@ -567,7 +577,7 @@ def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: in
                 of, out = [], []
                 for number, t, found in zip(range(at, end), texts[at:end], sample(texts[at:end], ids[at:end], v, store, k, seed), strict=True):
                     for i, (pieces, log_p, value, inclusion) in enumerate(found):
-                        shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decode(pieces) == (t or "")) if digest else (pieces.astype(np.int32),)
+                        shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decodes_to(pieces, t or "")) if digest else (pieces.astype(np.int32),)
                         of.append(number)
                         out.append((i, log_p, value, inclusion, len(pieces), *shown))
                 yield {key: batch[key].take(pa.array(of)), **dict(zip(names, map(list, zip(*out, strict=True)), strict=True))}

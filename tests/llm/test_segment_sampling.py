@@ -86,7 +86,8 @@ def test_distinct_and_exact_round_trip(texts):
     for text, found in zip(texts, S.sample(texts, list(range(len(texts))), v, S.Units(), 4, 0), strict=True):
         ids = [tuple(x[0].tolist()) for x in found]
         assert len(set(ids)) == len(ids) >= 1
-        assert all(v.decode(i) == text for i in ids)
+        assert all(v.decode(i) == text and v.decodes_to(np.array(i, np.int64), text) for i in ids)
+        assert not any(v.decodes_to(np.array(i, np.int64), text + "a") for i in ids)
         assert all(x[3] <= 1e-12 for x in found)
 
 
