@@ -19,7 +19,9 @@ which is exact for tau 2 and linear in the members.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, table, text_or_empty, written
+from .common import map_columns, mounted, shared_path, table, text_or_empty, written
 from .components import connected_components
 
 SEED = 42
@@ -164,19 +166,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# --- a wide fingerprint for a threshold of similarity ----------------------
+# --- shingle sets for a threshold of similarity ----------------------
 
-WIDE_WORDS, WIDE_SEGMENTS = 4, 16
+WIDE_WORDS = 4
 # Odd multipliers that mix the hashes of a shingle's words, and that draw the four hashes of a shingle from one.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _DRAW = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
-    """The number of shingles and 256 bits as four unsigned numbers; zeros for a text without words."""
-    words = words_of(text)
+def _mixed(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of each shingle, in text order; a text of fewer words is one shingle."""
     if not words:
-        return 0, [0] * WIDE_WORDS
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter([digest(w, SEED) for w in words], np.uint64, len(words))
     n = max(1, len(words) - size + 1)
@@ -184,7 +185,16 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
         mixed = np.zeros(n, np.uint64)
         for i in range(min(size, len(words))):
             mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX[0] + hashes[i : i + n] * _MIX[1 + i % 6]
-        mixed ^= mixed >> np.uint64(32)
+        return mixed ^ (mixed >> np.uint64(32))
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
+    """The number of shingles and 256 bits as four unsigned numbers; zeros for a text without words."""
+    words = words_of(text)
+    if not words:
+        return 0, [0] * WIDE_WORDS
+    mixed = _mixed(words, size)
+    with np.errstate(over="ignore"):
         out = []
         for c in _DRAW:
             drawn = mixed * c
@@ -192,7 +202,7 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
             drawn *= _MIX[0]
             drawn ^= drawn >> np.uint64(32)
             out.append(majority(drawn))
-    return n, out
+    return len(mixed), out
 
 
 def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75) -> int:
@@ -204,117 +214,187 @@ def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75
 def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 12) -> DataFrame:
     """(key, component) for every row, whose key must not be null: the smallest key of the group that links of at least the similarity join.
 
-    Similarity is what the 256-bit fingerprints say of it: a link is at most
-    `bits_for(similarity)` differing bits. Texts with equal fingerprints and
-    lengths are one class from the start. A class stands in the index under
-    each of its 16 segments with its length class (two texts of the similarity
-    are in equal or neighbouring ones) and with the chain of four segments that
-    begins there. Pairs leave the index only if those chains differ in at most
-    the budget of five segments; they are then tried along the whole ring,
-    within the budgets, and by all bits at the end.
-
-    In buckets of over `hot` classes each class is tried against its next
-    neighbour in the chains' order, which joins the bulk of a large group.
-    Then every class that is not in its bucket's largest component yet is tried
-    against the whole bucket, so no link that the bucket holds is lost.
+    A link is two texts whose sets of shingle hashes have at least this Jaccard
+    similarity, counted from the sets themselves. Texts with equal sets are one
+    class from the start. The sets lie in files of the shared folder.
+
+    All sets are put in one order, frequent shingles last. Of two sets of n
+    shingles each at the similarity, some shingle stands among the first n -
+    ceil(similarity * n) + 1 of both, so a class stands in the index under
+    these, and every pair at the similarity meets there. A pair is left out
+    only where the places of the shared shingle leave too few others to share.
+
+    In buckets of over `hot` classes each class is tried against its next in an
+    order of minima, which joins the bulk of a large group. Then every class
+    that is not in its bucket's largest component yet is tried against the
+    whole bucket, so no link that the bucket holds is lost.
     """
-    tau = bits_for(similarity)
-    words = [f"f{i}" for i in range(WIDE_WORDS)]
+    folder = mounted(shared_path(docs.sparkSession, "sets"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            found = [wide_fingerprint(t, size) for t in batch[text].to_pylist()]
-            bits = np.array([f for _, f in found], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield {key: batch[key], "n": [n for n, _ in found], **{w: np.ascontiguousarray(bits[:, i]) for i, w in enumerate(words)}}
-
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, " + ", ".join(f"{w} long" for w in words)
-    marked = written(map_columns(docs.select(key, text), rows, schema), "wide")
-    classes = written(marked.groupBy("n", *words).agg(F.min(key).alias("id")), "classes")
-    index = written(classes.select("id", F.explode(_wide_keys(words, similarity)).alias("e")).select("id", "e.k", "e.chain"), "index")
-    counts = index.groupBy("k").count()
-    crowded = written(counts.where(F.col("count") > hot), "crowded")
-
-    few = index.join(crowded.select("k"), "k", "left_anti")
-    left, right = few.select("k", F.col("id").alias("a"), F.col("chain").alias("chain_a")), few.select("k", F.col("id").alias("b"), F.col("chain").alias("chain_b"))
-    chains = F.bit_count(F.col("chain_a").bitwiseXOR(F.col("chain_b"))) <= 5 * tau // WIDE_SEGMENTS
-    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & chains).select("a", "b").distinct()
-    links = _passing(pairs, classes, words, tau)
+        name, at = uuid.uuid4().hex, 0
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, name), "wb") as file:
+            for batch in _slices(batches):
+                out = []
+                for t in batch[text].to_pylist():
+                    found = shingle_set(t, size)
+                    data = found.tobytes()
+                    out.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist(), _minima(found), at))
+                    file.write(data)
+                    at += len(data)
+                yield {key: batch[key], "file": [name] * len(out), **dict(zip(("n", "s0", "s1", "minima", "at"), zip(*out, strict=True) if out else [()] * 5, strict=True))}
+
+    kind = docs.schema[key].dataType.simpleString()
+    marked = written(map_columns(docs.select(key, text), rows, f"`{key}` {kind}, file string, n long, s0 long, s1 long, minima long, at long"), "sets-of")
+    same = ["n", "s0", "s1"]
+    classes = written(marked.groupBy(*same).agg(F.min(key).alias("id"), F.min(F.struct("file", "at", "minima")).alias("m")).select("id", *same, "m.*"), "classes")
+    everything = written(_prefixes(classes, folder, similarity, kind), "prefixes")
+    counts = everything.groupBy("k").count().where(F.col("count") > 1)
+    index = written(everything.join(counts, "k"), "index")
+
+    few = index.where(F.col("count") <= hot)
+    pairs = _meeting(few, few, similarity).where(F.col("a") < F.col("b"))
+    crowded = index.where(F.col("count") > hot)
+    near = _by_order(crowded, classes.select("id", "minima"), similarity)
+    links = written(_similar(pairs.select("a", "b").union(near).distinct(), classes, folder, similarity), "similar")
     if not crowded.isEmpty():
-        packed = written(_by_order(index, crowded), "neighbours")
-        links = links.union(_passing(packed.select("a", "b").distinct(), classes, words, tau))
-        links = written(links, "wide-links")
         roots = written(connected_components(links), "roots")
-        links = links.union(_left_over(index, crowded, classes, roots, words, tau))
+        left = _left_over(crowded, roots, similarity).distinct()
+        links = links.union(written(_similar(left, classes, folder, similarity), "similar"))
     roots = connected_components(links)
-    of_class = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("n", *words, F.coalesce("root", "id").alias("component"))
-    return marked.join(of_class, ["n", *words]).select(key, "component")
+    of_class = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
+    return marked.join(of_class, same).select(key, "component")
 
 
-def _wide_keys(words: list[str], similarity: float) -> Column:
-    """The class's entries: a key of each 16-bit segment, its place, and its length class and the next, hashed to one long; and the chain of four segments that begins there."""
-    step = float(-np.log(similarity))
-    length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step)
-    keys = []
-    for i, w in enumerate(words):
-        for part in range(4):
-            segment = F.shiftrightunsigned(F.col(w), 48 - 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            after = F.col(words[(i + 1) % WIDE_WORDS])
-            chain = F.shiftleft(F.col(w), 16 * part).bitwiseOR(F.shiftrightunsigned(after, 64 - 16 * part)) if part else F.col(w)
-            keys += [F.struct(F.xxhash64(segment, F.lit(4 * i + part), length + d).alias("k"), chain.alias("chain")) for d in (0, 1)]
-    return F.array(*keys)
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that the sets of few rows are in memory together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def _differences(a: Iterable[str], b: Iterable[str]) -> list[Column]:
-    return [F.col(x).bitwiseXOR(F.col(y)) for x, y in zip(a, b, strict=True)]
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    return np.unique(_mixed(words_of(text), size))
 
 
-def _ring_passes(differences: list[Column], tau: int) -> Column:
-    """Whether some segment starts a chain within the budgets, and the bits together are at most tau.
+def _minima(found: np.ndarray) -> int:
+    """Bits of four of the set's least values, each under another multiplier: sets that share many shingles often share these."""
+    if not len(found):
+        return 0
+    with np.errstate(over="ignore"):
+        least = (found[None, :] * _DRAW[:, None]).min(axis=1)
+    return int((least >> np.uint64(32)).astype(np.uint16).view(np.int64)[0])
 
-    Every chain is tried at its first segment, at the end of its word and at
-    the end of each word after it, with the budget of as many segments.
-    """
-    counts = [F.bit_count(d) for d in differences]
-    total = sum(counts[1:], counts[0])
-    per_segment = tau / WIDE_SEGMENTS
-    starts = []
-    for i, d in enumerate(differences):
-        for part in range(4):
-            own = F.shiftrightunsigned(d, 48 - 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            tail = F.bit_count(F.shiftleft(d, 16 * part))
-            fits = (F.bit_count(own) <= int(per_segment)) & (tail <= int(per_segment * (4 - part)))
-            for more in range(1, WIDE_WORDS):
-                tail = tail + counts[(i + more) % WIDE_WORDS]
-                fits = fits & (tail <= int(per_segment * (4 - part + 4 * more)))
-            starts.append(fits)
-    some = starts[0]
-    for s in starts[1:]:
-        some = some | s
-    return (total <= tau) & some
-
-
-def _passing(pairs: DataFrame, classes: DataFrame, words: list[str], tau: int) -> DataFrame:
-    left = classes.select(F.col("id").alias("a"), *(F.col(w).alias(f"{w}_a") for w in words))
-    right = classes.select(F.col("id").alias("b"), *(F.col(w).alias(f"{w}_b") for w in words))
-    both = pairs.join(left, "a").join(right, "b")
-    differences = _differences([f"{w}_a" for w in words], [f"{w}_b" for w in words])
-    return both.where(_ring_passes(differences, tau)).select("a", "b")
-
-
-def _by_order(index: DataFrame, crowded: DataFrame, part_size: int = 256) -> DataFrame:
-    """(a, b): each member of a crowded bucket with its next in the chains' order, within parts of the bucket that one task holds easily."""
-    members = index.join(crowded, "k").select("k", "id", "chain", F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size)).alias("part"))
-    w = Window.partitionBy("k", "part").orderBy("chain", "id")
-    near = members.select("id", F.lead("id", 1).over(w).alias("next")).where("next is not null and next <> id")
-    return near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
-
-
-def _left_over(index: DataFrame, crowded: DataFrame, classes: DataFrame, roots: DataFrame, words: list[str], tau: int) -> DataFrame:
-    """Links between components in crowded buckets: members outside the bucket's largest component against all of the bucket."""
-    members = index.select("k", "id").join(crowded.select("k"), "k").join(classes.select("id", *words), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", *words, F.coalesce("root", "id").alias("root"))
+
+def _set_reader(folder: str) -> Callable[[str, int, int], np.ndarray]:
+    """Reads sets by file, offset and number; files stay open."""
+    files: dict[str, int] = {}
+
+    def read(name: str, at: int, n: int) -> np.ndarray:
+        if name not in files:
+            files[name] = os.open(os.path.join(folder, name), os.O_RDONLY)
+        return np.frombuffer(os.pread(files[name], 8 * n, at), np.uint64)
+
+    return read
+
+
+def _prefixes(classes: DataFrame, folder: str, similarity: float, kind: str, sample: int = 20_000, most: int = 100_000) -> DataFrame:
+    """(k, id, n, place): the first shingles of every class, those last that many classes of a sample have. Any order finds every pair; this one keeps buckets small."""
+    spark = classes.sparkSession
+    share = min(1.0, sample / max(1, classes.count()))
+
+    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        read = _set_reader(folder)
+        for batch in _slices(batches):
+            places = zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True)
+            found = [read(*x) for x in places]
+            yield {"k": np.concatenate(found).view(np.int64) if found else []}
+
+    some = classes.where((F.col("n") > 0) & (F.pmod(F.xxhash64("s0"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    frequent = map_columns(some.select("file", "at", "n"), shingle_rows, "k long").groupBy("k").count().where("count > 2").orderBy(F.desc("count"), "k").limit(most).collect()
+    keys = np.array([r["k"] for r in frequent], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], np.array([r["count"] for r in frequent], np.int64)[order]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        read = _set_reader(folder)
+        known, weights = shared.value
+        for batch in _slices(batches):
+            parts, sizes = [], []
+            for name, at, n in zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True):
+                found = read(name, at, n)
+                if len(known):
+                    where = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    weight = np.where(known[where] == found, weights[where], 0)
+                    if weight.any():
+                        found = found[np.argsort(weight, kind="stable")]
+                parts.append(found[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+                sizes.append(len(parts[-1]))
+            if parts:
+                owner = np.repeat(np.arange(len(parts)), sizes)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield {"k": np.concatenate(parts).view(np.int64), "id": batch["id"].take(pa.array(owner)), "n": batch["n"].take(pa.array(owner)), "place": place}
+
+    return map_columns(classes.where("n > 0").select("id", "file", "at", "n"), rows, f"k long, id {kind}, n long, place long")
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether sets of n_a and n_b shingles, whose first shared one stands at place_a and place_b, can share as many as the similarity asks for."""
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+
+def _sided(index: DataFrame, side: str, *more: str) -> DataFrame:
+    return index.select("k", F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "place", *more)))
+
+
+def _meeting(left: DataFrame, right: DataFrame, similarity: float, *more: str) -> DataFrame:
+    return _sided(left, "a", *more).join(_sided(right, "b", *more), "k").where(_may_be_similar(similarity))
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """The pairs whose sets have the similarity."""
+    places = ("file", "at", "n")
+    sides = [classes.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in places)) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        read = _set_reader(folder)
+        for batch in _slices(batches):
+            columns = (batch[f"{c}_{x}"].to_pylist() for x in "ab" for c in places)
+            fits = []
+            for fa, pa_, na, fb, pb, nb in zip(*columns, strict=True):
+                together = np.concatenate([read(fa, pa_, na), read(fb, pb, nb)])
+                together.sort()
+                shared = np.count_nonzero(together[1:] == together[:-1])
+                fits.append(shared * (1 + similarity) >= similarity * (na + nb) - 1e-6)
+            keep = pa.array(fits, pa.bool_())
+            yield {x: batch[x].filter(keep) for x in "ab"}
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_columns(both, rows, f"a {kind}, b {kind}").distinct()
+
+
+def _by_order(crowded: DataFrame, minima: DataFrame, similarity: float, part_size: int = 256) -> DataFrame:
+    """(a, b): each member of a crowded bucket with its next in an order of minima that the bucket's key turns, within parts of the bucket that one task holds easily."""
+    turn = (F.pmod(F.col("k"), F.lit(4)) * 16).cast("int")
+    turned = F.when(turn == 0, F.col("minima"))
+    for bits in (16, 32, 48):
+        turned = turned.when(turn == bits, F.shiftleft("minima", bits).bitwiseOR(F.shiftrightunsigned("minima", 64 - bits)))
+    members = crowded.join(minima, "id").select("k", "id", "n", "place", turned.alias("turned"), F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size)).alias("part"))
+    w = Window.partitionBy("k", "part").orderBy("turned", "id")
+    near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), *(F.lead(c).over(w).alias(x) for c, x in (("id", "b"), ("n", "n_b"), ("place", "place_b"))))
+    near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _may_be_similar(similarity))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _left_over(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): members of crowded buckets outside the bucket's largest component with all others of the bucket that are not in their own component."""
+    members = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("root"))
     members = written(members, "members")
     largest = members.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    outside = members.join(largest, "k").where("root <> largest").select("k", F.col("id").alias("a"), F.col("root").alias("root_a"), *(F.col(x).alias(f"{x}_a") for x in words))
-    all_ = members.select("k", F.col("id").alias("b"), F.col("root").alias("root_b"), *(F.col(x).alias(f"{x}_b") for x in words))
-    differences = _differences([f"{x}_a" for x in words], [f"{x}_b" for x in words])
-    return outside.join(all_, "k").where((F.col("root_a") != F.col("root_b")) & _ring_passes(differences, tau)).select("a", "b")
+    outside = members.join(largest, "k").where("root <> largest").select(members.columns)
+    met = _meeting(outside, members, similarity, "root").where("root_a <> root_b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -146,3 +146,32 @@ def test_wide_fingerprints_tell_similarity():
         assert sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= most
     far = S.wide_fingerprint(" ".join(random.sample(own, 500)))[1]
     assert sum((x ^ y).bit_count() for x, y in zip(a, far, strict=True)) > S.bits_for(0.8)
+
+
+def isolated_pairs(similarities, each, seed):
+    """Pairs of texts that nothing else is near to, and the exact similarity of their sets of shingles."""
+    random.seed(seed)
+    out = []
+    for aim in similarities:
+        while len(out) < each * (1 + similarities.index(aim)):
+            own = [f"v{random.randrange(10**9)}" for _ in range(random.randint(60, 400))]
+            other = list(own)
+            while True:
+                sets = [set(S.shingles([w.encode() for w in t], 5)) for t in (own, other)]
+                exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+                if exact < aim + 0.03:
+                    break
+                other[random.randrange(len(own))] = f"u{random.randrange(10**9)}"
+            out.append((" ".join(own), " ".join(other), exact))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 12])
+def test_every_isolated_pair_at_the_similarity_is_found(spark, hot):
+    pairs = isolated_pairs([0.8, 0.82, 0.85, 0.9], 60, 4)
+    rows = [(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)]
+    got = {r[0]: r[1] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", hot=hot).collect()}
+    assert sum(e >= 0.8 for *_, e in pairs) > 200
+    for i, (*_, exact) in enumerate(pairs):
+        assert got[2 * i] == 2 * i
+        assert (got[2 * i + 1] == 2 * i) == (exact >= 0.8)
