@@ -175,3 +175,10 @@ def test_every_isolated_pair_at_the_similarity_is_found(spark, hot):
     for i, (*_, exact) in enumerate(pairs):
         assert got[2 * i] == 2 * i
         assert (got[2 * i + 1] == 2 * i) == (exact >= 0.8)
+
+
+def test_pairs_under_the_similarity_stay_apart(spark):
+    pairs = isolated_pairs([0.6, 0.7, 0.74], 60, 5)
+    assert all(e < 0.8 for *_, e in pairs)
+    rows = [(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)]
+    assert all(a == b for a, b in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
