@@ -182,3 +182,25 @@ def test_pairs_under_the_similarity_stay_apart(spark):
     assert all(e < 0.8 for *_, e in pairs)
     rows = [(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)]
     assert all(a == b for a, b in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_groups_do_not_depend_on_how_full_buckets_are(spark, hot):
+    random.seed(6)
+    texts = []
+    for _ in range(4):
+        own = [f"v{random.randrange(10**9)}" for _ in range(200)]
+        for _ in range(30):
+            copy = list(own)
+            for _ in range(random.randint(0, 7)):
+                copy[random.randrange(200)] = f"u{random.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    sets = [set(S.shingles(S.words_of(t), 5)) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(root[:], 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", hot=hot).collect()
+    assert {r[0]: r[1] for r in got} == dict(enumerate(root))
+    assert len(set(root)) > 4
