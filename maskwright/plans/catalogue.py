@@ -557,11 +557,12 @@ def edit_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docx_file(paragraphs: list[list[str]], cells: list[str] = (), header: str = "") -> bytes:
-    """A small DOCX file, for tests and the queries below: paragraphs as lists of runs, one table row, one header."""
+    """A small DOCX file, for tests and the queries below: paragraphs as lists of runs, table rows of three cells, one header."""
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     safe = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
     p = lambda runs: "<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{safe(r)}</w:t></w:r>' for r in runs) + "</w:p>"
-    table = "<w:tbl><w:tr>" + "".join(f"<w:tc>{p([c])}</w:tc>" for c in cells) + "</w:tr></w:tbl>" if cells else ""
+    rows = [cells[i : i + 3] for i in range(0, len(cells), 3)]
+    table = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p([c])}</w:tc>" for c in row) + "</w:tr>" for row in rows) + "</w:tbl>" if cells else ""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {space}><w:body>{''.join(map(p, paragraphs))}{table}</w:body></w:document>")
@@ -574,7 +575,7 @@ def _docx_files(spark: SparkSession, d: str) -> DataFrame:
     @F.udf("binary")
     def made(text: str) -> bytes:
         words = text.split(" ")
-        return docx_file([[w[:3], w[3:] + " "] for w in words[:200]], words[200:203], "thth heads this")
+        return docx_file([[w[:3], w[3:] + " "] for w in words[:200]], words[200:], "thth heads this")
 
     return _read(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", "conv_id", "turn").alias("path"), made("text").alias("content"))
 

@@ -8,7 +8,7 @@ from maskwright.operators import chronology, pages
 from maskwright.operators import catalogue as C
 from maskwright.operators.discovery import AgentOptions, RegexGazetteer, SuppliedEntities
 from maskwright.operators.docx import docx_rewritten, raw_docx, read_docx, replace_in_runs, rewrite_docx
-from maskwright.plans import pipeline
+from maskwright.plans import catalogue, pipeline
 from maskwright.plans.catalogue import docx_file
 from maskwright.sources import files
 
@@ -134,3 +134,10 @@ def test_whole_run_and_back(spark, tmp_path):
         pipeline.reidentify(spark, paths["returned"], paths["secure"], paths["back"] + "2")
     with pytest.raises(ValueError, match="two folders"):
         pipeline.deidentify(spark, paths["in"], paths["out"], paths["out"], SuppliedEntities(entities))
+
+
+def test_docx_queries_hold_every_word_of_a_turn(spark, tmp_path):
+    words = [f"word{i}" for i in range(1000)]
+    spark.createDataFrame([(1, 2, " ".join(words))], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for query in (catalogue.docx_extract, catalogue.docx_rewrite):
+        assert query(spark, str(tmp_path)).first().text.split() == words
