@@ -501,9 +501,13 @@ def held_out(key: str, by: int = 7, at: int = 2) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "utf-8")) % by == at, F.lit(False))
 
 
+#: The registered query's: contexts of two words.
+QUERY_ORDER = 3
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under the model of those that are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text_or_empty("text").alias("text"))
-    model = count_ngrams(docs.where(~held_out("doc_id")))
+    model = count_ngrams(docs.where(~held_out("doc_id")), order=QUERY_ORDER)
     scored = score_texts(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

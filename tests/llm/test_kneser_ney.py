@@ -92,3 +92,11 @@ def test_op8_splits_by_crc32(spark, tmp_path):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     assert {r.train_tokens for r in got} == {sum(len(t.split()) + 1 for t in train)}
+
+
+def test_op8_uses_contexts_of_two_words(spark, tmp_path):
+    rows = [(i, f"w{i % 3} and then{i % 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in K.op8_kneser_ney(spark, str(tmp_path)).collect():
+        assert r.score == pytest.approx(want(rows[r.doc_id][1]), rel=1e-9)
