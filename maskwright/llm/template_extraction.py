@@ -11,13 +11,14 @@ and how much that text varies.
 
 Extraction walks a page once. Elements that are never article text by their tag
 or by the words of their class, id or role (menus, adverts, forms, comments and
-so on) are left out, as are text nodes that belong to the template of a host
-with enough pages. The article is what an article or main element holds; where
-a page has none, it is the template's slot with the most varying text, and on a
-host without a template everything that is left.
+so on) are left out, as are, outside a found article or main element, text nodes
+that belong at their path to the template of a host with enough different pages.
+The article is what an article or main element holds; where a page has none, it
+is the template's slot with the most varying text, and on a host without a
+template everything that is left.
 
 Nulls: a null url is a host of its own name, a null html an empty page, which
-has an empty text. Repeated rows count and return each. Unclosed and misnested
+has an empty text. Repeated rows return each; the template counts them once. Unclosed and misnested
 tags end where their parents do. Pages of any length are read whole. Columns
 other than the id, url and html are not read.
 """
@@ -220,11 +221,14 @@ def tokens(pages: DataFrame, host: str, source: str) -> DataFrame:
 
 
 def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html", support: float = 0.5, least_pages: int = 3, text_support: float = 0.9, text_pages: int = 10) -> DataFrame:
-    """(host, paths, texts, slot): the template's element paths, its constant texts, and the slot with the most varying text.
+    """(host, paths, texts, constants, slot): the template's element paths, its constant texts, those with their paths, and the slot with the most varying text.
+
+    Copies of a page count once.
 
     A template has at most 1/support times as many tokens as a page has on
     average, so it is small however many pages the host has.
     """
+    pages = pages.select(host, source).distinct()
     sums = tokens(pages, host, source).groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
     sums = written(sums, "tokens")
     sizes = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
@@ -232,7 +236,7 @@ def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html",
     classes = frequent.groupBy("host", "n", "vector").agg(F.collect_list(F.struct("path", "text", (F.col("n") >= text_support * F.col("pages")).alias("most"), "pages")).alias("members")).where(F.size("members") >= 2)
     members = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
     constant = (F.col("text") != 0) & F.col("most") & (F.col("pages") >= text_pages)
-    nested = members.groupBy("host").agg(F.collect_set(F.when(F.col("text") == 0, F.col("path"))).alias("paths"), F.collect_set(F.when(constant, F.col("text"))).alias("texts"))
+    nested = members.groupBy("host").agg(F.collect_set(F.when(F.col("text") == 0, F.col("path"))).alias("paths"), F.collect_set(F.when(constant, F.col("text"))).alias("texts"), F.collect_set(F.when(constant, F.struct("path", "text"))).alias("constants"))
     slots = sums.where("text <> 0").join(sizes, "host").groupBy("host", "path").agg(F.sum(F.when(F.col("n") < support * F.col("pages"), F.col("chars")).otherwise(0)).alias("varying"))
     parents = slots.select("host", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), "varying").groupBy("host", "parent").agg(F.sum("varying").alias("varying"))
     inside = parents.join(members.where("text = 0").select("host", F.col("path").alias("parent")).distinct(), ["host", "parent"], "left_semi")
@@ -243,30 +247,32 @@ def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html",
 # --- extraction ------------------------------------------------------------
 
 
-def main_text(source: str | None, texts: frozenset[int] = frozenset(), slot: str | None = None) -> str:
-    """The article's blocks, two line feeds between them."""
+def main_text(source: str | None, constants: frozenset[tuple[str, int]] = frozenset(), slot: str | None = None) -> str:
+    """The article's blocks, two line feeds between them. Constants (path and text hash) go only where no article or main element is found."""
     blocks = [b for b in read_page(source).blocks if not b.left_out]
     surest = max((b.article for b in blocks), default=0)
-    chosen = [b for b in blocks if b.article == surest > 0]
-    if not chosen and slot:
+    if surest > 0:
+        return "\n\n".join(b.text for b in blocks if b.article == surest)
+    chosen = []
+    if slot:
         chosen = [b for b in blocks if b.path == slot or b.path.startswith(slot + "/")]
-    return "\n\n".join(b.text for b in chosen or blocks if not texts or text_hash(b.text) not in texts)
+    return "\n\n".join(b.text for b in chosen or blocks if not constants or (b.path, text_hash(b.text)) not in constants)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", broadcast_tokens: int = 200_000) -> DataFrame:
     """(page_id, url, text) of every page. Templates go to every worker while they have at most broadcast_tokens tokens together; larger ones are joined by host, where Spark splits a host that is very common."""
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.coalesce(F.col(url), F.lit(""))).alias("host"))
     templates = written(deduce_templates(own), "templates")
-    size = templates.agg(F.sum(F.size("texts") + F.size("paths"))).first()[0] or 0
-    needed = templates.select("host", "texts", "slot")
+    size = templates.agg(F.sum(F.size("texts") + F.size("constants") + F.size("paths"))).first()[0] or 0
+    needed = templates.select("host", "constants", "slot")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("html", "texts", "slot"))
-            out = [main_text(h, frozenset(t or ()), s) for h, t, s in zip(*columns, strict=True)]
+            columns = (batch[c].to_pylist() for c in ("html", "constants", "slot"))
+            out = [main_text(h, frozenset((x["path"], x["text"]) for x in c or ()), s) for h, c, s in zip(*columns, strict=True)]
             yield {"page_id": batch["page_id"], "url": batch["url"], "text": out}
 
-    joined = own.join(F.broadcast(needed) if size <= broadcast_tokens else needed, "host", "left").select("page_id", "url", "html", "texts", "slot")
+    joined = own.join(F.broadcast(needed) if size <= broadcast_tokens else needed, "host", "left").select("page_id", "url", "html", "constants", "slot")
     kind = own.schema["page_id"].dataType.simpleString()
     return map_columns(joined, rows, f"page_id {kind}, url string, text string")
 

@@ -63,3 +63,18 @@ def test_long_pages_and_odd_markup_end(spark):
     T.main_text("<div>" * 3000 + "x" + "</div>" * 3000)
     T.main_text('<a href="' * 200)
     T.main_text("<script>never closed <p>x")
+
+
+def extracted(spark, sources):
+    rows = [(i, f"http://a.example/{i}", s) for i, s in enumerate(sources)]
+    return [r.text for r in sorted(T.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_hosts_of_copies_keep_their_text(spark):
+    assert extracted(spark, [page(0, "<p>one</p><p>two</p>")] * 20) == [T.main_text(page(0, "<p>one</p><p>two</p>"))] * 20
+    assert extracted(spark, [f"<div>{i}</div><article><h1>Head</h1><p>one</p></article>" for i in range(20)]) == ["Head\n\none"] * 20
+
+
+def test_constants_go_only_at_their_place(spark):
+    got = extracted(spark, [page(i, f"<h2>{'Home' if i == 3 else f'Title {i}'}</h2><p>story {i}</p>") for i in range(12)])
+    assert got[3] == "Home\n\nstory 3"
