@@ -37,7 +37,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from .common import map_columns, table, text_or_empty
 
 MARK = "▁"
-UNIT = re.compile(r" +[^ \n▁]*|[^ \n▁]+|\n|▁")
+UNIT = re.compile(r" +(?:[^ \n\0][^ \n]*)?|[^ \n]+|\n")
 AHEAD = 32
 GRID = 1 << 30
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -117,8 +117,8 @@ class Vocabulary:
             self.weight[i] = w
         self.byte_ids = np.array(self.byte_id, np.int32)
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.lengths = np.array([len(b) for b in self.bytes])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.lengths = np.array([len(b) for b in self.bytes], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         self.weight[self.byte_ids] = self.byte_weight
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
@@ -151,17 +151,22 @@ class Vocabulary:
             h = (h + code + np.uint64(1)) * _A
             return h ^ (h >> np.uint64(29))
 
-    def decodes_to(self, ids: np.ndarray, text: str) -> bool:
-        """Whether decode gives the text, by arrays."""
+    def decodes_to(self, ids: np.ndarray, text: str | bytes) -> bool:
+        """Whether decode gives the text (or its UTF-8), by arrays."""
+        if isinstance(text, str):
+            text = text.encode("utf-8", "surrogatepass")
         lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        own = self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        return own[1:] == text.encode("utf-8", "surrogatepass")
+        ends = np.cumsum(lengths, dtype=np.int32)
+        if (ends[-1] if len(ends) else 1) != len(text) + 1:
+            return False
+        at = np.repeat(self.starts[ids] - ends + lengths, lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at][1:].tobytes() == text
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of an encoding; its first byte is the space that encoding puts before every text."""
-        table_ = self.bytes
-        return b"".join(map(table_.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "surrogatepass")
+        known = self.bytes
+        return b"".join(map(known.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -169,32 +174,76 @@ def vocabulary(path: str, theta: float) -> Vocabulary:
     return Vocabulary(path, theta)
 
 
+class _Numbers(dict):
+    """Numbers words as they come; those that are new since the last look stand in fresh."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
+#: Stands before a unit without a space. No piece has it, so a text's own is cut off from the space before it.
+BARE = "\0"
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text with a space before it: line feeds, and runs between them and single spaces, which stand without their space."""
+    if "  " in text or text[:1] == " " or BARE in text:
+        return [u[1:] if u[0] == " " else u if u == "\n" else BARE + u for u in UNIT.findall(" " + text)]
+    if "\n" in text:
+        text = text.replace("\n", f" \n {BARE}").replace(f" {BARE} ", " ").removesuffix(f" {BARE}")
+    return text.split(" ")
+
+
+def _spelled(unit: str) -> str:
+    return unit if unit == "\n" else unit[1:] if unit[:1] == BARE else " " + unit
+
+
 class Units:
-    """Lattices of distinct units, end to end. An edge has a place (in its unit, from 0), a length, a piece and its probability at that place."""
+    """Lattices of distinct units, end to end.
+
+    An edge has its place, the place that it leads to (-1 at its unit's end), a
+    piece, its probability at its place and a bound for draws. A place has its
+    first edge and what all its edges but the first have together.
+    """
 
-    KINDS = (("place", np.int32), ("length", np.int16), ("piece", np.int32), ("chance", np.float32), ("below", np.int32))
+    EDGES = (("place", np.int32), ("next", np.int32), ("piece", np.int32), ("chance", np.float32), ("below", np.int32))
+    PLACES = (("edge_from", np.int32), ("others", np.float32))
+    UNITS = (("root", np.int32),)
 
     def __init__(self) -> None:
-        self.of: dict[str, int] = {}
-        self.first, self.places = [0], []  # of a unit: its first edge (one more at the end), its characters
-        self.size = 0
-        for name, kind in self.KINDS:
+        self.of = _Numbers()
+        self.edges = self.places = self.units = 0
+        for name, kind in (*self.EDGES, *self.PLACES, *self.UNITS):
             setattr(self, name, np.zeros(1024, kind))
 
-    def _append(self, **new: np.ndarray) -> None:
-        n = len(new["place"])
-        for name, kind in self.KINDS:
+    def _append(self, kinds: tuple, at: int, **new: np.ndarray) -> int:
+        end = at + len(new[kinds[0][0]])
+        for name, kind in kinds:
             old = getattr(self, name)
-            if self.size + n > len(old):
-                grown = np.zeros(max(self.size + n, len(old) * 3 // 2), kind)
-                grown[: self.size] = old[: self.size]
+            if end >= len(old):
+                grown = np.zeros(max(end + 1, len(old) * 3 // 2), kind)
+                grown[:at] = old[:at]
                 setattr(self, name, grown)
-            getattr(self, name)[self.size : self.size + n] = new[name]
-        self.size += n
+            getattr(self, name)[at:end] = new[name]
+        return end
+
+    def numbers(self, words: list[str], v: Vocabulary) -> np.ndarray:
+        """The number of each unit; the lattices of new ones are built."""
+        out = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+        if self.of.fresh:
+            self.add([_spelled(w) for w in self.of.fresh], v)
+            self.of.fresh.clear()
+        return out
 
     def add(self, units: list[str], v: Vocabulary) -> None:
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([len(u) for u in units], np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         starts = np.cumsum(sizes) - sizes
         n = len(codes)
         left = np.repeat(starts + sizes, sizes) - np.arange(n)
@@ -217,88 +266,77 @@ class Units:
         # Characters without a piece: their byte, or (several bytes, spelled out at the end) a negative number.
         rest = np.flatnonzero(pieces[:, 0] == none)
         pieces[rest, 0] = np.where(codes[rest] < 128, v.byte_ids[np.minimum(codes[rest], 255)], -1 - codes[rest])
-        at_, length_ = np.nonzero(pieces != none)
-        piece_ = pieces[at_, length_]
-        length_ = length_ + 1
+        flat = np.flatnonzero(pieces.ravel() != none)
+        at_, length_ = np.divmod(flat, v.longest)
+        piece_ = pieces.ravel()[flat]
+        length_ += 1
         by_bytes = np.flatnonzero(piece_ < 0)
         weight_ = v.weight[np.maximum(piece_, 0)]
         c = -1 - piece_[by_bytes]
         weight_[by_bytes] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        # Mass of all ways from a place to its unit's end, from the ends backwards.
-        mass = np.zeros(n + 1)
-        edge_from = np.concatenate([[0], np.cumsum(np.bincount(at_, minlength=n))])
-        target_is_end = length_ == left[at_]
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, left.max(initial=0) + 2))
-        for d in range(len(cuts) - 1):
-            here = by_left[cuts[d] : cuts[d + 1]]
-            if not len(here):
-                continue
-            counts = edge_from[here + 1] - edge_from[here]
-            first = np.cumsum(counts) - counts
-            edges = np.repeat(edge_from[here] - first, counts) + np.arange(counts.sum())
-            w = weight_[edges] + np.where(target_is_end[edges], 0.0, mass[at_[edges] + length_[edges]])
-            top = np.maximum.reduceat(w, first)
-            mass[here] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), first))
-        chance = np.exp(weight_ + np.where(target_is_end, 0.0, mass[at_ + length_]) - mass[at_])
-        counts = np.diff(edge_from)
+        counts = np.bincount(at_, minlength=n)
+        edge_from = np.concatenate([[0], np.cumsum(counts)])
+        ends = length_ == left[at_]
+        mass, of_edge = self._mass(left, counts, edge_from, at_ + length_, ends, weight_)
+        chance = np.exp(weight_ + of_edge - np.repeat(mass, counts))
         chance[np.repeat(counts == 1, counts)] = 1.0
         # The likeliest edge of a place first: most draws end there. It changes places with the first.
         top = np.flatnonzero(chance == np.repeat(np.maximum.reduceat(chance, edge_from[:-1]), counts))
         top = top[np.concatenate([[True], at_[top[1:]] != at_[top[:-1]]])]
-        for x in (length_, piece_, chance):
+        leads = np.where(ends, -1 - self.places, at_ + length_)
+        for x in (leads, piece_, chance):
             x[top], x[edge_from[:-1]] = x[edge_from[:-1]], x[top]
         # The chances up to and with each edge's at its place, in whole 2^-30: draws are exact however places are numbered.
         below = chance.copy()
+        others = np.zeros(n)
         for r in range(1, counts.max(initial=1)):
-            of_rank = edge_from[:-1][counts > r] + r
+            more = np.flatnonzero(counts > r)
+            of_rank = edge_from[more] + r
+            # Their own sum: one less the likeliest would lose what is very unlikely.
+            others[more] += chance[of_rank]
             below[of_rank] += below[of_rank - 1]
         below = np.minimum(np.floor(below * GRID), GRID - 1).astype(np.int32)
         below[edge_from[1:] - 1] = GRID
-        known = len(self.of)
-        self.of.update((u, known + i) for i, u in enumerate(units))
-        self.first += (self.size + edge_from[starts + sizes]).tolist()
-        self.places += sizes.tolist()
-        self._append(place=at_ - np.repeat(starts, sizes)[at_], length=length_, piece=piece_, chance=chance, below=below)
-
-
-class Local:
-    """The lattices of the units that some texts have, close together."""
-
-    def __init__(self, store: Units, numbers: np.ndarray):
-        types, self.type = np.unique(numbers, return_inverse=True)
-        known = types.tolist()
-        first = np.array([store.first[t] for t in known], np.int64)
-        counts = np.array([store.first[t + 1] for t in known], np.int64) - first
-        places = np.array([store.places[t] for t in known], np.int64)
-        edges = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        self.root = np.cumsum(places) - places
-        # Places are numbered over all units; the one that an edge leads to, or -1 at its unit's end.
-        place = np.repeat(self.root, counts) + store.place[edges]
-        ahead = place + store.length[edges]
-        ahead[ahead == np.repeat(self.root + places, counts)] = -1
-        self.next = ahead.astype(np.int32)
-        self.piece, self.chance, self.below = store.piece[edges], store.chance[edges], store.below[edges]
-        self.edge_from = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places.sum()))])
-
-        # What a place's other edges have together; one less the likeliest would lose what is very unlikely.
-        others = self.chance.astype(np.float64)
-        others[self.edge_from[:-1]] = 0
-        self.others = np.add.reduceat(others, self.edge_from[:-1]) if len(others) else others
+        before, place = self.edges, self.places
+        self.units = self._append(self.UNITS, self.units, root=place + starts)
+        self.edges = self._append(self.EDGES, before, place=place + at_, next=place + leads, piece=piece_, chance=chance, below=below)
+        self.places = self._append(self.PLACES, place, edge_from=before + edge_from[:-1], others=others)
+        self.edge_from[self.places] = self.edges
+
+    @staticmethod
+    def _mass(left: np.ndarray, counts: np.ndarray, edge_from: np.ndarray, to: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log mass of all ways from each place to its unit's end, from the ends backwards; and of those behind each edge."""
+        n = len(left)
+        order = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")
+        rank = np.empty(n + 1, np.int64)
+        rank[order], rank[n] = np.arange(n), n
+        to = rank[np.where(ends, n, to)]
+        c = counts[order]
+        first = np.concatenate([[0], np.cumsum(c)])
+        edges = np.repeat(edge_from[order] - first[:-1], c) + np.arange(first[-1])
+        weight, to_ = weight[edges], to[edges]
+        # By rank; the last, which no place has, is where units end.
+        mass = np.zeros(n + 1)
+        cuts = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            s, e = first[a], first[b]
+            w = weight[s:e] + mass[to_[s:e]]
+            begins = first[a:b] - s
+            top = np.maximum.reduceat(w, begins)
+            w -= np.repeat(top, c[a:b])
+            mass[a:b] = top + np.log(np.add.reduceat(np.exp(w, out=w), begins))
+        return mass[rank[:-1]], mass[to]
 
     def log_rest(self, edges: np.ndarray) -> np.ndarray:
         """What is left at each edge's place without it."""
-        place = np.searchsorted(self.edge_from, edges, side="right") - 1
-        rest = np.where(self.edge_from[place] == edges, self.others[place], 1 - self.chance[edges].astype(np.float64))
+        place = self.place[edges]
+        rest = np.where(self.edge_from[place] == edges, self.others[place].astype(np.float64), 1 - self.chance[edges].astype(np.float64))
         with np.errstate(divide="ignore"):
             return np.log(np.minimum(rest, 1.0))
 
     def log_chance(self, edges: np.ndarray) -> np.ndarray:
         return np.log(self.chance[edges], dtype=np.float64)
 
-    def place_of(self, edge: int) -> int:
-        return int(np.searchsorted(self.edge_from, edge, side="right")) - 1
-
     def draw(self, place: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each place to its unit's end: all edges, in order, and how many each has."""
         n = len(place)
@@ -319,7 +357,7 @@ class Local:
                 on = np.flatnonzero(place >= 0)
                 active, place, seeds = active[on], place[on], seeds[on]
         first = np.cumsum(counts) - counts
-        out = np.empty(counts.sum(), np.int64)
+        out = np.empty(counts.sum(), np.int32)
         for i, (entry, edge) in enumerate(steps):
             out[first[entry] + i] = edge
         return out, counts
@@ -371,7 +409,7 @@ def _gumbel_below(mass: float, ceiling: float, u: float) -> float:
 class Search:
     """The A* search of one text."""
 
-    def __init__(self, local: Local, seed: int):
+    def __init__(self, local: Units, seed: int):
         self.local, self.seed, self.paths = local, seed, []
 
     def best(self) -> tuple[float, int, int]:
@@ -405,7 +443,7 @@ class Search:
         """Draws the edge by which a path leaves another at a step, and what bound is left there."""
         p, local = self.paths[number], self.local
         taken = p.taken.setdefault(step, [int(p.edges[step])])
-        place = local.place_of(int(p.edges[step]))
+        place = int(local.place[p.edges[step]])
         chances = {e: float(local.chance[e]) for e in range(int(local.edge_from[place]), int(local.edge_from[place + 1])) if e not in taken}
         left = sum(chances.values()) * _draw_one(self.seed, 4, number, step, len(taken))
         for edge, chance in chances.items():
@@ -420,7 +458,7 @@ class Search:
         return edge
 
 
-def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, float, int]], local: Local, number: int) -> None:
+def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, float, int]], local: Units, number: int) -> None:
     """Adds a path (edges, units, value, since) to each search, with the bounds of the regions that leave it, for all at once."""
     sizes = np.array([len(e) for e, _, _, _ in new])
     flat = np.concatenate([e for e, _, _, _ in new])
@@ -452,22 +490,15 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
 
 def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 8_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its segmentations, from the largest perturbed value: pieces, log probability, perturbed value, log of the inclusion probability."""
-    cut = [UNIT.findall(" " + t) if t else [] for t in texts]
-    if store.size > most_edges:
+    cut = [units_of(t) if t else [] for t in texts]
+    if store.edges > most_edges:
         store.__init__()
-    of = store.of
     sizes = np.array([len(c) for c in cut], np.int64)
-    flat = list(chain.from_iterable(cut))
-    numbers = np.array(list(map(of.get, flat, repeat(-1))), np.int64)
-    missing = np.flatnonzero(numbers < 0)
-    if len(missing):
-        unknown = [flat[i] for i in missing.tolist()]
-        store.add(list(dict.fromkeys(unknown)), v)
-        numbers[missing] = [of[u] for u in unknown]
-    local = Local(store, numbers)
+    numbers = store.numbers(list(chain.from_iterable(cut)), v)
+    roots = store.root[numbers]
     begins = np.cumsum(sizes) - sizes
     seeds = [_seed(key, seed) for key in keys]
-    searches = [Search(local, s) for s in seeds]
+    searches = [Search(store, s) for s in seeds]
     firsts = [-math.log(-math.log(_draw_one(s, 1))) for s in seeds]
     seeds = np.array(seeds, np.uint64)
     # What each text draws next: from which unit (and which place in it), after which edges, under which value.
@@ -480,11 +511,11 @@ def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k:
         ends = np.cumsum(n)
         unit = np.repeat(since - (ends - n), n) + np.arange(ends[-1])
         doc = np.repeat(docs, n)
-        place = local.root[local.type[begins[doc] + unit]]
+        place = roots[begins[doc] + unit]
         inner = [i for i, w in enumerate(wanted) if w[2] is not None]
         place[(ends - n)[inner]] = [wanted[i][2] for i in inner]
         with np.errstate(over="ignore"):
-            edges, counts = local.draw(place, _finish(seeds[doc] + _A * (unit + 1).astype(np.uint64) + _C * np.uint64(number + 1)))
+            edges, counts = store.draw(place, _finish(seeds[doc] + _A * (unit + 1).astype(np.uint64) + _C * np.uint64(number + 1)))
         units = np.repeat(unit, counts)
         cuts = np.append(0, np.cumsum(counts))[np.append(0, ends)].tolist()
         added = []
@@ -493,7 +524,7 @@ def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k:
                 added.append((edges[a:b], units[a:b], value, step))
             else:
                 added.append((np.concatenate([stem[0], edges[a:b]]), np.concatenate([stem[1], units[a:b]]), value, step))
-        _add_paths([searches[w[0]] for w in wanted], added, local, number)
+        _add_paths([searches[w[0]] for w in wanted], added, store, number)
         if number < k - 1:
             wanted = [w for w in (_next(searches[d], d, int(sizes[d])) for d in docs.tolist()) if w]
     return [_results(s, v) if s.paths else [(np.zeros(0, np.int64), 0.0, first, 0.0)] for s, first in zip(searches, firsts, strict=True)]
@@ -576,8 +607,9 @@ def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: in
                     end += 1
                 of, out = [], []
                 for number, t, found in zip(range(at, end), texts[at:end], sample(texts[at:end], ids[at:end], v, store, k, seed), strict=True):
+                    own = (t or "").encode("utf-8", "surrogatepass") if digest else b""
                     for i, (pieces, log_p, value, inclusion) in enumerate(found):
-                        shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decodes_to(pieces, t or "")) if digest else (pieces.astype(np.int32),)
+                        shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decodes_to(pieces, own)) if digest else (pieces.astype(np.int32),)
                         of.append(number)
                         out.append((i, log_p, value, inclusion, len(pieces), *shown))
                 yield {key: batch[key].take(pa.array(of)), **dict(zip(names, map(list, zip(*out, strict=True)), strict=True))}

@@ -140,3 +140,12 @@ def test_frames_digests_and_decoding(spark):
     assert all(r.decodes for r in digests)
     assert S.sample_segmentations(docs.where("false"), "doc_id", "text", path).count() == 0
     assert list(itertools.islice((r.n_pieces for r in digests if r.doc_id == 2), 1)) == [0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\0▁é", max_size=12))
+def test_units_spell_the_text(text):
+    units = S.units_of(text)
+    assert "".join(map(S._spelled, units)) == " " + text
+    # Equal names are equal units: a unit is found again by its name alone.
+    assert all(u == "\n" or "\n" not in u for u in units)
