@@ -1,4 +1,4 @@
-"""URL verdicts by host and path rules, and by a Bloom filter cascade for the hosts no rule decides.
+"""URL verdicts: a Bloom filter cascade holds the blocked URLs, which rules and listed keys name.
 
 The cascade gives exact membership over a complete key universe: the first
 level encodes the listed keys, the second the keys of the universe that the
@@ -8,9 +8,16 @@ level by level; the first level that lacks it decides. Keys from outside the
 universe may get a wrong answer, so the universe must hold every key that is
 asked for.
 
-Nulls: a null or malformed url has an empty host and an empty path. An empty
-host is a key like any other. Repeated rows are judged each. Empty tables give
-empty results; a cascade of no listed keys has no levels and lists nothing.
+A key is a URL's host and path as one string; the universe are the distinct
+keys of all pages. The verdict of every page comes from the cascade. A filter
+that is too large for every worker is parted by the keys' hash: each part has a
+cascade of its own, and the rows go through one part after another.
+
+Nulls: a null or malformed url has an empty host and an empty path, so an empty
+key, which is a key like any other. Urls of any length are read whole. Repeated
+rows are judged each. Empty tables give empty results; a cascade of no listed
+keys has no levels and lists nothing. Input columns pass through; one with the
+name of an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table, written
+from .common import UPPER, free_name, table, written
 
 #: Fixed values: (verdict, host, path) of the registered query.
 RULES = (
@@ -33,7 +40,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Domains whose hosts, subdomains included, are the listed keys of the registered query.
+#: Domains whose URLs, those of subdomains included, the registered query lists beside what rules block.
 LISTED_DOMAINS = ("spam-farm.example.org", "cheap-pills.example.com")
 
 
@@ -120,16 +127,23 @@ def _as_words(first: pd.Series, step: pd.Series) -> tuple[np.ndarray, np.ndarray
     return first.to_numpy(np.int64).view(np.uint64), step.to_numpy(np.int64).view(np.uint64)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key: str, hashes: int = 4, bits_per_key: int = 8, max_bytes: int = 256 << 20) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, key: str, hashes: int = 4, bits_per_key: int = 8, max_bytes: int = 64 << 20) -> Cascade:
     """The cascade of the listed keys over the universe. Both are frames with a column key; repeats and nulls in it are dropped.
 
     Every level is counted and filled by Spark: only its words come to the
     driver, bits_per_key bits a key. A level larger than max_bytes raises an
-    error, since each worker holds the whole cascade.
+    error, since each worker holds the whole cascade; `mark_listed` parts the
+    keys so that none is.
     """
-    keys = lambda df: df.select(F.col(key).alias("_key")).where("_key is not null").distinct().select("_key", *_hashes(F.col("_key")))
-    inside = written(keys(listed), "cascade-listed")
-    outside = written(keys(universe).join(inside.select("_key"), "_key", "left_anti"), "cascade-universe")
+    inside = written(_keys(listed, key), "cascade-listed")
+    return _cascade(inside, written(_keys(universe, key).join(inside.select("_key"), "_key", "left_anti"), "cascade-universe"), hashes, bits_per_key, max_bytes)
+
+
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("_key")).where("_key is not null").distinct().select("_key", *_hashes(F.col("_key")))
+
+
+def _cascade(inside: DataFrame, outside: DataFrame, hashes: int, bits_per_key: int, max_bytes: int) -> Cascade:
     levels: list[Level] = []
     # A collision of both 64-bit hashes would never resolve; the cap on levels turns that into an error.
     for depth in range(64):
@@ -145,17 +159,36 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str, hashes: int
     raise ValueError("the cascade does not end: two keys share both hashes")
 
 
-def _filled(keys: DataFrame, seed: int, bits: int, hashes: int) -> np.ndarray:
+def _filled(keys: DataFrame, seed: int, bits: int, hashes: int, chunk_bits: int = 1 << 21) -> np.ndarray:
+    """The words of a level. Tasks send places packed by chunk of the filter; a chunk is filled where it is gathered, and comes to the driver as words."""
+
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             first, step = _as_words(batch["_first"], batch["_step"])
-            at = np.concatenate([_place(first, step, i, seed, bits) for i in range(hashes)])
-            yield pd.DataFrame({"word": at >> 5, "bit": np.left_shift(np.int64(1), at & 31)})
+            at = np.sort(np.concatenate([_place(first, step, i, seed, bits) for i in range(hashes)]))
+            chunks, begins = np.unique(at // chunk_bits, return_index=True)
+            parts = np.split((at % chunk_bits).astype(np.uint32), begins[1:])
+            yield pd.DataFrame({"chunk": chunks, "data": [x.tobytes() for x in parts][: len(chunks)]})
 
-    words = np.zeros(-(-bits // 32), np.uint32)
-    got = keys.select("_first", "_step").mapInPandas(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
-    words[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
-    return words
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, words = None, np.zeros(0, np.uint32)
+        for batch in batches:
+            for c, data in zip(batch["chunk"], batch["data"], strict=True):
+                if c != chunk:
+                    if chunk is not None:
+                        yield pd.DataFrame([(chunk, words.tobytes())], columns=["chunk", "data"])
+                    chunk, words = c, np.zeros(chunk_bits // 32, np.uint32)
+                at = np.frombuffer(data, np.uint32)
+                np.bitwise_or.at(words, at >> 5, np.left_shift(np.uint32(1), at & np.uint32(31)))
+        if chunk is not None:
+            yield pd.DataFrame([(chunk, words.tobytes())], columns=["chunk", "data"])
+
+    out = np.zeros(-(-bits // chunk_bits) * (chunk_bits // 32), np.uint32)
+    packed = keys.select("_first", "_step").mapInPandas(places, "chunk long, data binary")
+    for row in packed.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(fill, "chunk long, data binary").collect():
+        at = row["chunk"] * (chunk_bits // 32)
+        out[at : at + chunk_bits // 32] = np.frombuffer(row["data"], np.uint32)
+    return out[: -(-bits // 32)]
 
 
 def _passing(keys: DataFrame, level: Level, hashes: int) -> DataFrame:
@@ -177,6 +210,35 @@ def listed_by(cascade: Cascade, key: Column) -> Column:
     return lists(*_hashes(key))
 
 
+def mark_listed(rows: DataFrame, key: str, universe: DataFrame, listed: str, into: str = "listed", hashes: int = 4, bits_per_key: int = 8, max_bytes: int = 64 << 20) -> DataFrame:
+    """The rows with a column that says whether their key is listed.
+
+    universe: every key that rows have, with the boolean column `listed`. Keys
+    are parted by their hash into as many cascades as max_bytes asks for, all
+    levels together; with more than one, the rows are written after each part,
+    so a worker holds one part's cascade at a time.
+    """
+    marked = universe.select(F.col(key).alias("_key"), F.col(listed).alias("_in")).where("_key is not null").groupBy("_key").agg(F.max("_in").alias("_in"))
+    marked = written(marked.select("_key", "_in", *_hashes(F.col("_key"))), "cascade-universe")
+    n = marked.where("_in").count()
+    # The levels after the first are a small share of it.
+    parts = max(1, -(-n * bits_per_key // (4 * max_bytes)))
+    part = lambda first: F.pmod(F.hash(first), F.lit(parts))
+    out = rows.withColumn(into, F.lit(False))
+    for number in range(parts):
+        own = marked.where(part(F.col("_first")) == number)
+        cascade = _cascade(own.where("_in"), own.where("not _in"), hashes, bits_per_key, max_bytes)
+        if not cascade.levels:
+            continue
+        answer = F.coalesce(listed_by(cascade, F.col(key)), F.lit(False))
+        if parts > 1:
+            answer = F.when(part(_hashes(F.col(key))[0]) == number, answer).otherwise(F.col(into))
+        out = out.withColumn(into, answer)
+        if number < parts - 1:
+            out = written(out, "cascade-part")
+    return out
+
+
 def under_domains(host: Column, domains: Iterable[str]) -> Column:
     fits = F.lit(False)
     for d in domains:
@@ -184,14 +246,26 @@ def under_domains(host: Column, domains: Iterable[str]) -> Column:
     return fits
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, domains: Iterable[str] = LISTED_DOMAINS) -> DataFrame:
-    """The input's rows with host, path, rule, listed and verdict; the verdict is the rule's, else block for listed hosts, else allow."""
-    parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    universe = written(parts.select("host").distinct(), "hosts")
-    cascade = build_cascade(universe.where(under_domains(F.col("host"), domains)), universe, "host")
+def judge_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, domains: Iterable[str] = LISTED_DOMAINS, listed: DataFrame | None = None, max_bytes: int = 64 << 20) -> DataFrame:
+    """The input's rows with host, path, rule, listed and verdict.
+
+    Blocked keys are those that a block rule takes and, where no rule fits,
+    those under the domains or in listed (a frame with a column key: host and
+    path as one string). They are the cascade's listed keys over the universe of
+    all pages' keys; the verdict is block where the cascade lists the page's
+    key, else allow.
+    """
+    rules, domains = list(rules), list(domains)
+    key, blocked = (free_name(n, pages.columns) for n in ("_url_key", "_blocked"))
+    parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}) if url not in ("host", "path") else pages.withColumn(key, F.col(url)).withColumns({"host": host_of(F.col(key)), "path": path_of(F.col(key))})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumns({"rule": rule, "_ruled": verdict, "listed": listed_by(cascade, F.col("host"))})
-    return judged.withColumn("verdict", F.coalesce("_ruled", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_ruled")
+    parts = parts.withColumns({"rule": rule, key: F.concat("host", "path")})
+    universe = parts.select(key, F.coalesce(verdict == "block", under_domains(F.col("host"), domains)).alias(blocked), verdict.isNotNull().alias("_ruled")).distinct()
+    if listed is not None:
+        named = listed.select(F.col("key").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_named", F.lit(True))
+        universe = universe.join(named, key, "left").withColumn(blocked, F.col(blocked) | (~F.col("_ruled") & F.coalesce("_named", F.lit(False))))
+    judged = mark_listed(parts, key, universe, blocked, "listed", max_bytes=max_bytes)
+    return judged.withColumn("verdict", F.when(F.col("listed"), "block").otherwise("allow")).drop(key)
 
 
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
