@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, mounted, shared_path, table, text_or_empty, written
+from .common import free_name, map_columns, mounted, shared_path, table, text_or_empty, written
 from .components import connected_components
 
 SEED = 42
@@ -190,19 +190,20 @@ def _mixed(words: list[bytes], size: int) -> np.ndarray:
 
 def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, list[int]]:
     """The number of shingles and 256 bits as four unsigned numbers; zeros for a text without words."""
-    words = words_of(text)
-    if not words:
-        return 0, [0] * WIDE_WORDS
-    mixed = _mixed(words, size)
+    mixed = _mixed(words_of(text), size)
+    return len(mixed), _wide(mixed)
+
+
+def _wide(mixed: np.ndarray) -> list[int]:
+    out = []
     with np.errstate(over="ignore"):
-        out = []
         for c in _DRAW:
             drawn = mixed * c
             drawn ^= drawn >> np.uint64(29)
             drawn *= _MIX[0]
             drawn ^= drawn >> np.uint64(32)
             out.append(majority(drawn))
-    return len(mixed), out
+    return out
 
 
 def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75) -> int:
@@ -211,23 +212,28 @@ def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75
     return int(share * bits + slack * np.sqrt(share * (1 - share) * bits))
 
 
-def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 12) -> DataFrame:
+#: Bands of minima: two sets at similarity s share a band's key with chance s**BAND_ROWS, so a pair at 0.8 is missed by all with 6 in 100,000.
+BANDS, BAND_ROWS = 32, 6
+_MINIMA = np.random.default_rng(20).integers(1 << 63, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 4) -> DataFrame:
     """(key, component) for every row, whose key must not be null: the smallest key of the group that links of at least the similarity join.
 
     A link is two texts whose sets of shingle hashes have at least this Jaccard
     similarity, counted from the sets themselves. Texts with equal sets are one
-    class from the start. The sets lie in files of the shared folder.
-
-    All sets are put in one order, frequent shingles last. Of two sets of n
-    shingles each at the similarity, some shingle stands among the first n -
-    ceil(similarity * n) + 1 of both, so a class stands in the index under
-    these, and every pair at the similarity meets there. A pair is left out
-    only where the places of the shared shingle leave too few others to share.
-
-    In buckets of over `hot` classes each class is tried against its next in an
-    order of minima, which joins the bulk of a large group. Then every class
-    that is not in its bucket's largest component yet is tried against the
-    whole bucket, so no link that the bucket holds is lost.
+    class from the start; a null text is an empty one, and all texts without
+    words are one class. The sets lie in files of the shared folder. Other
+    columns are not read.
+
+    Candidates are classes that share the key of a band of minima. (Segments of
+    fingerprints can't serve here: at 0.8, a twelfth to a sixth of the bits
+    differ, so no segment of a useful length is forced to be equal.) Where up to
+    `hot` classes share a key, all pairs are tried. Where more do, each is tried
+    against its next ones in an order of minima, which joins the bulk of a large
+    group; then, if a bucket's classes are not one component yet, those outside
+    its largest are tried against all others of the bucket that are not in their
+    own. Fingerprints of 256 bits prune these before sets are read.
     """
     folder = mounted(shared_path(docs.sparkSession, "sets"))
 
@@ -236,38 +242,36 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
         os.makedirs(folder, exist_ok=True)
         with open(os.path.join(folder, name), "wb") as file:
             for batch in _slices(batches):
+                sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
                 out = []
-                for t in batch[text].to_pylist():
-                    found = shingle_set(t, size)
+                for found in sets:
                     data = found.tobytes()
-                    out.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist(), _minima(found), at))
+                    out.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist(), at))
                     file.write(data)
                     at += len(data)
-                yield {key: batch[key], "file": [name] * len(out), **dict(zip(("n", "s0", "s1", "minima", "at"), zip(*out, strict=True) if out else [()] * 5, strict=True))}
+                yield {"id": batch["id"], "file": [name] * len(out), "bands": list(band_keys(sets)), **dict(zip(("n", "s0", "s1", "at"), zip(*out, strict=True) if out else [()] * 4, strict=True))}
 
     kind = docs.schema[key].dataType.simpleString()
-    marked = written(map_columns(docs.select(key, text), rows, f"`{key}` {kind}, file string, n long, s0 long, s1 long, minima long, at long"), "sets-of")
+    own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    marked = written(map_columns(own, rows, f"id {kind}, file string, n long, s0 long, s1 long, bands array<long>, at long"), "sets-of")
     same = ["n", "s0", "s1"]
-    classes = written(marked.groupBy(*same).agg(F.min(key).alias("id"), F.min(F.struct("file", "at", "minima")).alias("m")).select("id", *same, "m.*"), "classes")
-    everything = written(_prefixes(classes, folder, similarity, kind), "prefixes")
+    classes = written(marked.groupBy(*same).agg(F.min(F.struct("id", "file", "at", "bands")).alias("m")).select(*same, "m.*"), "classes")
+    places = classes.select("id", "n", "file", "at")
+    everything = classes.where("n > 0").select("id", "n", F.explode("bands").alias("k"))
     counts = everything.groupBy("k").count().where(F.col("count") > 1)
     index = written(everything.join(counts, "k"), "index")
 
-    few = index.where(F.col("count") <= hot)
-    pairs = _meeting(few, few, similarity).where(F.col("a") < F.col("b"))
-    crowded = index.where(F.col("count") > hot)
-    near = _by_order(crowded, classes.select("id", "minima"), similarity)
-    links = written(_similar(pairs.select("a", "b").union(near).distinct(), classes, folder, similarity), "similar")
-    if not crowded.isEmpty():
-        roots = written(connected_components(links), "roots")
-        left = _left_over(crowded, roots, similarity).distinct()
-        links = links.union(written(_similar(left, classes, folder, similarity), "similar"))
-    roots = connected_components(links)
+    links = written(_similar(_neighbours(index, hot, similarity), places, folder, similarity), "similar")
+    roots = written(connected_components(links), "roots")
+    left = _left_over(index.where(F.col("count") > hot), roots, places, folder, similarity)
+    more = written(_similar(left, places, folder, similarity), "similar")
+    if not more.isEmpty():
+        roots = written(connected_components(links.union(more)), "roots")
     of_class = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
-    return marked.join(of_class, same).select(key, "component")
+    return marked.join(of_class, same).select(F.col("id").alias(key), F.col("component").alias(free_name("component", [key])))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that the sets of few rows are in memory together."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -279,13 +283,27 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(_mixed(words_of(text), size))
 
 
-def _minima(found: np.ndarray) -> int:
-    """Bits of four of the set's least values, each under another multiplier: sets that share many shingles often share these."""
-    if not len(found):
-        return 0
+def band_keys(sets: list[np.ndarray], at_once: int = 1 << 15) -> np.ndarray:
+    """The keys of each set's bands: (sets, BANDS). Those of empty sets mean nothing."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    some = [i for i, x in enumerate(sets) if len(x)]
+    at = 0
     with np.errstate(over="ignore"):
-        least = (found[None, :] * _DRAW[:, None]).min(axis=1)
-    return int((least >> np.uint64(32)).astype(np.uint16).view(np.int64)[0])
+        while at < len(some):
+            end, size = at, 0
+            while end < len(some) and (end == at or size < at_once):
+                size += len(sets[some[end]])
+                end += 1
+            part = [sets[i] for i in some[at:end]]
+            flat = np.concatenate(part)
+            begins = np.cumsum([0, *map(len, part[:-1])])
+            for b in range(BANDS):
+                k = np.full(len(part), b + 1, np.uint64)
+                for c in _MINIMA[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
+                    k = (k ^ (k >> np.uint64(31))) * _MIX[0] + np.minimum.reduceat(flat * c, begins) * _MIX[1]
+                out[some[at:end], b] = k ^ (k >> np.uint64(32))
+            at = end
+    return out.view(np.int64)
 
 
 def _set_reader(folder: str) -> Callable[[str, int, int], np.ndarray]:
@@ -300,72 +318,35 @@ def _set_reader(folder: str) -> Callable[[str, int, int], np.ndarray]:
     return read
 
 
-def _prefixes(classes: DataFrame, folder: str, similarity: float, kind: str, sample: int = 20_000, most: int = 100_000) -> DataFrame:
-    """(k, id, n, place): the first shingles of every class, those last that many classes of a sample have. Any order finds every pair; this one keeps buckets small."""
-    spark = classes.sparkSession
-    share = min(1.0, sample / max(1, classes.count()))
-
-    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        read = _set_reader(folder)
-        for batch in _slices(batches):
-            places = zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True)
-            found = [read(*x) for x in places]
-            yield {"k": np.concatenate(found).view(np.int64) if found else []}
-
-    some = classes.where((F.col("n") > 0) & (F.pmod(F.xxhash64("s0"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    frequent = map_columns(some.select("file", "at", "n"), shingle_rows, "k long").groupBy("k").count().where("count > 2").orderBy(F.desc("count"), "k").limit(most).collect()
-    keys = np.array([r["k"] for r in frequent], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], np.array([r["count"] for r in frequent], np.int64)[order]))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        read = _set_reader(folder)
-        known, weights = shared.value
-        for batch in _slices(batches):
-            parts, sizes = [], []
-            for name, at, n in zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True):
-                found = read(name, at, n)
-                if len(known):
-                    where = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    weight = np.where(known[where] == found, weights[where], 0)
-                    if weight.any():
-                        found = found[np.argsort(weight, kind="stable")]
-                parts.append(found[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
-                sizes.append(len(parts[-1]))
-            if parts:
-                owner = np.repeat(np.arange(len(parts)), sizes)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield {"k": np.concatenate(parts).view(np.int64), "id": batch["id"].take(pa.array(owner)), "n": batch["n"].take(pa.array(owner)), "place": place}
-
-    return map_columns(classes.where("n > 0").select("id", "file", "at", "n"), rows, f"k long, id {kind}, n long, place long")
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """Whether sets of n_a and n_b shingles, whose first shared one stands at place_a and place_b, can share as many as the similarity asks for."""
-    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-
-
-def _sided(index: DataFrame, side: str, *more: str) -> DataFrame:
-    return index.select("k", F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "place", *more)))
+def _sizes_fit(similarity: float, a: str = "n_a", b: str = "n_b") -> Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
 
 
-def _meeting(left: DataFrame, right: DataFrame, similarity: float, *more: str) -> DataFrame:
-    return _sided(left, "a", *more).join(_sided(right, "b", *more), "k").where(_may_be_similar(similarity))
+def _neighbours(index: DataFrame, hot: int, similarity: float, part_size: int = 256) -> DataFrame:
+    """(a, b): all pairs of buckets of up to hot classes, and each member of a larger one with as many next ones, within parts of the bucket that one task holds easily."""
+    part = F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size))
+    # Another order in every bucket, sizes roughly first: sets of very different sizes are not similar.
+    w = Window.partitionBy("k", "part").orderBy(F.floor(F.log2("n") * 4), F.xxhash64("k", "id"), "id")
+    members = index.select("k", "id", "n", F.when(F.col("count") > part_size, part).otherwise(0).alias("part"))
+    nexts = F.array(*(F.struct(F.lead("id", i).over(w).alias("b"), F.lead("n", i).over(w).alias("n_b")) for i in range(1, max(2, hot))))
+    near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), nexts.alias("nexts")).select("a", "n_a", F.inline("nexts"))
+    near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _sizes_fit(similarity))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, folder: str, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, places: DataFrame, folder: str, similarity: float) -> DataFrame:
     """The pairs whose sets have the similarity."""
-    places = ("file", "at", "n")
-    sides = [classes.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in places)) for x in "ab"]
+    columns = ("file", "at", "n")
+    sides = [places.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         read = _set_reader(folder)
         for batch in _slices(batches):
-            columns = (batch[f"{c}_{x}"].to_pylist() for x in "ab" for c in places)
+            values = (batch[f"{c}_{x}"].to_pylist() for x in "ab" for c in columns)
             fits = []
-            for fa, pa_, na, fb, pb, nb in zip(*columns, strict=True):
+            for fa, pa_, na, fb, pb, nb in zip(*values, strict=True):
                 together = np.concatenate([read(fa, pa_, na), read(fb, pb, nb)])
                 together.sort()
                 shared = np.count_nonzero(together[1:] == together[:-1])
@@ -374,27 +355,28 @@ def _similar(pairs: DataFrame, classes: DataFrame, folder: str, similarity: floa
             yield {x: batch[x].filter(keep) for x in "ab"}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_columns(both, rows, f"a {kind}, b {kind}").distinct()
-
-
-def _by_order(crowded: DataFrame, minima: DataFrame, similarity: float, part_size: int = 256) -> DataFrame:
-    """(a, b): each member of a crowded bucket with its next in an order of minima that the bucket's key turns, within parts of the bucket that one task holds easily."""
-    turn = (F.pmod(F.col("k"), F.lit(4)) * 16).cast("int")
-    turned = F.when(turn == 0, F.col("minima"))
-    for bits in (16, 32, 48):
-        turned = turned.when(turn == bits, F.shiftleft("minima", bits).bitwiseOR(F.shiftrightunsigned("minima", 64 - bits)))
-    members = crowded.join(minima, "id").select("k", "id", "n", "place", turned.alias("turned"), F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size)).alias("part"))
-    w = Window.partitionBy("k", "part").orderBy("turned", "id")
-    near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), *(F.lead(c).over(w).alias(x) for c, x in (("id", "b"), ("n", "n_b"), ("place", "place_b"))))
-    near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _may_be_similar(similarity))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _left_over(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): members of crowded buckets outside the bucket's largest component with all others of the bucket that are not in their own component."""
-    members = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("root"))
-    members = written(members, "members")
-    largest = members.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    outside = members.join(largest, "k").where("root <> largest").select(members.columns)
-    met = _meeting(outside, members, similarity, "root").where("root_a <> root_b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return map_columns(both, rows, f"a {kind}, b {kind}")
+
+
+def _left_over(crowded: DataFrame, roots: DataFrame, places: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(a, b): in crowded buckets that are not one component, members outside the largest with all others of the bucket that are not in their own, as far as sizes and fingerprints allow."""
+    members = crowded.select("k", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("root", "id").alias("root"))
+    by_root = members.groupBy("k", "root").count()
+    largest = by_root.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("k", "largest")
+    mixed = written(members.join(largest, "k"), "mixed")
+    kind = mixed.schema["id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        read = _set_reader(folder)
+        for batch in _slices(batches):
+            found = [_wide(read(*x)) for x in zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True)]
+            wide = np.array(found, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            yield {"id": batch["id"], **{f"f{i}": wide[:, i] for i in range(WIDE_WORDS)}}
+
+    prints = map_columns(mixed.select("id").distinct().join(places, "id"), rows, f"id {kind}, " + ", ".join(f"f{i} long" for i in range(WIDE_WORDS)))
+    mixed = written(mixed.join(prints, "id"), "mixed")
+    sided = lambda df, x: df.select("k", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", *(f"f{i}" for i in range(WIDE_WORDS)))))
+    bits = sum((F.bit_count(F.col(f"f{i}_a").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(1, WIDE_WORDS)), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
+    met = sided(mixed.where("root <> largest"), "a").join(sided(mixed, "b"), "k")
+    met = met.where((F.col("root_a") != F.col("root_b")) & _sizes_fit(similarity) & (bits <= bits_for(similarity, slack=4.0)))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
