@@ -1,23 +1,25 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A word's input is its own vector (words of the training sample) beside the mean
-of its character trigrams' vectors (hashed, so unseen spellings have one too).
-A text is cut into overlapping windows of words, every one is scored, and the
-largest score is the text's. Only the text is read: ids, languages, sources and
-labels are no inputs.
+A word's input is its own vector (frequent words of the training sample) beside
+the mean of its character trigrams' vectors (hashed, so unseen spellings have one
+too); both are learnt, from random values. A text is cut into windows of words,
+each of which overlaps the next by half, every one is scored, and the largest
+score is the text's. Only the text is read: ids, languages, sources and labels
+are no inputs.
 
 Training takes a bounded sample of labelled rows: at most `max_docs` of each
 label, the first by a hash of their id, and at most `max_bytes` of text. A
-labelled text says only that some window is toxic, so each round trains on the
-window that the network (at first, how the words lean) finds most toxic. Labels
-are noisy: after a fifth of the steps, examples of label 1 that still score
-very low don't count.
+labelled text says only that some window is toxic, so training begins with
+random windows of each text and then takes the one that the network finds most
+toxic, chosen anew every few steps. In every fourth step no word has a vector of
+its own, so that characters alone must tell, as they must for unknown words.
 
 Nulls and empty texts are texts without words: with nothing in them that could be
 toxic their score is 0. Texts of any length are scored whole. Labels of null are no labels; a
 document with several labels counts with each. Without any label of one kind
 there is nothing to learn and every score is the share of label 1 (0 without
-labels). Repeated rows are scored each.
+labels). Repeated rows are scored each. Empty tables give empty results. Input
+columns pass through; one with the name of the score gives way to it.
 """
 
 from __future__ import annotations
@@ -29,13 +31,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-WINDOW, STRIDE = 48, 32
-UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 3, 8, 4096
+WINDOW, STRIDE = 48, 24
+UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 8, 10, 8192
+#: In training: how often windows are chosen anew, what a label 1 falls short of 1 (labels are noisy), how fast vectors that nothing needs shrink, in how
+#: many texts a word with a vector of its own stands, the share of label 0 that shows its most toxic window, the rate of learning, the share of words
+#: that a step treats as unknown, and over which last share of the steps parameters are averaged.
+ROUNDS, DOUBT, DECAY, LEAST_DOCS, HARD, RATE, UNKNOWN, LATE = 12, 0.1, 1.0, 6, 0.8, 0.02, 0.1, 0.4
 THRESHOLD = 0.3
 
 #: ASCII letters and digits and all of UTF-8's longer sequences stay; the rest separates words.
@@ -177,7 +183,7 @@ def _windows(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
 # --- training --------------------------------------------------------------
 
 
-def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0), seed: int = 7, steps: int = 240, batch: int = 256) -> Model:
+def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0), seed: int = 7, steps: int = 320, batch: int = 256) -> Model:
     """A model of the labelled texts. weights: what an example of label 0 and of label 1 counts, to make up for a sample's shares."""
     y = np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
@@ -185,22 +191,12 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
     random = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
     seen = Counter(w for d in docs for w in set(d))
-    seen_toxic = Counter(w for d, label in zip(docs, toxic, strict=True) if label for w in set(d))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
     n_toxic, n = int(y.sum()), len(y)
-
-    def lean_of(w: bytes) -> float:
-        """By how many standard deviations label 1 has the word more often than chance would."""
-        expected = seen[w] * n_toxic / n
-        return (seen_toxic[w] - expected) / np.sqrt(expected * (1 - n_toxic / n) + 0.5)
-
-    word = np.zeros((len(vocabulary) + 1, WORD_SIZE), np.float32)
-    # Beside what training finds, a word's own vector says how it leans in the sample.
-    word[1:, 0] = [np.clip((lean_of(w) - 3) / 3, 0, 2) for w in vocabulary]
     gates = 3 * UNITS
     size = WORD_SIZE + CHAR_SIZE
     draw = lambda *shape, scale: (random.standard_normal(shape) * scale).astype(np.float32)
-    word[:, 1:] = draw(len(word), WORD_SIZE - 1, scale=0.02)
+    word = draw(len(vocabulary) + 1, WORD_SIZE, scale=0.1)
     word[0] = 0
     model = Model(
         {
@@ -216,14 +212,18 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
     every = _Words(list(names), vocabulary)
     sizes = np.array([len(d) for d in docs])
     own = [window_starts(s) for s in sizes]
-    owner = np.repeat(np.arange(n), [len(o) for o in own])
+    n_own = np.array([len(o) for o in own])
+    first = np.cumsum(n_own) - n_own
+    owner = np.repeat(np.arange(n), n_own)
     ids, mask = _windows(numbers, np.concatenate(own) + (np.cumsum(sizes) - sizes)[owner], np.minimum(sizes[owner] - np.concatenate(own), WINDOW))
-    lean = np.array([max(0.0, lean_of(w) - 2) if seen[w] > 1 else 0.0 for w in names])
-    chosen = _best(np.where(mask, lean[ids], 0).sum(axis=1), owner, n)
+    chosen: np.ndarray | None = None
     adam = _Adam(model.p)
+    mean: dict[str, np.ndarray] = {}
     cost = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
+    target = np.where(y == 1, 1 - DOUBT, 0).astype(np.float32)
+    truth = np.array([weights[0] * (n - n_toxic), weights[1] * n_toxic])
     for step in range(steps):
-        if step and step % (steps // 4) == 0:
+        if step and step % max(1, steps // ROUNDS) == 0:
             projected = every.project(model.p)
             got = np.concatenate([model.logits(projected, ids[s : s + 1024], mask[s : s + 1024]) for s in range(0, len(ids), 1024)])
             chosen = _best(got, owner, n)
@@ -232,15 +232,29 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
         else:  # half of each label, with the cost of the other examples that each stands for
             pick = np.concatenate([random.choice(np.nonzero(y == label)[0], batch // 2) for label in (0, 1)])
         share = np.array([np.mean(y[pick] == label) for label in (0, 1)])
-        truth = np.array([weights[0] * (n - n_toxic), weights[1] * n_toxic])
         scale = (truth / truth.sum() / share)[y[pick].astype(int)].astype(np.float32) if n > batch else cost[pick] / cost[pick].mean()
-        kept = mask[chosen[pick]]
+        # Some windows of label 0 are any of the text's: all of them have that label.
+        at = first[pick] + (random.random(len(pick)) * n_own[pick]).astype(np.int64)
+        if chosen is not None:
+            at = np.where((y[pick] == 1) | (random.random(len(pick)) < HARD), chosen[pick], at)
+        kept = mask[at]
         kept = kept & ((random.random(kept.shape) > 0.2) | (kept.sum(axis=1) < 4)[:, None])
         # Any part of a text of label 0 has label 0: some are cut short, as texts and last windows can be.
         short = (y[pick] == 0) & (random.random(len(pick)) < 0.3)
         kept[short] &= np.arange(WINDOW) < random.integers(1, WINDOW, short.sum())[:, None]
-        rate = 0.02 * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 0.001
-        adam.step(_gradients(model, every, ids[chosen[pick]], kept, y[pick], scale, 0.15 if step > steps // 5 else 0.0), rate)
+        part = ids[at]
+        # So has one of its words again and again, as in worthless pages.
+        same = (y[pick] == 0) & (random.random(len(pick)) < 0.1)
+        part[same] = part[same, random.integers(0, WINDOW, same.sum())][:, None]
+        rate = RATE * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 0.001
+        adam.step(_gradients(model, every, part, kept, target[pick], scale, np.where(random.random(len(every.own)) < (1 if step % 4 == 3 else UNKNOWN), 0, every.own)), rate)
+        # The mean of the last steps' parameters is steadier than the last ones.
+        if (late := step - (1 - LATE) * steps) >= 0:
+            if not mean:
+                mean.update({k: np.zeros(v.shape, np.float64) for k, v in model.p.items()})
+            for k, v in model.p.items():
+                mean[k] += (v - mean[k]) / (int(late) + 1)
+    model.p = {k: v.astype(np.float32) for k, v in mean.items()}
     digest = hashlib.sha256(b"".join(v.tobytes() for v in model.p.values()))
     model.key = digest.hexdigest()
     return model
@@ -259,25 +273,26 @@ class _Words:
         self.grams, self.begins = trigrams(words)
         self.counts = np.diff(np.append(self.begins, len(self.grams)))
 
-    def inputs(self, p: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, p: dict[str, np.ndarray], some: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = self.counts[some]
         where = np.repeat(self.begins[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         grams = self.grams[where]
         owner = np.repeat(np.arange(len(some)), counts)
         sums = np.add.reduceat(p["char"][grams], np.cumsum(counts) - counts, axis=0)
-        return np.concatenate([p["word"][self.own[some]], sums / counts[:, None]], axis=1).astype(np.float32), grams, owner
+        return np.concatenate([p["word"][(self.own if own is None else own)[some]], sums / counts[:, None]], axis=1).astype(np.float32), grams, owner
 
     def project(self, p: dict[str, np.ndarray]) -> np.ndarray:
         return self.inputs(p, np.arange(len(self.own)))[0] @ p["wx"] + p["bx"]
 
 
-def _gradients(model: Model, every: _Words, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, scale: np.ndarray, doubt: float = 0.0) -> dict[str, np.ndarray]:
-    """Of the mean weighted log loss, by backpropagation through time. Examples of label 1 that score below doubt count as wrongly labelled and for nothing."""
+def _gradients(model: Model, every: _Words, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, scale: np.ndarray, own: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss, by backpropagation through time. own: the number of each word's vector, if not its own."""
+    own = every.own if own is None else own
     p = model.p
     n, steps = ids.shape
     some, local = np.unique(ids, return_inverse=True)
     local = local.reshape(ids.shape)
-    x, grams, gram_owner = every.inputs(p, some)
+    x, grams, gram_owner = every.inputs(p, some, own)
     projected = x @ p["wx"] + p["bx"]
     g3 = 3 * UNITS
     states = np.zeros((2, steps, n, UNITS), np.float32)
@@ -301,7 +316,7 @@ def _gradients(model: Model, every: _Words, ids: np.ndarray, mask: np.ndarray, y
     pooled = np.einsum("tn,tnh->nh", w, both)
     logit = pooled @ p["wo"] + p["bo"][0]
     score = _sigmoid(logit)
-    d_logit = (score - y) * scale * ((y == 0) | (score >= doubt)) / n
+    d_logit = (score - y) * scale / n
     g = {"wo": pooled.T @ d_logit, "bo": np.array([d_logit.sum()], np.float32)}
     d_pooled = d_logit[:, None] * p["wo"]
     d_both = w[:, :, None] * d_pooled
@@ -330,8 +345,8 @@ def _gradients(model: Model, every: _Words, ids: np.ndarray, mask: np.ndarray, y
     g["wx"], g["bx"] = x.T @ d_projected, d_projected.sum(axis=0)
     d_x = d_projected @ p["wx"].T
     g["word"] = np.zeros_like(p["word"])
-    np.add.at(g["word"], every.own[some], d_x[:, :WORD_SIZE])
-    g["word"][0] = g["word"][:, 0] = 0
+    np.add.at(g["word"], own[some], d_x[:, :WORD_SIZE])
+    g["word"][0] = 0
     g["char"] = np.zeros_like(p["char"])
     np.add.at(g["char"], grams, (d_x[:, WORD_SIZE:] / every.counts[some][:, None])[gram_owner])
     return g
@@ -352,7 +367,7 @@ class _Adam:
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.01 * (x * x - self.v[k])
             if k in ("word", "char"):
-                self.p[k][:, k == "word" :] *= 1 - rate
+                self.p[k] *= 1 - DECAY * rate
             self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
@@ -366,9 +381,9 @@ def remainder(key: str, by: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out: tuple[int, int] | None = (4, 2), max_docs: int = 1500, max_bytes: int = 24 << 20) -> Model:
     """A model of the labelled documents, but for those whose crc32(key) mod held_out[0] is held_out[1].
 
-    The sample is at most max_docs of each label, by a hash of the key; texts
-    come to the driver until max_bytes of them are there. Its size is the only
-    thing that the corpus does not decide.
+    The sample is at most max_docs of each label, by a hash of the key; of it,
+    the first max_bytes of text come to the driver. Its size is the only thing
+    that the corpus does not decide. Of several texts of one id it takes the least.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)")
     if held_out:
@@ -379,14 +394,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not picked:
         return Model({}, {}, constant=0.0, key="constant")
     ids = docs.sparkSession.createDataFrame([(r["_k"], r["_y"]) for r in picked], known.schema)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), "_k").select("_k", "_y", "_t", F.xxhash64("_k").alias("_o"))
-    texts, labels_, size = [], [], 0
-    for row in sorted(rows.collect(), key=lambda r: (r["_o"], r["_k"], r["_y"], r["_t"] or "")):
-        size += len(row["_t"] or "")
-        if size > max_bytes:
-            break
-        texts.append(row["_t"])
-        labels_.append(row["_y"])
+    texts_ = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(ids), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
+    # At most 2 * max_docs rows get here, one for each id and label; what is over the bound of bytes stays with the workers.
+    so_far = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.orderBy(F.xxhash64("_k"), "_k", "_y"))
+    rows = texts_.select("_k", "_y", "_t", F.xxhash64("_k").alias("_o"), so_far.alias("_n")).where(F.col("_n") <= max_bytes)
+    got = sorted(rows.collect(), key=lambda r: (r["_o"], r["_k"], r["_y"]))
+    texts, labels_ = [r["_t"] for r in got], [r["_y"] for r in got]
     here = Counter(labels_)
     return train(texts, labels_, tuple(counts.get(y, 0) / max(1, here[y]) for y in (0, 1)))
 

@@ -124,3 +124,55 @@ def test_query_columns_nulls_and_repeats(spark, tmp_path):
     truth = {i: y for i, _, y in rows}
     assert np.mean([int(by[i] >= 0.3) == y for i, y in truth.items()]) > 0.95
     assert X.score_texts(spark.createDataFrame([], "doc_id long, text string"), X.train([], [])).count() == 0
+
+
+def plain_score(model, text):
+    """The network word by word, straight from its equations."""
+    words = X.words_of(text)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    best = -np.inf
+    for start in X.window_starts(len(words)):
+        inputs = []
+        for w in words[start : start + X.WINDOW]:
+            grams, _ = X.trigrams([w])
+            own = model.p["word"][model.words.get(w, 0)]
+            inputs.append(np.concatenate([own, np.mean([model.p["char"][g] for g in grams], axis=0)]))
+        states = np.zeros((len(inputs), 2 * X.UNITS))
+        for d in (0, 1):
+            h = np.zeros(X.UNITS)
+            for t in range(len(inputs))[:: 1 - 2 * d]:
+                x = (inputs[t] @ model.p["wx"] + model.p["bx"])[d * 3 * X.UNITS : (d + 1) * 3 * X.UNITS].reshape(3, -1)
+                r = (h @ model.p["uh"][d]).reshape(3, -1)
+                z, reset = sigmoid(x[0] + r[0]), sigmoid(x[1] + r[1])
+                h = (1 - z) * np.tanh(x[2] + reset * r[2]) + z * h
+                states[t, d * X.UNITS : (d + 1) * X.UNITS] = h
+        weight = np.exp([np.tanh(s @ model.p["wa"]) @ model.p["va"] for s in states])
+        pooled = (states * (weight / weight.sum())[:, None]).sum(axis=0)
+        best = max(best, pooled @ model.p["wo"] + model.p["bo"][0])
+    return sigmoid(best) if words else 0.0
+
+
+def test_scores_equal_the_plain_network():
+    train = corpus(60, 6)
+    model = X.train([t for _, t, _ in train], [y for _, _, y in train], steps=12)
+    texts = [t for _, t, _ in train[:12]] + ["idiot", "Idiot, scum!", "", None, "w " * 500, "é ü 你好"]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_passages_stand_whole_in_a_window():
+    for n in (60, 100, 333):
+        starts = X.window_starts(n)
+        for at in range(n - 24):
+            assert any(s <= at and at + 24 <= min(n, s + X.WINDOW) for s in starts)
+
+
+def test_clashing_columns_and_bounded_texts(spark):
+    train = corpus(60, 7)
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t, _ in train] * 2, "doc_id long, text string, score int, _t string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int")
+    got = X.score_texts(docs, X.train([], []))
+    assert got.columns.count("score") == 1
+    assert got.first().score == 0.0
+    assert {r._t for r in got.collect()} == {"x"}
+    # No text is under the bound, so there is nothing to learn from.
+    assert X.fit(docs, labels, max_bytes=1).constant == 0.0
