@@ -10,13 +10,13 @@ so a hit is also a span of characters there.
 Nulls: a null text or item has no words and no hits. Equal items are all
 reported. A document of any length is scanned whole. An empty benchmark gives
 documents without hits, an empty document table an empty result. Columns other
-than the text are passed through, whatever their names; a clash with an output
-column is an error before anything runs.
+than the text are passed through; one with the name of an output column gives way to it.
 
 The benchmark goes to the workers as a broadcast variable. Its size is checked:
 blocks of at most block_bytes are scanned one after another, each with its own
-automaton, and their hits are joined, so a large benchmark costs passes and not
-the workers' memory.
+automaton, and their hits are joined. The driver holds two blocks at a time, and
+the hits so far are written between passes, so a large benchmark costs passes
+and neither the workers' nor the driver's memory.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, map_columns, table
+from .common import FOLD, map_columns, table, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -128,19 +128,21 @@ def _scanner(shared, window: int) -> Scanner:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
     """The documents (their columns in keep; all, by default) with n_words, hit_runs (runs of words), hit_spans (characters of the original text) and hit_items (distinct, in text order)."""
     new = {"n_words", "hit_runs", "hit_spans", "hit_items"}
-    if clash := new & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are already there")
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new))
     pair = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_runs", pair), T.StructField("hit_spans", pair), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     context = docs.sparkSession.sparkContext
-    blocks = list(blocks_of(benchmark, item, item_text, block_bytes)) or [[]]
     # The text leaves the workers only where a later pass or the caller needs it.
     last = T.StructType([f for f in schema.fields if keep is None or f.name in keep or f.name in new])
-    out = docs
-    for number, block in enumerate(blocks):
-        kept = last if number == len(blocks) - 1 else schema
-        out = map_columns(out, _pass(context.broadcast(block), text, window, number > 0, kept.names), kept)
-    return out
+    blocks = blocks_of(benchmark, item, item_text, block_bytes)
+    out, block, again = docs, next(blocks, []), False
+    while True:
+        following = next(blocks, None)
+        kept = last if following is None else schema
+        out = map_columns(out, _pass(context.broadcast(block), text, window, again, kept.names), kept)
+        if following is None:
+            return out
+        out, block, again = written(out, "hits"), following, True
 
 
 def _pass(shared, text: str, window: int, again: bool, names: list[str]):

@@ -38,10 +38,11 @@ from .common import table, text_or_empty
 
 WINDOW, STRIDE = 48, 24
 UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 8, 10, 8192
-#: In training: how often windows are chosen anew, what a label 1 falls short of 1 (labels are noisy), how fast vectors that nothing needs shrink, in how
+#: In training: how often windows are chosen anew (more often where there are few), what a label 1 falls short of 1 (labels are noisy), how fast vectors
+#: that nothing needs shrink (over the number of texts: few are easily learnt by heart), in how
 #: many texts a word with a vector of its own stands, the share of label 0 that shows its most toxic window, the rate of learning, the share of words
 #: that a step treats as unknown, and over which last share of the steps parameters are averaged.
-ROUNDS, DOUBT, DECAY, LEAST_DOCS, HARD, RATE, UNKNOWN, LATE = 12, 0.1, 1.0, 6, 0.8, 0.02, 0.1, 0.4
+ROUNDS, DOUBT, DECAY, LEAST_DOCS, HARD, RATE, UNKNOWN, LATE = (12, 40), 0.1, 1200, 6, 0.8, 0.02, 0.1, 0.6
 THRESHOLD = 0.3
 
 #: ASCII letters and digits and all of UTF-8's longer sequences stay; the rest separates words.
@@ -183,7 +184,7 @@ def _windows(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
 # --- training --------------------------------------------------------------
 
 
-def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0), seed: int = 7, steps: int = 320, batch: int = 256) -> Model:
+def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0), seed: int = 7, steps: int = 240, batch: int = 256) -> Model:
     """A model of the labelled texts. weights: what an example of label 0 and of label 1 counts, to make up for a sample's shares."""
     y = np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
@@ -217,13 +218,14 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
     owner = np.repeat(np.arange(n), n_own)
     ids, mask = _windows(numbers, np.concatenate(own) + (np.cumsum(sizes) - sizes)[owner], np.minimum(sizes[owner] - np.concatenate(own), WINDOW))
     chosen: np.ndarray | None = None
-    adam = _Adam(model.p)
+    adam = _Adam(model.p, max(1.0, DECAY / n))
+    rounds = min(max(200_000 // len(ids), ROUNDS[0]), ROUNDS[1])
     mean: dict[str, np.ndarray] = {}
     cost = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
     target = np.where(y == 1, 1 - DOUBT, 0).astype(np.float32)
     truth = np.array([weights[0] * (n - n_toxic), weights[1] * n_toxic])
     for step in range(steps):
-        if step and step % max(1, steps // ROUNDS) == 0:
+        if step and step % max(1, steps // rounds) == 0:
             projected = every.project(model.p)
             got = np.concatenate([model.logits(projected, ids[s : s + 1024], mask[s : s + 1024]) for s in range(0, len(ids), 1024)])
             chosen = _best(got, owner, n)
@@ -353,8 +355,8 @@ def _gradients(model: Model, every: _Words, ids: np.ndarray, mask: np.ndarray, y
 
 
 class _Adam:
-    def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.t = p, 0
+    def __init__(self, p: dict[str, np.ndarray], decay: float):
+        self.p, self.t, self.decay = p, 0, decay
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -367,7 +369,7 @@ class _Adam:
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.01 * (x * x - self.v[k])
             if k in ("word", "char"):
-                self.p[k] *= 1 - DECAY * rate
+                self.p[k] *= 1 - self.decay * rate
             self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 

@@ -60,3 +60,10 @@ def test_blocks_null_texts_and_extra_columns(spark):
     assert D.find_contamination(docs, bench.where("false")).agg({"n_words": "sum"}).first()[0] > 0
     assert D.find_contamination(docs.where("false"), bench).count() == 0
     assert Counter(r.doc_id for r in whole)[2] == 2
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "mine")], "doc_id long, text string, N_words long, hit_spans string")
+    got = D.find_contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "n_words", "hit_runs", "hit_spans", "hit_items"]
+    assert got.first().n_words == 2

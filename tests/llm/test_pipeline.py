@@ -2,6 +2,8 @@ import random
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline
 from maskwright.llm import decontamination, segment_sampling, toxicity
@@ -67,3 +69,22 @@ def test_stages_drop_what_they_should(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
     for stage in stages.values():
         assert stage(spark, frame.where("false"), d).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_repeated_ids(spark, tmp_path):
+    """Extra columns with the names that operators give their results, ids that stand on several rows, null and long texts."""
+    d = str(tmp_path)
+    long = " ".join(f"l{i}" for i in range(20_000))
+    rows = [(1, "one text of a few words here", 7, 8.0, "a"), (1, "one text of a few words here", 7, 8.0, "a"), (2, long, 7, 8.0, "b"), (2, "another text with the same id as that", 7, 8.0, "c"), (3, None, 7, 8.0, "d"), (4, "idiot", 7, 8.0, "e")]
+    schema = "doc_id long, text string, n_words int, toxicity double, hit_runs string"
+    spark.createDataFrame([(i, 0, int(i == 4)) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "no such words anywhere")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    frame = spark.createDataFrame(rows, schema).withColumns({"component": F.lit(1), "group": F.lit(2), "rows": F.lit(3), "score": F.lit(4), "sample": F.lit(5), "pieces": F.lit(6)})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, frame, d)
+        assert kept.columns == frame.columns
+        got = sorted((r.doc_id, len(r.text or ""), r.n_words, r.toxicity, r.hit_runs, r.component, r.score) for r in kept.collect())
+        want = sorted((i, len(t or ""), n, x, h, 1, 4) for i, t, n, x, h in (rows if name != "near-duplicates" else rows[1:]))
+        if name != "toxicity":
+            assert got == want
+    assert {r.doc_id for r in corpus_pipeline.encode(spark, frame, d).collect()} == {1, 2, 3, 4}
