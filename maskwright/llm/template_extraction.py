@@ -2,25 +2,28 @@
 
 A token is an element, known by its path of tags and classes, or a text node,
 known by its path and its text. For every token of a host, Spark sums how many
-pages have it and a hash of its occurrence vector (which pages, how often).
-Tokens of one host with equal vectors form an equivalence class; a class of at
-least two tokens that stands on most of the host's pages is valid. Paths nest
-the valid classes into the host's template: what the template's elements hold
-besides its own tokens are slots, and a slot is told by how much text it holds
-and how much that text varies.
-
-Extraction walks a page once. Elements that are never article text by their tag
-or by the words of their class, id or role (menus, adverts, forms, comments and
-so on) are left out, as are, outside a found article or main element, text nodes
-that belong at their path to the template of a host with enough different pages.
-The article is what an article or main element holds; where a page has none, it
-is the template's slot with the most varying text, and on a host without a
-template everything that is left.
+different pages have it and a hash of its occurrence vector (which pages, how
+often). Tokens of one host with equal vectors form an equivalence class; a class
+of at least two tokens that stands on at least the share `support` of the host's
+pages is valid. A valid class nests in the deepest element of another one that
+all its tokens stand in; together they are the host's template. What the elements
+of the page's own class (those that stand exactly once on every page) hold
+besides template tokens are slots. The main slot is the deepest of these elements
+that holds blocks and over half of the host's text, where text that varies counts
+twice; no title (h1) is left behind on the way to it.
+
+On a host with a template, at least `least_pages` different pages, the article is
+what the main slot holds. Elsewhere, and on pages without that slot, it is what
+an article or main element holds, else all that is left but text of the template.
+Elements that are never article text by their tag or by the words of their class,
+id or role (menus, adverts, forms, comments and so on) are left out everywhere,
+since a template can't tell a reader's comment from a paragraph.
 
 Nulls: a null url is a host of its own name, a null html an empty page, which
-has an empty text. Repeated rows return each; the template counts them once. Unclosed and misnested
-tags end where their parents do. Pages of any length are read whole. Columns
-other than the id, url and html are not read.
+has an empty text. Repeated rows return each; the template counts equal pages
+once. Empty tables give empty results. Unclosed and misnested tags end where
+their parents do. Pages of any length are read whole. Columns other than the id,
+url and html are not read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -104,7 +107,7 @@ def _marks(attributes: str) -> tuple[str, set[str]]:
         value = next((v for v in values if v), "")
         key = key.lower()
         if key in ("class", "id"):
-            names.append(("." if key == "class" else "#") + re.sub(r"\d+", "0", value.strip()))
+            names.append(("." if key == "class" else "#") + re.sub(r"\d+", "0", value.strip()).replace("/", "_"))
         words |= {w.lower() for w in PART.findall(value)}
         words.add(re.sub(r"[^a-z]", "", value.lower()))
     return "".join(names), words
@@ -193,70 +196,124 @@ def text_hash(text: str) -> int:
 
 # --- deduction -------------------------------------------------------------
 
-TOKENS = "host string, path string, text long, vector long, chars long"
+TOKENS = "host string, path string, text long, page long, number long, chars long"
+
+
+def page_tokens(source: str | None) -> dict[tuple[str, int], list[int]]:
+    """A page's tokens: how often each stands there, and the characters that may be article text. The page itself is one, with an empty path."""
+    page = read_page(source)
+    counts: dict[tuple[str, int], list[int]] = {("", 0): [1, 0]}
+    for path in page.elements:
+        counts.setdefault((path, 0), [0, 0])[0] += 1
+    for block in page.blocks:
+        slot = counts.setdefault((block.path, text_hash(block.text)), [0, 0])
+        slot[0] += 1
+        slot[1] += 0 if block.left_out else len(block.text)
+    return counts
 
 
 def tokens(pages: DataFrame, host: str, source: str) -> DataFrame:
-    """A row for each token of each page: its share of the token's occurrence vector, and the characters it holds."""
+    """A row for each token of each page. page: a hash of the page's source."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, text in zip(batch[host], batch[source], strict=True):
-                page = read_page(text)
-                number = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 7)
-                counts: dict[tuple[str, int], list[int]] = {}
-                for path in page.elements:
-                    counts.setdefault((path, 0), [0, 0])[0] += 1
-                for block in page.blocks:
-                    slot = counts.setdefault((block.path, text_hash(block.text)), [0, 0])
-                    slot[0] += 1
-                    slot[1] += len(block.text)
-                for (path, hashed), (n, chars) in counts.items():
-                    vector = xxhash.xxh64_intdigest(number.to_bytes(8, "big") + n.to_bytes(8, "big"), 11) - (1 << 63)
-                    out.append((name, path, hashed, vector, chars))
-            yield pd.DataFrame(out, columns=["host", "path", "text", "vector", "chars"])
+                page = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+                out += [(name, path, hashed, page, n, chars) for (path, hashed), (n, chars) in page_tokens(text).items()]
+            yield pd.DataFrame(out, columns=["host", "path", "text", "page", "number", "chars"])
 
     return pages.select(host, source).mapInPandas(rows, TOKENS)
 
 
-def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html", support: float = 0.5, least_pages: int = 3, text_support: float = 0.9, text_pages: int = 10) -> DataFrame:
-    """(host, paths, texts, constants, slot): the template's element paths, its constant texts, those with their paths, and the slot with the most varying text.
-
-    Copies of a page count once.
-
-    A template has at most 1/support times as many tokens as a page has on
-    average, so it is small however many pages the host has.
+@dataclass
+class Template:
+    #: Of every valid class: its tokens (path and text hash, 0 for elements) and the element that it nests in.
+    classes: list[tuple[list[tuple[str, int]], str]]
+    slot: str | None
+
+
+def nest(found: list[tuple[str, int, object, int, int]]) -> Template:
+    """The template of a host's frequent tokens: (path, text, vector, score, deep) of each. score: the text that an element holds; deep: that of its inner blocks."""
+    by_vector: dict[object, list[tuple[str, int]]] = {}
+    for path, text, vector, _, _ in found:
+        by_vector.setdefault(vector, []).append((path, text))
+    valid = {v: sorted(m) for v, m in by_vector.items() if len(m) >= 2}
+    # Elements of valid classes, from the deepest.
+    elements = sorted(((path, v) for v, m in valid.items() for path, text in m if text == 0), key=lambda x: (-x[0].count("/"), x[0]))
+    classes = []
+    for v, members in valid.items():
+        shared = next((e for e, other in elements if other != v and all(p == e and t or p.startswith(e + "/") for p, t in members)), "")
+        classes.append((members, shared))
+    own = next((v for v, m in valid.items() if ("", 0) in m), None)
+    score = {path: (s, d) for path, text, v, s, d in found if text == 0 and v == own}
+    titles = [e for e in score if re.search(r"/h1[^/]*$", e)]
+    slot = None
+    for e in sorted(score, key=lambda x: (x.count("/"), x)):
+        inside = e.startswith(slot + "/") if slot else e != ""
+        total, deep = score[e]
+        if inside and 2 * total > score[""][0] and 2 * deep > total and all(t.startswith(e + "/") for t in titles):
+            slot = e
+    return Template(sorted(classes), slot)
+
+
+def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html", support: float = 0.5, least_pages: int = 3, text_support: float = 0.9, salts: int = 32) -> DataFrame:
+    """(host, paths, texts, constants, classes, slot): the template's element paths, its constant texts, those with their paths, its nested classes and the main slot.
+
+    Copies of a page count once. A template has at most 1/support times as many
+    tokens as a page has on average, so what is gathered by host is small however
+    many pages it has; the tokens of a very common host meet its number of pages
+    in `salts` parts.
     """
-    pages = pages.select(host, source).distinct()
-    sums = tokens(pages, host, source).groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
-    sums = written(sums, "tokens")
-    sizes = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    frequent = sums.join(sizes, "host").where(F.col("n") >= support * F.col("pages"))
-    classes = frequent.groupBy("host", "n", "vector").agg(F.collect_list(F.struct("path", "text", (F.col("n") >= text_support * F.col("pages")).alias("most"), "pages")).alias("members")).where(F.size("members") >= 2)
-    members = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    constant = (F.col("text") != 0) & F.col("most") & (F.col("pages") >= text_pages)
-    nested = members.groupBy("host").agg(F.collect_set(F.when(F.col("text") == 0, F.col("path"))).alias("paths"), F.collect_set(F.when(constant, F.col("text"))).alias("texts"), F.collect_set(F.when(constant, F.struct("path", "text"))).alias("constants"))
-    slots = sums.where("text <> 0").join(sizes, "host").groupBy("host", "path").agg(F.sum(F.when(F.col("n") < support * F.col("pages"), F.col("chars")).otherwise(0)).alias("varying"))
-    parents = slots.select("host", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), "varying").groupBy("host", "parent").agg(F.sum("varying").alias("varying"))
-    inside = parents.join(members.where("text = 0").select("host", F.col("path").alias("parent")).distinct(), ["host", "parent"], "left_semi")
-    best = inside.groupBy("host").agg(F.max_by("parent", F.struct("varying", "parent")).alias("slot"))
-    return nested.join(best, "host", "left")
+    same = ["host", "path", "text"]
+    # Copies meet by their tokens, which are much smaller than pages.
+    each = tokens(pages, host, source).dropDuplicates([*same, "page"]).withColumn("v", F.xxhash64("page", "number"))
+    low, high = F.col("v").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("v", 32)
+    sums = written(each.groupBy(*same).agg(F.count("*").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("chars").alias("chars")), "tokens")
+    sizes = sums.where("path = '' and text = 0").select("host", F.col("n").alias("pages")).where(F.col("pages") >= least_pages)
+    salted = sizes.select("host", "pages", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    frequent = sums.where("n > 1").withColumn("salt", F.pmod(F.hash("path", "text"), F.lit(salts))).join(salted, ["host", "salt"]).where(F.col("n") >= support * F.col("pages"))
+    frequent = written(frequent.drop("salt"), "frequent")
+    by_path = sums.where("text <> 0").groupBy("host", "path").agg(F.sum("chars").alias("total"))
+    fixed = frequent.where("text <> 0").groupBy("host", "path").agg(F.sum("chars").alias("fixed"))
+    parts = F.split("path", "/")
+    above = by_path.join(fixed, ["host", "path"], "left").select("host", "path", (2 * F.col("total") - F.coalesce("fixed", F.lit(0))).alias("score"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("element"))
+    held = above.groupBy("host", F.col("element").alias("path")).agg(F.sum("score").alias("score"), F.sum(F.when(F.col("element") != F.col("path"), F.col("score")).otherwise(0)).alias("deep"))
+    marked = frequent.join(held.withColumn("text", F.lit(0).cast("long")), same, "left")
+    most = (F.col("n") >= text_support * F.col("pages")) & (F.col("text") != 0)
+    member = F.struct("path", "text", "n", "low", "high", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("deep", F.lit(0)).alias("deep"), most.alias("most"))
+    by_host = marked.groupBy("host").agg(F.collect_list(member).alias("members"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("paths", "texts", "constants", "classes", "slot")}
+            for members in batch["members"].to_pylist():
+                members.sort(key=lambda m: (m["path"], m["text"]))
+                template = nest([(m["path"], m["text"], (m["n"], m["low"], m["high"]), m["score"], m["deep"]) for m in members])
+                valid = {t for c, _ in template.classes for t in c}
+                fixed = [(m["path"], m["text"]) for m in members if m["most"] and (m["path"], m["text"]) in valid]
+                out["paths"].append([p for p, t in sorted(valid) if t == 0])
+                out["texts"].append(sorted({t for _, t in fixed}))
+                out["constants"].append([{"path": p, "text": t} for p, t in fixed])
+                out["classes"].append([{"inside": inside, "tokens": [{"path": p, "text": t} for p, t in c]} for c, inside in template.classes])
+                out["slot"].append(template.slot)
+            yield {"host": batch["host"], **out}
+
+    return map_columns(by_host, rows, "host string, paths array<string>, texts array<long>, constants array<struct<path:string,text:long>>, classes array<struct<inside:string,tokens:array<struct<path:string,text:long>>>>, slot string")
 
 
 # --- extraction ------------------------------------------------------------
 
 
 def main_text(source: str | None, constants: frozenset[tuple[str, int]] = frozenset(), slot: str | None = None) -> str:
-    """The article's blocks, two line feeds between them. Constants (path and text hash) go only where no article or main element is found."""
+    """The article's blocks, two line feeds between them: those of the slot; without it, of an article or main element; else all but constants (path and text hash)."""
     blocks = [b for b in read_page(source).blocks if not b.left_out]
+    if slot and (held := [b for b in blocks if b.path == slot or b.path.startswith(slot + "/")]):
+        return "\n\n".join(b.text for b in held)
     surest = max((b.article for b in blocks), default=0)
     if surest > 0:
         return "\n\n".join(b.text for b in blocks if b.article == surest)
-    chosen = []
-    if slot:
-        chosen = [b for b in blocks if b.path == slot or b.path.startswith(slot + "/")]
-    return "\n\n".join(b.text for b in chosen or blocks if not constants or (b.path, text_hash(b.text)) not in constants)
+    return "\n\n".join(b.text for b in blocks if not constants or (b.path, text_hash(b.text)) not in constants)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", broadcast_tokens: int = 200_000) -> DataFrame:

@@ -78,3 +78,45 @@ def test_hosts_of_copies_keep_their_text(spark):
 def test_constants_go_only_at_their_place(spark):
     got = extracted(spark, [page(i, f"<h2>{'Home' if i == 3 else f'Title {i}'}</h2><p>story {i}</p>") for i in range(12)])
     assert got[3] == "Home\n\nstory 3"
+
+
+def plain(i):
+    """A page without any mark of an article; two in three have a box that stands in the slot."""
+    box = f"<section class='qe'><em class='qf'>box</em> {i}</section>" if i % 3 else ""
+    return f"<html><body><div class='qa'><span>Shop of things</span></div><div class='qb'><h1>Title {i}</h1><div class='qc'>{''.join(f'<p>line {j} of {i} with some words</p>' for j in range(2 + i % 3))}</div>{box}</div><div class='qd'><p>All rights</p></div></body></html>"
+
+
+def brute_template(pages, support=0.5):
+    """Classes of tokens by their whole vectors, straight from the definition."""
+    pages = sorted(set(pages))
+    vectors = {}
+    for k, source in enumerate(pages):
+        for token, (n, _) in T.page_tokens(source).items():
+            vectors.setdefault(token, [0] * len(pages))[k] = n
+    classes = {}
+    for token, v in vectors.items():
+        if sum(x > 0 for x in v) >= support * len(pages):
+            classes.setdefault(tuple(v), []).append(token)
+    return sorted(sorted(c) for c in classes.values() if len(c) > 1)
+
+
+def test_classes_equal_brute_force_and_nest(spark):
+    sources = [plain(i) for i in range(9)] + [plain(3), plain(3), plain(4)] + [plain(20).replace("qd", "qz"), plain(21) + "<p>more</p><p>more</p>"]
+    pages = spark.createDataFrame([("h", s) for s in sources] + [("other", plain(1))], "host string, html string")
+    found = {r.host: r for r in T.deduce_templates(pages).collect()}
+    assert set(found) == {"h"}
+    got = sorted(sorted((t.path, t.text) for t in c.tokens) for c in found["h"].classes)
+    assert got == brute_template(sources)
+    assert len(got) >= 2
+    for c in found["h"].classes:
+        assert all(t.path.startswith(c.inside) for t in c.tokens)
+    assert {c.inside for c in found["h"].classes} >= {"/html/body/div.qb"}
+    assert found["h"].slot == "/html/body/div.qb"
+
+
+def test_the_slot_decides_without_marks_and_against_wrong_ones(spark):
+    rows = [(i, "http://p.example/x", plain(i)) for i in range(8)] + [(100 + i, "http://w.example/x", f"<body><main><p>Wrong mark</p></main><div><p>story {i} that is long enough</p><p>and more of {i} in here</p></div></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in T.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == "\n\n".join([f"Title {i}", *(f"line {j} of {i} with some words" for j in range(2 + i % 3)), *([f"box {i}"] if i % 3 else [])])
+        assert got[100 + i] == f"story {i} that is long enough\n\nand more of {i} in here"
