@@ -8,8 +8,11 @@ file. Frames of a laced block after the first get the time of the frames
 before them, by the track's default duration.
 
 Nulls and empty values are files without packets; bytes that are not Matroska
-give no packets and an error text instead of an exception. Repeated rows are
-parsed each. Only the columns that are named are read.
+give no packets and an error text instead of an exception. Numbers that don't
+fit into the table's 64 bits are null there. Files and texts of any length are
+read whole. Repeated rows are parsed each. Empty tables give empty results. Only
+the columns that are named are read; a key with the name of an output column
+keeps it, and the output's gets an underscore.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_columns, table, text_or_empty
+from .common import free_name, map_columns, table, text_or_empty
 
 # Element identifiers of the Matroska format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -357,31 +362,41 @@ def feature(media: Media, samples: bytes) -> str:
 PACKETS = "track long, timestamp_ns long, byte_from long, byte_count long, is_key boolean, lace_index int"
 
 
+def _after(key: str, kind: T.DataType, ddl: str) -> T.StructType:
+    """The key, then the columns, none of which has the key's name."""
+    fields = T.StructType.fromDDL(ddl).fields
+    return T.StructType([T.StructField(key, kind), *(T.StructField(free_name(f.name, [key]), f.dataType) for f in fields)])
+
+
+def _fits(x: int | None) -> int | None:
+    return x if x is not None and -(1 << 63) <= x < 1 << 63 else None
+
+
 def packet_table(files: DataFrame, key: str, content: str) -> DataFrame:
     """A row for each packet of each file: the key, its number in the file, and where and when it is. Files without packets have no rows."""
-    schema = f"`{key}` {files.schema[key].dataType.simpleString()}, packet long, {PACKETS}"
-    names = ["track", "timestamp_ns", "byte_from", "byte_count", "is_key", "lace_index"]
+    schema = _after(key, files.schema[key].dataType, f"packet long, {PACKETS}")
+    number, *names = schema.names[1:]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for i, data in enumerate(batch[content]):
+            for i, data in enumerate(batch[1]):
                 found = parse(data.as_py()).packets
                 if found:
-                    own = batch[key].take(pa.array([i] * len(found)))
-                    yield {key: own, "packet": list(range(len(found))), **dict(zip(names, map(list, zip(*found, strict=True)), strict=True))}
+                    own = batch[0].take(pa.array([i] * len(found)))
+                    yield {key: own, number: list(range(len(found))), **{n: list(map(_fits, x)) for n, x in zip(names, zip(*found, strict=True), strict=True)}}
 
-    return map_columns(files.select(key, content), rows, schema)
+    return map_columns(files.select(F.col(key).alias("key"), F.col(content).alias("content")), rows, schema)
 
 
 def store_as_media(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every text as a file: (key, content). Null and empty texts are 64 samples of 0."""
-    schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, content binary"
+    schema = _after(key, texts.schema[key].dataType, "content binary")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {key: batch[key], "content": [write_pcm(padded(t or "")) for t in batch[text].to_pylist()]}
+            yield {key: batch[0], schema.names[1]: [write_pcm(padded(t or "")) for t in batch[1].to_pylist()]}
 
-    return map_columns(texts.select(key, text), rows, schema)
+    return map_columns(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, schema)
 
 
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -389,7 +404,7 @@ DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 def media_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Stores every text as a file, reads the file back through its packets, and describes both. A null text counts as an empty one."""
-    schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, {DIGESTS}"
+    schema = _after(key, texts.schema[key].dataType, DIGESTS)
 
     def describe(t: str | None) -> tuple[int, int, str, int, int, str, str]:
         stored = write_pcm(padded(t or ""))
@@ -398,12 +413,12 @@ def media_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
         return len((t or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = schema.names[1:]
         for batch in batches:
-            found = list(map(describe, batch[text].to_pylist()))
-            yield {key: batch[key], **dict(zip(names, map(list, zip(*found, strict=True)) if found else [[]] * len(names), strict=True))}
+            found = list(map(describe, batch[1].to_pylist()))
+            yield {key: batch[0], **dict(zip(names, map(list, zip(*found, strict=True)) if found else [[]] * len(names), strict=True))}
 
-    return map_columns(texts.select(key, text), rows, schema)
+    return map_columns(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, schema)
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

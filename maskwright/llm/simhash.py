@@ -10,7 +10,9 @@ that pass go to the full Hamming check.
 Nulls count as empty texts. An empty text has fingerprint zero and is linked
 like any other. Texts with fewer words than a shingle are one shingle. Repeated
 rows and copies share a fingerprint and are linked through it, without pairs.
-Empty tables give empty results.
+Empty tables give empty results. Texts of any length are read whole. Only the key
+and the text are read; where the key has the name of an output column, the output's
+gets an underscore.
 
 Buckets of the index that hold over `hot` fingerprints don't make pairs:
 `link_within` links their members through the values at one bit's distance,
@@ -67,13 +69,14 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
+    fp = free_name("fp", [key])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = np.array([fingerprint(t, size) for t in batch[text].to_pylist()], np.uint64)
-            yield {key: batch[key], "fp": found.view(np.int64)}
+            found = np.array([fingerprint(t, size) for t in batch["text"].to_pylist()], np.uint64)
+            yield {key: batch["key"], fp: found.view(np.int64)}
 
-    return map_columns(docs.select(key, text), rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return map_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, {fp} long")
 
 
 # --- the ring --------------------------------------------------------------
@@ -147,16 +150,25 @@ def link_by_midpoints(fps: DataFrame) -> DataFrame:
     return groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 3, m: int = 5, tau: int = 2) -> DataFrame:
-    """(key, fp, component): component is the smallest key that links reach from the document."""
-    marked = written(fingerprints(docs, key, text, size), "fingerprints")
-    firsts = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "firsts")
+def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 3, m: int = 5, tau: int = 2, share: int = 1000) -> DataFrame:
+    """(key, fp, component): component is the smallest key that links reach from the document.
+
+    A fingerprint that over one in `share` documents has is crowded. There are
+    fewer than `share` of these, so they go to every task; the documents of the
+    others meet their fingerprint's row in a join, where no key is common.
+    """
+    marked = written(fingerprints(docs, key, text, size).toDF("key", "fp"), "fingerprints")
+    firsts = written(marked.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "firsts")
     roots = connected_components(link_within(firsts.select("fp"), m, tau)).withColumnRenamed("node", "fp")
     linked = firsts.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     of_linked = linked.join(least, "root").select("fp", "component")
-    of_all = firsts.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return marked.join(of_all, "fp").select(key, "fp", "component")
+    of_all = written(firsts.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component")), "of-fingerprints")
+    crowded = F.col("n") > (firsts.agg(F.sum("n")).first()[0] or 0) // share
+    common = F.broadcast(of_all.where(crowded).select("fp", "component"))
+    rest = marked.join(common.select("fp"), "fp", "left_anti").join(of_all.where(~crowded).select("fp", "component"), "fp")
+    every = marked.join(common, "fp").select("key", "fp", "component").union(rest.select("key", "fp", "component"))
+    return every.toDF(key, free_name("fp", [key]), free_name("component", [key]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

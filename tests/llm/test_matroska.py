@@ -88,3 +88,19 @@ def test_digests_and_packet_table(spark):
     table = M.packet_table(files, "doc_id", "content")
     assert {r.doc_id: r.n for r in table.groupBy("doc_id").agg({"byte_count": "sum"}).toDF("doc_id", "n").collect()}[5] == 20_032
     assert M.media_digests(docs.where("false"), "doc_id", "text").count() == 0
+
+
+def test_packet_table_of_odd_files(spark):
+    """Numbers over 64 bits are null, keys may have the names of results, nulls and empty tables have no packets."""
+    block = M.element(M.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80) + b"data")
+    odd = M._HEADER + M.element(M.SEGMENT, M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 8) + block))
+    assert len(M.parse(odd).packets) == 1
+    files = spark.createDataFrame([(1, bytearray(odd), "x"), (2, bytearray(M.write_pcm(M.padded("w" * 300_000))), "x"), (3, None, "x"), (4, bytearray(b""), "x")], "track long, content binary, packet string")
+    table = M.packet_table(files, "track", "content")
+    assert table.columns[:3] == ["track", "packet", "track_"]
+    rows = table.collect()
+    assert {r.track for r in rows} == {1, 2}
+    assert [r.timestamp_ns for r in rows if r.track == 1] == [None]
+    assert sum(r.byte_count for r in rows if r.track == 2) == len(M.padded("w" * 300_000))
+    assert M.packet_table(files.where("false"), "track", "content").count() == 0
+    assert M.media_digests(files, "track", "packet").columns[0] == "track"

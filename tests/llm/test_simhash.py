@@ -204,3 +204,12 @@ def test_groups_do_not_depend_on_how_full_buckets_are(spark, hot):
     got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", hot=hot).collect()
     assert {r[0]: r[1] for r in got} == dict(enumerate(root))
     assert len(set(root)) > 4
+
+
+def test_keys_with_the_names_of_results(spark):
+    docs = spark.createDataFrame([(7, "one two three four five six"), (5, "one two three four five six"), (None, None)], "component long, fp string")
+    got = S.near_duplicates(docs, "component", "fp")
+    assert got.columns == ["component", "fp", "component_"]
+    assert {(r.component, r.component_) for r in got.collect()} == {(7, 5), (5, 5), (None, None)}
+    assert S.similar_groups(docs.where("component > 0"), "component", "fp").columns == ["component", "component_"]
+    assert S.fingerprints(docs.withColumnRenamed("component", "FP_").withColumnRenamed("fp", "t").withColumnRenamed("FP_", "fp"), "fp", "t").columns == ["fp", "fp_"]
