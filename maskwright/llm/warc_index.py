@@ -14,8 +14,9 @@ with the corpus, so it never has more than max_blocks entries.
 
 Nulls: a null html is an empty payload, a null url an empty key, and a null id
 stands after all others. Pages with one id and one payload tie and are all
-responses. Repeated rows are written and found each. Empty tables give no
-records. A task that is run again writes new files; the index names only those
+responses. Repeated rows are written and found each. Pages of any length are
+whole records. Only the id, url and html are read, so other columns can't clash.
+Empty tables give no records. A task that is run again writes new files; the index names only those
 of runs that counted.
 """
 
@@ -122,18 +123,29 @@ def parse_record(member: bytes) -> Record:
 # --- writing ---------------------------------------------------------------
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
     """Writes a record per page into folder; returns the index lines, written to the shared folder.
 
     Payloads of under least_bytes are all responses. Only digests and ids are
-    aggregated; the pages then meet the first holder of their digest in a join
-    that Spark splits where one payload is very common.
+    aggregated. First holders of repeated payloads go to every task while they
+    are at most broadcast_rows, so pages stay where they are; of more, the most
+    common ones do (fewer than a thousand), and the other pages meet theirs in a
+    join in which no digest is common.
     """
     spark = pages.sparkSession
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    holders = own.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = own.join(holders, "digest", "left").select("page_id", "url", "html", "first")
+    counted = own.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    holders = written(counted.where("n > 1"), "holders")
+    size = holders.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("pages")).first()
+    columns = ("page_id", "url", "html", "first")
+    if size["rows"] <= broadcast_rows:
+        marked = own.join(F.broadcast(holders.select("digest", "first")), "digest", "left").select(*columns)
+    else:
+        common = F.col("n") > size["pages"] // 1000
+        most = F.broadcast(holders.where(common).select("digest", "first"))
+        rest = own.join(most.select("digest"), "digest", "left_anti").join(holders.where(~common).select("digest", "first"), "digest", "left")
+        marked = own.join(most, "digest").select(*columns).union(rest.select(*columns))
     place = mounted(folder)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,8 +289,12 @@ def _range(path: str, offset: int, length: int) -> bytes:
 FOUND = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
 
 
-def look_up(wanted: DataFrame, directory: list[tuple[str, str, int, int]], index_folder: str, archive_folder: str) -> DataFrame:
-    """The captures of every wanted (url, page_id), read through the index. Requests are sorted as the index is, so a worker unpacks a block once."""
+def look_up(wanted: DataFrame, directory: list[tuple[str, str, int, int]], index_folder: str, archive_folder: str, parts: int | None = None) -> DataFrame:
+    """The captures of every wanted (url, page_id), read through the index. Requests are sorted as the index is, so a worker unpacks a block once.
+
+    parts: into how many ranges requests are dealt; what is read for them is
+    much larger than they are, so their own size should not decide.
+    """
     shared = wanted.sparkSession.sparkContext.broadcast(directory)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,16 +320,18 @@ def look_up(wanted: DataFrame, directory: list[tuple[str, str, int, int]], index
         return urls.map(url_key, na_action=None)
 
     asked = wanted.select(keys("url").alias("key"), "page_id").select(line_order().alias("order")).distinct()
-    return asked.repartitionByRange("order").sortWithinPartitions("order").mapInPandas(rows, FOUND)
+    dealt = asked.repartitionByRange(parts, "order") if parts else asked.repartitionByRange("order")
+    return dealt.sortWithinPartitions("order").mapInPandas(rows, FOUND)
 
 
-def archive_and_find(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes archives and index, and finds every page again: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def archive_and_find(pages: DataFrame, least_bytes: int = 0, part_bytes: int = 8 << 20) -> DataFrame:
+    """Writes archives and index, and finds every page again: page_id, payload_bytes, payload_digest, record_type, refers_to. part_bytes: of records that one task reads back."""
     spark = pages.sparkSession
     archives, index = shared_path(spark, "warc"), shared_path(spark, "cdx")
     lines = write_archives(pages, archives, least_bytes)
     directory = build_index(lines, index)
-    return look_up(pages.select(F.col("url"), F.col("page_id").cast("long").alias("page_id")), directory, index, archives)
+    parts = -(-(lines.agg(F.sum("length")).first()[0] or 1) // part_bytes)
+    return look_up(pages.select(F.col("url"), F.col("page_id").cast("long").alias("page_id")), directory, index, archives, parts)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

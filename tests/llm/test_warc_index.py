@@ -84,3 +84,18 @@ def test_the_shared_folder_must_be_mounted():
     assert mounted("file:///a/b") == mounted("file:/a/b") == mounted("/a/b") == "/a/b"
     with pytest.raises(ValueError, match="mount"):
         mounted("hdfs://n/a")
+
+
+def test_many_holders_give_the_same_records(spark):
+    rows = [(i, f"http://h{i % 3}.example/{i}", "same" if i % 2 else f"page {i // 8}") for i in range(60)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def kinds(broadcast_rows):
+        archives, index = W.shared_path(spark, "warc"), W.shared_path(spark, "cdx")
+        lines = W.write_archives(pages, archives, broadcast_rows=broadcast_rows)
+        found = W.look_up(pages.select("url", "page_id"), W.build_index(lines, index), index, archives, 3)
+        return sorted(((r.page_id is not None, r.page_id), r.record_type, r.refers_to or -1) for r in found.collect())
+
+    got = kinds(200_000)
+    assert got == kinds(0) == kinds(3)
+    assert len(got) == len(rows)
