@@ -13,7 +13,7 @@ table as it was and only files that no manifest lists, which vacuum deletes.
 Only DataFrame operations touch rows. The driver lists files and keeps one line
 a shard: about target_bytes of data each, once compacted.
 
-Nulls and repeated rows are kept as they are. An arrival without rows commits
+Nulls, repeated rows and texts of any length are kept as they are. An arrival without rows commits
 a version without shards. Columns keep their names whatever they are; an
 arrival whose columns differ from the table's is an error before it is written.
 """

@@ -20,7 +20,9 @@ the model but the files' directory and the discounts goes through the driver.
 
 Nulls count as empty texts, which are one end. Texts of any length are one
 sequence. Repeated rows count as often as they stand there. A table without
-training texts gives the uniform model over no words. Ids of null learn.
+training texts gives the uniform model over no words. Ids of null learn. Empty
+tables give empty results. Input columns pass through; one with the name of a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -463,7 +465,8 @@ _readers: dict[str, Reader] = {}
 def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int = 400_000) -> DataFrame:
     """The rows of docs, text left out, with n_tokens, n_known, base_score and score (log10 of the text's probability) and perplexity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != text]
+    new = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score", "perplexity")]
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in {n.name for n in new}]
     names = [f.name for f in kept]
 
     def of(reader: Reader, texts: list[str | None]) -> np.ndarray:
@@ -493,8 +496,7 @@ def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int
             got = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0))
             yield {**{n: batch[n] for n in names}, "n_tokens": got[0].astype(np.int64), "n_known": got[1].astype(np.int64), "base_score": got[2], "score": got[3], "perplexity": 10 ** (-got[3] / np.maximum(got[0], 1))}
 
-    new = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score", "perplexity")]
-    return map_columns(docs, rows, T.StructType([*kept, *new]))
+    return map_columns(docs.select(*names, text), rows, T.StructType([*kept, *new]))
 
 
 def held_out(key: str, by: int = 7, at: int = 2) -> Column:

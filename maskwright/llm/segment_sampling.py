@@ -26,7 +26,9 @@ The vocabulary has merge ranks and no probabilities; a piece of rank r weighs
 
 Nulls count as empty texts. An empty text has one segmentation, with no pieces.
 Where a text has fewer than k segmentations all come out, with inclusion 1.
-Texts of any length are sampled whole.
+Texts of any length are sampled whole. Repeated rows give their samples each,
+empty tables none. Only the key and the text are read; where the key has the name
+of an output column, the output's gets an underscore.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, table, text_or_empty
+from .common import free_name, map_columns, table, text_or_empty
 
 MARK = "▁"
 UNIT = re.compile(r" +(?:[^ \n\0][^ \n]*)?|[^ \n]+|\n")
@@ -590,15 +592,14 @@ def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: in
     (whether the pieces decode to the text) stand for the pieces.
     """
     last = [T.StructField("pieces_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())] if digest else [T.StructField("pieces", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([docs.schema[key], *SAMPLES.fields, *last])
-
-    names = [f.name for f in (*SAMPLES.fields, *last)]
+    names = [free_name(f.name, [key]) for f in (*SAMPLES.fields, *last)]
+    schema = T.StructType([docs.schema[key], *(T.StructField(n, f.dataType) for n, f in zip(names, (*SAMPLES.fields, *last), strict=True))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         v = vocabulary(model, theta)
         store = _stores.setdefault((model, theta), Units())
         for batch in batches:
-            ids, texts = batch[key].to_pylist(), batch[text].to_pylist()
+            ids, texts = batch[0].to_pylist(), batch[1].to_pylist()
             at = 0
             while at < len(ids):
                 end, size = at, 0
@@ -612,11 +613,11 @@ def sample_segmentations(docs: DataFrame, key: str, text: str, model: str, k: in
                         shown = (hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), v.decodes_to(pieces, own)) if digest else (pieces.astype(np.int32),)
                         of.append(number)
                         out.append((i, log_p, value, inclusion, len(pieces), *shown))
-                yield {key: batch[key].take(pa.array(of)), **dict(zip(names, map(list, zip(*out, strict=True)), strict=True))}
+                yield {key: batch[0].take(pa.array(of)), **dict(zip(names, map(list, zip(*out, strict=True)), strict=True))}
                 at = end
         store.__init__()  # a worker that goes on to other work should not keep it
 
-    return map_columns(docs.select(key, text), rows, schema)
+    return map_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), rows, schema)
 
 
 def decode_pieces(encoded: DataFrame, pieces: str, model: str, into: str = "text") -> DataFrame:

@@ -100,3 +100,10 @@ def test_op8_uses_contexts_of_two_words(spark, tmp_path):
     want = brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
     for r in K.op8_kneser_ney(spark, str(tmp_path)).collect():
         assert r.score == pytest.approx(want(rows[r.doc_id][1]), rel=1e-9)
+
+
+def test_columns_with_the_names_of_results_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b a", "old", 9), (2, None, "old", 9)], "doc_id long, text string, score string, N_TOKENS int")
+    got = K.score_texts(docs, K.count_ngrams(docs, order=2))
+    assert got.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"]
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {1: 4, 2: 1}

@@ -149,3 +149,11 @@ def test_units_spell_the_text(text):
     assert "".join(map(S._spelled, units)) == " " + text
     # Equal names are equal units: a unit is found again by its name alone.
     assert all(u == "\n" or "\n" not in u for u in units)
+
+
+def test_keys_with_the_names_of_results_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a text", 5), (1, "a text", 5), (2, None, 5)], "sample long, pieces string, log_prob int")
+    got = S.sample_segmentations(docs, "sample", "pieces", S.default_model(), k=2)
+    assert got.columns[:2] == ["sample", "sample_"]
+    assert sorted((r["sample"], r.sample_) for r in got.collect()) == [(1, 0), (1, 0), (1, 1), (1, 1), (2, 0)]
+    assert S.sample_segmentations(docs.where("false"), "sample", "pieces", S.default_model()).count() == 0
