@@ -229,7 +229,7 @@ class Units:
         for name, kind in kinds:
             old = getattr(self, name)
             if end >= len(old):
-                grown = np.zeros(max(end + 1, len(old) * 3 // 2), kind)
+                grown = np.zeros(max(end + 1, len(old) * 5 // 4), kind)
                 grown[:at] = old[:at]
                 setattr(self, name, grown)
             getattr(self, name)[at:end] = new[name]
@@ -490,7 +490,7 @@ def _add_paths(searches: list[Search], new: list[tuple[np.ndarray, np.ndarray, f
         s.paths.append(Path(edges, units, value, first, log_p, row[:n], tail))
 
 
-def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 8_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(texts: list[str | None], keys: list, v: Vocabulary, store: Units, k: int, seed: int, most_edges: int = 3_000_000) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its segmentations, from the largest perturbed value: pieces, log probability, perturbed value, log of the inclusion probability."""
     cut = [units_of(t) if t else [] for t in texts]
     if store.edges > most_edges:
