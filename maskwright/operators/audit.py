@@ -2,31 +2,76 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences
+from .catalogue import reverse_pairs
 from .replace import apply_pairs
 
 
 def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int = 100_000) -> DataFrame:
-    """(key, n_texts, n_hits): in how many texts each key stands, and how often. Keys that stand nowhere have zeros.
+    """(key, n_texts, n_hits): in how many texts each key stands, and how often (hits of one key don't overlap). Keys that stand nowhere have zeros.
 
-    The keys go to every worker as one array, after a check of their number;
-    hits are counted per task before they are shuffled.
+    The keys go to every worker in parts of at most `most`; with more, each part
+    is one more pass over the texts. Every pass finds all of a part's keys with
+    one automaton, and hits are summed per task before they are shuffled.
     """
-    n = keys.count()
-    if n > most:
-        raise ValueError(f"{n} keys, over the bound of {most}")
     own = keys.select(F.col(key).alias("key")).where("key <> ''").distinct()
-    all_keys = own.agg(F.collect_list("key").alias("_keys"))
-    per_text = texts.select(F.col(text).alias("_text")).crossJoin(F.broadcast(all_keys))
-    found = per_text.select("_text", F.explode(F.filter("_keys", lambda k: F.contains(F.col("_text"), k))).alias("key"))
-    counts = found.groupBy("key").agg(F.count("*").alias("n_texts"), F.sum(occurrences(F.col("_text"), F.col("key"))).alias("n_hits"))
+    n = own.count()
+    parts = max(1, -(-n // most))
+    found = None
+    for number in range(parts):
+        part = [r.key for r in own.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == number).collect()]
+        hits = texts.select(F.col(text).alias("text")).mapInPandas(_counted(texts.sparkSession.sparkContext.broadcast(part)), "key string, n_texts long, n_hits long")
+        found = hits if found is None else found.union(hits)
+    counts = found.groupBy("key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_hits").alias("n_hits"))
     zero = F.lit(0).cast("long")
     return own.join(counts, "key", "left").select("key", F.coalesce("n_texts", zero).alias("n_texts"), F.coalesce("n_hits", zero).alias("n_hits"))
 
 
+def _counted(shared):
+    """Counts of the keys that a task's texts have."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _finder(shared.value)
+        n_texts: Counter[str] = Counter()
+        n_hits: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch["text"]:
+                if t:
+                    for k in find(t):
+                        n_texts[k] += 1
+                        n_hits[k] += t.count(k)
+        yield pd.DataFrame([(k, n, n_hits[k]) for k, n in n_texts.items()], columns=["key", "n_texts", "n_hits"])
+
+    return rows
+
+
+def _finder(keys: list[str]) -> Callable[[str], set[str]]:
+    """The distinct keys that a text has."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {k for k in keys if k in text}
+    if not keys:
+        return lambda text: set()
+    automaton = ahocorasick.Automaton()
+    for k in keys:
+        automaton.add_word(k, k)
+    automaton.make_automaton()
+    return lambda text: {k for _, k in automaton.iter(text)}
+
+
+def shared_leaks(texts: DataFrame, text: str, mapping: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The keys that stand in texts outside of pseudonyms: a key such as a short name may well stand inside one, but must not stand beside it."""
+    gap = catalogue.select("pseudonym", F.lit("\0").alias("canonical_name"), "ord")
+    return leaks(apply_pairs(texts.select(text), reverse_pairs(gap, by_length=True), [text]), text, mapping)
+
+
 def leaks(texts: DataFrame, text: str, mapping: DataFrame) -> DataFrame:
     """The keys of the map that still stand in pseudonymised texts. Every key is looked for, not only names."""
     return key_hits(texts, text, mapping, "k").where("n_texts > 0")

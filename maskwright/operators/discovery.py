@@ -55,6 +55,29 @@ class TimeCataloguer:
         return unify(transcripts)
 
 
+#: Kinds of events and what tells them, first match first; patterns that Java and RE2 read alike. The four names of kinds.
+CATEGORY_RULES = (
+    ("Intake Form", r"(?i)\b(intake|form|registration|date of birth|admission)\b"),
+    ("Physical Assessment", r"(?i)\b(blood pressure|pulse|temperature|weight|examination|examined)\b"),
+    ("Subject Activity", r"(?i)\b(walks?|sits?|stands?|looks?|nods?|visual action)\b"),
+    ("Clinical Interview", r"\S"),
+)
+
+
+@dataclass
+class RuleCataloguer:
+    """All events together, each with the category of the first rule whose pattern its speaker, source or details have. A substitute for a model that reads."""
+
+    rules: tuple[tuple[str, str], ...] = CATEGORY_RULES
+
+    def catalogue(self, transcripts: list[DataFrame]) -> DataFrame:
+        told = F.concat_ws(" ", "speaker", "source_file", "event_details")
+        kind = F.col("category")
+        for name, pattern in reversed(self.rules):
+            kind = F.when(told.rlike(pattern), F.lit(name)).otherwise(kind)
+        return unify(transcripts).withColumn("category", kind)
+
+
 @dataclass
 class SuppliedEntities:
     entities: DataFrame
@@ -124,4 +147,4 @@ class AgentOptions:
         return found
 
 
-__all__ = ["EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "SuppliedEntities", "TextExtractor", "TimeCataloguer"]
+__all__ = ["CATEGORY_RULES", "EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "RuleCataloguer", "SuppliedEntities", "TextExtractor", "TimeCataloguer"]

@@ -6,7 +6,7 @@ Reading and drawing pages needs a PDF library, which is an optional plug-in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_font, rgb, strip
@@ -47,10 +47,16 @@ def best_styles(hits: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def outer_hits(hits: DataFrame) -> DataFrame:
-    """Hits that no longer key's hit on the page contains, so a short key inside a long one is drawn once. hits: (page, hit, k, hit_x0 ...); containment is found within lines of a page (by y0)."""
-    w = Window.partitionBy("page", "hit_y0").orderBy("hit_x0", (-F.length("k")), "hit").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.struct(F.col("hit_x1").alias("x1"), F.col("hit_y1").alias("y1"))).over(w)
-    return hits.withColumn("_r", reach).where(F.col("_r").isNull() | ~((F.col("_r.x1") >= F.col("hit_x1")) & (F.col("_r.y1") >= F.col("hit_y1")))).drop("_r")
+    """Hits that no other hit on the page contains, so a short key inside a long one is drawn once; of equal rectangles the longest key's stays, then the first hit. hits: (page, hit, k, hit_x0 ...).
+
+    Hits meet by page, of which each has few.
+    """
+    box = ["hit_x0", "hit_y0", "hit_x1", "hit_y1"]
+    other = hits.select("page", F.col("hit").alias("_hit"), F.length("k").alias("_n"), *(F.col(c).alias(f"_{c}") for c in box))
+    inside = (F.col("_hit_x0") <= F.col("hit_x0")) & (F.col("_hit_y0") <= F.col("hit_y0")) & (F.col("_hit_x1") >= F.col("hit_x1")) & (F.col("_hit_y1") >= F.col("hit_y1"))
+    same = (F.col("_hit_x0") == F.col("hit_x0")) & (F.col("_hit_y0") == F.col("hit_y0")) & (F.col("_hit_x1") == F.col("hit_x1")) & (F.col("_hit_y1") == F.col("hit_y1"))
+    first = (F.col("_n") > F.length("k")) | ((F.col("_n") == F.length("k")) & (F.col("_hit") < F.col("hit")))
+    return hits.join(other.withColumnRenamed("page", "_page"), (F.col("page") == F.col("_page")) & (F.col("_hit") != F.col("hit")) & inside & (~same | first), "left_anti")
 
 
 def outcome(is_searchable: Column, recognised: Column, hits: Column) -> Column:

@@ -28,3 +28,12 @@ def reidentify_records(df: DataFrame, column: str, catalogue: DataFrame, schema:
     as_text = df.withColumn(column, F.to_json(F.col(column), {"ignoreNullFields": "false"}))
     done = apply_pairs(as_text, reverse_pairs(catalogue), [column])
     return done.withColumn(column, F.from_json(F.col(column), schema, {"mode": "FAILFAST"}))
+
+
+def reidentify_json(df: DataFrame, column: str, catalogue: DataFrame) -> DataFrame:
+    """The same for texts that are JSON documents of any form: names come in as JSON spells them, quotes and all, and a text that is no JSON, before or after, is an error."""
+    spelled = F.expr("substring(j, 7, length(j) - 8)")
+    escaped = catalogue.withColumn("j", F.to_json(F.struct(F.col("canonical_name").alias("n")))).withColumn("canonical_name", spelled).drop("j")
+    checked = lambda c: F.when(F.col(c).isNull() | F.try_parse_json(F.col(c)).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("a text is not JSON")))
+    done = apply_pairs(df.withColumn(column, checked(column)), reverse_pairs(escaped), [column])
+    return done.withColumn(column, checked(column))

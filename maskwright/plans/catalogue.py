@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -277,10 +279,24 @@ def leak_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.leaks(_reidentified(spark, d)[0], "text", C.replacement_map(_named(spark)))
 
 
-@_query(f"with {_TURNS_SQL} select pseudonym from cat where not exists (select 1 from done where contains(text, pseudonym))")
+@_query(f"with {_TURNS_SQL} select pseudonym from (select pseudonym from cat union all select 'GUEST_' || r_regionkey from region) where not exists (select 1 from done where contains(text, pseudonym))")
 def pseudonym_presence(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's pseudonyms, and some of people who were never there."""
     done, _, catalogue = _reidentified(spark, d)
-    return audit.missing_pseudonyms(done, "text", catalogue)
+    guests = _read(spark, d, "region", F.concat(F.lit("GUEST_"), "r_regionkey").alias("pseudonym"))
+    return audit.missing_pseudonyms(done, "text", catalogue.select("pseudonym").union(guests))
+
+
+@_query(
+    f"with {_TURNS_SQL}, planted as (select conv_id, turn, case when conv_id % 7 = 0 then text || ' Docu' else text end as text from done), "
+    "bare as (select list_reduce((select list({'k': pseudonym, 'v': chr(1)} order by -length(pseudonym), ord) from cat), lambda a, x: {'k': replace(a.k, x.k, x.v), 'v': ''}, {'k': text, 'v': ''}).k as text from planted) "
+    "select k as key, count(*) n_texts, sum((length(text) - length(replace(text, k, ''))) // length(k))::bigint n_hits from rmap, bare where contains(text, k) group by k"
+)
+def shared_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Keys outside of pseudonyms, where a name was left in some texts on purpose."""
+    done, _, catalogue = _reidentified(spark, d)
+    some = done.withColumn("text", F.when(F.col("conv_id") % 7 == 0, F.concat("text", F.lit(" Docu"))).otherwise(F.col("text")))
+    return audit.shared_leaks(some, "text", C.replacement_map(_named(spark)), catalogue)
 
 
 def _framed(spark: SparkSession, d: str) -> DataFrame:
@@ -540,13 +556,13 @@ def searchable_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    "with h as (select distinct l_orderkey page, l_linenumber hit, l_linenumber % 2 y0, l_linenumber % 2 + 1 y1, floor(l_quantity / 5) x0, floor(l_quantity / 5) + l_linenumber x1 from lineitem) "
-    "select page, hit from h where not exists (select 1 from h o where o.page = h.page and o.y0 = h.y0 and o.hit <> h.hit and o.x0 <= h.x0 and o.x1 >= h.x1 and (o.x0 < h.x0 or o.x1 > h.x1 or o.hit < h.hit))"
+    "with h as (select distinct l_orderkey page, l_linenumber hit, l_linenumber % 3 y0, l_linenumber % 3 + l_linenumber % 2 + 1 y1, floor(l_quantity / 5) x0, floor(l_quantity / 5) + l_linenumber x1 from lineitem) "
+    "select page, hit from h where not exists (select 1 from h o where o.page = h.page and o.hit <> h.hit and o.y0 <= h.y0 and o.y1 >= h.y1 and o.x0 <= h.x0 and o.x1 >= h.x1 and not (o.x0 = h.x0 and o.x1 = h.x1 and o.y0 = h.y0 and o.y1 = h.y1 and o.hit < h.hit))"
 )
 def outer_hits(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     x0 = F.floor(F.col("l_quantity") / 5)
-    hits = _read(spark, d, "lineitem", F.col("l_orderkey").alias("page"), n.alias("hit"), (n % 2).alias("hit_y0"), (n % 2 + 1).alias("hit_y1"), x0.alias("hit_x0"), (x0 + n).alias("hit_x1"), F.repeat(F.lit("k"), n).alias("k")).distinct()
+    hits = _read(spark, d, "lineitem", F.col("l_orderkey").alias("page"), n.alias("hit"), (n % 3).alias("hit_y0"), (n % 3 + n % 2 + 1).alias("hit_y1"), x0.alias("hit_x0"), (x0 + n).alias("hit_x1"), F.repeat(F.lit("k"), n).alias("k")).distinct()
     return pages.outer_hits(hits).select("page", "hit")
 
 
@@ -572,15 +588,20 @@ def docx_file(paragraphs: list[list[str]], cells: list[str] = (), header: str =
 
 
 def _docx_files(spark: SparkSession, d: str) -> DataFrame:
-    @F.udf("binary")
-    def made(text: str) -> bytes:
-        words = text.split(" ")
-        return docx_file([[w[:3], w[3:] + " "] for w in words[:200]], words[200:], "thth heads this")
+    """A file for every turn, of all its words: the first 200 as paragraphs of two runs, the rest as cells; null texts are files of one empty word."""
 
-    return _read(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", "conv_id", "turn").alias("path"), made("text").alias("content"))
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [(t or "").split(" ") for t in batch["text"]]
+            yield pd.DataFrame({"path": batch["path"], "content": [docx_file([[w[:3], w[3:] + " "] for w in ws[:200]], ws[200:], "thth heads this") for ws in words]})
 
+    return _read(spark, d, "conversations", F.concat_ws("-", "conv_id", "turn").alias("path"), "text").mapInPandas(made, "path string, content binary")
 
-@_query()
+
+_WORDS_SQL = "words as (select concat_ws('-', conv_id, turn) as path, string_split(coalesce(text, ''), ' ') w from conversations), lines as (select path, list_transform(w, lambda x, i: case when i <= 200 then x || ' ' else x end) l from words)"
+
+
+@_query(f"with {_WORDS_SQL} select path, array_to_string(l, chr(10)) as text from lines")
 def docx_extract(spark: SparkSession, d: str) -> DataFrame:
     return docx_text(_docx_files(spark, d)).select("path", "text")
 

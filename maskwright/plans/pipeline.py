@@ -9,6 +9,7 @@ an error.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ..operators.catalogue import ENTITIES, MapTooLarge, identity_catalogue, ord
 from ..operators.discovery import Cataloguer, Discoverer, Extractor, TextExtractor, TimeCataloguer
 from ..operators.docx import docx_rewritten, docx_text
 from ..operators.pages import editor_for
-from ..operators.reidentify import reidentify_texts
+from ..operators.reidentify import reidentify_json, reidentify_texts
 from ..operators.replace import apply_pairs
 from ..sources import files
 
@@ -46,8 +47,8 @@ def deidentify(spark: SparkSession, inputs: str, secure: str, output: str, disco
     """Transcripts, one chronology, entities, pseudonyms, edited documents and reports.
 
     Nothing is written to output before the audit has found every key of the
-    map gone from the chronology (keys that stand in pseudonyms are expected
-    there and are not leaks).
+    map gone from the chronology's columns, the summary, the legend and the
+    edited documents (keys that stand in pseudonyms are expected and no leaks).
     """
     if secure.rstrip("/") == output.rstrip("/"):
         raise ValueError("secure and output must be two folders")
@@ -65,23 +66,23 @@ def deidentify(spark: SparkSession, inputs: str, secure: str, output: str, disco
     pairs = ordered_pairs(mapping)
     done = _saved(apply_pairs(events, pairs, ["timestamp", "category", "source_file", "speaker", "event_details"]), f"{secure}/deidentified_chronology")
 
-    if not allow_leaks:
-        inside = catalogue.agg(F.concat_ws(" ", F.collect_list("pseudonym")).alias("all"))
-        real = mapping.crossJoin(F.broadcast(inside)).where(~F.contains("all", "k")).select("k")
-        found = audit.leaks(done, "event_details", real)
-        if not found.isEmpty():
-            raise LeakFound(f"{found.count()} keys are left")
-
     heads = spark.createDataFrame([(case, summary)], "chronology string, patient_summary string")
     heads = apply_pairs(heads, pairs, ["patient_summary"]).join(chronology.categories(done), "chronology", "left")
     legend = chronology.legend_text(audit.safe_legend(catalogue, pairs))
     editable = contents.where(editor_for(extension(F.col("path"))) == "docx").select("path", "content")
-    edited = docx_rewritten(editable, pairs).withColumn("name", deidentified_name(F.col("path")))
+    edited = _saved(docx_rewritten(editable, pairs).withColumn("name", deidentified_name(F.col("path"))), f"{secure}/edited_documents")
+    if not allow_leaks:
+        # All that would leave the house, documents included.
+        texts = [done.select(F.explode(F.array("timestamp", "category", "source_file", "speaker", "event_details")).alias("text")), heads.select(F.col("patient_summary").alias("text")), legend.select(F.col("legend").alias("text")), docx_text(edited).select("text")]
+        found = audit.shared_leaks(reduce(DataFrame.union, texts), "text", mapping, catalogue)
+        if not found.isEmpty():
+            raise LeakFound(f"{found.count()} keys are left")
+
     files.write_contents(edited, f"{output}/documents")
     transcriptions, summaries = chronology.transcription(heads, done), chronology.synthesis_summary(heads, legend)
-    files.write_reports(transcriptions, f"{output}/deidentified_transcription")
-    files.write_reports(summaries, f"{output}/synthesis_summary")
-    files.write_reports(chronology.timeline_report(heads, done), f"{output}/shareable_report")
+    for name, report in (("deidentified_transcription", transcriptions), ("synthesis_summary", summaries), ("shareable_report", chronology.timeline_report(heads, done))):
+        files.write_reports(report, f"{output}/{name}")
+        files.write_report_files(report, f"{output}/{name}_files")
     files.write_json(done, f"{output}/shareable_report_json")
     return Run(done, catalogue, edited, transcriptions, summaries)
 
@@ -98,7 +99,7 @@ def reidentify(spark: SparkSession, returned: str, secure: str, output: str) ->
         raise files.Unsupported(f"{missing[0].path}: its kind needs a plug-in")
     texts = contents.where("route = 'text'").select("path", F.decode("content", "utf-8").alias("text"))
     plain = reidentify_texts(texts.where(extension(F.col("path")) != ".json"), "text", catalogue, anywhere=True)
-    done = plain.unionByName(reidentify_texts(texts.where(extension(F.col("path")) == ".json"), "text", catalogue, strip_banner=False))
+    done = plain.unionByName(reidentify_json(texts.where(extension(F.col("path")) == ".json"), "text", catalogue))
     done.write.parquet(f"{output}/reidentified_texts")
     files.write_contents(docx_rewritten(contents.where("route = 'docx'").select("path", "content"), reverse_pairs(catalogue, by_length=True)), f"{output}/reidentified_documents")
     return spark.read.parquet(f"{output}/reidentified_texts")

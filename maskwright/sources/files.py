@@ -61,6 +61,11 @@ def write_reports(reports: DataFrame, path: str, key: str = "chronology", report
     reports.select(key, report).write.parquet(path)
 
 
+def write_report_files(reports: DataFrame, path: str, key: str = "chronology", report: str = "report") -> None:
+    """Reports as text files, one a report, each in a folder that its key names."""
+    reports.select(key, report).repartition(key).write.partitionBy(key).text(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small text as one file, all at once: under another name first, then renamed; an error where the name is taken."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()

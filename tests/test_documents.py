@@ -1,13 +1,15 @@
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import chronology, pages
+from maskwright.operators import audit, chronology, pages
 from maskwright.operators import catalogue as C
-from maskwright.operators.discovery import AgentOptions, RegexGazetteer, SuppliedEntities
+from maskwright.operators.discovery import AgentOptions, RegexGazetteer, RuleCataloguer, SuppliedEntities
 from maskwright.operators.docx import docx_rewritten, raw_docx, read_docx, replace_in_runs, rewrite_docx
+from maskwright.operators.reidentify import reidentify_json
 from maskwright.plans import catalogue, pipeline
 from maskwright.plans.catalogue import docx_file
 from maskwright.sources import files
@@ -141,3 +143,54 @@ def test_docx_queries_hold_every_word_of_a_turn(spark, tmp_path):
     spark.createDataFrame([(1, 2, " ".join(words))], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for query in (catalogue.docx_extract, catalogue.docx_rewrite):
         assert query(spark, str(tmp_path)).first().text.split() == words
+
+
+def test_leaks_in_documents_and_other_columns_stop_a_run(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "session.txt").write_text("Ed: fine\n")
+    (folder / "note.docx").write_bytes(docx_file([["Ed is here"]]))
+    entities = spark.createDataFrame([(0, "Ed", "DOCTOR", "", ["ED"])], C.ENTITIES)
+    ok = pipeline.deidentify(spark, str(folder), str(tmp_path / "s1"), str(tmp_path / "o1"), SuppliedEntities(entities))
+    assert ok.edited.count() == 1
+    # Report files stand beside the table, one a report.
+    assert len(list((tmp_path / "o1" / "synthesis_summary_files").glob("chronology=case/*.txt"))) == 1
+    # A document that keeps a name is a leak, though the chronology has none.
+    monkeypatch.setattr(pipeline, "docx_rewritten", lambda files, pairs: files.select("path", "content").withColumn("n_replaced", F.lit(0)).withColumn("error", F.lit(None).cast("string")))
+    with pytest.raises(pipeline.LeakFound):
+        pipeline.deidentify(spark, str(folder), str(tmp_path / "s2"), str(tmp_path / "o2"), SuppliedEntities(entities))
+    assert not (tmp_path / "o2").exists()
+
+
+def test_keys_beside_pseudonyms_are_leaks_and_inside_are_not(spark):
+    catalogue_ = spark.createDataFrame([("DOCTOR_ED00ED00", 0), ("PATIENT_11", 1)], "pseudonym string, ord long")
+    mapping = spark.createDataFrame([("ED", "DOCTOR_ED00ED00"), ("TIE", "PATIENT_11"), ("Jo", "PATIENT_11")], "k string, v string")
+    texts = spark.createDataFrame([("DOCTOR_ED00ED00 met PATIENT_11",), ("ED met DOCTOR_ED00ED00ED",), (None,), ("",)], "text string")
+    got = {r.key: (r.n_texts, r.n_hits) for r in audit.shared_leaks(texts, "text", mapping, catalogue_).collect()}
+    assert got == {"ED": (1, 2)}
+    parts = {r.key: (r.n_texts, r.n_hits) for r in audit.key_hits(texts, "text", mapping, "k", most=1).collect()}
+    assert parts == {r.key: (r.n_texts, r.n_hits) for r in audit.key_hits(texts, "text", mapping, "k").collect()}
+    assert parts == {"ED": (2, 6), "TIE": (1, 1), "Jo": (0, 0)}
+
+
+def test_json_texts_get_names_with_quotes_and_stay_json(spark):
+    catalogue_ = spark.createDataFrame([("PATIENT_11", 'Jo "the \\ fox" é', 0)], "pseudonym string, canonical_name string, ord long")
+    texts = spark.createDataFrame([('{"who": "PATIENT_11", "n": [1, {"x": null}]}',), (None,)], "text string")
+    done = [r.text for r in reidentify_json(texts, "text", catalogue_).collect()]
+    assert json.loads(done[0]) == {"who": 'Jo "the \\ fox" é', "n": [1, {"x": None}]}
+    assert done[1] is None
+    with pytest.raises(Exception, match="not JSON"):
+        reidentify_json(spark.createDataFrame([("{broken",)], "text string"), "text", catalogue_).collect()
+
+
+def test_rules_give_categories(spark):
+    events = spark.createDataFrame([("c", 0, "t", "transcript", "a.txt", s, d) for s, d in (("System", "Date of birth: 1"), ("Nurse", "blood pressure is fine"), ("Visual Action", "she"), ("Jo", "I slept"), (None, None))], "chronology string, ord long, timestamp string, category string, source_file string, speaker string, event_details string")
+    got = [r.category for r in RuleCataloguer().catalogue([events]).orderBy("event_details").collect()]
+    assert sorted(got) == ["Clinical Interview", "Clinical Interview", "Intake Form", "Physical Assessment", "Subject Activity"]
+
+
+def test_outer_hits_over_lines(spark):
+    """A hit that another contains goes, whatever line it begins on; of equal ones the longest key's stays."""
+    rows = [(1, 0, "long key", 0, 0, 10, 10), (1, 1, "key", 2, 3, 5, 6), (1, 2, "key", 8, 8, 12, 9), (1, 3, "a", 20, 0, 22, 1), (1, 4, "ab", 20, 0, 22, 1), (2, 5, "key", 2, 3, 5, 6)]
+    hits = spark.createDataFrame(rows, "page int, hit int, k string, hit_x0 int, hit_y0 int, hit_x1 int, hit_y1 int")
+    assert {r.hit for r in pages.outer_hits(hits).collect()} == {0, 2, 4, 5}
