@@ -72,6 +72,9 @@ def _sections(*parts: Column) -> Column:
     return F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
 
 
+# The headings and labels of the three reports and of the legend below, which readers and re-identification know them by.
+
+
 def transcription(headers: DataFrame, events: DataFrame) -> DataFrame:
     """(chronology, report): the plain-text transcription. headers: (chronology, patient_summary, categories_found)."""
     block = F.concat(F.lit("["), F.col("number"), F.lit("] "), _shown("timestamp"), F.lit("  |  Speaker: "), _shown("speaker"), F.lit("  |  Category: "), _shown("category"), F.lit("\n"), _shown("event_details"), F.lit("\n"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit, chronology, pages
 from ..operators import catalogue as C
-from ..operators.discovery import PATTERNS, RegexGazetteer
+from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, SuppliedEntities
 from ..operators.docx import docx_rewritten, docx_text, runs_replaced
 from ..operators.reidentify import reidentify_records, reidentify_texts
 from ..operators.replace import apply_pairs, apply_to_documents, pseudonymise
@@ -58,10 +58,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-#: Shared by the SQL below: ents, named, rmap, pairs and cat from the fixed entities.
-_SQL = (
+def _entities_sql(entities: tuple) -> str:
+    """ents, named, rmap, pairs and cat from a list of entities, for the SQL below."""
+    return (
     "ents(ord, name, kind, ctx, vars) as (values "
-    + ", ".join(f"({o}, {_quoted(n)}, {_quoted(k)}, {_quoted(c)}, [{', '.join(map(_quoted, v))}])" for o, n, k, c, v in ENTITIES)
+    + ", ".join(f"({o}, {_quoted(n)}, {_quoted(k)}, {_quoted(c)}, [{', '.join(map(_quoted, v))}])" for o, n, k, c, v in entities)
     + f"), named as (select *, upper(trim(kind)) || '_' || upper(substr(sha256('{TEST_SALT}' || lower(trim(name))), 1, 8)) pseudonym from ents)"
     + """,
 keys as (select ord, place, trim(k) k, pseudonym from (select ord, pseudonym, unnest(list_concat(vars, [name])) k, unnest(range(len(vars) + 1)) place from named) where trim(k) <> ''),
@@ -70,7 +71,10 @@ pairs as (select list({'k': k, 'v': v} order by -length(k), first_at) p from rma
 cat as (select pseudonym, min(ord)::bigint ord, arg_max(name, ord) canonical_name, arg_max(kind, ord) entity_type, arg_max(ctx, ord) relationship_context from named group by pseudonym),
 back as (select list({'k': pseudonym, 'v': canonical_name} order by ord) p from cat)
 """
-)
+    )
+
+
+_SQL = _entities_sql(ENTITIES)
 
 
 def _fold(text: str, pairs: str = "p") -> str:
@@ -620,10 +624,50 @@ def streaming_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
 
     source = f"{d}/conversations.parquet"
     schema = spark.read.parquet(source).schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskwright-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="maskwright-")
     out, state = (f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}/{x}" for x in ("rows", "state"))
     stream = spark.readStream.schema(schema).parquet(f"{source}*").select("conv_id", "turn", "text")
     from ..streaming.pseudonymise import write_available
 
     write_available(pseudonymise_stream(stream, _pairs(spark), ["text"]), out, state).awaitTermination()
     return spark.read.parquet(out)
+
+
+#: A small case of its own: four people and places, six events of four kinds, as a whole run has them.
+CASE_ENTITIES = (
+    (0, "Johnathan Doe", "PATIENT", "the case", ("Johnathan", "Mr. Doe")),
+    (1, "Dr. Sarah Adams", "DOCTOR", "treats Johnathan", ("Dr. Adams", "Sarah Adams", "Adams")),
+    (2, "Jane Doe", "RELATIVE", "sister of Johnathan Doe", ("Jane", "Ms. Doe")),
+    (3, "Cape Town Medical Center", "FACILITY", "where Dr. Adams works", ("the Center",)),
+)
+CASE_EVENTS = (
+    (0, "Intake Day", "transcript", "form.txt", "System", "Registration of Johnathan Doe at Cape Town Medical Center"),
+    (1, "2026-05-27 10:00:10", "transcript", "talk.txt", "Dr. Sarah Adams", "Good morning, Mr. Doe. Did Jane come along?"),
+    (2, "2026-05-27 10:00:25", "transcript", "talk.txt", "Johnathan Doe", "Jane Doe waits outside, Dr. Adams."),
+    (3, "2026-05-27 10:01:00", "transcript", "talk.txt", "Visual Action", "Johnathan looks at the door"),
+    (4, "2026-05-27 10:02:00", "transcript", "talk.txt", "Sarah Adams", "Your blood pressure is fine."),
+    (5, "page 2", "transcript", "note.txt", None, "Adams, the Center"),
+)
+_CASE_SQL = _entities_sql(CASE_ENTITIES) + ", evs(ord, stamp, source, speaker, details) as (values " + ", ".join(f"({o}::bigint, {_quoted(t)}, {_quoted(f)}, {'null' if w is None else _quoted(w)}, {_quoted(x)})" for o, t, _, f, w, x in CASE_EVENTS) + ")"
+
+
+@_query(
+    f"with {_CASE_SQL}, kinds as (select *, case when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(intake|form|registration|date of birth|admission)\\b') then 'Intake Form' "
+    "when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(blood pressure|pulse|temperature|weight|examination|examined)\\b') then 'Physical Assessment' "
+    "when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(walks?|sits?|stands?|looks?|nods?|visual action)\\b') then 'Subject Activity' else 'Clinical Interview' end category from evs), "
+    f"done as (select ord, stamp, category, source, {_fold('speaker', 'pairs.p')} speaker, {_fold('details', 'pairs.p')} details from kinds, pairs) "
+    f"select ord, stamp as timestamp, category, source as source_file, speaker, details as event_details, {_fold('details', 'back.p')} as restored, (select count(*) from rmap where contains(details, k)) n_left from done, back"
+)
+def mock_run(spark: SparkSession, d: str) -> DataFrame:
+    """The run from transcripts to shared events and back on a fixed case: categories, pseudonyms, names again, and how many keys are left."""
+    events = spark.createDataFrame([("case", *e) for e in CASE_EVENTS], "chronology string, ord long, timestamp string, category string, source_file string, speaker string, event_details string")
+    entities = spark.createDataFrame([(*e[:4], list(e[4])) for e in CASE_ENTITIES], C.ENTITIES)
+    done, catalogue, mapping = pseudonymise(RuleCataloguer().catalogue([events]), ["speaker", "event_details"], SuppliedEntities(entities).discover(events, "event_details"), C.salt_frame(spark, TEST_SALT))
+    back = reidentify_texts(done.withColumn("restored", F.col("event_details")), "restored", catalogue, strip_banner=False)
+    keys = mapping.agg(F.collect_list("k").alias("keys"))
+    left = F.size(F.filter("keys", lambda k: F.contains(F.col("event_details"), k))).cast("long")
+    return back.crossJoin(F.broadcast(keys)).select("ord", "timestamp", "category", "source_file", "speaker", "event_details", "restored", left.alias("n_left"))
