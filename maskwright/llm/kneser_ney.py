@@ -14,8 +14,8 @@ are added in a second step. A word is very frequent if it stands once in
 8 * `hot_share` bytes of text, so there are at most so many such words.
 
 Each bucket ends as sorted arrays in a file of the shared folder: hashes of
-n-grams counted once, hashes and counts of the others, hashes and sums of
-contexts. Scoring tasks map these files into memory and search them; nothing of
+n-grams counted once, hashes and counts of the others, hashes of contexts seen
+once, hashes and sums of the others. Scoring tasks map these files into memory and search them; nothing of
 the model but the files' directory and the discounts goes through the driver.
 
 Nulls count as empty texts, which are one end. Texts of any length are one
@@ -49,9 +49,11 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 BLOBS = "kind string, level int, bucket long, words binary, counts binary"
 
 
-def word_hashes(text: str | None) -> list[int]:
+def word_hashes(text: str | None, most: int = -1) -> list[int]:
+    """The words' hashes; only the first ones if most is given."""
     digest = xxhash.xxh64_intdigest
-    return [digest(w, 42) for w in text.encode("utf-8", "surrogatepass").lower().split()] if text else []
+    words = text.encode("utf-8", "surrogatepass").lower().split(None, most) if text else []
+    return [digest(w, 42) for w in (words if most < 0 else words[:most])]
 
 
 def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
@@ -67,12 +69,12 @@ def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sequences(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words, with start and end, in one array, and each position's place in its text (0: start)."""
+def sequences(texts: Iterable[str | None], most: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words (or the first of each), with start and end, in one array, and each position's place in its text (0: start)."""
     parts, ends = [], np.array([END, START], np.uint64)
     sizes = []
     for t in texts:
-        words = word_hashes(t)
+        words = word_hashes(t, most)
         parts += [np.array(words, np.uint64), ends]
         sizes.append(len(words) + 2)
     # The first start stands before all parts, the last part's start is one too many.
@@ -142,15 +144,17 @@ def _joined(words: Iterable[bytes], counts: Iterable[bytes], n: int) -> tuple[li
     return list(np.concatenate(parts, axis=1)), np.concatenate([_unpack(c) for c in counts])
 
 
-def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int) -> DataFrame:
-    """Packed n-grams of the texts, summed over at_once tokens at a time; order 1 counts words and ends."""
+def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int, begins: bool = False) -> DataFrame:
+    """Packed n-grams of the texts, summed over at_once tokens at a time; order 1 counts words and ends.
+
+    begins: instead of these, the shorter n-grams that begin a text, for which its
+    first words are enough; all other shorter ones follow from the longer ones.
+    """
 
     def grams(texts: list[str | None]) -> Iterator[pd.DataFrame]:
-        flat, place = sequences(texts)
-        for level in range(min(order, 2), order + 1):
-            # Shorter ones only where they begin a text; the others follow from the longer ones.
-            last = place >= max(1, level - 1) if level == order else place == level - 1
-            ends = np.flatnonzero(last)
+        flat, place = sequences(texts, order if begins else -1)
+        for level in range(2, order) if begins else (order,):
+            ends = np.flatnonzero(place == level - 1 if begins else place >= max(1, level - 1))
             if len(ends):
                 yield _blobs(level, [flat[ends - level + 1 + i] for i in range(level)], np.ones(len(ends), np.int64), deal)
 
@@ -183,19 +187,20 @@ def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, frequent: int
                 columns, counts, h = summed(columns, counts)
                 ones = counts == 1
                 arrays = [h[ones], h[~ones], counts[~ones].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)]
-                context_sizes, extra = 0, []
+                lone, context_sizes, extra = 0, 0, []
                 if level > 1:
                     hot = deal.is_hot(columns[0])
                     keys, sums = _context_sums(gram_hash(columns[:-1])[~hot], counts[~hot])
-                    context_sizes = len(keys)
-                    arrays += [keys, *sums]
+                    once = sums[0] == 1  # most contexts: their sums need not be kept
+                    lone, context_sizes = int(once.sum()), int((~once).sum())
+                    arrays += [keys[once], keys[~once], *(x[~once] for x in sums)]
                     keys, sums = _context_sums(gram_hash(columns[:-1])[hot], counts[hot])
                     if len(keys):
                         extra.append(pd.DataFrame([("hot", level, int(b), keys[s].tobytes(), np.stack([x[s].astype(np.uint64) for x in sums]).tobytes()) for b, s in _by_bucket(deal.of_hash(keys))], columns=["kind", "level", "bucket", "words", "counts"]))
                     extra.append(_blobs(level - 1, columns[1:], np.ones(len(h), np.int64), deal))
                 data = b"".join(x.tobytes() for x in arrays)
                 file.write(data)
-                known = {"file": name, "at": at, "ones": len(arrays[0]), "many": len(arrays[1]), "wide": arrays[2].itemsize, "contexts": context_sizes}
+                known = {"file": name, "at": at, "ones": len(arrays[0]), "many": len(arrays[1]), "wide": arrays[2].itemsize, "lone": lone, "contexts": context_sizes}
                 known |= {"of": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "more": int((counts > 2).sum()), "total": int(counts.sum()), "distinct": len(h)}
                 at += len(data)
                 if frequent:
@@ -296,9 +301,7 @@ def count_ngrams(docs: DataFrame, text: str = "text", order: int = 2, bucket_byt
     deal = Deal(buckets, np.unique(np.array([int(START), *(h for b in raw.buckets.values() for h in b.pop("frequent"))], np.uint64)))
     rest = _gathered(docs, text, order, deal, at_once)
     levels, hot = [raw], {}
-    forward: DataFrame | None = None
-    if order > 2:  # n-grams that begin a text: few, and needed on their own levels
-        forward = rest.where(f"level < {order}")
+    forward = _gathered(docs, text, order, deal, at_once, begins=True) if order > 2 else None
     for level in range(order, 0, -1):
         rest = _merged(rest if level == order or forward is None else rest.unionByName(forward), level, deal, folder)
         levels.insert(1, _level(rest, level))
@@ -333,7 +336,7 @@ def _hot_contexts(merged: DataFrame, level: int, folder: str) -> dict[int, dict]
                 total, *others = np.add.reduceat(s, first, axis=1)
                 data = b"".join([k[first].tobytes(), total.tobytes(), *(x.astype(np.uint32).tobytes() for x in others)])
                 file.write(data)
-                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps({"file": name, "at": at, "ones": 0, "many": 0, "wide": 4, "contexts": len(first)}), b"")], columns=["kind", "level", "bucket", "words", "counts"])
+                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps({"file": name, "at": at, "ones": 0, "many": 0, "wide": 4, "lone": 0, "contexts": len(first)}), b"")], columns=["kind", "level", "bucket", "words", "counts"])
                 at += len(data)
             file.flush()
             os.fsync(file.fileno())
@@ -381,10 +384,14 @@ class Reader:
         out = np.zeros((4, len(h)))
         for b, a, e in _runs(bucket):
             known = buckets.get(b)
-            if not known or not known["contexts"]:
+            if not known:
+                continue
+            m, base = known["contexts"], 8 * known["ones"] + (8 + known["wide"]) * known["many"]
+            if known["lone"]:
+                out[:2, np.flatnonzero(_find(self._array(known, base, known["lone"], np.uint64), h[a:e])[0]) + a] = 1
+                base += 8 * known["lone"]
+            if not m:
                 continue
-            m = known["contexts"]
-            base = 8 * known["ones"] + (8 + known["wide"]) * known["many"]
             hit, at = _find(self._array(known, base, m, np.uint64), h[a:e])
             hit = np.flatnonzero(hit) + a
             out[0, hit] = self._array(known, base + 8 * m, m, np.uint64)[at]
