@@ -11,9 +11,10 @@ from .common import written
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has a link to another; root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds: each is a minimum per node and
-    a join, so a hub's links are never gathered in one task, and the number of
-    rounds grows with the logarithm of the longest path. Each round's links are
+    Alternating large-star and small-star rounds: each is a minimum per node,
+    which is summed before it is shuffled, and a join, in which a hub's links have
+    one key and Spark's adaptive join splits them. The number of rounds grows with
+    the logarithm of the longest path. Each round's links are
     written to the shared folder, which cuts the lineage. Null ends, loops and
     repeated links are dropped.
     """
