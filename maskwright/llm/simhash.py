@@ -242,8 +242,8 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     fingerprints can't serve here: at 0.8, a twelfth to a sixth of the bits
     differ, so no segment of a useful length is forced to be equal.) Where up to
     `hot` classes share a key, all pairs are tried. Where more do, each is tried
-    against its next ones in an order of minima, which joins the bulk of a large
-    group; then, if a bucket's classes are not one component yet, those outside
+    against the next in an order of sizes and hashes, another one in every band,
+    which joins the bulk of a large group; then, if a bucket's classes are not one component yet, those outside
     its largest are tried against all others of the bucket that are not in their
     own. Fingerprints of 256 bits prune these before sets are read.
     """
@@ -336,12 +336,12 @@ def _sizes_fit(similarity: float, a: str = "n_a", b: str = "n_b") -> Column:
 
 
 def _neighbours(index: DataFrame, hot: int, similarity: float, part_size: int = 256) -> DataFrame:
-    """(a, b): all pairs of buckets of up to hot classes, and each member of a larger one with as many next ones, within parts of the bucket that one task holds easily."""
+    """(a, b): all pairs of buckets of up to hot classes, and each member of a larger one with the next, within parts of the bucket that one task holds easily."""
     part = F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size))
     # Another order in every bucket, sizes roughly first: sets of very different sizes are not similar.
     w = Window.partitionBy("k", "part").orderBy(F.floor(F.log2("n") * 4), F.xxhash64("k", "id"), "id")
-    members = index.select("k", "id", "n", F.when(F.col("count") > part_size, part).otherwise(0).alias("part"))
-    nexts = F.array(*(F.struct(F.lead("id", i).over(w).alias("b"), F.lead("n", i).over(w).alias("n_b")) for i in range(1, max(2, hot))))
+    members = index.select("k", "id", "n", (F.col("count") <= hot).alias("few"), F.when(F.col("count") > part_size, part).otherwise(0).alias("part"))
+    nexts = F.array(*(F.struct(F.when(F.lit(i == 1) | F.col("few"), F.lead("id", i).over(w)).alias("b"), F.lead("n", i).over(w).alias("n_b")) for i in range(1, max(2, hot))))
     near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), nexts.alias("nexts")).select("a", "n_a", F.inline("nexts"))
     near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _sizes_fit(similarity))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
