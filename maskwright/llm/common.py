@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -82,3 +84,36 @@ def map_columns(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in arrow)], schema=arrow)
 
     return df.mapInArrow(rows, fields)
+
+
+def ranked(df: DataFrame, group: str, order: Iterable[str], purpose: str) -> DataFrame:
+    """df with `rank`, from 0, within its group (a column without nulls) by the order's columns, nulls first. No task holds a whole group.
+
+    Rows are dealt by ranges, sorted, numbered within each task's runs and written
+    once. Only a range's first group can have begun in ranges before it, so what
+    must be added is one row a range at most, and goes to every task.
+    """
+    at = df.columns.index(group)
+    # Equal rows may be many: a number of no meaning lets ranges divide them.
+    dealt = df.withColumn("_salt", F.monotonically_increasing_id())
+    keys = [group, *order, "_salt"]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(at).dictionary_encode().indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+            run = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+            if b.column(at)[0].as_py() == last:
+                run[: starts[1] if len(starts) > 1 else len(run)] += seen
+            last, seen = b.column(at)[-1].as_py(), int(run[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run, pa.int64()), pa.array(np.full(len(run), part), pa.int32())], names=[*b.schema.names, "rank", "_part"])
+
+    fields = T.StructType([*df.schema.fields, T.StructField("rank", T.LongType()), T.StructField("_part", T.IntegerType())])
+    rows = written(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt").mapInArrow(numbered, fields), purpose)
+    runs = rows.groupBy("_part", group).agg(F.max("rank").alias("_n"))
+    before = F.sum(F.col("_n") + 1).over(Window.partitionBy(group).orderBy("_part")) - F.col("_n") - 1
+    offsets = runs.withColumn("_before", before).where("_before > 0").select("_part", group, "_before")
+    return rows.join(F.broadcast(offsets), ["_part", group], "left").withColumn("rank", F.col("rank") + F.coalesce("_before", F.lit(0))).drop("_part", "_before").select(*df.columns, "rank")

@@ -6,6 +6,7 @@ from .compaction import OP7_SQL, op7_compaction
 from .decontamination import OP6_SQL, op6_decontamination
 from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
+from .merkle import OP11_SQL, op11_merkle
 from .segment_sampling import op4_segment_sampling
 from .simhash import op3_simhash
 from .template_extraction import op5_template_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_warc": op9_warc,
     "op10_url_cascade": op10_url_cascade,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL, "op11_merkle": OP11_SQL}
