@@ -7,6 +7,7 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
 from .merkle import OP11_SQL, op11_merkle
+from .packing import op12_packing
 from .segment_sampling import op4_segment_sampling
 from .simhash import op3_simhash
 from .template_extraction import op5_template_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_url_cascade": op10_url_cascade,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
 }
 
 ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL, "op11_merkle": OP11_SQL}
