@@ -117,3 +117,9 @@ def ranked(df: DataFrame, group: str, order: Iterable[str], purpose: str) -> Dat
     before = F.sum(F.col("_n") + 1).over(Window.partitionBy(group).orderBy("_part")) - F.col("_n") - 1
     offsets = runs.withColumn("_before", before).where("_before > 0").select("_part", group, "_before")
     return rows.join(F.broadcast(offsets), ["_part", group], "left").withColumn("rank", F.col("rank") + F.coalesce("_before", F.lit(0))).drop("_part", "_before").select(*df.columns, "rank")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of ASCII text, which must be short: byte by byte and bit by bit."""
+    bits = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({bits}, lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ranked, table, written
+from .common import UPPER, crc32_sql, ranked, table, written
 
 FAN, HEIGHT = 16, 3
 BLOCK = FAN**HEIGHT
@@ -249,12 +249,6 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-def _crc32_sql(text: str) -> str:
-    """Of ASCII text of at most 20 characters, byte by byte and bit by bit."""
-    bits = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))"
-    return f"xor(list_reduce({bits}, lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)"
-
-
 _ENCODED = " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in ("doc_id", "source", "lang", "n_chars"))
 _LEVELS_SQL = """{name}(g, level, pos, d, n) as (
   select g, 0::bigint, row_number() over (partition by g order by {order}) - 1, d, count(*) over (partition by g) from {leaves}
@@ -264,7 +258,7 @@ _LEVELS_SQL = """{name}(g, level, pos, d, n) as (
 
 OP11_SQL = f"""
 with recursive rows_ as (select doc_id, source g, sha256({_ENCODED} || case when text is null then '-' else strlen(text) || ':' || text end) d,
-  case when doc_id is not null and {_crc32_sql('doc_id::varchar')} % 5 = 0 then sha256({_ENCODED} || case when text is null then '-' else strlen(text) || ':' || translate(text, '{UPPER}', '{UPPER.lower()}') end) end claimed from documents),
+  case when doc_id is not null and {crc32_sql('doc_id::varchar')} % 5 = 0 then sha256({_ENCODED} || case when text is null then '-' else strlen(text) || ':' || translate(text, '{UPPER}', '{UPPER.lower()}') end) end claimed from documents),
 {_LEVELS_SQL.format(name="own", order="doc_id nulls first, d", leaves="rows_")},
 subroots as (select 0 g, g source, d from own where n = 1),
 {_LEVELS_SQL.format(name="tops", order="source nulls first", leaves="subroots")},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .compaction import OP7_SQL, op7_compaction
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontamination import OP6_SQL, op6_decontamination
 from .kneser_ney import op8_kneser_ney
 from .matroska import op1_matroska
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_cascade": op10_url_cascade,
     "op11_merkle": op11_merkle,
     "op12_packing": op12_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL, "op11_merkle": OP11_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_compaction": OP7_SQL, "op9_warc": OP9_SQL, "op10_url_cascade": OP10_SQL, "op11_merkle": OP11_SQL, "op13_conversation_repair": OP13_SQL}
