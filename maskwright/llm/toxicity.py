@@ -8,7 +8,7 @@ score is the text's. Only the text is read: ids, languages, sources and labels
 are no inputs.
 
 Training takes a bounded sample of labelled rows: at most `max_docs` of each
-label, the first by a hash of their id, and at most `max_bytes` of text. A
+label, the first by a hash of their id, and at most half of `max_bytes` of text of each. A
 labelled text says only that some window is toxic, so training begins with
 random windows of each text and then takes the one that the network finds most
 toxic, chosen anew every few steps. In every fourth step no word has a vector of
@@ -18,7 +18,7 @@ Nulls and empty texts are texts without words: with nothing in them that could b
 toxic their score is 0. Texts of any length are scored whole. Labels of null are no labels; a
 document with several labels counts with each. Without any label of one kind
 there is nothing to learn and every score is the share of label 1 (0 without
-labels). Repeated rows are scored each. Empty tables give empty results. Input
+labels); a handful of labels teach little, but scores are numbers all the same. Repeated rows are scored each. Empty tables give empty results. Input
 columns pass through; one with the name of the score gives way to it.
 """
 
@@ -31,10 +31,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, written
 
 WINDOW, STRIDE = 48, 24
 UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 8, 10, 8192
@@ -43,6 +43,8 @@ UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 8, 10, 8192
 #: many texts a word with a vector of its own stands, the share of label 0 that shows its most toxic window, the rate of learning, the share of words
 #: that a step treats as unknown, and over which last share of the steps parameters are averaged.
 ROUNDS, DOUBT, DECAY, LEAST_DOCS, HARD, RATE, UNKNOWN, LATE = (12, 40), 0.1, 1200, 6, 0.8, 0.02, 0.1, 0.6
+#: With few texts that would shrink vectors by more than they hold.
+MOST_DECAY = 5.0
 THRESHOLD = 0.3
 
 #: ASCII letters and digits and all of UTF-8's longer sequences stay; the rest separates words.
@@ -218,7 +220,7 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
     owner = np.repeat(np.arange(n), n_own)
     ids, mask = _windows(numbers, np.concatenate(own) + (np.cumsum(sizes) - sizes)[owner], np.minimum(sizes[owner] - np.concatenate(own), WINDOW))
     chosen: np.ndarray | None = None
-    adam = _Adam(model.p, max(1.0, DECAY / n))
+    adam = _Adam(model.p, min(max(1.0, DECAY / n), MOST_DECAY))
     rounds = min(max(200_000 // len(ids), ROUNDS[0]), ROUNDS[1])
     mean: dict[str, np.ndarray] = {}
     cost = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
@@ -257,6 +259,8 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
             for k, v in model.p.items():
                 mean[k] += (v - mean[k]) / (int(late) + 1)
     model.p = {k: v.astype(np.float32) for k, v in mean.items()}
+    if not all(np.isfinite(v).all() for v in model.p.values()):  # nothing was learnt that could score a text
+        return Model({}, {}, constant=float(y.mean()), key="constant")
     digest = hashlib.sha256(b"".join(v.tobytes() for v in model.p.values()))
     model.key = digest.hexdigest()
     return model
@@ -369,7 +373,7 @@ class _Adam:
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.01 * (x * x - self.v[k])
             if k in ("word", "char"):
-                self.p[k] *= 1 - self.decay * rate
+                self.p[k] *= max(0.0, 1 - self.decay * rate)
             self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
@@ -383,9 +387,10 @@ def remainder(key: str, by: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out: tuple[int, int] | None = (4, 2), max_docs: int = 1500, max_bytes: int = 24 << 20) -> Model:
     """A model of the labelled documents, but for those whose crc32(key) mod held_out[0] is held_out[1].
 
-    The sample is at most max_docs of each label, by a hash of the key; of it,
-    the first max_bytes of text come to the driver. Its size is the only thing
-    that the corpus does not decide. Of several texts of one id it takes the least.
+    The sample is at most max_docs of each label, the first by a hash of the key,
+    and of each label's at most half of max_bytes of text: a text that no longer
+    fits is left out, those after it that do are not. Its size is the only thing that the corpus does not decide. Of several
+    texts of one id it takes the least.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)")
     if held_out:
@@ -397,9 +402,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({}, {}, constant=0.0, key="constant")
     ids = docs.sparkSession.createDataFrame([(r["_k"], r["_y"]) for r in picked], known.schema)
     texts_ = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(ids), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
-    # At most 2 * max_docs rows get here, one for each id and label; what is over the bound of bytes stays with the workers.
-    so_far = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.orderBy(F.xxhash64("_k"), "_k", "_y"))
-    rows = texts_.select("_k", "_y", "_t", F.xxhash64("_k").alias("_o"), so_far.alias("_n")).where(F.col("_n") <= max_bytes)
+    # At most 2 * max_docs rows, one for each id and label; their lengths decide which texts come to the driver.
+    held = written(texts_, "labelled-texts")
+    sizes = held.select("_k", "_y", F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n"), F.xxhash64("_k").alias("_o")).collect()
+    room, fits = {0: max_bytes // 2, 1: max_bytes // 2}, []
+    for r in sorted(sizes, key=lambda r: (r["_o"], r["_k"], r["_y"])):
+        if r["_n"] <= room[r["_y"]]:
+            room[r["_y"]] -= r["_n"]
+            fits.append((r["_k"], r["_y"]))
+    if not fits:
+        return Model({}, {}, constant=0.0, key="constant")
+    rows = held.join(F.broadcast(docs.sparkSession.createDataFrame(fits, known.schema)), ["_k", "_y"]).select("_k", "_y", "_t", F.xxhash64("_k").alias("_o"))
     got = sorted(rows.collect(), key=lambda r: (r["_o"], r["_k"], r["_y"]))
     texts, labels_ = [r["_t"] for r in got], [r["_y"] for r in got]
     here = Counter(labels_)

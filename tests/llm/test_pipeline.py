@@ -85,6 +85,7 @@ def test_stages_keep_columns_of_any_name_and_repeated_ids(spark, tmp_path):
         assert kept.columns == frame.columns
         got = sorted((r.doc_id, len(r.text or ""), r.n_words, r.toxicity, r.hit_runs, r.component, r.score) for r in kept.collect())
         want = sorted((i, len(t or ""), n, x, h, 1, 4) for i, t, n, x, h in (rows if name != "near-duplicates" else rows[1:]))
-        if name != "toxicity":
-            assert got == want
+        if name == "toxicity":  # four labels: whatever becomes of the one toxic text, the others stay
+            got, want = ([r for r in rs if r[0] != 4] for rs in (got, want))
+        assert got == want
     assert {r.doc_id for r in corpus_pipeline.encode(spark, frame, d).collect()} == {1, 2, 3, 4}

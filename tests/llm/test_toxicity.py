@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import toxicity as X
 
@@ -176,3 +177,39 @@ def test_clashing_columns_and_bounded_texts(spark):
     assert {r._t for r in got.collect()} == {"x"}
     # No text is under the bound, so there is nothing to learn from.
     assert X.fit(docs, labels, max_bytes=1).constant == 0.0
+
+
+@pytest.mark.parametrize("n", [*range(1, 9), 12, 20])
+@pytest.mark.filterwarnings("error")
+def test_scores_are_numbers_with_few_labels(n):
+    random.seed(n)
+    text = lambda: " ".join(random.choices(["one", "two", "three", "blue", "sky", "house"], k=random.randint(5, 90)))
+    model = X.train([text() + " idiot scum" * (i % 2) for i in range(n)], [i % 2 for i in range(n)])
+    scores = model.score([text() for _ in range(40)] + ["", None, "never seen words"])
+    assert np.isfinite(scores).all()
+    assert ((scores >= 0) & (scores <= 1)).all()
+
+
+def test_few_labels_leave_ordinary_documents_alone(spark):
+    random.seed(1)
+    words = [f"w{i}" for i in range(500)]
+    docs = [(i, " ".join(random.choices(words, k=60)) + (" idiot scum trash" if i < 3 else "")) for i in range(56)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for labelled in ([0, 10, 11, 12], [0, 1, 2, 10, 11, 12]):
+        labels = spark.createDataFrame([(i, int(i < 3)) for i in labelled], "doc_id long, toxic int")
+        scored = X.score_texts(frame, X.fit(frame, labels, held_out=None)).collect()
+        assert all(r.score is not None for r in scored)
+        assert sum(r.score >= X.THRESHOLD for r in scored if r.doc_id >= 3) <= 5
+
+
+def test_a_text_over_the_budget_costs_only_itself(spark):
+    random.seed(2)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(random.choices(words, k=12)) + (" idiot scum" if i % 3 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    first = frame.orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = frame.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("much "), 2000)).otherwise(F.col("text")))
+    model = X.fit(long, labels, held_out=None, max_bytes=9000)
+    assert model.constant is None
+    assert model.score(["w1 w2 idiot scum w3"])[0] > model.score(["w1 w2 w3 w4"])[0]
