@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import reverse_pairs
-from .replace import apply_pairs
+from ..sources.scratch import written
+from .reidentify import replace_codes
+from .replace import MOST, apply_pairs
 
 
-def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """(key, n_texts, n_hits): in how many texts each key stands, and how often (hits of one key don't overlap). Keys that stand nowhere have zeros.
 
     The keys go to every worker in parts of at most `most`; with more, each part
@@ -23,6 +25,8 @@ def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int =
     own = keys.select(F.col(key).alias("key")).where("key <> ''").distinct()
     n = own.count()
     parts = max(1, -(-n // most))
+    if parts > 1:
+        own = written(own, "keys")
     found = None
     for number in range(parts):
         part = [r.key for r in own.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == number).collect()]
@@ -53,10 +57,6 @@ def _counted(shared):
 
 def _finder(keys: list[str]) -> Callable[[str], set[str]]:
     """The distinct keys that a text has."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {k for k in keys if k in text}
     if not keys:
         return lambda text: set()
     automaton = ahocorasick.Automaton()
@@ -66,15 +66,15 @@ def _finder(keys: list[str]) -> Callable[[str], set[str]]:
     return lambda text: {k for _, k in automaton.iter(text)}
 
 
-def shared_leaks(texts: DataFrame, text: str, mapping: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """The keys that stand in texts outside of pseudonyms: a key such as a short name may well stand inside one, but must not stand beside it."""
+def shared_leaks(texts: DataFrame, text: str, mapping: DataFrame, catalogue: DataFrame, most: int = MOST) -> DataFrame:
+    """The keys that stand in texts outside of pseudonyms: a key such as a short name may well stand inside one, but must not stand beside it. Map and catalogue may have any size."""
     gap = catalogue.select("pseudonym", F.lit("\0").alias("canonical_name"), "ord")
-    return leaks(apply_pairs(texts.select(text), reverse_pairs(gap, by_length=True), [text]), text, mapping)
+    return leaks(replace_codes(texts.select(text), [text], gap, by_length=True, most=most), text, mapping, most)
 
 
-def leaks(texts: DataFrame, text: str, mapping: DataFrame) -> DataFrame:
+def leaks(texts: DataFrame, text: str, mapping: DataFrame, most: int = MOST) -> DataFrame:
     """The keys of the map that still stand in pseudonymised texts. Every key is looked for, not only names."""
-    return key_hits(texts, text, mapping, "k").where("n_texts > 0")
+    return key_hits(texts, text, mapping, "k", most).where("n_texts > 0")
 
 
 def missing_pseudonyms(texts: DataFrame, text: str, catalogue: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from ..operators import catalogue as C
 from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, SuppliedEntities
 from ..operators.docx import docx_rewritten, docx_text, runs_replaced
 from ..operators.reidentify import reidentify_records, reidentify_texts
-from ..operators.replace import apply_pairs, apply_to_documents, pseudonymise
+from ..operators.replace import apply_map, apply_pairs, apply_to_documents, pseudonymise
+from ..sources.scratch import scratch_path
 from ..streaming.pseudonymise import pseudonymise_stream
 
 #: For tests only; a real salt comes from the secure folder.
@@ -203,7 +204,8 @@ def sequential_replace_vectorised(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_SQL} select doc_id, {_fold('text')} as text from documents, pairs")
 def sequential_replace_scalable(spark: SparkSession, d: str) -> DataFrame:
-    return apply_pairs(_read(spark, d, "documents", "doc_id", "text"), _pairs(spark), ["text"], scalable=True)
+    """By the form for maps of any size: keys in parts, rounds until no further key comes up."""
+    return apply_map(_read(spark, d, "documents", "doc_id", "text"), C.replacement_map(_named(spark)), ["text"], most=4)
 
 
 @_query(f"with {_SQL} select conv_id, turn, role as speaker, {_fold('text')} as text from conversations, pairs")
@@ -239,7 +241,7 @@ def regex_discover(spark: SparkSession, d: str) -> DataFrame:
 )
 def discover_and_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents", "doc_id", "text")
-    return pseudonymise(docs, ["text"], RegexGazetteer(PATTERNS).discover(docs, "text"), C.salt_frame(spark, TEST_SALT), scalable=True)[0]
+    return pseudonymise(docs, ["text"], RegexGazetteer(PATTERNS).discover(docs, "text"), C.salt_frame(spark, TEST_SALT))[0]
 
 
 # --- re-identification and audits ------------------------------------------
@@ -261,6 +263,13 @@ def reidentify_text(spark: SparkSession, d: str) -> DataFrame:
     return _reidentified(spark, d)[1]
 
 
+@_query(f"with {_TURNS_SQL} select * from back_again")
+def reidentify_joined(spark: SparkSession, d: str) -> DataFrame:
+    """By the form for catalogues of any size: codes are read off the texts and joined to the catalogue."""
+    done, _, catalogue = _reidentified(spark, d)
+    return reidentify_texts(done, "text", catalogue, strip_banner=False, most=0)
+
+
 @_query(f"with {_TURNS_SQL} select conv_id, turn, text from back_again")
 def reidentify_record(spark: SparkSession, d: str) -> DataFrame:
     done, _, catalogue = _reidentified(spark, d)
@@ -619,17 +628,10 @@ def docx_rewrite(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"with {_SQL} select conv_id, turn, {_fold('text')} as text from conversations, pairs")
 def streaming_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as a stream: what has arrived is replaced batch by batch into the shared folder, and read from there."""
-    import tempfile
-    import uuid
-
     source = f"{d}/conversations.parquet"
     schema = spark.read.parquet(source).schema
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-    out, state = (f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}/{x}" for x in ("rows", "state"))
+    root = scratch_path(spark, "stream")
+    out, state = f"{root}/rows", f"{root}/state"
     stream = spark.readStream.schema(schema).parquet(f"{source}*").select("conv_id", "turn", "text")
     from ..streaming.pseudonymise import write_available
 
