@@ -28,12 +28,14 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,48 +61,66 @@ def default_tokenizer() -> str:
 #: White space as the tokenizer's own pattern has it. Pieces of a text begin where that pattern begins a match: at the last of some white space before a word.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The tokenizer's own pattern: fixed values.
+_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The characters by which byte-level vocabularies show bytes: printable ones as they are, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class _Known(dict):
+    """The ids of short pieces of text. What isn't there is made, of the older half of what was known if it can be."""
+
+    def __init__(self, model, longest: int, older: dict[str, bytes]):
+        self.model, self.longest, self.older = model, longest, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk) or self._made(chunk)
+        if len(chunk) <= self.longest:
+            self[chunk] = found
+        return found
+
+    def _made(self, chunk: str) -> bytes:
+        # Letters alone, after a space or not, are one word; else words are told by the tokenizer's own pattern.
+        if not (chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) and (chunk.isascii() or max(chunk) < "\u02b0")):
+            words = _WORD.findall(chunk)
+            if len(words) > 1:
+                return b"".join(map(self.__getitem__, words))
+        return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit numbers. What short pieces of text give is kept, as words come again and again."""
+    """Token ids as little-endian 32-bit numbers, by a byte-level tokenizer with that pattern. What short pieces of text give is kept, as words come again and again: the pieces seen lately, in two halves, the older of which goes when the newer is full."""
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 48, at_once: int = 1 << 16):
+    def __init__(self, path: str, most: int = 2_400_000, longest: int = 48, at_once: int = 1 << 16):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile(f"({'|'.join(marks)})") if marks else None
+        self.model = self.tokenizer.model
         self.most, self.longest, self.at_once = most, longest, at_once
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.model, longest, {})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.marks and len(parts := self.marks.split(text)) > 1:  # the tokenizer takes its own marks out first
-            return b"".join(self._encode([p])[0] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+            return b"".join(self._encode(p) if i % 2 else self._plain(p) for i, p in enumerate(parts))
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
+        if len(self.known) > self.most // 2:
+            self.known = _Known(self.model, self.longest, dict(self.known))
         if len(text) < 8 * self.at_once:
-            return b"".join(self._parts(_CHUNK.findall(text)))
+            return b"".join(map(self.known.__getitem__, _CHUNK.findall(text)))
         found, out = (m.group() for m in _CHUNK.finditer(text)), []
         while some := list(islice(found, self.at_once)):
-            out.append(b"".join(self._parts(some)))
+            out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)
 
-    def _parts(self, chunks: list[str]) -> list[bytes]:
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            new = list({c for c, p in zip(chunks, parts, strict=True) if p is None})
-            got = dict(zip(new, self._encode(new), strict=True))
-            parts = [got[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
-            if len(self.known) > self.most:
-                self.known.clear()
-            self.known.update((c, p) for c, p in got.items() if len(c) <= self.longest)
-        return parts
-
 
 _encoders: dict[str, Encoder] = {}
 
