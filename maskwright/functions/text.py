@@ -107,6 +107,37 @@ ROUTES = {
 }
 
 
+#: MIME types of further extensions, by which their files are routed.
+MIMES = {
+    ".bmp": "image/bmp", ".css": "text/css", ".epub": "application/epub+zip", ".gif": "image/gif", ".js": "text/javascript", ".mpeg": "video/mpeg",
+    ".ogg": "audio/ogg", ".ogv": "video/ogg", ".sql": "application/sql", ".tif": "image/tiff", ".yaml": "application/yaml", ".yml": "application/yaml", ".zip": "application/zip",
+}
+
+
+def mime(path: Column) -> Column:
+    """Of a file's extension; null for those that no table here has."""
+    out = F.lit(None).cast("string")
+    for ext, kind in MIMES.items():
+        out = F.when(extension(path) == ext, kind).otherwise(out)
+    return out
+
+
+def is_text(content: Column) -> Column:
+    """Whether bytes are UTF-8, strictly."""
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def resolved_route(planned: Column, content: Column) -> Column:
+    """A route, after a look at the bytes: what may be text or a document is text if its bytes are."""
+    return F.when(planned != "text_or_document", planned).when(is_text(content), "text").otherwise("document")
+
+
+def unreadable(resolved: Column, content: Column) -> Column:
+    """Why a file can't be read as its route says, or null. A .doc of the old kind, or any other bytes, is no ZIP file."""
+    zipped = F.substring(content, 1, 4) == F.unhex(F.lit("504B0304"))
+    return F.when((resolved == "text") & ~is_text(content), "its bytes are not UTF-8").when((resolved == "docx") & ~F.coalesce(zipped, F.lit(False)), "it is not a ZIP file").when(resolved == "unsupported", "its kind is not known")
+
+
 def route(path: Column, mime: Column | None = None) -> Column:
     """text, docx, document, image, audio, video, text_or_document (try as text first) or unsupported.
 

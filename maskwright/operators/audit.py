@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .reidentify import replace_codes
-from .replace import MOST, apply_pairs
+from .replace import MOST, apply_map
 
 
 def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int = MOST) -> DataFrame:
@@ -92,7 +92,7 @@ def residual_pseudonyms(texts: DataFrame, text: str, catalogue: DataFrame) -> Da
     return key_hits(texts, text, catalogue, "pseudonym").where("n_texts > 0")
 
 
-def safe_legend(catalogue: DataFrame, pairs: DataFrame) -> DataFrame:
+def safe_legend(catalogue: DataFrame, mapping: DataFrame, most: int = MOST) -> DataFrame:
     """(ord, pseudonym, entity_type, relationship_context) with the context pseudonymised too, so that a shared legend shows no names."""
     legend = catalogue.select("ord", "pseudonym", "entity_type", F.coalesce("relationship_context", F.lit("")).alias("relationship_context"))
-    return apply_pairs(legend, pairs, ["relationship_context"])
+    return apply_map(legend, mapping, ["relationship_context"], most)

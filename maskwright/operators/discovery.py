@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import ENTITIES
-from .chronology import EVENT_COLUMNS, unify
+from .chronology import EVENT_COLUMNS, placed, unify
 
 
 class Extractor(Protocol):
@@ -78,6 +78,16 @@ class RuleCataloguer:
         return unify(transcripts).withColumn("category", kind)
 
 
+@dataclass
+class StrictCataloguer:
+    """Another cataloguer's events, those without a time placed among the others of their source, so that sources interleave strictly."""
+
+    of: Cataloguer = field(default_factory=TimeCataloguer)
+
+    def catalogue(self, transcripts: list[DataFrame]) -> DataFrame:
+        return placed(self.of.catalogue(transcripts))
+
+
 @dataclass
 class SuppliedEntities:
     entities: DataFrame
@@ -147,4 +157,4 @@ class AgentOptions:
         return found
 
 
-__all__ = ["CATEGORY_RULES", "EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "RuleCataloguer", "SuppliedEntities", "TextExtractor", "TimeCataloguer"]
+__all__ = ["CATEGORY_RULES", "EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "RuleCataloguer", "StrictCataloguer", "SuppliedEntities", "TextExtractor", "TimeCataloguer"]

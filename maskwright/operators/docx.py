@@ -8,10 +8,14 @@ any depth, headers and footers are edited.
 
 from __future__ import annotations
 
+import heapq
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -19,52 +23,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import written
+from .audit import key_hits
+from .catalogue import MapTooLarge, ordered_pairs
+from .replace import MOST, Keys, replaced_and_counted, surroundings
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 EDITED = re.compile(r"word/(document|header\d*|footer\d*)\.xml")
 RAW_PARTS = ("word/document.xml", "word/header1.xml", "word/footer1.xml")
 
 
-def replace_in_runs(runs: list[str], pairs: Iterable[tuple[str, str]], all_crossing: bool = True) -> tuple[list[str], int]:
+def replace_in_runs(runs: list[str], keys: Keys, all_crossing: bool = True) -> tuple[list[str], int]:
     """The runs' texts after replacement, and how many (run, key) and crossing replacements were made.
 
     all_crossing: a key that crosses runs is replaced wherever it does; without,
-    only where it does first, which leaves later ones readable.
+    only where it does first, which leaves later ones readable. Keys are found by
+    one automaton, in each run and then over all, never tried one by one.
     """
     runs, made = list(runs), 0
-    pairs = [(k, v) for k, v in pairs if k]
     for i, text in enumerate(runs):
-        for k, v in pairs:
-            if k in text:
-                text = text.replace(k, v)
-                made += 1
-        runs[i] = text
-    for k, v in pairs:
-        searched = 0
-        while (at := "".join(runs).find(k, searched)) >= 0:
+        runs[i], n = replaced_and_counted(text, keys)
+        made += n
+    joined = "".join(runs)
+    waiting = sorted(keys.found(joined))
+    queued = set(waiting)
+    while waiting:
+        rank = heapq.heappop(waiting)
+        k, v = keys.pairs[rank]
+        parts, searched = [], 0
+        while (at := joined.find(k, searched)) >= 0:
+            parts.append(joined[searched:at])
+            joined = joined[:at] + v + joined[at + len(k) :]
             _across(runs, at, at + len(k), v)
             made += 1
             searched = at + len(v)
             if not all_crossing:
                 break
+        for window in surroundings(joined, [*parts, ""], v, keys.reach) if parts else ():
+            for n in keys.found(window):
+                if n > rank and n not in queued:
+                    queued.add(n)
+                    heapq.heappush(waiting, n)
     return runs, made
 
 
 def _across(runs: list[str], start: int, end: int, value: str) -> None:
     """Puts value for the characters from start to end of the joined runs."""
-    at, first = 0, None
-    for i, text in enumerate(runs):
-        stop = at + len(text)
-        if first is None and start < stop:
-            first = i
-            head = text[: start - at]
-        if first is not None:
-            if end <= stop:
-                tail = text[end - at :]
-                for j in range(first, i + 1):
-                    runs[j] = ""
-                runs[first] = head + value + tail
-                return
-        at = stop
+    ends = list(accumulate(map(len, runs)))
+    first, last = bisect_right(ends, start), bisect_left(ends, end)
+    head, tail = runs[first][: len(runs[first]) + start - ends[first]], runs[last][len(runs[last]) + end - ends[last] :]
+    for j in range(first, last + 1):
+        runs[j] = ""
+    runs[first] = head + value + tail
 
 
 def _text(node: ET.Element) -> str:
@@ -115,7 +125,7 @@ def _set(run: ET.Element, text: str) -> None:
         t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
 
 
-def _rewritten_part(xml: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int]:
+def _rewritten_part(xml: bytes, keys: Keys) -> tuple[bytes, int]:
     for _, (prefix, uri) in ET.iterparse(io.BytesIO(xml), ["start-ns"]):
         if not re.fullmatch(r"ns\d+", prefix):
             ET.register_namespace(prefix, uri)
@@ -124,7 +134,7 @@ def _rewritten_part(xml: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, in
     for paragraph in root.iter(W + "p"):
         runs = list(paragraph.iter(W + "r"))
         before = [_text(r) for r in runs]
-        after, n = replace_in_runs(before, pairs)
+        after, n = replace_in_runs(before, keys)
         made += n
         for run, old, new in zip(runs, before, after, strict=True):
             if new != old:
@@ -132,14 +142,14 @@ def _rewritten_part(xml: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, in
     return ET.tostring(root, encoding="UTF-8", xml_declaration=True), made
 
 
-def rewrite_docx(data: bytes, pairs: Iterable[tuple[str, str]]) -> tuple[bytes, int]:
+def rewrite_docx(data: bytes, keys: Keys) -> tuple[bytes, int]:
     """The file with every pair replaced, and how many replacements were made."""
-    pairs, made, out = list(pairs), 0, io.BytesIO()
+    made, out = 0, io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         for info in z.infolist():
             content = z.read(info)
             if EDITED.fullmatch(info.filename):
-                content, n = _rewritten_part(content, pairs)
+                content, n = _rewritten_part(content, keys)
                 made += n
             to.writestr(info, content)
     return out.getvalue(), made
@@ -149,24 +159,73 @@ def rewrite_docx(data: bytes, pairs: Iterable[tuple[str, str]]) -> tuple[bytes,
 
 
 def docx_text(files: DataFrame, content: str = "content", into: str = "text") -> DataFrame:
+    """The files with their text; null for what is no DOCX file."""
+
     @F.pandas_udf("string")
     def read(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: None if d is None else read_docx(bytes(d)))
+        def text(d: bytes | None) -> str | None:
+            try:
+                return None if d is None else read_docx(bytes(d))
+            except (zipfile.BadZipFile, EOFError, NotImplementedError, zlib.error):
+                return None
+
+        return data.map(text)
 
     return files.withColumn(into, read(F.col(content)))
 
 
-def docx_rewritten(files: DataFrame, pairs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, content, n_replaced, error): the edited files. A file that can't be edited has an error and no content: originals never pass through."""
-    row = pairs.select("pairs").first()
-    shared = files.sparkSession.sparkContext.broadcast([(p["k"], p["v"]) for p in (row["pairs"] if row and row["pairs"] else [])])
+def _held(mapping: DataFrame, most: int):
+    """The map's pairs in order, for every worker."""
+    row = ordered_pairs(mapping, most).first()
+    return mapping.sparkSession.sparkContext.broadcast([(p["k"], p["v"]) for p in (row["pairs"] if row and row["pairs"] else [])])
+
+
+def docx_rewritten(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", most: int = MOST) -> DataFrame:
+    """(path, content, n_replaced, error): the edited files. A file that can't be edited has an error and no content: originals never pass through.
+
+    mapping: (k, v, ord, place) of any size, as long as the files have at most `most` of its keys: a
+    larger one is first cut down to the keys that stand in the files, and to those that editing brings up.
+    """
+    if mapping.count() <= most:
+        return _rewritten(files, _held(mapping, most), path, content)
+    held = written(mapping, "map")
+    keys, done = None, files.select(F.col(content).alias("content"))
+    while True:
+        hits = key_hits(docx_strings(done), "text", held, "k", most).where("n_texts > 0").select(F.col("key").alias("k"))
+        keys, before = written(hits if keys is None else keys.union(hits).distinct(), "keys-of-files"), 0 if keys is None else keys.count()
+        if (n := keys.count()) > most:
+            raise MapTooLarge(f"the files have {n} keys, over the bound of {most}")
+        edited = _rewritten(files, _held(held.join(F.broadcast(keys), "k", "left_semi"), most), path, content)
+        if n == before:
+            return edited
+        done = written(edited.select("content"), "edited-files")
+
+
+def docx_strings(files: DataFrame) -> DataFrame:
+    """(text) of everything that is edited in the files (content): each part's paragraphs, a line each."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for data in batch["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                        out += ["\n".join(paragraph_text(p) for p in ET.fromstring(z.read(n)).iter(W + "p")) for n in z.namelist() if EDITED.fullmatch(n)]
+                except Exception:  # noqa: BLE001  a file that can't be read won't be edited either
+                    continue
+            yield pd.DataFrame({"text": pd.Series(out, dtype=object)})
+
+    return files.where("content is not null").select("content").mapInPandas(rows, "text string")
+
 
+def _rewritten(files: DataFrame, shared, path: str, content: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = Keys(shared.value)
         for batch in batches:
             out = []
             for name, data in zip(batch[path], batch[content], strict=True):
                 try:
-                    out.append((name, *rewrite_docx(bytes(data), shared.value), None))
+                    out.append((name, *rewrite_docx(bytes(data), keys), None))
                 except Exception as error:  # noqa: BLE001  whatever is wrong with a file, the row says so
                     out.append((name, None, 0, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(out, columns=["path", "content", "n_replaced", "error"])
@@ -177,14 +236,15 @@ def docx_rewritten(files: DataFrame, pairs: DataFrame, path: str = "path", conte
 RUNS = T.StructType([T.StructField("runs", T.ArrayType(T.StringType())), T.StructField("n_replaced", T.LongType())])
 
 
-def runs_replaced(df: DataFrame, column: str, pairs: DataFrame, all_crossing: bool = True) -> DataFrame:
+def runs_replaced(df: DataFrame, column: str, mapping: DataFrame, all_crossing: bool = True, most: int = MOST) -> DataFrame:
     """Replacement in arrays of runs (one array a paragraph), inside and across them; adds n_replaced."""
-    row = pairs.select("pairs").first()
-    shared = df.sparkSession.sparkContext.broadcast([(p["k"], p["v"]) for p in (row["pairs"] if row and row["pairs"] else [])])
+    shared = _held(mapping, most)
 
     @F.pandas_udf(RUNS)
-    def replaced(column: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if runs is None else replace_in_runs([r or "" for r in runs], shared.value, all_crossing) for runs in column]
-        return pd.DataFrame(out, columns=["runs", "n_replaced"])
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keys = Keys(shared.value)
+        for column in batches:
+            out = [(None, 0) if runs is None else replace_in_runs([r or "" for r in runs], keys, all_crossing) for runs in column]
+            yield pd.DataFrame(out, columns=["runs", "n_replaced"])
 
     return df.withColumn("_r", replaced(F.col(column))).withColumns({column: F.col("_r.runs"), "n_replaced": F.col("_r.n_replaced")}).drop("_r")

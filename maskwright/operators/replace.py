@@ -70,11 +70,10 @@ def surroundings(text: str, parts: list[str], put_in: str, reach: int) -> Iterat
         yield text[begin:end]
 
 
-def replaced(text: str, keys: Keys) -> str:
-    """The text after all pairs in order, each on what the last has left."""
-    waiting = list(keys.found(text))
-    heapq.heapify(waiting)
-    queued = set(waiting)
+def replaced_and_counted(text: str, keys: Keys) -> tuple[str, int]:
+    """The text after all pairs in order, each on what the last has left, and how many keys that replaced."""
+    waiting = sorted(keys.found(text))
+    queued, made = set(waiting), 0
     while waiting:
         rank = heapq.heappop(waiting)
         k, v = keys.pairs[rank]
@@ -82,12 +81,17 @@ def replaced(text: str, keys: Keys) -> str:
         if len(parts) == 1:  # an earlier key took it away
             continue
         text = v.join(parts)
+        made += 1
         for window in surroundings(text, parts, v, keys.reach):
             for n in keys.found(window):
                 if n > rank and n not in queued:
                     queued.add(n)
                     heapq.heappush(waiting, n)
-    return text
+    return text, made
+
+
+def replaced(text: str, keys: Keys) -> str:
+    return replaced_and_counted(text, keys)[0]
 
 
 def apply_pairs(df: DataFrame, pairs: DataFrame, columns: Iterable[str], switch: int = SWITCH) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit, chronology, pages
 from ..operators import catalogue as C
-from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, SuppliedEntities
+from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, StrictCataloguer, SuppliedEntities
 from ..operators.docx import docx_rewritten, docx_text, runs_replaced
 from ..operators.reidentify import reidentify_records, reidentify_texts
 from ..operators.replace import apply_map, apply_pairs, apply_to_documents, pseudonymise
@@ -51,6 +51,10 @@ def _named(spark: SparkSession) -> DataFrame:
     return C.with_pseudonym(_entities(spark), C.salt_frame(spark, TEST_SALT))
 
 
+def _map(spark: SparkSession) -> DataFrame:
+    return C.replacement_map(_named(spark))
+
+
 def _pairs(spark: SparkSession) -> DataFrame:
     return C.ordered_pairs(C.replacement_map(_named(spark)))
 
@@ -82,6 +86,13 @@ def _fold(text: str, pairs: str = "p") -> str:
     return f"list_reduce({pairs}, lambda a, x: {{'k': replace(a.k, x.k, x.v), 'v': ''}}, {{'k': {text}, 'v': ''}}).k"
 
 
+def _counted(text: str, n: str, crossing: bool) -> str:
+    """SQL: a fold that counts: keys that a run has, or in the second pass their occurrences."""
+    made = "(length(a.k) - length(replace(a.k, x.k, ''))) // length(x.k)" if crossing else "contains(a.k, x.k)::bigint"
+    pairs = "list_transform(p, lambda y: {'k': y.k, 'v': y.v, 'n': 0::bigint})"
+    return f"list_reduce({pairs}, lambda a, x: {{'k': replace(a.k, x.k, x.v), 'v': '', 'n': a.n + {made}}}, {{'k': {text}, 'v': '', 'n': {n}}})"
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -367,6 +378,40 @@ def first_events(spark: SparkSession, d: str) -> DataFrame:
     return chronology.numbered(_events(spark, d)).where("number <= 2").select("chronology", "number", "category", "source_file")
 
 
+@_query(
+    f"with {_EVENTS_SQL}, one as (select *, row_number() over (order by ts asc nulls last, source_file, chronology * 10000000 + ord, event_details) n from numbered) "
+    "select 'case' as chronology, n as number, md5('Event #' || n || chr(10) || 'Timestamp: ' || timestamp || chr(10) || 'Category:  ' || category || chr(10) || 'Speaker:   ' || coalesce(speaker, 'None') || chr(10) || 'Details:   ' || coalesce(event_details, 'None') || chr(10) || repeat('-', 80) || chr(10) || chr(10)) text_md5 from one"
+)
+def one_case_report(spark: SparkSession, d: str) -> DataFrame:
+    """All events of all tables as one case: a report that no row could hold, by its lines."""
+    events = _events(spark, d).withColumn("ord", F.col("chronology") * 10_000_000 + F.col("ord")).withColumn("chronology", F.lit("case"))
+    heads = spark.createDataFrame([("case", "all", None)], "chronology string, patient_summary string, categories_found array<string>")
+    return chronology.timeline_report(heads, events).where("number > 0").select("chronology", "number", F.md5("text").alias("text_md5"))
+
+
+_STRICT_SQL = """given as (select user_id % 20 chronology, event_id ord, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then 'page ' || (event_id * 7 % 11) when 2 then 'later' else 'Session 1 - 00:05' end as timestamp, 'log ' || event_id % 3 source_file, props event_details from events
+union all select conv_id % 20, conv_id * 1000 + turn, 'turn ' || turn, 'talk ' || conv_id % 2, text from conversations),
+known as (select *, try_cast(timestamp as timestamp) ts from given),
+followed as (select *, last_value(ts ignore nulls) over w known_ts, first_value(ts ignore nulls) over (partition by chronology, source_file order by ord, event_details rows between unbounded preceding and unbounded following) first_ts from known window w as (partition by chronology, source_file order by ord, event_details rows between unbounded preceding and current row)),
+staged as (select *, coalesce(ts, known_ts, first_ts) placed, case when ts is not null then 1 when known_ts is not null then 2 else 0 end stage, case when ts is null then nullif(regexp_extract(timestamp, '(?i)\\b(?:page|line|turn)\\s+([0-9]{1,9})', 1), '')::bigint end page from followed)"""
+
+
+@_query(f"with {_STRICT_SQL} select chronology, row_number() over (partition by chronology order by placed asc nulls last, source_file, stage, page asc nulls last, ord, event_details) as number, ord, source_file, timestamp from staged")
+def strict_chronology(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose events mostly have no time, interleaved by what is known of it."""
+    r = F.col("event_id") % 4
+    own = _read(spark, d, "events", "event_id", "ts", "user_id", "props").select(
+        (F.col("user_id") % 20).alias("chronology"), F.col("event_id").alias("ord"),
+        F.when(r == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(r == 1, F.concat(F.lit("page "), F.col("event_id") * 7 % 11)).when(r == 2, "later").otherwise("Session 1 - 00:05").alias("timestamp"),
+        F.lit("c").alias("category"), F.concat(F.lit("log "), F.col("event_id") % 3).alias("source_file"), F.lit("s").alias("speaker"), F.col("props").alias("event_details"),
+    )
+    talk = _read(spark, d, "conversations", "conv_id", "turn", "text").select(
+        (F.col("conv_id") % 20).alias("chronology"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(F.lit("turn "), "turn").alias("timestamp"),
+        F.lit("c").alias("category"), F.concat(F.lit("talk "), F.col("conv_id") % 2).alias("source_file"), F.lit("s").alias("speaker"), F.col("text").alias("event_details"),
+    )
+    return chronology.numbered(StrictCataloguer().catalogue([own, talk])).select("chronology", "number", "ord", "source_file", "timestamp")
+
+
 @_query(f"with {_EVENTS_SQL} select chronology, array_to_string(list(distinct category order by category), '; ') categories from unified group by chronology")
 def categories_found(spark: SparkSession, d: str) -> DataFrame:
     return chronology.categories(_events(spark, d)).select("chronology", F.array_join("categories_found", "; ").alias("categories"))
@@ -414,7 +459,7 @@ _REPORT_SQL = f"{_EVENTS_SQL}, heads as (select chronology, 'case ' || chronolog
     f"{_sql_text('-' * 72 + chr(10) + 'CHRONOLOGICAL EVENTS' + chr(10) + '-' * 72 + chr(10) * 2)} || b) report_md5 from heads join blocks using (chronology)"
 )
 def deid_transcript(spark: SparkSession, d: str) -> DataFrame:
-    return chronology.transcription(_headers(spark, d), _events(spark, d)).select("chronology", F.md5("report").alias("report_md5"))
+    return chronology.whole(chronology.transcription(_headers(spark, d), _events(spark, d))).select("chronology", F.md5("report").alias("report_md5"))
 
 
 @_query(
@@ -422,12 +467,12 @@ def deid_transcript(spark: SparkSession, d: str) -> DataFrame:
     f"select chronology, md5({_sql_text(chronology.BANNER + 'PATIENT SYNTHESIS SUMMARY:' + chr(10))} || summary || {_sql_text(chr(10) * 2 + '=' * 80 + chr(10) + 'UNIFIED CLINICAL TIMELINE (PSEUDONYMISED)' + chr(10) + '=' * 80 + chr(10) * 2)} || b) report_md5 from heads join blocks using (chronology)"
 )
 def timeline_report(spark: SparkSession, d: str) -> DataFrame:
-    return chronology.timeline_report(_headers(spark, d), _events(spark, d)).select("chronology", F.md5("report").alias("report_md5"))
+    return chronology.whole(chronology.timeline_report(_headers(spark, d), _events(spark, d))).select("chronology", F.md5("report").alias("report_md5"))
 
 
 @_query(f"with {_SQL} select ord, pseudonym, entity_type, {_fold('relationship_context')} as relationship_context from cat, pairs")
 def safe_legend(spark: SparkSession, d: str) -> DataFrame:
-    return audit.safe_legend(C.identity_catalogue(_named(spark)), _pairs(spark))
+    return audit.safe_legend(C.identity_catalogue(_named(spark)), _map(spark))
 
 
 @_query(
@@ -436,8 +481,8 @@ def safe_legend(spark: SparkSession, d: str) -> DataFrame:
     f"{_sql_text('=' * 80 + chr(10) + 'PSEUDONYM HASH LEGEND' + chr(10) + '=' * 80 + chr(10) * 2)} || t || chr(10)) report_md5 from heads, legend"
 )
 def synthesis_summary(spark: SparkSession, d: str) -> DataFrame:
-    legend = chronology.legend_text(audit.safe_legend(C.identity_catalogue(_named(spark)), _pairs(spark)))
-    return chronology.synthesis_summary(_headers(spark, d), legend).select("chronology", F.md5("report").alias("report_md5"))
+    legend = chronology.legend_lines(audit.safe_legend(C.identity_catalogue(_named(spark)), _map(spark)))
+    return chronology.whole(chronology.synthesis_summary(_headers(spark, d), legend)).select("chronology", F.md5("report").alias("report_md5"))
 
 
 # --- files and scalar rules ------------------------------------------------
@@ -517,12 +562,28 @@ def run_replace(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("conv_id", "turn", F.array_join(F.transform("runs", lambda r: X.replace_in_order(r, F.col("pairs"))), "|").alias("runs"))
 
 
+def _crossed(spark: SparkSession, d: str) -> DataFrame:
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 5).cast("int"))), lambda i: F.substring(F.col("text"), i * 5 + 1, F.lit(5)))
+    turns = _read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", runs.alias("runs"))
+    return runs_replaced(turns, "runs", _map(spark))
+
+
 @_query()
 def cross_run_replace(spark: SparkSession, d: str) -> DataFrame:
     """Inside and across runs of five characters."""
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 5).cast("int"))), lambda i: F.substring(F.col("text"), i * 5 + 1, F.lit(5)))
-    turns = _read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", runs.alias("runs"))
-    return runs_replaced(turns, "runs", _pairs(spark)).select("conv_id", "turn", F.array_join("runs", "|").alias("runs"), "n_replaced")
+    return _crossed(spark, d).select("conv_id", "turn", F.array_join("runs", "|").alias("runs"), "n_replaced")
+
+
+@_query(
+    f"with {_SQL}, runs as (select conv_id, turn, unnest(range(greatest(1, (length(text) + 4) // 5))) i, text from conversations), "
+    f"first as (select conv_id, turn, i, {_counted('substr(text, i * 5 + 1, 5)', '0::bigint', False)} r from runs, pairs), "
+    "joined as (select conv_id, turn, string_agg(r.k, '' order by i) k, sum(r.n)::bigint n from first group by conv_id, turn), "
+    f"both_ as (select conv_id, turn, {_counted('k', 'n', True)} r from joined, pairs) "
+    "select conv_id, turn, r.k as text, r.n n_replaced from both_"
+)
+def cross_run_text(spark: SparkSession, d: str) -> DataFrame:
+    """What cross_run_replace leaves, as one text."""
+    return _crossed(spark, d).select("conv_id", "turn", F.array_join("runs", "").alias("text"), "n_replaced")
 
 
 _FONTS = ("Helvetica", "Arial-BoldMT", "Courier-Oblique", "SansSerif-Bold", "TimesNewRoman,BoldItalic", "Symbol", "ZapfDingbats", "DejaVuSansMono-Bold", "Gotham-Black", "Lato-Italic")
@@ -619,9 +680,14 @@ def docx_extract(spark: SparkSession, d: str) -> DataFrame:
     return docx_text(_docx_files(spark, d)).select("path", "text")
 
 
-@_query()
+@_query(
+    f"with {_SQL}, {_WORDS_SQL}, runs as (select path, unnest(w) word, unnest(range(1, len(w) + 1)) i from words union all select path, 'thth heads this', 0 from words), "
+    f"first as (select path, i, {_counted("case when i between 1 and 200 then left(word, 3) else word end", '0::bigint', False)} head, {_counted("case when i between 1 and 200 then substr(word, 4) || ' ' else '' end", '0::bigint', False)} tail from runs, pairs), "
+    f"both_ as (select path, i, {_counted('head.k || tail.k', 'head.n + tail.n', True)} r from first, pairs) "
+    "select path, string_agg(r.k, chr(10) order by i) filter (i > 0) as text, sum(r.n)::bigint n_replaced, null::varchar as error from both_ group by path"
+)
 def docx_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    done = docx_rewritten(_docx_files(spark, d), _pairs(spark))
+    done = docx_rewritten(_docx_files(spark, d), _map(spark))
     return docx_text(done).select("path", "text", "n_replaced", "error")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import base_name, extension, is_input, route
+from ..functions.text import base_name, extension, is_input, mime, resolved_route, route, unreadable
 from ..operators.catalogue import salt_frame
 
 
@@ -32,18 +32,19 @@ class Unsupported(RuntimeError):
 def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, extension, length, route) of the folder's own files that are not hidden, without their content."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where(is_input(F.col("path")))
-    return files.withColumns({"name": base_name(F.col("path")), "extension": extension(F.col("path")), "route": route(F.col("path"))})
+    return files.withColumns({"name": base_name(F.col("path")), "extension": extension(F.col("path")), "route": route(F.col("path"), mime(F.col("path")))})
 
 
-def read_contents(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
-    """(path, length, content, route); of one route if kind is given."""
-    files = spark.read.format("binaryFile").load(folder).where(is_input(F.col("path"))).select("path", "length", "content").withColumn("route", route(F.col("path")))
-    return files if kind is None else files.where(F.col("route") == kind)
+def read_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content, route, reason): routes by name, then by content; the reason why a file can't be read, or null. One broken file is a row, not the end of a job."""
+    files = spark.read.format("binaryFile").load(folder).where(is_input(F.col("path"))).select("path", "length", "content")
+    routed = files.withColumn("route", resolved_route(route(F.col("path"), mime(F.col("path"))), F.col("content")))
+    return routed.withColumn("reason", unreadable(F.col("route"), F.col("content")))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the text files, whole; bytes that are not UTF-8 are an error."""
-    return read_contents(spark, folder, "text").select("path", F.decode("content", "utf-8").alias("text"))
+    return read_contents(spark, folder).where("route = 'text'").select("path", F.decode("content", "utf-8").alias("text"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -56,14 +57,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_reports(reports: DataFrame, path: str, key: str = "chronology", report: str = "report") -> None:
-    """Reports as Parquet by key: (key, report)."""
-    reports.select(key, report).write.parquet(path)
+def write_report(lines: DataFrame, path: str, key: str = "chronology") -> None:
+    """Reports (key, number, text) as text: for each key a folder of part files which, one after another by their names, are the report. Texts end with a line's end each, as reports do."""
+    rows = lines.select(key, "number", F.regexp_replace("text", r"\n\z", "").alias("value"))
+    rows.repartitionByRange(key, "number").sortWithinPartitions(key, "number").select(key, "value").write.partitionBy(key).text(path)
 
 
-def write_report_files(reports: DataFrame, path: str, key: str = "chronology", report: str = "report") -> None:
-    """Reports as text files, one a report, each in a folder that its key names."""
-    reports.select(key, report).repartition(key).write.partitionBy(key).text(path)
+def write_texts(texts: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """Texts as files of their names in a folder; each ends with a line's end. A name that comes twice is an error before anything is written."""
+    spark = texts.sparkSession
+    if not (twice := texts.groupBy(name).count().where("count > 1").limit(1)).isEmpty():
+        raise ValueError(f"{twice.first()[0]}: several texts have this name")
+    waiting = f"{path.rstrip('/')}/_{uuid.uuid4().hex}"
+    texts.select(F.col(name).alias("name"), F.regexp_replace(text, r"\n\z", "").alias("value")).repartition("name").write.partitionBy("name").text(waiting)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(waiting).getFileSystem(conf)
+    unescaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in fs.listStatus(fs_path(waiting)):
+        own = folder.getPath().getName()
+        if own.startswith("name="):
+            (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if not fs.rename(part, fs_path(f"{path}/{unescaped(own[5:])}")):
+                raise FileExistsError(f"{path}/{unescaped(own[5:])}")
+    fs.delete(fs_path(waiting), True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -3,33 +3,78 @@ import json
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.operators import audit, chronology, pages
 from maskwright.operators import catalogue as C
-from maskwright.operators.discovery import AgentOptions, RegexGazetteer, RuleCataloguer, SuppliedEntities
-from maskwright.operators.docx import docx_rewritten, raw_docx, read_docx, replace_in_runs, rewrite_docx
+from maskwright.operators.discovery import AgentOptions, RegexGazetteer, RuleCataloguer, StrictCataloguer, SuppliedEntities
+from maskwright.operators.docx import docx_rewritten, docx_text, raw_docx, read_docx, replace_in_runs, rewrite_docx
 from maskwright.operators.reidentify import reidentify_json
+from maskwright.operators.replace import Keys
 from maskwright.plans import catalogue, pipeline
 from maskwright.plans.catalogue import docx_file
 from maskwright.sources import files
 
 
+MAP = "k string, v string, ord long, place int"
+
+
+def plain_runs(runs, pairs):
+    """Every key tried on every run, then on all runs together, character by character with the run that each stands in."""
+    runs, made = list(runs), 0
+    for i in range(len(runs)):
+        for k, v in pairs:
+            made += k in runs[i]
+            runs[i] = runs[i].replace(k, v)
+    held = [(c, i) for i, run in enumerate(runs) for c in run]
+    for k, v in pairs:
+        at = 0
+        while (at := "".join(c for c, _ in held).find(k, at)) >= 0:
+            first, last = held[at][1], held[at + len(k) - 1][1]
+            rest = [(c, first if i == last else i) for c, i in held[at + len(k) :]]
+            held = held[:at] + [(c, first) for c in v] + rest
+            at += len(v)
+            made += 1
+    return ["".join(c for c, j in held if j == i) for i in range(len(runs))], made
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text("abc", max_size=4), max_size=6), st.lists(st.tuples(st.text("abc", min_size=1, max_size=3), st.text("abX", max_size=3)), max_size=6, unique_by=lambda p: p[0]))
+def test_runs_are_those_of_trying_every_key(runs, pairs):
+    pairs = sorted(pairs, key=lambda p: -len(p[0]))
+    assert replace_in_runs(runs, Keys(pairs)) == plain_runs(runs, pairs)
+
+
+def test_documents_meet_maps_of_any_size(spark):
+    """A map in parts is cut down to the keys that the files have, and to one that editing brings up."""
+    files_ = spark.createDataFrame([("a", bytearray(docx_file([["Ja", "ne met Bo"]], ["Bo"], "Jane"))), ("b", bytearray(b"no zip"))], "path string, content binary")
+    rows = [("Jane", "QX", 0, 0), ("Bo", "P_2", 1, 0), ("QX", "R", 2, 0), *((f"absent {i}", "Z", i + 3, 0) for i in range(20))]
+    mapping = spark.createDataFrame(rows, MAP)
+    whole = {r.path: r for r in docx_rewritten(files_, mapping).collect()}
+    parts = {r.path: r for r in docx_rewritten(files_, mapping, most=5).collect()}
+    assert read_docx(bytes(parts["a"].content)) == read_docx(bytes(whole["a"].content)) == "R met P_2\nP_2"
+    assert parts["b"].error
+    with pytest.raises(C.MapTooLarge):
+        docx_rewritten(files_, mapping, most=2)
+
+
 def test_runs_inside_and_across():
-    assert replace_in_runs(["Jane and Jane"], [("Jane", "R_1")]) == (["R_1 and R_1"], 1)
-    assert replace_in_runs(["Ja", "n", "e Doe!", " x"], [("Jane Doe", "R_1")]) == (["R_1!", "", "", " x"], 1)
-    runs, n = replace_in_runs(["Ja", "ne, Ja", "ne"], [("Jane", "R_1")])
+    assert replace_in_runs(["Jane and Jane"], Keys([("Jane", "R_1")])) == (["R_1 and R_1"], 1)
+    assert replace_in_runs(["Ja", "n", "e Doe!", " x"], Keys([("Jane Doe", "R_1")])) == (["R_1!", "", "", " x"], 1)
+    runs, n = replace_in_runs(["Ja", "ne, Ja", "ne"], Keys([("Jane", "R_1")]))
     assert ("".join(runs), n) == ("R_1, R_1", 2)
-    runs, n = replace_in_runs(["Ja", "ne, Ja", "ne"], [("Jane", "R_1")], all_crossing=False)
+    runs, n = replace_in_runs(["Ja", "ne, Ja", "ne"], Keys([("Jane", "R_1")]), all_crossing=False)
     assert ("".join(runs), n) == ("R_1, Jane", 1)
-    assert replace_in_runs(["a", "b"], [("ab", "abab")]) == (["abab", ""], 1)
-    assert replace_in_runs([], [("x", "y")]) == ([], 0)
+    assert replace_in_runs(["a", "b"], Keys([("ab", "abab")])) == (["abab", ""], 1)
+    assert replace_in_runs([], Keys([("x", "y")])) == ([], 0)
 
 
 def test_docx_is_read_and_rewritten():
     data = docx_file([["Hello ", "Ja", "ne"], ["& <b>"]], ["cell Jane", "two"], "head Jane")
     assert read_docx(data) == "Hello Jane\n& <b>\ncell Jane\ntwo"
-    new, n = rewrite_docx(data, [("Jane", "R_1")])
+    new, n = rewrite_docx(data, Keys([("Jane", "R_1")]))
     assert n == 3
     assert read_docx(new) == "Hello R_1\n& <b>\ncell R_1\ntwo"
     assert "Jane" not in raw_docx(new)
@@ -43,8 +88,8 @@ def test_broken_docx_is_read_raw_and_not_passed_on(spark):
         z.writestr("word/document.xml", "<w:p>Jane<br>  Doe")
     assert read_docx(out.getvalue()) == "Jane Doe"
     df = spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"no zip"))], "path string, content binary")
-    pairs = spark.createDataFrame([([("Jane", "R")],)], "pairs array<struct<k:string,v:string>>")
-    for row in docx_rewritten(df, pairs).collect():
+    assert [r.text for r in docx_text(df).orderBy("path").collect()] == ["Jane Doe", None]
+    for row in docx_rewritten(df, spark.createDataFrame([("Jane", "R", 0, 0)], MAP)).collect():
         assert row.content is None
         assert row.error
 
@@ -103,7 +148,7 @@ def test_unify_orders_undated_events_last(spark):
     got = chronology.numbered(chronology.unify([events])).orderBy("number").collect()
     assert [r.ord for r in got] == [2, 1, 0]
     heads = spark.createDataFrame([("c", "sum", ["x", "y"]), ("d", "", None)], "chronology string, patient_summary string, categories_found array<string>")
-    reports = {r.chronology: r.report for r in chronology.transcription(heads, chronology.unify([events])).collect()}
+    reports = {r.chronology: r.report for r in chronology.whole(chronology.transcription(heads, chronology.unify([events]))).collect()}
     assert "[3] Intake Day  |  Speaker: Unknown  |  Category: x\nu\n" in reports["c"]
     assert reports["d"].endswith("CHRONOLOGICAL EVENTS\n" + "-" * 72 + "\n\n")
 
@@ -114,11 +159,18 @@ def test_whole_run_and_back(spark, tmp_path):
     (folders["in"] / "session.txt").write_text("Dr. Adams: Jane Doe came at ten.\nJane: I slept badly.\n")
     (folders["in"] / "note.docx").write_bytes(docx_file([["Ja", "ne Doe is tired"]]))
     (folders["in"] / ".hidden").write_text("Jane")
+    (folders["in"] / "old.doc").write_bytes(b"\xd0\xcf\x11\xe0 an old kind of file")
+    (folders["in"] / "bad.txt").write_bytes(b"\xff\xfe\xfa")
+    (folders["in"] / "x.odd").write_bytes(b"?")
+    (folders["in"] / "plan.yaml").write_text("who: Jane Doe\n")
     entities = spark.createDataFrame([(0, "Jane Doe", "PATIENT", "the case", ["Jane"]), (1, "Dr. Adams", "DOCTOR", "treats Jane", ["Adams"])], C.ENTITIES)
     paths = {k: str(v) for k, v in folders.items()}
     run = pipeline.deidentify(spark, paths["in"], paths["secure"], paths["out"], SuppliedEntities(entities), summary="Jane Doe sleeps badly")
-    report = run.transcriptions.first().report
-    summary = run.summaries.first().report
+    report = chronology.whole(run.transcriptions).first().report
+    summary = chronology.whole(run.summaries).first().report
+    for name, text in (("deidentified_transcription.txt", report), ("synthesis_summary.txt", summary)):
+        assert "".join(f.read_text() for f in sorted((folders["out"] / name / "chronology=case").glob("part-*.txt"))) == text
+    assert {r.path.rpartition("/")[2]: r.reason for r in run.unread.collect()} == {"old.doc": "it is not a ZIP file", "bad.txt": "its bytes are not UTF-8", "x.odd": "its kind is not known"}
     assert "Jane" not in report + summary
     assert "Adams" not in report + summary
     edited = spark.read.parquet(f"{paths['out']}/documents").collect()
@@ -127,8 +179,14 @@ def test_whole_run_and_back(spark, tmp_path):
     folders["returned"].mkdir()
     (folders["returned"] / "deidentified_report.txt").write_text("Forwarded\n\n\n\n\n" + summary)
     (folders["returned"] / "deidentified_note.docx").write_bytes(bytes(edited[0].content))
-    text = pipeline.reidentify(spark, paths["returned"], paths["secure"], paths["back"]).first().text
+    code = run.catalogue.where("entity_type = 'PATIENT'").first().pseudonym
+    (folders["returned"] / "deidentified_b = c.json").write_text(json.dumps({"who": code}, indent=2))
+    pipeline.reidentify(spark, paths["returned"], paths["secure"], paths["back"])
+    text = (folders["back"] / "reidentified_files" / "reidentified_report.txt").read_text()
     assert text.startswith("PATIENT SYNTHESIS SUMMARY:\nJane Doe sleeps badly")
+    assert json.loads((folders["back"] / "reidentified_files" / "reidentified_b = c.json").read_text()) == {"who": "Jane Doe"}
+    with pytest.raises(ValueError, match="several"):
+        files.write_texts(spark.createDataFrame([("a", "x"), ("a", "y")], "name string, text string"), str(tmp_path / "names"))
     docs = spark.read.parquet(f"{paths['back']}/reidentified_documents").collect()
     assert read_docx(bytes(docs[0].content)) == "Jane Doe is tired"
     (folders["returned"] / "x.pdf").write_bytes(b"%PDF")
@@ -153,8 +211,7 @@ def test_leaks_in_documents_and_other_columns_stop_a_run(spark, tmp_path, monkey
     entities = spark.createDataFrame([(0, "Ed", "DOCTOR", "", ["ED"])], C.ENTITIES)
     ok = pipeline.deidentify(spark, str(folder), str(tmp_path / "s1"), str(tmp_path / "o1"), SuppliedEntities(entities))
     assert ok.edited.count() == 1
-    # Report files stand beside the table, one a report.
-    assert len(list((tmp_path / "o1" / "synthesis_summary_files").glob("chronology=case/*.txt"))) == 1
+    assert list((tmp_path / "o1" / "synthesis_summary.txt").glob("chronology=case/*.txt"))
     # A document that keeps a name is a leak, though the chronology has none.
     monkeypatch.setattr(pipeline, "docx_rewritten", lambda files, pairs: files.select("path", "content").withColumn("n_replaced", F.lit(0)).withColumn("error", F.lit(None).cast("string")))
     with pytest.raises(pipeline.LeakFound):
@@ -194,3 +251,31 @@ def test_outer_hits_over_lines(spark):
     rows = [(1, 0, "long key", 0, 0, 10, 10), (1, 1, "key", 2, 3, 5, 6), (1, 2, "key", 8, 8, 12, 9), (1, 3, "a", 20, 0, 22, 1), (1, 4, "ab", 20, 0, 22, 1), (2, 5, "key", 2, 3, 5, 6)]
     hits = spark.createDataFrame(rows, "page int, hit int, k string, hit_x0 int, hit_y0 int, hit_x1 int, hit_y1 int")
     assert {r.hit for r in pages.outer_hits(hits).collect()} == {0, 2, 4, 5}
+
+
+def test_a_long_case_is_numbered_and_written_in_parts(spark, tmp_path):
+    """One case over many ranges, most events alike in time: numbers without gaps, parts that make the report."""
+    events = spark.range(5000).select(F.lit("case").alias("chronology"), F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, "2026-01-01 10:00:00").otherwise("x").alias("timestamp"), F.lit("k").alias("category"), F.lit("f").alias("source_file"), F.lit("s").alias("speaker"), F.concat(F.lit("e"), "id").alias("event_details")).repartition(7)
+    heads = spark.createDataFrame([("case", "s", ["k"])], "chronology string, patient_summary string, categories_found array<string>")
+    lines = chronology.timeline_report(heads, chronology.unify([events]))
+    rows = lines.orderBy("number").collect()
+    assert [r.number for r in rows] == list(range(5001))
+    assert [r.text.split("Details:   e")[1].split("\n")[0] for r in rows[1:]] == [str(i) for i in [*range(0, 5000, 2), *range(1, 5000, 2)]]
+    files.write_report(lines, str(tmp_path / "r.txt"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "r.txt" / "chronology=case").glob("part-*.txt"))) == "".join(r.text for r in rows)
+
+
+def test_untimed_events_stand_where_their_source_has_them(spark):
+    rows = [("a", 0, "Intake Day"), ("a", 1, "2026-05-27 10:00:00"), ("a", 2, "page 2"), ("a", 3, "page 1"), ("a", 4, "2026-05-27 12:00:00"), ("a", 5, "later"), ("b", 0, "2026-05-27 11:00:00"), ("b", 1, "then"), ("c", 0, "page 3"), ("d", 0, "2026-05-27 10:00:00"), (None, 0, None)]
+    events = spark.createDataFrame([("x", o, t, "k", f, "s", None) for f, o, t in rows], "chronology string, ord long, timestamp string, category string, source_file string, speaker string, event_details string").repartition(5)
+    got = [(r.source_file, r.ord) for r in chronology.numbered(StrictCataloguer().catalogue([events])).orderBy("number").collect()]
+    assert got == [("a", 0), ("a", 1), ("a", 3), ("a", 2), ("d", 0), ("b", 0), ("b", 1), ("a", 4), ("a", 5), (None, 0), ("c", 0)]
+
+
+def test_values_are_carried_over_ranges(spark):
+    from maskwright.operators.order import ranked
+
+    rows = [(g, i, i if i % 97 == 5 else None) for g in ("a", None, "b") for i in range(700)]
+    got = ranked(spark.createDataFrame(rows, "g string, i int, v int").repartition(6), "g", ["i"], into="n", carried=("v", "last")).collect()
+    assert len(got) == 2100
+    assert all(r.n == r.i and r["last"] == (None if r.i < 5 else (r.i - 5) // 97 * 97 + 5) for r in got)

@@ -166,7 +166,7 @@ def test_round_trip_and_audits(spark, named):
     assert back.first().t == "Johnathan Doe met Dr. Sarah Adams; Jane Doe waited at Cape Town Medical Center."
     assert audit.unrestored_names(back, "t", catalogue).count() == 0
     assert audit.residual_pseudonyms(back, "t", catalogue).count() == 0
-    legend = {r.pseudonym: r.relationship_context for r in audit.safe_legend(catalogue, C.ordered_pairs(mapping)).collect()}
+    legend = {r.pseudonym: r.relationship_context for r in audit.safe_legend(catalogue, mapping).collect()}
     assert "Johnathan" not in "".join(legend.values())
 
 
