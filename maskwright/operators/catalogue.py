@@ -7,7 +7,7 @@ The salt is a one-row frame, never a literal, so neither plans nor logs show it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,21 @@ def with_pseudonym(entities: DataFrame, salt: DataFrame, name: str = "canonical_
     return entities.crossJoin(F.broadcast(salt.select("salt").limit(1))).withColumn("pseudonym", pseudonym(F.col(name), F.col(kind), F.col("salt"))).drop("salt")
 
 
+def with_distinct_pseudonym(entities: DataFrame, salt: DataFrame, name: str = "canonical_name", kind: str = "entity_type", digits: int = 8) -> DataFrame:
+    """As with_pseudonym, but no two names of a type share a code: names whose first digits are the same have as many more as it takes to tell them from all others; all other codes stay as they are.
+
+    Only names with the same first digits meet, which are few however many names there are.
+    """
+    upper = F.upper(strip(F.col(kind)))
+    coded = entities.crossJoin(F.broadcast(salt.select("salt").limit(1))).withColumns({"_kind": upper, "_hash": F.upper(F.sha2(F.concat(F.col("salt"), F.lower(strip(F.col(name)))).cast("binary"), 256))}).drop("salt")
+    near = Window.partitionBy("_kind", F.substring("_hash", 1, digits)).orderBy("_hash")
+    hashes = coded.select("_kind", "_hash").distinct().select("_kind", "_hash", F.lag("_hash").over(near).alias("a"), F.lead("_hash").over(near).alias("b"))
+    told = lambda other: F.when(F.col(other).isNull(), digits).otherwise(F.array_min(F.filter(F.sequence(F.lit(digits), F.lit(64)), lambda i: F.substring("_hash", F.lit(1), i) != F.substring(other, F.lit(1), i))))
+    longer = hashes.where("a is not null or b is not null").select("_kind", "_hash", F.greatest(told("a"), told("b")).alias("_n"))
+    joined = coded.join(longer, ["_kind", "_hash"], "left")
+    return joined.withColumn("pseudonym", F.concat("_kind", F.lit("_"), F.substring("_hash", F.lit(1), F.coalesce("_n", F.lit(digits))))).select(*entities.columns, "pseudonym")
+
+
 def identity_catalogue(named: DataFrame) -> DataFrame:
     """A row for each pseudonym: the last entity's values at the first one's place."""
     value = F.struct("canonical_name", "entity_type", "relationship_context", "variations")
@@ -91,9 +106,7 @@ def keys_in_pseudonyms(mapping: DataFrame) -> DataFrame:
 
 
 def suffix_types(named: DataFrame) -> DataFrame:
-    """(kind, ends_with): types that end in another type; with equal names the shorter's pseudonym stands in the longer's. Types are few, their number is checked."""
+    """(kind, ends_with): types that end in another type; with equal names the shorter's pseudonym stands in the longer's."""
     kinds = named.select(F.upper(strip(F.col("entity_type"))).alias("kind")).distinct()
-    if (n := kinds.count()) > 10_000:
-        raise MapTooLarge(f"{n} types")
     ends = kinds.select("kind", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("kind"), F.lit(2))), lambda i: F.substring(F.col("kind"), i, F.length("kind")))).alias("ends_with"))
     return ends.where("ends_with <> ''").join(kinds.select(F.col("kind").alias("ends_with")), "ends_with").select("kind", "ends_with")

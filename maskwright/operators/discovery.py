@@ -104,9 +104,47 @@ PATTERNS = {
 }
 
 
+#: Words before or after a name that are no part of it.
+TITLES = ("dr", "prof", "professor", "doctor", "mr", "mrs", "ms", "miss", "mx", "sir", "madam", "nurse", "sister", "brother", "jr", "sr", "md", "phd")
+
+
+def name_words(name: Column) -> Column:
+    """A name's words in lower case, without titles and marks."""
+    words = F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}#'-]+", " "), " ")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*TITLES))
+
+
+def resolved(mentions: DataFrame) -> DataFrame:
+    """(canonical_name, entity_type, variations) of mentions (name, entity_type, n): which strings name the same.
+
+    Within a type, mentions with the same words but for titles are one name. One
+    with a first letter only (J. Doe) goes to the full name with that letter and last
+    word, a single word (Doe, Jane) to the full name that begins or ends with it, if
+    there is one such name and no other. The most frequent spelling of the full name
+    is the canonical one, then the longest, then the last by its letters. Mentions of title words only stay alone.
+
+    Names meet by keys of their words, never in pairs, and a key that many names have
+    is told by two of them: no block grows with the data.
+    """
+    m = mentions.groupBy("name", "entity_type").agg(F.sum("n").alias("n")).withColumn("w", name_words(F.col("name")))
+    size, first, last = F.size("w"), F.get("w", F.lit(0)), F.element_at("w", -1)
+    kind = F.when(size == 0, "none").when(size == 1, "single").when(F.length(first) == 1, "initial").otherwise("full")
+    m = m.where(size > 0).withColumns({"kind": kind, "form": F.array_join("w", " "), "first": first, "last": last}).unionByName(
+        m.where(size == 0).withColumns({"kind": kind, "form": F.col("name"), "first": F.lit(None).cast("string"), "last": F.lit(None).cast("string")})
+    )
+    m = m.withColumn("key", F.when(F.col("kind") == "initial", F.concat_ws(" ", "first", "last")).otherwise(F.col("form")))
+    named = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("key"))
+    ways = F.array(named("initial", F.concat_ws(" ", F.substring("first", 1, 1), "last")), named("single", F.col("first")), named("single", F.col("last")))
+    leads = m.where("kind = 'full'").select("entity_type", "form", F.explode(ways).alias("k")).groupBy("entity_type", "k.kind", "k.key").agg(F.min("form").alias("to"), F.max("form").alias("other")).where("to = other").drop("other")
+    joined = m.join(leads, ["entity_type", "kind", "key"], "left").withColumn("own", F.col("to").isNull()).withColumn("root", F.coalesce("to", "form"))
+    rank = F.struct("own", "n", F.length("name"), "name")
+    found = joined.groupBy("entity_type", "root").agg(F.max_by("name", rank).alias("canonical_name"), F.array_sort(F.collect_list("name")).alias("names"))
+    return found.select("canonical_name", "entity_type", F.filter("names", lambda x: x != F.col("canonical_name")).alias("variations"))
+
+
 @dataclass
 class RegexGazetteer:
-    """Entities by pattern, and by names from a table (name, entity_type) that stand in the texts."""
+    """Entities by pattern, and by names from a table (name, entity_type) that stand in the texts; names of one person or place are one entity with its variations."""
 
     patterns: Mapping[str, str]
     names: DataFrame | None = None
@@ -117,19 +155,19 @@ class RegexGazetteer:
             return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("entity_type"), m.alias("canonical_name")))
 
         found = F.flatten(F.array(*(of(k, p) for k, p in self.patterns.items())))
-        rows = texts.select(F.explode(found).alias("f")).select("f.*").distinct()
+        rows = texts.select(F.explode(found).alias("f")).select("f.*").distinct().withColumn("variations", F.array().cast("array<string>"))
         if self.names is not None:
             from .audit import key_hits
 
-            hits = key_hits(texts, text, self.names, "name").where("n_texts > 0").select(F.col("key").alias("name"))
-            rows = rows.unionByName(self.names.join(hits, "name").select("entity_type", F.col("name").alias("canonical_name")).distinct())
+            hits = key_hits(texts, text, self.names, "name").where("n_texts > 0").select(F.col("key").alias("name"), F.col("n_texts").alias("n"))
+            rows = rows.unionByName(resolved(self.names.select("name", "entity_type").distinct().join(hits, "name")))
         # The order of discovery is by text: the same in every run, without sorting all in one task.
         return rows.select(
             F.conv(F.substring(F.md5(F.concat_ws(" ", "entity_type", "canonical_name").cast("binary")), 1, 15), 16, 10).cast("long").alias("ord"),
             "canonical_name",
             "entity_type",
             F.lit("").alias("relationship_context"),
-            F.array().cast("array<string>").alias("variations"),
+            "variations",
         )
 
 
@@ -157,4 +195,4 @@ class AgentOptions:
         return found
 
 
-__all__ = ["CATEGORY_RULES", "EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "RuleCataloguer", "StrictCataloguer", "SuppliedEntities", "TextExtractor", "TimeCataloguer"]
+__all__ = ["CATEGORY_RULES", "EVENT_COLUMNS", "PATTERNS", "AgentOptions", "Cataloguer", "Discoverer", "Extractor", "RegexGazetteer", "RuleCataloguer", "StrictCataloguer", "SuppliedEntities", "TextExtractor", "TimeCataloguer", "resolved"]

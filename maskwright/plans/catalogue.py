@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit, chronology, pages
 from ..operators import catalogue as C
-from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, StrictCataloguer, SuppliedEntities
+from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, StrictCataloguer, SuppliedEntities, resolved
 from ..operators.docx import docx_rewritten, docx_text, runs_replaced
+from ..operators.order import ranked
 from ..operators.reidentify import reidentify_records, reidentify_texts
 from ..operators.replace import apply_map, apply_pairs, apply_to_documents, pseudonymise
+from ..operators.spelling import spelled_hits
+from ..sources import files
 from ..sources.scratch import scratch_path
 from ..streaming.pseudonymise import pseudonymise_stream
+from . import pipeline
 
 #: For tests only; a real salt comes from the secure folder.
 TEST_SALT = "00112233445566778899aabbccddeeff"
@@ -182,22 +187,30 @@ def replacement_map(spark: SparkSession, d: str) -> DataFrame:
     return _part_map(spark, d)
 
 
-@_query(f"with {_SQL} select k, v, row_number() over (order by -length(k), first_at) as number from rmap")
+@_query(f"with {_PARTS_SQL} select k, v, row_number() over (order by -length(k), ord, place) as number from rmap")
 def key_order(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark).select(F.posexplode("pairs").alias("n", "p")).select("p.k", "p.v", (F.col("n") + 1).cast("long").alias("number"))
+    """The place of every key in the order of replacement, numbered by ranges."""
+    placed = ranked(_part_map(spark, d).withColumns({"all": F.lit(0), "shorter": -F.length("k")}), "all", ["shorter", "ord", "place"], into="number")
+    return placed.select("k", "v", (F.col("number") + 1).alias("number"))
 
 
-@_query(f"with {_SQL} select k, v from rmap a join (select distinct v from rmap) b using (v) where false union select a.k, b.v from rmap a, (select distinct v from rmap) b where contains(b.v, a.k)")
+@_query(f"with {_PARTS_SQL}, more as (select k from rmap union select distinct upper(substr(sha256(p_name), 1, 2)) from part) select k, v from more, (select distinct v from rmap) where contains(v, k)")
 def cascade_audit(spark: SparkSession, d: str) -> DataFrame:
-    return C.keys_in_pseudonyms(C.replacement_map(_named(spark)))
+    """The keys of the parts' map, and pairs of hex digits, that stand in its pseudonyms."""
+    mapping = _part_map(spark, d).select("k", "v")
+    digits = _read(spark, d, "part", F.upper(F.substring(F.sha2("p_name", 256), 1, 2)).alias("k"), F.lit(None).cast("string").alias("v")).distinct()
+    return C.keys_in_pseudonyms(mapping.unionByName(digits)).distinct()
 
 
 @_query(
-    f"with {_SQL}, kinds as (select distinct upper(trim(kind)) kind from ents union values ('OUTPATIENT')) "
+    "with kinds as (select distinct upper(trim(k)) kind from (select c_mktsegment k from customer union select ' out' || c_mktsegment from customer where c_nationkey < 5 union select p_type from part union select right(p_type, 4) from part)) "
     "select a.kind, b.kind ends_with from kinds a, kinds b where a.kind <> b.kind and ends_with(a.kind, b.kind)"
 )
 def type_suffix_audit(spark: SparkSession, d: str) -> DataFrame:
-    return C.suffix_types(_entities(spark).select("entity_type").union(spark.createDataFrame([("outpatient",)], "entity_type string")))
+    customers = _read(spark, d, "customer", "c_mktsegment", "c_nationkey")
+    parts = _read(spark, d, "part", "p_type")
+    kinds = [customers.select("c_mktsegment"), customers.where("c_nationkey < 5").select(F.concat(F.lit(" out"), "c_mktsegment")), parts, parts.select(F.right("p_type", F.lit(4)))]
+    return C.suffix_types(reduce(DataFrame.union, kinds).toDF("entity_type"))
 
 
 # --- replacement -----------------------------------------------------------
@@ -435,10 +448,14 @@ def event_defaults(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_query("select n, t as raw, try_cast(t as timestamp) is not null as parsed from (values (1, '2026-05-27 10:00:10'), (2, 'Intake Day'), (3, 'page 1'), (4, 'Session 1 - 00:05:12'), (5, '2026-13-40 10:00:00')) v(n, t)")
+@_query(
+    "with t as (select event_id, case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then 'Intake Day' when 2 then 'page ' || event_id when 3 then 'Session 1 - ' || strftime(ts, '%H:%M:%S') else strftime(ts, '%Y-') || '13-40 10:00:00' end raw from events) "
+    "select event_id, raw, epoch(try_cast(raw as timestamp))::bigint as seconds from t"
+)
 def parsed_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "2026-05-27 10:00:10"), (2, "Intake Day"), (3, "page 1"), (4, "Session 1 - 00:05:12"), (5, "2026-13-40 10:00:00")]
-    return spark.createDataFrame(rows, "n int, raw string").select("n", "raw", X.parsed_time(F.col("raw")).isNotNull().alias("parsed"))
+    r = F.col("event_id") % 5
+    raw = F.when(r == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(r == 1, "Intake Day").when(r == 2, F.concat(F.lit("page "), "event_id")).when(r == 3, F.concat(F.lit("Session 1 - "), F.date_format("ts", "HH:mm:ss"))).otherwise(F.concat(F.date_format("ts", "yyyy-"), F.lit("13-40 10:00:00")))
+    return _read(spark, d, "events", "event_id", "ts").select("event_id", raw.alias("raw")).withColumn("seconds", F.unix_timestamp(X.parsed_time(F.col("raw"))))
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
@@ -470,9 +487,19 @@ def timeline_report(spark: SparkSession, d: str) -> DataFrame:
     return chronology.whole(chronology.timeline_report(_headers(spark, d), _events(spark, d))).select("chronology", F.md5("report").alias("report_md5"))
 
 
-@_query(f"with {_SQL} select ord, pseudonym, entity_type, {_fold('relationship_context')} as relationship_context from cat, pairs")
+_SUPPLIERS_SQL = f"""ents as (select s_suppkey ord, s_name as name, 'SUPPLIER' kind, 'delivers with ' || lag(s_name, 1, s_name) over (order by s_suppkey) || ' to nation ' || s_nationkey ctx from supplier),
+named as (select *, kind || '_' || upper(substr(sha256('{TEST_SALT}' || lower(trim(name))), 1, 8)) pseudonym from ents), pairs as (select list({{'k': name, 'v': pseudonym}} order by -length(name), ord) p from named)"""
+
+
+@_query(f"with {_SUPPLIERS_SQL} select ord, pseudonym, kind entity_type, {_fold('ctx')} as relationship_context from named, pairs")
 def safe_legend(spark: SparkSession, d: str) -> DataFrame:
-    return audit.safe_legend(C.identity_catalogue(_named(spark)), _map(spark))
+    """Suppliers whose contexts name other suppliers."""
+    own = _read(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    before = own.select((F.col("s_suppkey") + 1).alias("s_suppkey"), F.col("s_name").alias("other"))
+    context = F.concat(F.lit("delivers with "), F.coalesce("other", "s_name"), F.lit(" to nation "), "s_nationkey")
+    entities = own.join(before, "s_suppkey", "left").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("canonical_name"), F.lit("SUPPLIER").alias("entity_type"), context.alias("relationship_context"), F.array().cast("array<string>").alias("variations"))
+    named = C.with_pseudonym(entities, C.salt_frame(spark, TEST_SALT))
+    return audit.safe_legend(C.identity_catalogue(named), C.replacement_map(named))
 
 
 @_query(
@@ -511,13 +538,21 @@ def file_router(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).select("page_id", X.extension(p).alias("extension"), X.route(p).alias("route"), X.is_input(p).alias("is_input"), X.is_editable(p).alias("is_editable"))
 
 
+_MIMES = ("image/gif", "audio/ogg", "video/ogg", "application/pdf", "text/x-c", "application/zip", None)
+
+
 @_query(
-    "select m as mime, case when m like 'image/%' then 'image' when m like 'audio/%' then 'audio' when m like 'video/%' then 'video' when m = 'application/pdf' then 'document' when m like 'text/%' then 'text' when m is not null then 'text_or_document' else 'unsupported' end route "
-    "from (values ('image/gif'), ('audio/ogg'), ('video/ogg'), ('application/pdf'), ('text/x-c'), ('application/zip'), (null)) v(m)"
+    f"with m as (select page_id, ([{', '.join('null' if m is None else _quoted(m) for m in _MIMES)}])[page_id % {len(_MIMES)} + 1] m, page_id % 2 = 0 good from pages) "
+    "select page_id, m as mime, case when m like 'image/%' then 'image' when m like 'audio/%' then 'audio' when m like 'video/%' then 'video' when m = 'application/pdf' then 'document' when m like 'text/%' then 'text' when m is not null then case when good then 'text' else 'document' end else 'unsupported' end route, "
+    "case when m like 'text/%' and not good then 'its bytes are not UTF-8' when m is null then 'its kind is not known' end reason from m"
 )
 def mime_router(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(m,) for m in ("image/gif", "audio/ogg", "video/ogg", "application/pdf", "text/x-c", "application/zip", None)]
-    return spark.createDataFrame(rows, "mime string").select("mime", X.route(F.lit("/a/file.odd"), F.col("mime")).alias("route"))
+    """Files of an unknown extension, by MIME type and then by their bytes: the page's, half of them with one that UTF-8 doesn't have."""
+    kind = F.element_at(F.array(*map(F.lit, _MIMES)), (F.col("page_id") % len(_MIMES) + 1).cast("int"))
+    content = F.when(F.col("page_id") % 2 == 0, F.encode("html", "utf-8")).otherwise(F.concat(F.encode("html", "utf-8"), F.unhex(F.lit("FF"))))
+    files = _read(spark, d, "pages", "page_id", "html").select("page_id", kind.alias("mime"), F.coalesce(content, F.lit("").cast("binary")).alias("content"))
+    routed = files.withColumn("route", X.resolved_route(X.route(F.lit("/a/file.odd"), F.col("mime")), F.col("content")))
+    return routed.select("page_id", "mime", "route", X.unreadable(F.col("route"), F.col("content")).alias("reason"))
 
 
 @_query(f"with {_PATHS_SQL} select page_id, 'verbatim_' || name || '.json' verbatim, 'deidentified_' || name deidentified, 'reidentified_' || regexp_replace(name, '^deidentified_', '') reidentified, substr(name, 1, length(name) - length(ext)) stem from parts")
@@ -538,9 +573,11 @@ def masked_and_first(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("o_orderkey", X.masked_secret(F.concat("o_orderpriority", "o_orderkey", F.lit("secret"))).alias("masked"), X.first_given(status, F.col("o_orderpriority"), F.lit("none")).alias("first_given"))
 
 
-@_query("select v as version, a >= 3 and (a > 3 or b >= 12) as enough from (values ('3.12.1', 3, 12), ('3.9', 3, 9), ('4', 4, 0), ('v3.13', 3, 13), ('x', 0, 0)) t(v, a, b)")
+@_query("select p_partkey, v as version, a >= 3 and (a > 3 or b >= 12) as enough from (select p_partkey, case p_partkey % 4 when 0 then 'v' else '' end || (p_size % 5) || case p_partkey % 3 when 0 then '' else '.' || (p_partkey % 20) || '.1' end v, p_size % 5 a, case p_partkey % 3 when 0 then 0 else p_partkey % 20 end b from part)")
 def version_check(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("3.12.1",), ("3.9",), ("4",), ("v3.13",), ("x",)], "version string").select("version", X.version_at_least(F.col("version"), 3, 12).alias("enough"))
+    minor = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("."), F.col("p_partkey") % 20, F.lit(".1")))
+    version = F.concat(F.when(F.col("p_partkey") % 4 == 0, "v").otherwise(""), F.col("p_size") % 5, minor)
+    return _read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", version.alias("version"), X.version_at_least(version, 3, 12).alias("enough"))
 
 
 @_query("select doc_id, round(n_chars / 1024.0, 2)::double kb from documents")
@@ -640,10 +677,15 @@ def outer_hits(spark: SparkSession, d: str) -> DataFrame:
     return pages.outer_hits(hits).select("page", "hit")
 
 
-@_query("select s, r, h, case when s and h > 0 then 'redacted' when not s and r and h > 0 then 'redacted_after_ocr' else 'withheld' end outcome from (values (true), (false)) a(s), (values (true), (false)) b(r), (values (0), (3)) c(h)")
+@_query(
+    "with f as (select o_orderkey, o_orderstatus = 'F' s, o_custkey % 2 = 0 r, count(l_orderkey) filter (l_quantity > 25) h from orders left join lineitem on l_orderkey = o_orderkey group by all) "
+    "select o_orderkey, case when s and h > 0 then 'redacted' when not s and r and h > 0 then 'redacted_after_ocr' else 'withheld' end outcome from f"
+)
 def edit_outcome(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(s, r, h) for s in (True, False) for r in (True, False) for h in (0, 3)]
-    return spark.createDataFrame(rows, "s boolean, r boolean, h int").withColumn("outcome", pages.outcome(F.col("s"), F.col("r"), F.col("h")))
+    """Orders as documents, of which some are searchable and some were recognised; some of their lines are hits."""
+    hits = _read(spark, d, "lineitem", "l_orderkey", "l_quantity").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("h"))
+    files = _read(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_custkey").join(hits, "o_orderkey", "left")
+    return files.select("o_orderkey", pages.outcome(F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0, F.coalesce("h", F.lit(0))).alias("outcome"))
 
 
 def docx_file(paragraphs: list[list[str]], cells: list[str] = (), header: str = "") -> bytes:
@@ -705,37 +747,71 @@ def streaming_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-#: A small case of its own: four people and places, six events of four kinds, as a whole run has them.
-CASE_ENTITIES = (
-    (0, "Johnathan Doe", "PATIENT", "the case", ("Johnathan", "Mr. Doe")),
-    (1, "Dr. Sarah Adams", "DOCTOR", "treats Johnathan", ("Dr. Adams", "Sarah Adams", "Adams")),
-    (2, "Jane Doe", "RELATIVE", "sister of Johnathan Doe", ("Jane", "Ms. Doe")),
-    (3, "Cape Town Medical Center", "FACILITY", "where Dr. Adams works", ("the Center",)),
+@_query(
+    "with parts as (select p_partkey, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b, p_brand kind from part), "
+    "said as (select kind, case p_partkey % 6 when 0 then a || ' ' || b when 1 then 'Dr. ' || upper(a) || ' ' || b when 2 then upper(left(a, 1)) || '. ' || b when 3 then 'Mr. ' || upper(b) when 4 then upper(a) else a || '-' || b end as name from parts), "
+    "m as (select name, kind, count(*) n, list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}#''-]+', ' ', 'g'), ' '), lambda w: w <> '' and not list_contains(['dr', 'mr'], w)) w from said group by all), "
+    "f as (select *, array_to_string(w, ' ') form, case when len(w) = 1 then 'single' when length(w[1]) = 1 then 'initial' else 'full' end k from m), "
+    "ways as (select distinct kind, form, unnest([{'k': 'initial', 'v': left(w[1], 1) || ' ' || w[-1]}, {'k': 'single', 'v': w[1]}, {'k': 'single', 'v': w[-1]}]) x from f where k = 'full'), "
+    "leads as (select kind, x.k k, x.v v, min(form) target from ways group by all having count(distinct form) = 1), "
+    "joined as (select f.*, target is null own, coalesce(target, form) root from f left join leads l on l.kind = f.kind and l.k = f.k and l.v = case when f.k = 'initial' then w[1] || ' ' || w[-1] else form end), "
+    "best as (select kind, root, max({'own': own, 'n': n, 'l': length(name), 'name': name}).name canonical, list(name order by name) ns from joined group by all) "
+    "select kind entity_type, canonical canonical_name, array_to_string(list_filter(ns, lambda x: x <> canonical), '; ') variations from best"
 )
-CASE_EVENTS = (
-    (0, "Intake Day", "transcript", "form.txt", "System", "Registration of Johnathan Doe at Cape Town Medical Center"),
-    (1, "2026-05-27 10:00:10", "transcript", "talk.txt", "Dr. Sarah Adams", "Good morning, Mr. Doe. Did Jane come along?"),
-    (2, "2026-05-27 10:00:25", "transcript", "talk.txt", "Johnathan Doe", "Jane Doe waits outside, Dr. Adams."),
-    (3, "2026-05-27 10:01:00", "transcript", "talk.txt", "Visual Action", "Johnathan looks at the door"),
-    (4, "2026-05-27 10:02:00", "transcript", "talk.txt", "Sarah Adams", "Your blood pressure is fine."),
-    (5, "page 2", "transcript", "note.txt", None, "Adams, the Center"),
+def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as people of two words, mentioned with titles, first letters or one word only."""
+    a, b = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    r = F.col("p_partkey") % 6
+    said = (
+        F.when(r == 0, F.concat_ws(" ", a, b)).when(r == 1, F.concat(F.lit("Dr. "), F.upper(a), F.lit(" "), b)).when(r == 2, F.concat(F.upper(F.substring(a, 1, 1)), F.lit(". "), b))
+        .when(r == 3, F.concat(F.lit("Mr. "), F.upper(b))).when(r == 4, F.upper(a)).otherwise(F.concat_ws("-", a, b))
+    )
+    mentions = _read(spark, d, "part", "p_partkey", "p_name", "p_brand").select(said.alias("name"), F.col("p_brand").alias("entity_type"), F.lit(1).alias("n"))
+    return resolved(mentions).select("entity_type", "canonical_name", F.array_join("variations", "; ").alias("variations"))
+
+
+_CODED_SQL = f"with named as (select *, upper(trim(kind)) k, upper(sha256('{TEST_SALT}' || lower(trim(name)))) h from ({_CUSTOMERS_SQL}))"
+
+
+@_query(
+    f"{_CODED_SQL}, hs as (select distinct k, h from named), met as (select a.k, a.h, max(list_min(list_filter(range(3, 65), lambda i: left(a.h, i) <> left(b.h, i)))) n from hs a join hs b on a.k = b.k and a.h <> b.h and left(a.h, 3) = left(b.h, 3) group by all) "
+    "select ord, name, k || '_' || left(h, coalesce(n, 3)::int) pseudonym from named left join met using (k, h)"
 )
-_CASE_SQL = _entities_sql(CASE_ENTITIES) + ", evs(ord, stamp, source, speaker, details) as (values " + ", ".join(f"({o}::bigint, {_quoted(t)}, {_quoted(f)}, {'null' if w is None else _quoted(w)}, {_quoted(x)})" for o, t, _, f, w, x in CASE_EVENTS) + ")"
+def distinct_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of three digits and as many more as it takes to tell names apart, so that there are collisions to undo."""
+    return C.with_distinct_pseudonym(_customers(spark, d), C.salt_frame(spark, TEST_SALT), digits=3).select("ord", F.col("canonical_name").alias("name"), "pseudonym")
+
+
+@_query(
+    "with s as (select c_custkey, c_name, 'note ' || c_custkey || ': ' as pre, case c_custkey % 6 when 0 then chr(92) || 'u0043' || substr(c_name, 2) when 1 then '&#67;' || substr(c_name, 2) when 2 then upper(c_name) when 3 then left(c_name, 4) || chr(8203) || substr(c_name, 5) when 4 then c_name else replace(c_name, '#', '&num;') end said from customer) "
+    "select c_custkey id, c_name as key, length(pre)::bigint place, length(said)::bigint length from s"
+)
+def spelled_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers named in escapes, references, capitals and with characters that don't show, at their places in the text as it stands."""
+    own = _read(spark, d, "customer", "c_custkey", "c_name")
+    rest, r = F.substring("c_name", 2, 1000), F.col("c_custkey") % 6
+    said = (
+        F.when(r == 0, F.concat(F.lit("\\u0043"), rest)).when(r == 1, F.concat(F.lit("&#67;"), rest)).when(r == 2, F.upper("c_name"))
+        .when(r == 3, F.concat(F.substring("c_name", 1, 4), F.lit("\u200b"), F.substring("c_name", 5, 1000))).when(r == 4, F.col("c_name")).otherwise(F.replace("c_name", F.lit("#"), F.lit("&num;")))
+    )
+    texts = own.select("c_custkey", F.concat(F.lit("note "), "c_custkey", F.lit(": "), said, F.lit(" end")).alias("text"))
+    return spelled_hits(texts, F.col("c_custkey"), F.col("text"), F.col("c_name"), own)
 
 
 @_query(
-    f"with {_CASE_SQL}, kinds as (select *, case when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(intake|form|registration|date of birth|admission)\\b') then 'Intake Form' "
-    "when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(blood pressure|pulse|temperature|weight|examination|examined)\\b') then 'Physical Assessment' "
-    "when regexp_matches(concat_ws(' ', speaker, source, details), '(?i)\\b(walks?|sits?|stands?|looks?|nods?|visual action)\\b') then 'Subject Activity' else 'Clinical Interview' end category from evs), "
-    f"done as (select ord, stamp, category, source, {_fold('speaker', 'pairs.p')} speaker, {_fold('details', 'pairs.p')} details from kinds, pairs) "
-    f"select ord, stamp as timestamp, category, source as source_file, speaker, details as event_details, {_fold('details', 'back.p')} as restored, (select count(*) from rmap where contains(details, k)) n_left from done, back"
+    f"with {_SQL}, turns as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 ord, role, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ') as text from conversations), "
+    "lines as (select *, regexp_matches(role || ': ' || text, '^\\s*[^:]{1,40}:\\s') spoken from turns), "
+    f"done as (select conv_id, ord, {_fold('role', 'pairs.p')} speaker, {_fold('text', 'pairs.p')} details from lines, pairs) "
+    f"select conv_id, ord, speaker, details as event_details, {_fold('details', 'back.p')} as restored from done, back"
 )
 def mock_run(spark: SparkSession, d: str) -> DataFrame:
-    """The run from transcripts to shared events and back on a fixed case: categories, pseudonyms, names again, and how many keys are left."""
-    events = spark.createDataFrame([("case", *e) for e in CASE_EVENTS], "chronology string, ord long, timestamp string, category string, source_file string, speaker string, event_details string")
-    entities = spark.createDataFrame([(*e[:4], list(e[4])) for e in CASE_ENTITIES], C.ENTITIES)
-    done, catalogue, mapping = pseudonymise(RuleCataloguer().catalogue([events]), ["speaker", "event_details"], SuppliedEntities(entities).discover(events, "event_details"), C.salt_frame(spark, TEST_SALT))
-    back = reidentify_texts(done.withColumn("restored", F.col("event_details")), "restored", catalogue, strip_banner=False)
-    keys = mapping.agg(F.collect_list("k").alias("keys"))
-    left = F.size(F.filter("keys", lambda k: F.contains(F.col("event_details"), k))).cast("long")
-    return back.crossJoin(F.broadcast(keys)).select("ord", "timestamp", "category", "source_file", "speaker", "event_details", "restored", left.alias("n_left"))
+    """The whole run over files, and back: every conversation a text file, from the folder of inputs to shared events, and the shared texts returned with their names."""
+    root = scratch_path(spark, "run")
+    line = F.concat("role", F.lit(": "), F.trim(F.regexp_replace("text", r"[\r\n]+", " ")))
+    talks = _read(spark, d, "conversations", "conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    files.write_texts(talks.withColumn("name", F.concat(F.lit("talk-"), "conv_id", F.lit(".txt"))), f"{root}/in")
+    files.write_text(spark, f"{root}/secure/salt.txt", TEST_SALT)
+    run = pipeline.deidentify(spark, f"{root}/in", f"{root}/secure", f"{root}/out", SuppliedEntities(_entities(spark)), cataloguer=StrictCataloguer(RuleCataloguer()), allow_leaks=True)
+    back = reidentify_texts(run.events.withColumn("restored", F.col("event_details")), "restored", run.catalogue, strip_banner=False)
+    talk = F.regexp_extract("source_file", r"([0-9]+)\.txt$", 1).cast("long")
+    return back.select(talk.alias("conv_id"), "ord", "speaker", "event_details", "restored")
