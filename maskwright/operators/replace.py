@@ -54,6 +54,9 @@ class Keys:
         """The places in order of the keys that a text has."""
         return {rank for _, rank in self._automaton.iter(text)} if self.pairs else set()
 
+    def any_in(self, text: str) -> bool:
+        return bool(self.pairs) and next(self._automaton.iter(text), None) is not None
+
 
 def surroundings(text: str, parts: list[str], put_in: str, reach: int) -> Iterator[str]:
     """The stretches of a text around what was put in between its parts, `reach` characters to either side; those that meet are one."""

@@ -279,3 +279,26 @@ def test_values_are_carried_over_ranges(spark):
     got = ranked(spark.createDataFrame(rows, "g string, i int, v int").repartition(6), "g", ["i"], into="n", carried=("v", "last")).collect()
     assert len(got) == 2100
     assert all(r.n == r.i and r["last"] == (None if r.i < 5 else (r.i - 5) // 97 * 97 + 5) for r in got)
+
+
+def test_crowded_pages_make_few_pairs(spark):
+    """A page with 40,000 spans and as many hits, held against what whole rows and columns of it say."""
+    n = 200
+    cell = lambda name, size: [F.col("x").cast("double").alias(f"{name}_x0"), F.col("y").cast("double").alias(f"{name}_y0"), (F.col("x") + size).alias(f"{name}_x1"), (F.col("y") + size).alias(f"{name}_y1")]
+    places = spark.range(n * n).select("id", (F.col("id") % n * 10).alias("x"), F.floor(F.col("id") / n).cast("long").alias("y0")).withColumn("y", F.col("y0") * 10)
+    spans = places.select(F.lit(1).alias("page"), F.col("id").alias("ord"), *cell("span", 9.0), F.col("id").cast("string").alias("font"), F.lit(1.0).alias("size"), F.lit(0).alias("color"))
+    hits = places.select(F.lit(1).alias("page"), F.col("id").alias("hit"), *cell("hit", 12.0))
+    best = pages.best_styles(hits, spans)
+    assert best.where("font <> cast(hit as string)").count() == 0
+    assert best.count() == n * n
+    keyed = hits.withColumn("k", F.lit("key")).union(places.where("id % 100 = 0").select(F.lit(1), F.col("id") + n * n, (F.col("x") + 1).cast("double"), (F.col("y") + 1).cast("double"), F.col("x") + 5.0, F.col("y") + 5.0, F.lit("k")))
+    outer = pages.outer_hits(keyed)
+    assert outer.columns == keyed.columns
+    assert {r.hit for r in outer.select("hit").collect()} == set(range(n * n))
+
+
+def test_pages_are_searched_with_keys_in_parts(spark):
+    texts = spark.createDataFrame([("a", "no"), ("a", "has Jane"), ("b", None), ("c", "nothing"), ("d", "")], "document string, text string")
+    mapping = spark.createDataFrame([("Jane",), (" ",), ("Bo",), ("x1",)], "k string")
+    for most in (100, 1):
+        assert {r.document: r.searchable for r in pages.searchable(texts, mapping, most=most).collect()} == {"a": True, "b": False, "c": False, "d": False}
