@@ -306,10 +306,14 @@ def deduce_templates(pages: DataFrame, host: str = "host", source: str = "html",
 
 
 def main_text(source: str | None, constants: frozenset[tuple[str, int]] = frozenset(), slot: str | None = None) -> str:
-    """The article's blocks, two line feeds between them: those of the slot; without it, of an article or main element; else all but constants (path and text hash)."""
+    """The article's blocks, two line feeds between them: those of the slot but for constants; without it, of an article or main element; else all but constants (path and text hash)."""
     blocks = [b for b in read_page(source).blocks if not b.left_out]
     if slot and (held := [b for b in blocks if b.path == slot or b.path.startswith(slot + "/")]):
-        return "\n\n".join(b.text for b in held)
+        # What every page has in its slot is the template's too, such as a notice under each article; where that is most of the slot, pages are copies of one article.
+        own = [b for b in held if (b.path, text_hash(b.text)) not in constants]
+        if 2 * sum(len(b.text) for b in own) < sum(len(b.text) for b in held):
+            own = held
+        return "\n\n".join(b.text for b in own)
     surest = max((b.article for b in blocks), default=0)
     if surest > 0:
         return "\n\n".join(b.text for b in blocks if b.article == surest)

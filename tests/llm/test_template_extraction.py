@@ -120,3 +120,14 @@ def test_the_slot_decides_without_marks_and_against_wrong_ones(spark):
     for i in range(8):
         assert got[i] == "\n\n".join([f"Title {i}", *(f"line {j} of {i} with some words" for j in range(2 + i % 3)), *([f"box {i}"] if i % 3 else [])])
         assert got[100 + i] == f"story {i} that is long enough\n\nand more of {i} in here"
+
+
+def test_a_line_that_every_slot_holds_goes_and_copies_of_an_article_stay(spark):
+    story = "".join(f"<p>paragraph {j} that all of these share</p>" for j in range(9))
+    noted = [plain(i).replace("</h1>", "</h1><div class='qg'>Read in four minutes</div>") for i in range(8)]
+    copies = [f"<body><div class='qb'><h1>Same</h1>{story}<p>seen {i} times</p></div><div>{i}</div></body>" for i in range(8)]
+    rows = [(i, "http://n.example/x", s) for i, s in enumerate(noted)] + [(100 + i, "http://c.example/x", s) for i, s in enumerate(copies)]
+    got = {r.page_id: r.text for r in T.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == "\n\n".join([f"Title {i}", *(f"line {j} of {i} with some words" for j in range(2 + i % 3)), *([f"box {i}"] if i % 3 else [])])
+        assert got[100 + i].startswith("Same\n\nparagraph 0 that all of these share")
