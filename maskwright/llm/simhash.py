@@ -229,7 +229,7 @@ BANDS, BAND_ROWS = 32, 6
 _MINIMA = np.random.default_rng(20).integers(1 << 63, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, hot: int = 4, share: int = 1000) -> DataFrame:
     """(key, component) for every row, whose key must not be null: the smallest key of the group that links of at least the similarity join.
 
     A link is two texts whose sets of shingle hashes have at least this Jaccard
@@ -267,7 +267,7 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     marked = written(map_columns(own, rows, f"id {kind}, file string, n long, s0 long, s1 long, bands array<long>, at long"), "sets-of")
     same = ["n", "s0", "s1"]
-    classes = written(marked.groupBy(*same).agg(F.min(F.struct("id", "file", "at", "bands")).alias("m")).select(*same, "m.*"), "classes")
+    classes = written(marked.groupBy(*same).agg(F.min(F.struct("id", "file", "at", "bands")).alias("m"), F.count("*").alias("rows")).select(*same, "rows", "m.*"), "classes")
     places = classes.select("id", "n", "file", "at")
     everything = classes.where("n > 0").select("id", "n", F.explode("bands").alias("k"))
     counts = everything.groupBy("k").count().where(F.col("count") > 1)
@@ -279,8 +279,14 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     more = written(_similar(left, places, folder, similarity), "similar")
     if not more.isEmpty():
         roots = written(connected_components(links.union(more)), "roots")
-    of_class = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
-    return marked.join(of_class, same).select(F.col("id").alias(key), F.col("component").alias(free_name("component", [key])))
+    of_class = written(classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, "rows", F.coalesce("root", "id").alias("component")), "of-classes")
+    # Fewer than `share` classes have over one in `share` rows each: they go to every task, and the others' copies meet their class in a join without common keys.
+    crowded = F.col("rows") > (of_class.agg(F.sum("rows")).first()[0] or 0) // share
+    common = F.broadcast(of_class.where(crowded).drop("rows"))
+    keyed = marked.select("id", *same)
+    rest = keyed.join(common, same, "left_anti").join(of_class.where(~crowded).drop("rows"), same)
+    every = keyed.join(common, same).select("id", "component").union(rest.select("id", "component"))
+    return every.toDF(key, free_name("component", [key]))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
