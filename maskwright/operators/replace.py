@@ -153,10 +153,11 @@ def key_places(texts: DataFrame, mapping: DataFrame, order, n: int, most: int =
 
 
 
-def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFrame], DataFrame], reach: int) -> DataFrame:
+def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFrame], DataFrame], reach: int, windows: str | None = None) -> DataFrame:
     """The frame with its columns folded over the keys that `look` finds: from rows (_row, texts) it makes rows (_row, at), where at is a struct in whose order keys apply and whose last two fields are k and v.
 
-    reach: one less than the longest key's length. A row holds the keys that its texts have, no more.
+    reach: one less than the longest key's length, or more. A row holds the keys that its texts have, no more.
+    windows: a further column with the surroundings of all that was put in.
     """
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-replace")
 
@@ -185,7 +186,7 @@ def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFram
         seen = look(step.where(F.size("windows") > 0).select("_row", F.col("windows").alias("texts"))).distinct()
         more = written(seen.join(known, ["_row", "at"], "left_anti"), "keys-found")
         again = more.select("_row").distinct()
-        ready = step.select("_row", "texts")
+        ready = step
         if more.isEmpty():
             done = ready if done is None else done.union(ready)
             break
@@ -194,7 +195,8 @@ def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFram
         open_ = open_.join(again, "_row", "left_semi")
         known = written(known.join(again, "_row", "left_semi").union(more), "keys-found")
     kept = rows.drop(*columns).join(done, "_row")
-    return kept.withColumns({c: F.col("texts")[i] for i, c in enumerate(columns)}).select(df.columns)
+    around = [F.col("windows").alias(windows)] if windows else []
+    return kept.select(*(c for c in df.columns if c not in columns), *(F.get("texts", F.lit(i)).alias(c) for i, c in enumerate(columns)), *around).select(*df.columns, *([windows] if windows else []))
 
 
 def apply_to_documents(df: DataFrame, pairs: DataFrame, column: str, schema: T.StructType) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators import audit, chronology, pages
 from ..operators import catalogue as C
 from ..operators.discovery import PATTERNS, RegexGazetteer, RuleCataloguer, StrictCataloguer, SuppliedEntities, resolved
 from ..operators.docx import docx_rewritten, docx_text, runs_replaced
+from ..operators.incremental import Ledger
 from ..operators.order import ranked
 from ..operators.reidentify import reidentify_records, reidentify_texts
 from ..operators.replace import apply_map, apply_pairs, apply_to_documents, pseudonymise
@@ -733,6 +734,18 @@ def docx_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return docx_text(done).select("path", "text", "n_replaced", "error")
 
 
+@_query(f"with {_SQL} select conv_id, turn, {_fold('text')} as text from conversations, pairs")
+def incremental_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs into one ledger, each with half of the conversations and of the entities: what one run over all gives."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    turns = _read(spark, d, "conversations", F.concat_ws(":", "conv_id", "turn").alias("id"), "text", "conv_id")
+    for half, some in ((0, "ord < 3"), (1, "ord >= 3")):
+        entities = _entities(spark).where(some).withColumn("ord", F.col("ord") - 3 * half)
+        ledger.add(turns.where(F.col("conv_id") % 2 == half), entities, C.salt_frame(spark, TEST_SALT))
+    part = lambda i: F.split_part("id", F.lit(":"), F.lit(i)).cast("long")
+    return ledger.texts().select(part(1).alias("conv_id"), part(2).alias("turn"), "text")
+
+
 @_query(f"with {_SQL} select conv_id, turn, {_fold('text')} as text from conversations, pairs")
 def streaming_pseudonymise(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as a stream: what has arrived is replaced batch by batch into the shared folder, and read from there."""
