@@ -116,10 +116,7 @@ MIMES = {
 
 def mime(path: Column) -> Column:
     """Of a file's extension; null for those that no table here has."""
-    out = F.lit(None).cast("string")
-    for ext, kind in MIMES.items():
-        out = F.when(extension(path) == ext, kind).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MIMES.items() for x in pair)), extension(path))
 
 
 def is_text(content: Column) -> Column:
