@@ -44,7 +44,7 @@ UNITS, ATTENTION, WORD_SIZE, CHAR_SIZE, CHAR_BUCKETS = 8, 8, 8, 10, 8192
 #: that a step treats as unknown, and over which last share of the steps parameters are averaged.
 ROUNDS, DOUBT, DECAY, LEAST_DOCS, HARD, RATE, UNKNOWN, LATE = (12, 40), 0.1, 1200, 6, 0.8, 0.02, 0.1, 0.6
 #: With few texts that would shrink vectors by more than they hold.
-MOST_DECAY = 5.0
+MOST_DECAY = 24.0
 THRESHOLD = 0.3
 
 #: ASCII letters and digits and all of UTF-8's longer sequences stay; the rest separates words.
