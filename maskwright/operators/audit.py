@@ -6,10 +6,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.batches import in_parts
 from ..sources.scratch import written
 from .reidentify import replace_codes
 from .replace import MOST, apply_map
@@ -30,7 +31,7 @@ def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int =
     found = None
     for number in range(parts):
         part = [r.key for r in own.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == number).collect()]
-        hits = texts.select(F.col(text).alias("text")).mapInPandas(_counted(texts.sparkSession.sparkContext.broadcast(part)), "key string, n_texts long, n_hits long")
+        hits = texts.select(F.col(text).alias("text")).mapInArrow(_counted(texts.sparkSession.sparkContext.broadcast(part)), "key string, n_texts long, n_hits long")
         found = hits if found is None else found.union(hits)
     counts = found.groupBy("key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_hits").alias("n_hits"))
     zero = F.lit(0).cast("long")
@@ -40,17 +41,17 @@ def key_hits(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int =
 def _counted(shared):
     """Counts of the keys that a task's texts have."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(shared.value)
         n_texts: Counter[str] = Counter()
         n_hits: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch["text"]:
+        for part in in_parts(batches):
+            for t in part["text"]:
                 if t:
                     for k in find(t):
                         n_texts[k] += 1
                         n_hits[k] += t.count(k)
-        yield pd.DataFrame([(k, n, n_hits[k]) for k, n in n_texts.items()], columns=["key", "n_texts", "n_hits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n_texts), pa.string()), pa.array(list(n_texts.values()), pa.int64()), pa.array([n_hits[k] for k in n_texts], pa.int64())], names=["key", "n_texts", "n_hits"])
 
     return rows
 

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import replace_in_order
+from ..sources.batches import in_parts, lists_in_parts
 from ..sources.scratch import written
 from .catalogue import identity_catalogue, key_order, ordered_pairs, replacement_map, with_pseudonym
 
@@ -109,11 +110,11 @@ def apply_pairs(df: DataFrame, pairs: DataFrame, columns: Iterable[str], switch:
         return joined.withColumns({c: replace_in_order(F.col(c), F.col("_pairs")) for c in columns}).drop("_pairs")
     shared = df.sparkSession.sparkContext.broadcast([(p["k"], p["v"]) for p in row["pairs"]])
 
-    @F.pandas_udf("string")
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def folded(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keys = Keys(shared.value)
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else replaced(t, keys))
+        for texts in lists_in_parts(arrays):
+            yield pa.array([None if t is None else replaced(t, keys) for t in texts], pa.string())
 
     return df.withColumns({c: folded(F.col(c)) for c in columns})
 
@@ -142,8 +143,8 @@ def key_places(texts: DataFrame, mapping: DataFrame, order, n: int, most: int =
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
             keys = Keys(p[-2:] for p in held)
-            for batch in batches:
-                hits = [(row, held[p]) for row, ts in zip(batch["_row"].to_pylist(), batch["texts"].to_pylist(), strict=True) for p in sorted(set().union(*(keys.found(t) for t in ts if t)))]
+            for part in in_parts(batches):
+                hits = [(row, held[p]) for row, ts in zip(part["_row"], part["texts"], strict=True) for p in sorted(set().union(*(keys.found(t) for t in ts if t)))]
                 yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in hits], pa.int64()), *(pa.array([p[i] for _, p in hits], f.type) for i, f in enumerate(arrow))], names=["_row", *arrow.names])
 
         schema = T.StructType([T.StructField("_row", T.LongType()), *fields])
@@ -162,9 +163,9 @@ def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFram
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-replace")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in in_parts(batches):
             new, windows = [], []
-            for ts, ps in zip(batch["texts"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
+            for ts, ps in zip(part["texts"], part["pairs"], strict=True):
                 out, around = [], []
                 for t in ts:
                     for p in ps if t is not None and ps is not None else ():
@@ -175,7 +176,7 @@ def folded_in_rounds(df: DataFrame, columns: list[str], look: Callable[[DataFram
                     out.append(t)
                 new.append(out)
                 windows.append(around)
-            yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(new, pa.list_(pa.string())), pa.array(windows, pa.list_(pa.string()))], names=["_row", "texts", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(part["_row"], pa.int64()), pa.array(new, pa.list_(pa.string())), pa.array(windows, pa.list_(pa.string()))], names=["_row", "texts", "windows"])
 
     open_ = rows.select("_row", F.array(*columns).alias("texts"))
     known = written(look(open_).distinct(), "keys-found")

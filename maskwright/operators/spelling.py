@@ -17,7 +17,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.batches import in_parts
 from ..sources.scratch import written
 from .replace import MOST
 
@@ -82,7 +84,7 @@ def spelled_hits(texts: DataFrame, key: Column, text: Column, keys: Column, of:
     """(id, key, place, length): where each of the keys stands in the texts in whatever spelling, in characters of the text as it stands. Keys are searched for in parts of about `most`, each one pass. Null texts have no hits, empty keys none either."""
     own = written(of.select(keys.alias("key")).where("key <> ''").distinct(), "keys")
     plain = texts.select(key.alias("id"), text.alias("text")).where("text is not null")
-    kind = plain.schema["id"].dataType.simpleString()
+    kind, own_kind = plain.schema["id"].dataType.simpleString(), to_arrow_type(plain.schema["id"].dataType)
     parts = max(1, -(-own.count() // most))
     found = None
     for number in range(parts):
@@ -96,14 +98,14 @@ def spelled_hits(texts: DataFrame, key: Column, text: Column, keys: Column, of:
                     automaton.add_word(form, (len(form), [*automaton.get(form, (0, []))[1], k]))
             if len(automaton):
                 automaton.make_automaton()
-            for batch in batches:
+            for part in in_parts(batches):
                 hits = []
-                for row, t in enumerate(batch["text"].to_pylist()):
+                for row, t in enumerate(part["text"]):
                     form, places = spelled(t)
                     for end, (n, names) in automaton.iter(form) if len(automaton) else ():
                         begin, stop = places[end - n + 1][0], places[end][1]
                         hits += [(row, k, begin, stop - begin) for k in names]
-                ids = batch["id"].take(pa.array([h[0] for h in hits], pa.int64()))
+                ids = pa.array([part["id"][h[0]] for h in hits], own_kind)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[i] for h in hits], t) for i, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], names=["id", "key", "place", "length"])
 
         hits = plain.mapInArrow(rows, f"id {kind}, key string, place long, length long")

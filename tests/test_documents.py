@@ -302,3 +302,31 @@ def test_pages_are_searched_with_keys_in_parts(spark):
     mapping = spark.createDataFrame([("Jane",), (" ",), ("Bo",), ("x1",)], "k string")
     for most in (100, 1):
         assert {r.document: r.searchable for r in pages.searchable(texts, mapping, most=most).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_python_holds_few_rows_at_a_time():
+    """Whatever the size of Spark's batches: parts of bounded size, and a batch is let go before the next one."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from maskwright.sources.batches import AT_ONCE, in_parts, lists_in_parts
+
+    alive = []
+
+    def batches(make):
+        for _ in range(3):
+            gc.collect()
+            assert all(r() is None for r in alive)
+            batch = make()
+            alive.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    values = list(range(1000))
+    parts = list(in_parts(batches(lambda: pa.record_batch({"a": values, "b": [str(v) for v in values]}))))
+    assert all(len(p["a"]) == len(p["b"]) <= AT_ONCE for p in parts)
+    assert [v for p in parts for v in p["a"]] == values * 3
+    alive.clear()
+    assert [v for p in lists_in_parts(batches(lambda: pa.array(values))) for v in p] == values * 3
