@@ -18,11 +18,13 @@ from collections.abc import Iterator
 from itertools import accumulate
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.batches import in_parts, lists_in_parts
 from ..sources.scratch import written
 from .audit import key_hits
 from .catalogue import MapTooLarge, ordered_pairs
@@ -161,15 +163,16 @@ def rewrite_docx(data: bytes, keys: Keys) -> tuple[bytes, int]:
 def docx_text(files: DataFrame, content: str = "content", into: str = "text") -> DataFrame:
     """The files with their text; null for what is no DOCX file."""
 
-    @F.pandas_udf("string")
-    def read(data: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def read(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def text(d: bytes | None) -> str | None:
             try:
-                return None if d is None else read_docx(bytes(d))
+                return None if d is None else read_docx(d)
             except (zipfile.BadZipFile, EOFError, NotImplementedError, zlib.error):
                 return None
 
-        return data.map(text)
+        for data in lists_in_parts(arrays):
+            yield pa.array([text(d) for d in data], pa.string())
 
     return files.withColumn(into, read(F.col(content)))
 
@@ -204,33 +207,38 @@ def docx_rewritten(files: DataFrame, mapping: DataFrame, path: str = "path", con
 def docx_strings(files: DataFrame) -> DataFrame:
     """(text) of everything that is edited in the files (content): each part's paragraphs, a line each."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
             out = []
-            for data in batch["content"]:
+            for data in part["content"]:
                 try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
                         out += ["\n".join(paragraph_text(p) for p in ET.fromstring(z.read(n)).iter(W + "p")) for n in z.namelist() if EDITED.fullmatch(n)]
                 except Exception:  # noqa: BLE001  a file that can't be read won't be edited either
                     continue
-            yield pd.DataFrame({"text": pd.Series(out, dtype=object)})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
-    return files.where("content is not null").select("content").mapInPandas(rows, "text string")
+    return files.where("content is not null").select("content").mapInArrow(rows, "text string")
+
+
+EDITED_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("n_replaced", T.LongType()), T.StructField("error", T.StringType())])
 
 
 def _rewritten(files: DataFrame, shared, path: str, content: str) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(EDITED_FILES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(shared.value)
-        for batch in batches:
+        for part in in_parts(batches):
             out = []
-            for name, data in zip(batch[path], batch[content], strict=True):
+            for name, data in zip(part["path"], part["content"], strict=True):
                 try:
-                    out.append((name, *rewrite_docx(bytes(data), keys), None))
+                    out.append((name, *rewrite_docx(data, keys), None))
                 except Exception as error:  # noqa: BLE001  whatever is wrong with a file, the row says so
                     out.append((name, None, 0, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(out, columns=["path", "content", "n_replaced", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return files.select(path, content).mapInPandas(rows, "path string, content binary, n_replaced long, error string")
+    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(rows, EDITED_FILES)
 
 
 RUNS = T.StructType([T.StructField("runs", T.ArrayType(T.StringType())), T.StructField("n_replaced", T.LongType())])
@@ -240,11 +248,11 @@ def runs_replaced(df: DataFrame, column: str, mapping: DataFrame, all_crossing:
     """Replacement in arrays of runs (one array a paragraph), inside and across them; adds n_replaced."""
     shared = _held(mapping, most)
 
-    @F.pandas_udf(RUNS)
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RUNS)
+    def replaced(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keys = Keys(shared.value)
-        for column in batches:
+        for column in lists_in_parts(arrays):
             out = [(None, 0) if runs is None else replace_in_runs([r or "" for r in runs], keys, all_crossing) for runs in column]
-            yield pd.DataFrame(out, columns=["runs", "n_replaced"])
+            yield pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.string())), pa.array([o[1] for o in out], pa.int64())], names=["runs", "n_replaced"])
 
     return df.withColumn("_r", replaced(F.col(column))).withColumns({column: F.col("_r.runs"), "n_replaced": F.col("_r.n_replaced")}).drop("_r")

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ from ..operators.reidentify import reidentify_records, reidentify_texts
 from ..operators.replace import apply_map, apply_pairs, apply_to_documents, pseudonymise
 from ..operators.spelling import spelled_hits
 from ..sources import files
+from ..sources.batches import in_parts
 from ..sources.scratch import scratch_path
 from ..streaming.pseudonymise import pseudonymise_stream
 from . import pipeline
@@ -707,12 +708,13 @@ def docx_file(paragraphs: list[list[str]], cells: list[str] = (), header: str =
 def _docx_files(spark: SparkSession, d: str) -> DataFrame:
     """A file for every turn, of all its words: the first 200 as paragraphs of two runs, the rest as cells; null texts are files of one empty word."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = [(t or "").split(" ") for t in batch["text"]]
-            yield pd.DataFrame({"path": batch["path"], "content": [docx_file([[w[:3], w[3:] + " "] for w in ws[:200]], ws[200:], "thth heads this") for ws in words]})
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
+            words = [(t or "").split(" ") for t in part["text"]]
+            content = [docx_file([[w[:3], w[3:] + " "] for w in ws[:200]], ws[200:], "thth heads this") for ws in words]
+            yield pa.RecordBatch.from_arrays([pa.array(part["path"], pa.string()), pa.array(content, pa.binary())], names=["path", "content"])
 
-    return _read(spark, d, "conversations", F.concat_ws("-", "conv_id", "turn").alias("path"), "text").mapInPandas(made, "path string, content binary")
+    return _read(spark, d, "conversations", F.concat_ws("-", "conv_id", "turn").alias("path"), "text").mapInArrow(made, "path string, content binary")
 
 
 _WORDS_SQL = "words as (select concat_ws('-', conv_id, turn) as path, string_split(coalesce(text, ''), ' ') w from conversations), lines as (select path, list_transform(w, lambda x, i: case when i <= 200 then x || ' ' else x end) l from words)"
