@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import without_banner, without_banner_block
+from ..sources.batches import in_parts
 from ..sources.scratch import written
 from .catalogue import key_order, reverse_pairs
 from .replace import MOST, apply_pairs, folded_in_rounds, key_places
@@ -38,8 +39,8 @@ def _code_places(texts: DataFrame, codes: DataFrame, lengths: list[int]) -> Data
     """(_row, at) of rows (_row, texts): the codes (k, at) that stand in them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [(row, k) for row, ts in zip(batch["_row"].to_pylist(), batch["texts"].to_pylist(), strict=True) for k in sorted({k for t in ts if t for k in codes_in(t, lengths)})]
+        for part in in_parts(batches):
+            hits = [(row, k) for row, ts in zip(part["_row"], part["texts"], strict=True) for k in sorted({k for t in ts if t for k in codes_in(t, lengths)})]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in hits], pa.int64()), pa.array([k for _, k in hits], pa.string())], names=["_row", "k"])
 
     found = written(texts.mapInArrow(rows, "_row long, k string"), "codes-found")
