@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +227,8 @@ def bits_for(similarity: float, bits: int = 64 * WIDE_WORDS, slack: float = 0.75
 
 #: Bands of minima: two sets at similarity s share a band's key with chance s**BAND_ROWS, so a pair at 0.8 is missed by all with 6 in 100,000.
 BANDS, BAND_ROWS = 32, 6
+#: Of these bands all pairs are tried, of the others those that are in two components then.
+FIRST_BANDS = 4
 _MINIMA = np.random.default_rng(20).integers(1 << 63, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -238,14 +241,17 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     words are one class. The sets lie in files of the shared folder. Other
     columns are not read.
 
-    Candidates are classes that share the key of a band of minima. (Segments of
-    fingerprints can't serve here: at 0.8, a twelfth to a sixth of the bits
-    differ, so no segment of a useful length is forced to be equal.) Where up to
+    Candidates come from pigeonring on SimHash fingerprints of the sets first
+    (`ring_pairs`), with the first bands' below. Fingerprints of texts at 0.8 differ
+    in a twelfth to a sixth of their bits, so the ring can't force any segment of a
+    useful length to be equal for these; what it has not joined are classes that
+    share the key of a band of minima. Where up to
     `hot` classes share a key, all pairs are tried. Where more do, each is tried
     against the next in an order of sizes and hashes, another one in every band,
-    which joins the bulk of a large group; then, if a bucket's classes are not one component yet, those outside
+    which joins the bulk of a large group. Pairs that the ring and the first bands
+    have joined are not tried again. Each is tried against the centre of its crowded buckets then (`_centred`), and if a bucket's classes are not one component yet, those outside
     its largest are tried against all others of the bucket that are not in their
-    own. Fingerprints of 256 bits prune these before sets are read.
+    own, as far as they share a hash among their rarest, which sets of the similarity must.
     """
     folder = mounted(shared_path(docs.sparkSession, "sets"))
 
@@ -258,24 +264,37 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
                 out = []
                 for found in sets:
                     data = found.tobytes()
-                    out.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist(), at))
+                    out.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist(), at, majority(found)))
                     file.write(data)
                     at += len(data)
-                yield {"id": batch["id"], "file": [name] * len(out), "bands": list(band_keys(sets)), **dict(zip(("n", "s0", "s1", "at"), zip(*out, strict=True) if out else [()] * 4, strict=True))}
+                yield {"id": batch["id"], "file": [name] * len(out), "bands": list(band_keys(sets)), "fp": np.array([x[4] for x in out], np.uint64).view(np.int64), **dict(zip(("n", "s0", "s1", "at"), list(zip(*out, strict=True))[:4] if out else [()] * 4, strict=True))}
 
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    marked = written(map_columns(own, rows, f"id {kind}, file string, n long, s0 long, s1 long, bands array<long>, at long"), "sets-of")
+    marked = written(map_columns(own, rows, f"id {kind}, file string, n long, s0 long, s1 long, bands array<long>, at long, fp long"), "sets-of")
     same = ["n", "s0", "s1"]
-    classes = written(marked.groupBy(*same).agg(F.min(F.struct("id", "file", "at", "bands")).alias("m"), F.count("*").alias("rows")).select(*same, "rows", "m.*"), "classes")
+    classes = written(marked.groupBy(*same).agg(F.min(F.struct("id", "file", "at", "bands", "fp")).alias("m"), F.count("*").alias("rows")).select(*same, "rows", "m.*"), "classes")
     places = classes.select("id", "n", "file", "at")
-    everything = classes.where("n > 0").select("id", "n", F.explode("bands").alias("k"))
+    everything = classes.where("n > 0").select("id", "n", F.posexplode("bands").alias("band", "k"))
     counts = everything.groupBy("k").count().where(F.col("count") > 1)
     index = written(everything.join(counts, "k"), "index")
 
-    links = written(_similar(_neighbours(index, hot, similarity), places, folder, similarity), "similar")
+    first = _neighbours(index.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("id")), hot, similarity)
+    ring = ring_pairs(classes.where("n > 0").select("id", "fp"), share)
+    links = written(_similar(ring.union(first).distinct(), places, folder, similarity), "similar")
     roots = written(connected_components(links), "roots")
-    left = _left_over(index.where(F.col("count") > hot), roots, places, folder, similarity)
+    # Two classes of one component need not be tried again.
+    later = index.where(F.col("band") >= FIRST_BANDS).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = written(_similar(_neighbours(later, hot, similarity), places, folder, similarity), "similar")
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = written(connected_components(links), "roots")
+    crowded_buckets = index.where(F.col("count") > hot)
+    more = written(_similar(_centred(crowded_buckets, roots, places, folder, similarity), places, folder, similarity), "similar")
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = written(connected_components(links), "roots")
+    left = _left_over(crowded_buckets, roots, places, folder, similarity)
     more = written(_similar(left, places, folder, similarity), "similar")
     if not more.isEmpty():
         roots = written(connected_components(links.union(more)), "roots")
@@ -289,6 +308,20 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     return every.toDF(key, free_name("component", [key]))
 
 
+def ring_pairs(classes: DataFrame, share: int = 1000, m: int = 5, tau: int = 2) -> DataFrame:
+    """(a, b) of classes (id, fp) whose fingerprints pigeonring finds within tau bits: each class with the first of its fingerprint, and the first ones of every two linked fingerprints."""
+    prints = written(classes.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "prints")
+    # As with copies: fingerprints of over one in `share` classes go to every task, the others meet in a join without common keys.
+    crowded = F.col("rows") > (prints.agg(F.sum("rows")).first()[0] or 0) // share
+    common = F.broadcast(prints.where(crowded).select("fp", "first"))
+    rest = classes.join(common.select("fp"), "fp", "left_anti").join(prints.where(~crowded & (F.col("rows") > 1)).select("fp", "first"), "fp")
+    equal = classes.join(common, "fp").select("first", "id").union(rest.select("first", "id"))
+    side = lambda x: prints.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+    close = link_within(prints.select("fp"), m, tau).join(side("a"), "a").join(side("b"), "b").select("first_a", "first_b")
+    both = equal.union(close).toDF("x", "y").where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that the sets of few rows are in memory together."""
     for batch in batches:
@@ -342,14 +375,14 @@ def _sizes_fit(similarity: float, a: str = "n_a", b: str = "n_b") -> Column:
 
 
 def _neighbours(index: DataFrame, hot: int, similarity: float, part_size: int = 256) -> DataFrame:
-    """(a, b): all pairs of buckets of up to hot classes, and each member of a larger one with the next, within parts of the bucket that one task holds easily."""
+    """(a, b) of two roots: all pairs of buckets of up to hot classes, and each member of a larger one with the next, within parts of the bucket that one task holds easily."""
     part = F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("count") / part_size))
     # Another order in every bucket, sizes roughly first: sets of very different sizes are not similar.
     w = Window.partitionBy("k", "part").orderBy(F.floor(F.log2("n") * 4), F.xxhash64("k", "id"), "id")
-    members = index.select("k", "id", "n", (F.col("count") <= hot).alias("few"), F.when(F.col("count") > part_size, part).otherwise(0).alias("part"))
-    nexts = F.array(*(F.struct(F.when(F.lit(i == 1) | F.col("few"), F.lead("id", i).over(w)).alias("b"), F.lead("n", i).over(w).alias("n_b")) for i in range(1, max(2, hot))))
-    near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), nexts.alias("nexts")).select("a", "n_a", F.inline("nexts"))
-    near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _sizes_fit(similarity))
+    members = index.select("k", "id", "n", "root", (F.col("count") <= hot).alias("few"), F.when(F.col("count") > part_size, part).otherwise(0).alias("part"))
+    nexts = F.array(*(F.struct(F.when(F.lit(i == 1) | F.col("few"), F.lead("id", i).over(w)).alias("b"), F.lead("n", i).over(w).alias("n_b"), F.lead("root", i).over(w).alias("root_b")) for i in range(1, max(2, hot))))
+    near = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "root", nexts.alias("nexts")).select("a", "n_a", "root", F.inline("nexts"))
+    near = near.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & (F.col("root") != F.col("root_b")) & _sizes_fit(similarity))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -376,25 +409,82 @@ def _similar(pairs: DataFrame, places: DataFrame, folder: str, similarity: float
     return map_columns(both, rows, f"a {kind}, b {kind}")
 
 
-def _left_over(crowded: DataFrame, roots: DataFrame, places: DataFrame, folder: str, similarity: float) -> DataFrame:
-    """(a, b): in crowded buckets that are not one component, members outside the largest with all others of the bucket that are not in their own, as far as sizes and fingerprints allow."""
+def _divided(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, id, n, root, largest) of the crowded buckets that are not one component; largest is the root of a bucket's largest one."""
     members = crowded.select("k", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("root", "id").alias("root"))
     by_root = members.groupBy("k", "root").count()
     largest = by_root.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("k", "largest")
-    mixed = written(members.join(largest, "k"), "mixed")
-    kind = mixed.schema["id"].dataType.simpleString()
+    return written(members.join(largest, "k"), "mixed")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        read = _set_reader(folder)
-        for batch in _slices(batches):
-            found = [_wide(read(*x)) for x in zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True)]
-            wide = np.array(found, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield {"id": batch["id"], **{f"f{i}": wide[:, i] for i in range(WIDE_WORDS)}}
-
-    prints = map_columns(mixed.select("id").distinct().join(places, "id"), rows, f"id {kind}, " + ", ".join(f"f{i} long" for i in range(WIDE_WORDS)))
-    mixed = written(mixed.join(prints, "id"), "mixed")
-    sided = lambda df, x: df.select("k", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", *(f"f{i}" for i in range(WIDE_WORDS)))))
-    bits = sum((F.bit_count(F.col(f"f{i}_a").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(1, WIDE_WORDS)), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
-    met = sided(mixed.where("root <> largest"), "a").join(sided(mixed, "b"), "k")
-    met = met.where((F.col("root_a") != F.col("root_b")) & _sizes_fit(similarity) & (bits <= bits_for(similarity, slack=4.0)))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _sets(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Small batches of places with their sets."""
+    read = _set_reader(folder)
+    for batch in _slices(batches):
+        yield batch, [read(*x) for x in zip(*(batch[c].to_pylist() for c in ("file", "at", "n")), strict=True)]
+
+
+#: Slots in which the hashes of crowded buckets are counted.
+SLOT_BITS = 20
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(placed: DataFrame, folder: str) -> Broadcast:
+    """How frequent hashes are in the sets, by slots: of one size, whatever the number of texts. It only decides on orders, never on links."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, found in _sets(batches, folder):
+            seen += np.bincount(_slots(np.concatenate(found)), minlength=len(seen)) if found else 0
+        slots = np.flatnonzero(seen)
+        yield {"slot": slots.astype(np.int32), "seen": seen[slots]}
+
+    counts = map_columns(placed.select("file", "at", "n"), counted, "slot int, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
+    seen = np.zeros(1 << SLOT_BITS, np.int64)
+    seen[counts["slot"].to_numpy()] = counts["seen"].to_numpy()
+    return placed.sparkSession.sparkContext.broadcast(seen)
+
+
+def _centred(crowded: DataFrame, roots: DataFrame, places: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(a, b): the members of crowded buckets that are not one component with the bucket's centre, whose hashes are the most frequent on average: what others are copies of has least of its own."""
+    mixed = _divided(crowded, roots)
+    placed = written(mixed.select("id").distinct().join(places, "id"), "placed")
+    shared = _frequencies(placed, folder)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, found in _sets(batches, folder):
+            yield {"id": batch["id"], "score": [float(np.log2(shared.value[_slots(x)]).mean()) for x in found]}
+
+    scores = map_columns(placed, scored, f"id {mixed.schema['id'].dataType.simpleString()}, score double")
+    best = mixed.join(scores, "id").groupBy("k").agg(F.max(F.struct("score", "id", "n", "root")).alias("c")).select("k", F.col("c.id").alias("centre"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
+    met = mixed.withColumnRenamed("n", "n_a").join(best, "k").where((F.col("root") != F.col("root_b")) & _sizes_fit(similarity))
+    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _left_over(crowded: DataFrame, roots: DataFrame, places: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(a, b): members of crowded buckets that are not one component, of two components, one of them outside its bucket's largest, that share a hash among their rarest.
+
+    Sets of the similarity share so many hashes that one must be among the rarest of both,
+    in any order that is the same for all; rare ones first, a passage that many texts have makes no pairs.
+    """
+    apart = _divided(crowded, roots).groupBy("id", "root").agg(F.max(F.col("root") != F.col("largest")).alias("outside"))
+    placed = written(apart.join(places, "id"), "placed")
+    shared, kind = _frequencies(placed, folder), placed.schema["id"].dataType.simpleString()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, found in _sets(batches, folder):
+            firsts = [x[np.lexsort((x, shared.value[_slots(x)]))[: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]] for x in found]
+            rows = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
+            pos = np.concatenate([np.arange(len(x)) for x in firsts]) if firsts else []
+            yield {**{c: batch[c].take(pa.array(rows)) for c in ("id", "n", "root", "outside")}, "pos": pos, "h": np.concatenate(firsts).view(np.int64) if firsts else []}
+
+    prefixes = written(map_columns(placed, rarest, f"id {kind}, n long, root {kind}, outside boolean, pos long, h long"), "rarest")
+    sided = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "pos")))
+    # Of two sets with so many hashes in common, the first common one has no more before it in either than that leaves out.
+    common = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    early = (F.col("pos_a") + common <= F.col("n_a")) & (F.col("pos_b") + common <= F.col("n_b"))
+    met = sided(prefixes.where("outside"), "a").join(sided(prefixes, "b"), "h").where((F.col("root_a") != F.col("root_b")) & _sizes_fit(similarity) & early)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()

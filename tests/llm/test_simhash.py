@@ -213,3 +213,54 @@ def test_keys_with_the_names_of_results(spark):
     assert {(r.component, r.component_) for r in got.collect()} == {(7, 5), (5, 5), (None, None)}
     assert S.similar_groups(docs.where("component > 0"), "component", "fp").columns == ["component", "component_"]
     assert S.fingerprints(docs.withColumnRenamed("component", "FP_").withColumnRenamed("fp", "t").withColumnRenamed("FP_", "fp"), "fp", "t").columns == ["fp", "fp_"]
+
+
+def test_ring_pairs_join_what_brute_force_joins(spark):
+    """The pipeline's first candidates: fingerprints within two bits, by the ring, and classes of one fingerprint."""
+    random.seed(8)
+    rows = []
+    for _ in range(15):
+        v = random.getrandbits(64)
+        for _ in range(6):
+            rows.append((len(rows), v))
+            v ^= sum(1 << b for b in random.sample(range(64), random.choice([0, 1, 2, 4])))
+    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in rows]
+    for share in (1, 1000):
+        roots = {r.node: r.root for r in connected_components(S.ring_pairs(spark.createDataFrame(signed, "id long, fp long"), share)).collect()}
+        groups = {}
+        for i, v in rows:
+            groups.setdefault(roots.get(i, i), set()).add(v)
+        assert sorted(map(sorted, groups.values())) == brute_components(sorted({v for _, v in rows}))
+
+
+def test_what_first_candidates_join_is_not_tried_in_every_band(spark, monkeypatch):
+    random.seed(9)
+    own = [f"v{random.randrange(10**9)}" for _ in range(200)]
+    texts = []
+    for i in range(150):
+        copy = list(own)
+        copy[random.randrange(200)] = f"u{i}"
+        texts.append(" ".join(copy))
+    tried, similar = [], S._similar
+    monkeypatch.setattr(S, "_similar", lambda pairs, *a: tried.append(pairs.count()) or similar(pairs, *a))
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r[1] for r in got} == {0}
+    assert sum(tried) < 12 * len(texts)
+
+
+def test_a_family_just_under_the_similarity_is_not_tried_in_pairs(spark, monkeypatch):
+    random.seed(10)
+    own = [f"v{random.randrange(10**9)}" for _ in range(200)]
+    texts = [" ".join(own)]
+    for _ in range(149):
+        copy = list(own)
+        for at in random.sample(range(5, 195, 10), random.randint(5, 8)):
+            copy[at] = f"u{random.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    sets = [set(S.shingles(S.words_of(t), 5)) for t in texts]
+    assert all(len(a & b) < 0.8 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    tried, similar = [], S._similar
+    monkeypatch.setattr(S, "_similar", lambda pairs, *a: tried.append(pairs.count()) or similar(pairs, *a))
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert all(a == b for a, b in got)
+    assert tried[-1] < len(texts)
