@@ -1,21 +1,25 @@
-"""Interpolated modified Kneser-Ney n-grams, counted in Spark and kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-grams, counted in Spark and kept as sorted arrays.
 
 A text is the sequence of its words and one end; a start stands before it as
-context. Words are 64-bit hashes. Counting goes down the orders: the n-grams of
-all texts are summed; every distinct n-gram then counts once for its suffix
-(those that begin a text, which nothing precedes, with their own count), and so
-on to single words.
-
-N-grams travel as packed arrays, one for a bucket and a task, already summed
-there. A bucket is found from the hash of the n-gram's context, so that a
-context's sums are complete in one bucket; contexts that begin with a start
-or a very frequent word are dealt by the whole n-gram instead, and their sums
-are added in a second step. A word is very frequent if it stands once in
-8 * `hot_share` bytes of text, so there are at most so many such words.
-
-Each bucket ends as sorted arrays in a file of the shared folder: hashes of
-n-grams counted once, hashes and counts of the others, hashes of contexts seen
-once, hashes and sums of the others. Scoring tasks map these files into memory and search them; nothing of
+context. Words are first counted by 64-bit hashes and numbered, frequent ones
+first. Counting then goes down the orders: the n-grams of all texts are summed;
+every distinct n-gram counts once for its suffix, and so on to single words.
+Places before a text's start are filled with a word that is none: such n-grams
+are not counted, they bring the shorter ones that begin a text, which nothing
+precedes, down to their order with their own count.
+
+N-grams travel as packed arrays of numbers, one for a bucket and a task, already
+summed, sorted and compressed there. A bucket is found from the n-gram's words up
+to the first that is not very frequent, so that a context's sums are complete in
+one bucket; only contexts of nothing but very frequent words are dealt by the
+whole n-gram, and their sums are added in a second step. A word is very frequent if
+it stands once in 8 * `hot_share` bytes of text, so there are at most so many such
+words, and an eighth as often as a bucket has words.
+
+Each bucket ends as a tree in a file of the shared folder: the first words in order,
+for each the second words, and so on; counts in one byte, larger ones apart. A
+context's sums follow from the counts under it and are kept only where those are
+many. Scoring tasks map these files into memory and search them; nothing of
 the model but the files' directory and the discounts goes through the driver.
 
 Nulls count as empty texts, which are one end. Texts of any length are one
@@ -31,51 +35,71 @@ import os
 import pickle
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, mounted, shared_path, table, text_or_empty, written
+from .common import map_columns, mounted, shared_path, table, text_or_empty
 
 END, START = (np.uint64(xxhash.xxh64_intdigest(name, 42)) for name in (b" end", b" start"))  # no word has a space
+#: Numbers: the word that is none, the start, the first of the words.
+NO_WORD, START_ID, FIRST_ID = 0, 1, 2
+#: A context's sums are kept if it has more n-grams.
+FEW = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOBS = "kind string, level int, bucket long, words binary, counts binary"
+_COLUMNS = ["kind", "level", "bucket", "words", "counts"]
 
 
-def word_hashes(text: str | None, most: int = -1) -> list[int]:
-    """The words' hashes; only the first ones if most is given."""
-    digest = xxhash.xxh64_intdigest
-    words = text.encode("utf-8", "surrogatepass").lower().split(None, most) if text else []
-    return [digest(w, 42) for w in (words if most < 0 else words[:most])]
+class _Hashes(dict):
+    """Words' hashes; a bounded number of words that came first, most of them frequent, is kept."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < 250_000 and len(word) < 64:
+            self[word] = h
+        return h
 
-def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
-    """One hash for the words of each row, in order; a single word is its own."""
-    out: np.ndarray | None = None
+
+_hashes = _Hashes()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _stirred(h: np.ndarray | np.uint64, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for c in columns:
-            if out is None:
-                out = c
-            else:
-                out = (out ^ (out >> np.uint64(29))) * _ODD + c
-                out = (out ^ (out >> np.uint64(32))) * _MIX
+        out = (h ^ (h >> np.uint64(29))) * _ODD + c.astype(np.uint64)
+        return (out ^ (out >> np.uint64(32))) * _MIX
+
+
+def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """One hash for the words of each row, in order."""
+    out: np.ndarray | np.uint64 = np.uint64(0)
+    for c in columns:
+        out = _stirred(out, c)
     return out
 
 
-def sequences(texts: Iterable[str | None], most: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words (or the first of each), with start and end, in one array, and each position's place in its text (0: start)."""
+def sequences(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words, with start and end, in one array, and each position's place in its text (0: start)."""
     parts, ends = [], np.array([END, START], np.uint64)
     sizes = []
     for t in texts:
-        words = word_hashes(t, most)
-        parts += [np.array(words, np.uint64), ends]
+        words = word_hashes(t)
+        parts += [words, ends]
         sizes.append(len(words) + 2)
     # The first start stands before all parts, the last part's start is one too many.
     flat = np.concatenate([ends[1:], *parts])[:-1] if parts else np.zeros(0, np.uint64)
@@ -84,96 +108,207 @@ def sequences(texts: Iterable[str | None], most: int = -1) -> tuple[np.ndarray,
     return flat, place
 
 
-def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Equal rows as one with the sum of their counts, sorted by their hash: columns, counts, hashes."""
-    h = gram_hash(columns)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return [c[order][first] for c in columns], np.add.reduceat(counts[order], first) if len(h) else counts, h[first]
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def ordered(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of the rows by their columns."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    packed = columns[0].astype(np.uint64)
+    for c, n in zip(columns[1:], bits[1:], strict=True):
+        packed = (packed << np.uint64(n)) | c.astype(np.uint64)
+    return np.argsort(packed)
+
+
+def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows as one with the sum of their counts, in order."""
+    order = ordered(columns)
+    columns, counts = [c[order] for c in columns], counts[order]
+    first = np.flatnonzero(_starts(*columns))
+    return [c[first] for c in columns], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _pack(counts: np.ndarray) -> bytes:
     small = counts.max(initial=0) < 256
-    return (b"\1" if small else b"\4") + counts.astype(np.uint8 if small else np.uint32).tobytes()
+    return (b"\1" if small else b"\4") + pa.compress(counts.astype(np.uint8 if small else np.uint64).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    kind = np.uint8 if packed[:1] == b"\1" else np.uint64
+    return np.frombuffer(pa.decompress(packed[1:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
+
 
+def _pack_words(columns: list[np.ndarray]) -> bytes:
+    """Rows in order: each word as its distance from the one before where the words to its left are the same, byte by byte."""
+    if columns[0].dtype == np.uint64:
+        return columns[0].tobytes()
+    parts, new = [], np.arange(len(columns[0])) == 0
+    for c in columns:
+        parts.append(np.where(new, c, c - np.roll(c, 1)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        new = new | _starts(c)
+    return np.int64(len(columns[0])).tobytes() + pa.compress(b"".join(parts), "zstd", asbytes=True)
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8 if packed[:1] == b"\1" else np.uint32, offset=1).astype(np.int64)
+
+def _unpack_words(packed: bytes, n: int) -> list[np.ndarray]:
+    """n: of columns; 0: one of hashes."""
+    if not n:
+        return [np.frombuffer(packed, np.uint64)]
+    size = int.from_bytes(packed[:8], "little")
+    flat = np.frombuffer(pa.decompress(packed[8:], 4 * n * size, "zstd", asbytes=True), np.uint8).reshape(n, 4, size)
+    columns, new = [], np.arange(size) == 0
+    for part in flat:
+        steps = np.ascontiguousarray(part.T).view("<u4").ravel().astype(np.int64)
+        total, first = np.cumsum(steps), np.flatnonzero(new)
+        columns.append((total - np.repeat(total[first] - steps[first], np.diff(np.append(first, size)))).astype(np.uint32))
+        new = new | _starts(columns[-1])
+    return columns
 
 
 @dataclass(frozen=True)
 class Deal:
-    """Which bucket an n-gram goes to. buckets is a power of two."""
+    """Which bucket an n-gram goes to. buckets is a power of two; numbers under hot are of very frequent words."""
 
     buckets: int
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-
-    def is_hot(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(words), bool)
-        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
-        return self.hot[at] == words
+    hot: int = FIRST_ID
 
     def of_hash(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.buckets.bit_length() + 1)).astype(np.int64) if self.buckets > 1 else np.zeros(len(h), np.int64)
 
-    def of(self, columns: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
-        if len(columns) == 1:
-            return self.of_hash(whole)
-        with np.errstate(over="ignore"):
-            context = gram_hash(columns[:-1]) * _MIX
-        return self.of_hash(np.where(self.is_hot(columns[0]), whole, context))
+    def of(self, columns: list[np.ndarray]) -> np.ndarray:
+        if columns[0].dtype == np.uint64:
+            return self.of_hash(columns[0])
+        h, more = _stirred(np.uint64(0), columns[0]), columns[0] < self.hot
+        for c in columns[1:]:
+            h, more = np.where(more, _stirred(h, c), h), more & (c < self.hot)
+        return self.of_hash(h)
 
+    def all_hot(self, columns: list[np.ndarray]) -> np.ndarray:
+        return np.logical_and.reduce([c < self.hot for c in columns])
 
-def _blobs(level: int, columns: list[np.ndarray], counts: np.ndarray, deal: Deal, kind: str = "grams") -> pd.DataFrame:
+
+def _blobs(level: int, columns: list[np.ndarray], counts: np.ndarray, deal: Deal) -> pd.DataFrame:
     """The rows as packed arrays, one for each bucket."""
-    columns, counts, whole = summed(columns, counts)
-    bucket = deal.of(columns, whole)
-    # By bucket, then by words: runs of equal words pack well on the way.
-    order = np.lexsort((*columns[::-1], bucket))
+    columns, counts = summed(columns, counts)
+    bucket = deal.of(columns)
+    order = np.argsort(bucket, kind="stable")
     bucket, counts, columns = bucket[order], counts[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
-    rows = [(kind, level, int(bucket[a]), b"".join(c[a:b].tobytes() for c in columns), _pack(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
-    return pd.DataFrame(rows, columns=["kind", "level", "bucket", "words", "counts"])
-
+    rows = [("grams", level, b, _pack_words([c[a:e] for c in columns]), _pack(counts[a:e])) for b, a, e in _runs(bucket)]
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
-def _joined(words: Iterable[bytes], counts: Iterable[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [np.frombuffer(w, np.uint64).reshape(n, -1) for w in words]
-    return list(np.concatenate(parts, axis=1)), np.concatenate([_unpack(c) for c in counts])
 
+def _joined(words: list[bytes], counts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = [_unpack_words(w, n) for w in words]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate([_unpack(c, len(p[0])) for c, p in zip(counts, parts, strict=True)])
 
-def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int, begins: bool = False) -> DataFrame:
-    """Packed n-grams of the texts, summed over at_once tokens at a time; order 1 counts words and ends.
 
-    begins: instead of these, the shorter n-grams that begin a text, for which its
-    first words are enough; all other shorter ones follow from the longer ones.
-    """
+def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int, known: Broadcast | None = None) -> DataFrame:
+    """Packed n-grams of the texts, summed over at_once tokens at a time; without known words, the hashes of words and ends (level 0)."""
 
-    def grams(texts: list[str | None]) -> Iterator[pd.DataFrame]:
-        flat, place = sequences(texts, order if begins else -1)
-        for level in range(2, order) if begins else (order,):
-            ends = np.flatnonzero(place == level - 1 if begins else place >= max(1, level - 1))
-            if len(ends):
-                yield _blobs(level, [flat[ends - level + 1 + i] for i in range(level)], np.ones(len(ends), np.int64), deal)
+    def grams(texts: list[str | None], reader: Reader | None) -> pd.DataFrame:
+        flat, place = sequences(texts)
+        ends = np.flatnonzero(place > 0)
+        if reader is None:
+            codes, words = pd.factorize(flat[ends])
+            return _blobs(0, [words], np.bincount(codes, minlength=len(words)), deal)
+        ids = reader.numbered(flat, place)[0]
+        columns = [np.where(place[ends] >= back, ids[np.maximum(ends - back, 0)], np.uint32(NO_WORD)) for back in range(order - 1, -1, -1)]
+        return _blobs(order, columns, np.ones(len(ends), np.int64), deal)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _reader(known.value) if known else None
         waiting, size = [], 0
         for batch in batches:
             for t in batch[text]:
                 waiting.append(t)
                 size += len(t or "") // 5 + 2
                 if size > at_once:
-                    yield from grams(waiting)
+                    yield grams(waiting, reader)
                     waiting, size = [], 0
         if waiting:
-            yield from grams(waiting)
+            yield grams(waiting, reader)
 
     return docs.select(text).mapInPandas(rows, BLOBS)
 
 
-def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, frequent: int = 0) -> DataFrame:
+# --- files -----------------------------------------------------------------
+
+
+def _count_arrays(counts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Counts in a byte each; of those too large the places, lower and upper halves. And how many those are."""
+    large = np.flatnonzero(counts > 254)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    small = np.append(small, np.zeros(-len(small) % 4, np.uint8)).view(np.uint32)
+    return [small, large.astype(np.uint32), *_halves(counts[large])], len(large)
+
+
+def _halves(x: np.ndarray) -> list[np.ndarray]:
+    return [(x & 0xFFFFFFFF).astype(np.uint32), (x >> 32).astype(np.uint32)]
+
+
+def _word_arrays(words: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """Arrays and their places: hashes, number within the class, counts. And the sizes of the classes, which double in counts."""
+    kind = np.frexp(counts.astype(float))[1]
+    order = np.argsort(kind, kind="stable")
+    sizes = np.bincount(kind, minlength=64)
+    rank = np.empty(len(kind), np.uint32)
+    rank[order] = np.arange(len(kind)) - (np.cumsum(sizes) - sizes)[kind[order]]
+    tail, large = _count_arrays(counts)
+    n = len(words)
+    return [words.view(np.uint32), rank, *tail], [0, n, 2 * n, 3 * n, 3 * n + len(tail[0]), large], sizes.tolist()
+
+
+def _tree_arrays(columns: list[np.ndarray], counts: np.ndarray, hot: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Arrays and their places: keys of each depth and where their children begin, counts, sums of contexts with many n-grams (hot ones have theirs elsewhere)."""
+    arrays, places, at = [], [], 0
+
+    def put(x: np.ndarray) -> None:
+        nonlocal at
+        arrays.append(x)
+        places.append(at)
+        at += len(x)
+
+    new = np.zeros(len(counts), bool)
+    nodes = []
+    for c in columns:
+        new = new | _starts(c)
+        nodes.append(np.flatnonzero(new))
+    for i, c in enumerate(columns):
+        put(c[nodes[i]].astype(np.uint32))
+        if i + 1 < len(columns):
+            put(np.append(np.searchsorted(nodes[i + 1], nodes[i]), len(nodes[i + 1])).astype(np.uint32))
+    tail, large = _count_arrays(counts)
+    put(tail[0])
+    put(np.concatenate(tail[1:]))
+    kept = np.zeros(0, np.int64)
+    sums = np.zeros((4, 0), np.int64)
+    if len(columns) > 1 and len(counts):
+        first = nodes[-2]
+        sums = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)])
+        kept = np.flatnonzero(((np.diff(np.append(first, len(counts))) > FEW) | (np.maximum.reduceat(counts, first) > 254)) & ~hot[first])
+        sums = sums[:, kept]
+    put(np.concatenate([kept.astype(np.uint32), *_halves(sums[0]), *(x.astype(np.uint32) for x in sums[1:])]))
+    return arrays, [*places, large, len(kept), len(nodes[0])]
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffled rows that are written within need not be kept after."""
+    before = spark.conf.get(_SHUFFLES)
+    spark.conf.set(_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLES, before)
+
+
+def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str) -> DataFrame:
     """Sums each bucket and writes its arrays. Rows out: the next level's packed n-grams, sums of hot contexts, and what the driver keeps of each bucket."""
     place = mounted(folder)
 
@@ -183,35 +318,43 @@ def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str, frequent: int
         at = 0
         with open(os.path.join(place, name), "wb") as file:
             for bucket, group in _groups(batches):
-                columns, counts = _joined(group[0], group[1], level)
-                columns, counts, h = summed(columns, counts)
-                ones = counts == 1
-                arrays = [h[ones], h[~ones], counts[~ones].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)]
-                lone, context_sizes, extra = 0, 0, []
-                if level > 1:
-                    hot = deal.is_hot(columns[0])
-                    keys, sums = _context_sums(gram_hash(columns[:-1])[~hot], counts[~hot])
-                    once = sums[0] == 1  # most contexts: their sums need not be kept
-                    lone, context_sizes = int(once.sum()), int((~once).sum())
-                    arrays += [keys[once], keys[~once], *(x[~once] for x in sums)]
-                    keys, sums = _context_sums(gram_hash(columns[:-1])[hot], counts[hot])
-                    if len(keys):
-                        extra.append(pd.DataFrame([("hot", level, int(b), keys[s].tobytes(), np.stack([x[s].astype(np.uint64) for x in sums]).tobytes()) for b, s in _by_bucket(deal.of_hash(keys))], columns=["kind", "level", "bucket", "words", "counts"]))
-                    extra.append(_blobs(level - 1, columns[1:], np.ones(len(h), np.int64), deal))
+                columns, counts = summed(*_joined(*group, level))
+                extra, known = [], {"file": name, "at": at}
+                if not level:
+                    arrays, known["places"], known["classes"] = _word_arrays(columns[0], counts)
+                else:
+                    whole = columns[0] != NO_WORD
+                    if level > 1:
+                        extra.append(_blobs(level - 1, columns[1:], np.where(whole, 1, counts), deal))
+                    columns, counts = [c[whole] for c in columns], counts[whole]
+                    hot = deal.all_hot(columns[:-1]) if level > 1 else np.zeros(len(counts), bool)
+                    arrays, known["places"] = _tree_arrays(columns, counts, hot)
+                    if hot.any():
+                        keys, sums = _context_sums(gram_hash([c[hot] for c in columns[:-1]]), counts[hot])
+                        rows = [("hot", level, int(b), keys[s].tobytes(), np.stack([x[s] for x in sums]).tobytes()) for b, s in _by_bucket(deal.of_hash(keys))]
+                        extra.append(pd.DataFrame(rows, columns=_COLUMNS))
                 data = b"".join(x.tobytes() for x in arrays)
+                data += bytes(-len(data) % 8)
                 file.write(data)
-                known = {"file": name, "at": at, "ones": len(arrays[0]), "many": len(arrays[1]), "wide": arrays[2].itemsize, "lone": lone, "contexts": context_sizes}
-                known |= {"of": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "more": int((counts > 2).sum()), "total": int(counts.sum()), "distinct": len(h)}
+                known |= {"of": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "more": int((counts > 2).sum()), "total": int(counts.sum()), "distinct": len(counts)}
                 at += len(data)
-                if frequent:
-                    known["frequent"] = h[counts >= frequent].tolist()
-                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps(known), b"")], columns=["kind", "level", "bucket", "words", "counts"])
+                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps(known), b"")], columns=_COLUMNS)
                 yield from extra
             file.flush()
             os.fsync(file.fileno())
 
-    own = blobs.where(f"kind = 'grams' and level = {level}")
-    return written(own.select("bucket", "words", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(rows, BLOBS), "grams")
+    spark = blobs.sparkSession
+    own = blobs.where(f"kind = 'grams' and level = {level}").select("bucket", "words", "counts")
+    # Packed rows are few bytes, but much work: as many tasks as there are partitions.
+    dealt = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    with _shuffles_end(spark):
+        dealt.mapInPandas(rows, BLOBS).write.parquet(f"{folder}/grams{level}")
+    return spark.read.schema(BLOBS).parquet(f"{folder}/grams{level}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple[list[bytes], list[bytes]]]]:
@@ -238,11 +381,8 @@ def _context_sums(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     """Each context's sum of counts, and how many n-grams it has that count 1, 2, and more."""
     order = np.argsort(contexts, kind="stable")
     contexts, counts = contexts[order], counts[order]
-    if not len(contexts):
-        return np.zeros(0, np.uint64), [np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * 3]
-    first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-    add = lambda x: np.add.reduceat(x.astype(np.int64), first)
-    return contexts[first], [add(counts).astype(np.uint64), *(add(x).astype(np.uint32) for x in (counts == 1, counts == 2, counts > 2))]
+    first = np.flatnonzero(_starts(contexts))
+    return contexts[first], [np.add.reduceat(x.astype(np.uint64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
 
 
 # --- the model -------------------------------------------------------------
@@ -250,13 +390,18 @@ def _context_sums(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
 
 @dataclass(frozen=True)
 class Level:
-    """A level's files by bucket, its totals and its discounts."""
+    """A level's files and where each bucket's arrays stand in them, its totals and its discounts."""
 
-    buckets: dict[int, dict]
+    files: list[str]
+    file: np.ndarray
+    places: np.ndarray
     total: int
     distinct: int
     of: tuple[int, int, int, int]
     more: int
+    #: Of words: the first number of each bucket's classes, and how many words each class has.
+    first: np.ndarray | None = None
+    classes: np.ndarray | None = None
 
     @property
     def discounts(self) -> np.ndarray:
@@ -294,32 +439,59 @@ def count_ngrams(docs: DataFrame, text: str = "text", order: int = 2, bucket_byt
     spark = docs.sparkSession
     folder = shared_path(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = 1 << max(2, int(size // bucket_bytes).bit_length())
-    frequent = int(size // (8 * hot_share)) + 1
-    words = _merged(_gathered(docs, text, 1, Deal(buckets), at_once), 1, Deal(buckets), folder, frequent)
-    raw = _level(words, 1)
-    deal = Deal(buckets, np.unique(np.array([int(START), *(h for b in raw.buckets.values() for h in b.pop("frequent"))], np.uint64)))
-    rest = _gathered(docs, text, order, deal, at_once)
-    levels, hot = [raw], {}
-    forward = _gathered(docs, text, order, deal, at_once, begins=True) if order > 2 else None
+    deal = Deal(1 << max(2, int(size // bucket_bytes).bit_length()))
+    words = _level(_merged(_gathered(docs, text, 0, deal, at_once), 0, deal, folder), 0, deal)
+    _removed(spark, f"{folder}/grams0")
+    if words.distinct + FIRST_ID + 1 >= 1 << 32:
+        raise ValueError(f"{words.distinct} distinct words: their numbers don't fit 32 bits")
+    frequent = max(bucket_bytes // 64, size // (8 * hot_share)) + 1
+    # Words of class i are counted 2 ** (i - 1) times at least.
+    deal = replace(deal, hot=FIRST_ID + int(words.classes[(frequent - 1).bit_length() + 1 :].sum()))
+    model = NGrams(order, mounted(folder), deal, (words,), {}, uuid.uuid4().hex)
+    rest = _gathered(docs, text, order, deal, at_once, spark.sparkContext.broadcast(model))
+    levels, hot = [words], {}
     for level in range(order, 0, -1):
-        rest = _merged(rest if level == order or forward is None else rest.unionByName(forward), level, deal, folder)
-        levels.insert(1, _level(rest, level))
+        rest = _merged(rest, level, deal, folder)
+        levels.insert(1, _level(rest, level, deal))
         if level > 1:
             hot[level] = _hot_contexts(rest, level, folder)
-    return NGrams(order, mounted(folder), deal, tuple(levels), hot, uuid.uuid4().hex)
+        if level < order:
+            _removed(spark, f"{folder}/grams{level + 1}")
+    _removed(spark, f"{folder}/grams1")
+    return replace(model, levels=tuple(levels), hot=hot, key=uuid.uuid4().hex)
 
 
-def _level(merged: DataFrame, level: int) -> Level:
+def _level(merged: DataFrame, level: int, deal: Deal) -> Level:
     rows = merged.where(f"kind = 'bucket' and level = {level}").select("bucket", "words").collect()
-    known = {r["bucket"]: pickle.loads(r["words"]) for r in rows}
+    known = {r["bucket"]: pickle.loads(r["words"]) for r in sorted(rows, key=lambda r: r["bucket"])}
     add = lambda k: sum(b[k] for b in known.values())
     of = tuple(sum(b["of"][i] for b in known.values()) for i in range(4))
-    return Level(known, add("total"), add("distinct"), of, add("more"))
+    files = sorted({b["file"] for b in known.values()})
+    at = {name: i for i, name in enumerate(files)}
+    file = np.full(deal.buckets, -1, np.int64)
+    # Places are of 32-bit values in the file; the last ones (three of a tree, one of words) and the words' second are sizes.
+    places = np.zeros((deal.buckets, 6 if not level else 2 * level + 5), np.int64)
+    sizes = [1, 5] if not level else [-3, -2, -1]
+    for b, k in known.items():
+        file[b] = at[k["file"]]
+        places[b] = k["places"]
+        moved = np.ones(places.shape[1], bool)
+        moved[sizes] = False
+        places[b, moved] += k["at"] // 4
+    out = Level(files, file, places, add("total"), add("distinct"), of, add("more"))
+    if level:
+        return out
+    by = np.zeros((deal.buckets, 64), np.int64)
+    for b, k in known.items():
+        by[b] = k["classes"]
+    # Frequent classes first, in each the buckets in order.
+    line = by[:, ::-1].T.ravel()
+    first = (np.cumsum(line) - line + FIRST_ID).reshape(64, -1).T[:, ::-1]
+    return replace(out, first=np.ascontiguousarray(first), classes=by.sum(axis=0))
 
 
 def _hot_contexts(merged: DataFrame, level: int, folder: str) -> dict[int, dict]:
-    """Adds up the sums of hot contexts and writes them as the others' are."""
+    """Adds up the sums of hot contexts and writes them, sorted by their hash."""
     place = mounted(folder)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,11 +504,10 @@ def _hot_contexts(merged: DataFrame, level: int, folder: str) -> dict[int, dict]
                 s = np.concatenate([np.frombuffer(x, np.uint64).reshape(4, -1) for x in sums], axis=1)
                 order = np.argsort(k, kind="stable")
                 k, s = k[order], s[:, order]
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                total, *others = np.add.reduceat(s, first, axis=1)
-                data = b"".join([k[first].tobytes(), total.tobytes(), *(x.astype(np.uint32).tobytes() for x in others)])
+                first = np.flatnonzero(_starts(k))
+                data = k[first].tobytes() + np.add.reduceat(s, first, axis=1).tobytes()
                 file.write(data)
-                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps({"file": name, "at": at, "ones": 0, "many": 0, "wide": 4, "lone": 0, "contexts": len(first)}), b"")], columns=["kind", "level", "bucket", "words", "counts"])
+                yield pd.DataFrame([("bucket", level, bucket, pickle.dumps({"file": name, "at": at // 8, "n": len(first)}), b"")], columns=_COLUMNS)
                 at += len(data)
             file.flush()
             os.fsync(file.fileno())
@@ -353,93 +524,153 @@ class Reader:
         self.model = model
         self.files: dict[str, np.ndarray] = {}
         self.discounts = [level.discounts for level in model.levels]
+        #: Of each level, the buckets' order by files. Small numbers are sorted faster.
+        self.lines = [np.argsort(np.argsort(level.file, kind="stable")).astype(np.min_scalar_type(len(level.file))) for level in model.levels]
+
+    def _file(self, name: str, kind: type = np.uint32) -> np.ndarray:
+        if name not in self.files:
+            self.files[name] = np.memmap(os.path.join(self.model.folder, name), np.uint8, "r")
+        return np.asarray(self.files[name]).view(kind)
+
+    def _counts(self, file: str, at: np.ndarray, start: np.ndarray, large: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The counts at these places; start: of the counts, large, n: places and number of the large ones."""
+        out = self._file(file, np.uint8)[4 * start + at].astype(np.int64)
+        some = np.flatnonzero(out == 255)
+        if len(some):
+            whole, n = self._file(file), n[some]
+            found, _ = _find(whole, large[some], large[some] + n, at[some])
+            out[some] = _whole(whole, found + n, found + 2 * n)
+        return out
 
-    def _array(self, known: dict, offset: int, n: int, kind: type) -> np.ndarray:
-        if known["file"] not in self.files:
-            self.files[known["file"]] = np.memmap(os.path.join(self.model.folder, known["file"]), np.uint8, "r")
-        size = np.dtype(kind).itemsize
-        a = known["at"] + offset
-        return self.files[known["file"]][a : a + n * size].view(kind)
-
-    def counts(self, level: Level, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Of hashes, sorted by bucket and then by value."""
-        out = np.zeros(len(h), np.int64)
-        for b, a, e in _runs(bucket):
-            known = level.buckets.get(b)
-            if known is None:
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of sorted hashes; the number after the last one for unknown words."""
+        level = self.model.levels[0]
+        ids, counts = np.full(len(hashes), FIRST_ID + level.distinct, np.int64), np.zeros(len(hashes), np.int64)
+        bucket = self.model.deal.of_hash(hashes)
+        for f, own in _by_bucket(level.file[bucket]):
+            if f < 0:
                 continue
-            q = h[a:e]
-            found = np.zeros(e - a, np.int64)
-            if known["ones"]:
-                found[_find(self._array(known, 0, known["ones"], np.uint64), q)[0]] = 1
-            if known["many"]:
-                n1, n2 = known["ones"], known["many"]
-                hit, at = _find(self._array(known, 8 * n1, n2, np.uint64), q)
-                found[hit] = self._array(known, 8 * (n1 + n2), n2, np.uint32 if known["wide"] == 4 else np.uint64)[at]
-            out[a:e] = found
+            own = np.flatnonzero(own)
+            whole, b = self._file(level.files[f]), bucket[own]
+            keys, n, rank, small, large, m = level.places[b].T
+            found, hit = _find(self._file(level.files[f], np.uint64), keys // 2, keys // 2 + n, hashes[own])
+            at = (found - keys // 2)[hit]
+            c = self._counts(level.files[f], at, small[hit], large[hit], m[hit])
+            counts[own[hit]] = c
+            ids[own[hit]] = level.first[b[hit], np.frexp(c.astype(float))[1]] + whole[rank[hit] + at]
+        return ids, counts
+
+    def numbered(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each position's number, and its word's count in training."""
+        codes, words = pd.factorize(flat)
+        order = np.argsort(words)
+        ids, counts = np.zeros(len(words), np.uint32), np.zeros(len(words), np.int64)
+        ids[order], counts[order] = self.words(words[order])
+        out = ids[codes]
+        out[place == 0] = START_ID
+        return out, counts[codes]
+
+    def search(self, k: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each n-gram's count, and its context's sum of counts and what discounts take from it: (2, n)."""
+        level, deal = self.model.levels[k], self.model.deal
+        order = ordered(columns)
+        bucket = deal.of(columns)
+        order = order[np.argsort(self.lines[k][bucket[order]], kind="stable")]
+        columns, bucket = [c[order] for c in columns], bucket[order]
+        counts, sums = np.zeros(len(order), np.int64), np.zeros((2, len(order)))
+        for f, a, e in _runs(level.file[bucket]):
+            if f >= 0:
+                counts[order[a:e]], sums[:, order[a:e]] = self._descend(k, level.files[f], [c[a:e] for c in columns], bucket[a:e])
+        hot = np.flatnonzero(deal.all_hot(columns[:-1])) if k > 1 else []
+        if len(hot):
+            keys, back = np.unique(gram_hash([c[hot] for c in columns[:-1]]), return_inverse=True)
+            sums[:, order[hot]] = self._taken(k, self._hot_sums(self.model.hot[k], keys))[:, back]
+        return counts, sums
+
+    def _taken(self, k: int, sums: np.ndarray) -> np.ndarray:
+        """A sum of counts and what is discounted, from the sum and the n-grams that count 1, 2 and more."""
+        return np.stack([sums[0], self.discounts[k][1:] @ sums[1:]])
+
+    def _descend(self, k: int, file: str, columns: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams sorted by bucket and words: what several have in common is searched once."""
+        whole, level = self._file(file), self.model.levels[k]
+        new = _starts(bucket, columns[0])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        places = level.places[bucket[first]]
+        lo, hi = places[:, 0], places[:, 0] + places[:, -1]
+        sums = np.zeros((2, len(bucket)))
+        for depth in range(k):
+            found, hit = _find(whole, lo, hi, columns[depth][first])
+            at = np.where(hit, found - places[:, 2 * depth], 0)
+            if depth == k - 1:
+                break
+            begin = places[:, 2 * depth + 1] + at
+            lo, hi = (np.where(hit, whole[begin + i].astype(np.int64), 0) for i in (0, 1))
+            if depth == k - 2:
+                sums = self._taken(k, self._sums(file, places, at, lo, hi))[:, group]
+            new = new | _starts(columns[depth + 1])
+            first = np.flatnonzero(new)
+            parent, group = group[first], np.cumsum(new) - 1
+            places = places[parent]
+            lo, hi = lo[parent] + places[:, 2 * depth + 2], hi[parent] + places[:, 2 * depth + 2]
+        counts = np.zeros(len(first), np.int64)
+        counts[hit] = self._counts(file, at[hit], *places[hit][:, [2 * k - 1, 2 * k, -3]].T)
+        return counts[group], sums
+
+    def _sums(self, file: str, places: np.ndarray, context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The sums of contexts whose n-grams are from lo to hi."""
+        whole, small = self._file(file), self._file(file, np.uint8)
+        out = np.zeros((4, len(lo)), np.int64)
+        many = hi - lo > FEW
+        for i in range(FEW):
+            own = np.flatnonzero(~many & (lo + i < hi))
+            if not len(own):
+                break
+            c = small[4 * places[own, -6] + lo[own] + i].astype(np.int64)
+            out[0, own] += c
+            out[np.minimum(c, 3), own] += 1
+            many[own[c == 255]] = True
+        some = np.flatnonzero(many)
+        if len(some):
+            start, n = places[some, -4], places[some, -2]
+            found, hit = _find(whole, start, start + n, context[some])
+            some, found, n = some[hit], found[hit], n[hit]
+            out[0, some] = _whole(whole, found + n, found + 2 * n)
+            for i in (1, 2, 3):
+                out[i, some] = whole[found + (2 + i) * n]
         return out
 
-    def contexts(self, buckets: dict[int, dict], h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """The four sums of each context: (4, n)."""
-        out = np.zeros((4, len(h)))
-        for b, a, e in _runs(bucket):
-            known = buckets.get(b)
-            if not known:
-                continue
-            m, base = known["contexts"], 8 * known["ones"] + (8 + known["wide"]) * known["many"]
-            if known["lone"]:
-                out[:2, np.flatnonzero(_find(self._array(known, base, known["lone"], np.uint64), h[a:e])[0]) + a] = 1
-                base += 8 * known["lone"]
-            if not m:
-                continue
-            hit, at = _find(self._array(known, base, m, np.uint64), h[a:e])
-            hit = np.flatnonzero(hit) + a
-            out[0, hit] = self._array(known, base + 8 * m, m, np.uint64)[at]
-            for i in range(3):
-                out[1 + i, hit] = self._array(known, base + 16 * m + 4 * m * i, m, np.uint32)[at]
+    def _hot_sums(self, known: dict[int, dict], keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((4, len(keys)), np.int64)
+        for b, a, e in _runs(self.model.deal.of_hash(keys)):
+            if b in known:
+                n, whole = known[b]["n"], self._file(known[b]["file"], np.uint64)[known[b]["at"] :]
+                at = np.minimum(np.searchsorted(whole[:n], keys[a:e]), n - 1)
+                hit = whole[at] == keys[a:e]
+                out[:, a:e][:, hit] = whole[n : 5 * n].reshape(4, n)[:, at[hit]]
         return out
 
     def probabilities(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The probability of every word but the starts after the words before it, and the count of each word in training."""
-        model, deal = self.model, self.model.deal
+        model = self.model
         ends = np.flatnonzero(place > 0)
-        words, back = np.unique(flat[ends], return_inverse=True)
-        own = deal.of_hash(words)
-        known = self.counts(model.levels[0], words, own)
-        p = self._lowest(self.counts(model.levels[1], words, own))[back]
+        ids, known = self.numbered(flat, place)
+        words, back = np.unique(ids[ends], return_inverse=True)
+        p = self._lowest(self.search(1, [words])[0])[back]
+        unknown = FIRST_ID + model.types
         for k in range(2, model.order + 1):
-            deep = place[ends] >= k - 1
-            if not deep.any():
+            deep = np.flatnonzero(place[ends] >= k - 1)
+            columns = [ids[ends[deep] - k + 1 + i] for i in range(k)]
+            seen = np.logical_and.reduce([c < unknown for c in columns[:-1]])
+            deep, columns = deep[seen], [c[seen] for c in columns]
+            if not len(deep):
                 continue
-            at = ends[deep]
-            columns = [flat[at - k + 1 + i] for i in range(k)]
-            whole, first, back_k = np.unique(gram_hash(columns), return_index=True, return_inverse=True)
-            columns = [c[first] for c in columns]
-            context = gram_hash(columns[:-1])
-            bucket = deal.of(columns, whole)
-            order = np.lexsort((whole, bucket))
-            counts = np.zeros(len(whole), np.int64)
-            counts[order] = self.counts(model.levels[k], whole[order], bucket[order])
-            sums = self._sums(k, columns[0], context)
+            counts, sums = self.search(k, columns)
             total = np.maximum(sums[0], 1)
             d = self.discounts[k]
-            direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total
-            left = (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / total
-            seen = sums[0] > 0
-            p[deep] = np.where(seen[back_k], direct[back_k] + left[back_k] * p[deep], p[deep])
-        return p, known[back]
-
-    def _sums(self, level: int, first: np.ndarray, context: np.ndarray) -> np.ndarray:
-        keys, at, back = np.unique(context, return_index=True, return_inverse=True)
-        hot = self.model.deal.is_hot(first[at])
-        out = np.zeros((4, len(keys)))
-        with np.errstate(over="ignore"):
-            bucket = np.where(hot, self.model.deal.of_hash(keys), self.model.deal.of_hash(keys * _MIX))
-        for flag, buckets in ((False, self.model.levels[level].buckets), (True, self.model.hot.get(level, {}))):
-            some = np.flatnonzero(hot == flag)
-            some = some[np.lexsort((keys[some], bucket[some]))]
-            out[:, some] = self.contexts(buckets, keys[some], bucket[some])
-        return out[:, back]
+            direct = np.maximum(counts - d[np.minimum(counts, 3)], 0)
+            p[deep] = np.where(sums[0] > 0, (direct + sums[1] * p[deep]) / total, p[deep])
+        return p, known[ends]
 
     def _lowest(self, counts: np.ndarray) -> np.ndarray:
         """Of single words: how many words they follow, discounted; the rest is shared by all words and one unknown."""
@@ -451,25 +682,44 @@ class Reader:
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    if not len(bucket):
-        return
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    cuts = np.flatnonzero(_starts(bucket))
     for a, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
         yield int(bucket[a]), int(a), int(e)
 
 
-def _find(array: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of q (sorted) the sorted array has, and where those are."""
-    at = np.searchsorted(array, q)
-    at[at == len(array)] = 0
-    hit = array[at] == q
-    return hit, at[hit]
+def _whole(array: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    return array[lower].astype(np.int64) | (array[upper].astype(np.int64) << 32)
+
+
+def _find(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of q stands between its lo and hi, where the array is sorted, and whether it does."""
+    q, at, last = q.astype(array.dtype), lo.copy(), len(array) - 1
+    own = np.flatnonzero(hi > lo)
+    now, left, own_q = lo[own], (hi - lo)[own], q[own]
+    while len(own):
+        # Half of what is left is passed over where its last value is too small.
+        half = (left + 1) >> 1
+        less = array[now + (half - 1)] < own_q
+        now += half * less
+        left = np.where(less, left - half, np.maximum(half - 1, 0))
+        more = left > 0
+        if 4 * np.count_nonzero(more) < 3 * len(own):
+            at[own] = now
+            own, now, left, own_q = own[more], now[more], left[more], own_q[more]
+    return at, (at < hi) & (array[np.minimum(at, last)] == q)
 
 
 _readers: dict[str, Reader] = {}
 
 
-def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int = 400_000) -> DataFrame:
+def _reader(model: NGrams) -> Reader:
+    if model.key not in _readers:
+        _readers.clear()
+        _readers[model.key] = Reader(model)
+    return _readers[model.key]
+
+
+def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int = 1_200_000) -> DataFrame:
     """The rows of docs, text left out, with n_tokens, n_known, base_score and score (log10 of the text's probability) and perplexity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score", "perplexity")]
@@ -486,10 +736,7 @@ def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int
         return np.add.reduceat(logs, cuts, axis=1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if shared.value.key not in _readers:
-            _readers.clear()
-            _readers[shared.value.key] = Reader(shared.value)
-        reader = _readers[shared.value.key]
+        reader = _reader(shared.value)
         for batch in batches:
             parts, waiting, size = [], [], 0
             for t in batch[text].to_pylist():

@@ -1,10 +1,13 @@
+import os
 import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import numpy as np
 import pytest
 
 from maskwright.llm import kneser_ney as K
+from maskwright.llm.common import shared_root
 
 
 def brute(train, order):
@@ -107,3 +110,23 @@ def test_columns_with_the_names_of_results_give_way(spark):
     got = K.score_texts(docs, K.count_ngrams(docs, order=2))
     assert got.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"]
     assert {r.doc_id: r.n_tokens for r in got.collect()} == {1: 4, 2: 1}
+
+
+def test_order_four_large_counts_and_contexts_of_many_words(spark):
+    texts = ["a b c d e"] * 300 + [f"a b w{i} w{i % 7} a b" for i in range(40)] + ["", "b", "a b", "c a b zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = K.count_ngrams(docs, order=4, bucket_bytes=64 * 200, hot_share=4096, at_once=500)
+    assert model.deal.hot < K.FIRST_ID + model.types
+    want = brute(texts, 4)
+    for row in K.score_texts(docs, model, at_once=300).collect():
+        assert row.score == pytest.approx(want(texts[row.doc_id]), rel=1e-9)
+
+
+def test_a_model_is_few_bytes_an_ngram_and_leaves_nothing_else(spark):
+    words = np.random.default_rng(1).zipf(1.3, 200_000) % 30_000
+    docs = spark.createDataFrame([(" ".join(map(str, part)),) for part in words.reshape(-1, 100)], "text string")
+    root = shared_root(spark).removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs)
+    before = size()
+    model = K.count_ngrams(docs, order=3)
+    assert size() - before < 16 * sum(level.distinct for level in model.levels)
