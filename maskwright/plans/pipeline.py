@@ -1,7 +1,7 @@
 """Whole runs: from a folder of inputs to what may be shared, and back.
 
-Two folders are written: `secure` holds what names people (transcripts, the
-chronology, the catalogue, the map, the salt), `output` only what may leave the
+Two folders are written: `secure` holds what names people (the inputs' contents,
+transcripts, the chronology, the catalogue, the map, the salt), `output` only what may leave the
 house. They must differ. Every table is Parquet; writing over an earlier run is
 an error.
 """
@@ -56,7 +56,8 @@ def deidentify(spark: SparkSession, inputs: str, secure: str, output: str, disco
     """
     if secure.rstrip("/") == output.rstrip("/"):
         raise ValueError("secure and output must be two folders")
-    contents = files.read_contents(spark, inputs)
+    # Many small files are opened once.
+    contents = _saved(files.read_contents(spark, inputs), f"{secure}/inputs")
     unread = _saved(contents.where("reason is not null").select("path", "reason"), f"{secure}/unread_inputs")
     texts = contents.where("route = 'text' and reason is null").select("path", F.decode("content", "utf-8").alias("text"))
     documents = docx_text(contents.where("route = 'docx' and reason is null").select("path", "content")).select("path", "text")

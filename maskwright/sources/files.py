@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import secrets
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import base_name, extension, is_input, mime, resolved_route, route, unreadable
 from ..operators.catalogue import salt_frame
+from .batches import in_parts
 
 
 class PdfEditor(Protocol):
@@ -64,12 +68,53 @@ def write_report(lines: DataFrame, path: str, key: str = "chronology") -> None:
 
 
 def write_texts(texts: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
-    """Texts as files of their names in a folder; each ends with a line's end. A name that comes twice is an error before anything is written."""
+    """Texts as files of their names in a folder; each ends with a line's end. A name that comes twice, or is none, is an error before anything is written.
+
+    Where tasks can open the folder (a mounted one), each writes its files under their
+    names, and the folder gets its name when all are there. In other stores, and for a
+    folder that is there already, files are moved to their names one by one.
+    """
     spark = texts.sparkSession
-    if not (twice := texts.groupBy(name).count().where("count > 1").limit(1)).isEmpty():
-        raise ValueError(f"{twice.first()[0]}: several texts have this name")
+    rows = texts.select(F.col(name).alias("name"), F.concat(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n\z", ""), F.lit("\n")).alias("text"))
+    unusable = F.col("name").isNull() | F.col("name").isin("", ".", "..") | F.contains("name", F.lit("/"))
+    for bad in rows.groupBy("name").agg(F.count("*").alias("n")).where((F.col("n") > 1) | unusable).limit(1).collect():
+        raise ValueError(f"{bad.name}: several texts have this name" if bad.n > 1 else f"{bad.name!r} is no file's name")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file" or fs.exists(target):
+        _write_and_move(rows, path)
+        return
+    waiting = target.suffix(f".{uuid.uuid4().hex}")
+    fs.mkdirs(waiting)
+    try:
+        rows.mapInArrow(_files_in(waiting.toUri().getPath()), "n long").agg(F.sum("n")).collect()
+        if fs.exists(target) or not fs.rename(waiting, target):
+            raise FileExistsError(path)
+    except Exception:
+        fs.delete(waiting, True)
+        raise
+
+
+def _files_in(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for part in in_parts(batches):
+            for name, text in zip(part["name"], part["text"], strict=True):
+                # A task that is tried again, or twice at once, leaves whole files only.
+                own = os.path.join(folder, f"_{uuid.uuid4().hex}")
+                with open(own, "wb") as file:
+                    file.write(text.encode())
+                os.replace(own, os.path.join(folder, name))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return write
+
+
+def _write_and_move(rows: DataFrame, path: str) -> None:
+    spark = rows.sparkSession
     waiting = f"{path.rstrip('/')}/_{uuid.uuid4().hex}"
-    texts.select(F.col(name).alias("name"), F.regexp_replace(text, r"\n\z", "").alias("value")).repartition("name").write.partitionBy("name").text(waiting)
+    rows.repartition("name").select("name", F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy("name").text(waiting)
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs_path = jvm.org.apache.hadoop.fs.Path
     fs = fs_path(waiting).getFileSystem(conf)
@@ -78,8 +123,9 @@ def write_texts(texts: DataFrame, path: str, name: str = "name", text: str = "te
         own = folder.getPath().getName()
         if own.startswith("name="):
             (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-            if not fs.rename(part, fs_path(f"{path}/{unescaped(own[5:])}")):
-                raise FileExistsError(f"{path}/{unescaped(own[5:])}")
+            to = fs_path(f"{path}/{unescaped(own[5:])}")
+            if fs.exists(to) or not fs.rename(part, to):
+                raise FileExistsError(to.toString())
     fs.delete(fs_path(waiting), True)
 
 

@@ -330,3 +330,31 @@ def test_python_holds_few_rows_at_a_time():
     assert [v for p in parts for v in p["a"]] == values * 3
     alive.clear()
     assert [v for p in lists_in_parts(batches(lambda: pa.array(values))) for v in p] == values * 3
+
+
+def test_texts_are_written_by_tasks_and_their_folder_appears_when_all_are_there(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(f"é {i}=%.txt", t) for i, t in enumerate(["a", "b\n", "c\n\n", "", None, "d\re"])], "name string, text string")
+    files.write_texts(texts.limit(2), str(tmp_path / "before"))
+    files.write_texts(texts.where("name not like 'é 0%' and name not like 'é 1%'"), str(tmp_path / "before"))
+    with pytest.raises(FileExistsError):
+        files.write_texts(texts, str(tmp_path / "before"))
+    monkeypatch.setattr(files, "_write_and_move", None)
+    files.write_texts(texts, str(tmp_path / "in"))
+    found = {p.name: p.read_bytes() for p in (tmp_path / "in").iterdir()}
+    assert found == {f"é {i}=%.txt": t for i, t in enumerate([b"a\n", b"b\n", b"c\n\n", b"\n", b"\n", b"d\re\n"])}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "before").iterdir() if p.name.startswith("é")} == found
+    broken = texts.withColumn("text", F.when(F.col("name").contains("3"), F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        files.write_texts(broken, str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        files.write_texts(texts.select(F.lit("../x").alias("name"), "text").limit(1), str(tmp_path / "out"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["before", "in"]
+
+
+def test_a_run_opens_its_inputs_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("doctor: Ann is here\n")
+    entities = spark.createDataFrame([(0, "Ann", "DOCTOR", "", ["Ann"])], C.ENTITIES)
+    run = pipeline.deidentify(spark, str(tmp_path / "in"), str(tmp_path / "secure"), str(tmp_path / "out"), SuppliedEntities(entities))
+    assert [bytes(r.content) for r in spark.read.parquet(str(tmp_path / "secure" / "inputs")).collect()] == [b"doctor: Ann is here\n"]
+    assert "Ann" not in run.events.first().event_details
