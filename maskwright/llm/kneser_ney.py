@@ -41,6 +41,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,8 @@ END, START = (np.uint64(xxhash.xxh64_intdigest(name, 42)) for name in (b" end",
 NO_WORD, START_ID, FIRST_ID = 0, 1, 2
 #: A context's sums are kept if it has more n-grams.
 FEW = 8
+#: So many words or more that are looked for in one range are searched together.
+MANY = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -61,24 +64,6 @@ BLOBS = "kind string, level int, bucket long, words binary, counts binary"
 _COLUMNS = ["kind", "level", "bucket", "words", "counts"]
 
 
-class _Hashes(dict):
-    """Words' hashes; a bounded number of words that came first, most of them frequent, is kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < 250_000 and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def _stirred(h: np.ndarray | np.uint64, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = (h ^ (h >> np.uint64(29))) * _ODD + c.astype(np.uint64)
@@ -93,19 +78,29 @@ def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sequences(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words, with start and end, in one array, and each position's place in its text (0: start)."""
-    parts, ends = [], np.array([END, START], np.uint64)
-    sizes = []
-    for t in texts:
-        words = word_hashes(t)
-        parts += [words, ends]
-        sizes.append(len(words) + 2)
-    # The first start stands before all parts, the last part's start is one too many.
-    flat = np.concatenate([ends[1:], *parts])[:-1] if parts else np.zeros(0, np.uint64)
-    sizes = np.array(sizes, np.int64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return flat, place
+def _words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' words as places among the different ones, how many each text has, and the different ones' hashes."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
+    codes = coded.indices.to_numpy()
+    # White space at a text's ends leaves an empty word there.
+    real = codes != pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    return codes[real], np.diff(np.append(0, np.cumsum(real))[split.offsets.to_numpy()]), hashes
+
+
+def sequences(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' words, with start and end, in one array, as places in the last one; each position's place in its text (0: start); the different words' hashes, after those of start and end."""
+    codes, sizes, hashes = _words(texts)
+    pa.default_memory_pool().release_unused()
+    sizes = sizes + 2
+    begin = np.cumsum(sizes) - sizes
+    flat, body = np.ones(sizes.sum(), np.int32), np.ones(sizes.sum(), bool)
+    flat[begin] = 0
+    body[begin] = body[begin + sizes - 1] = False
+    flat[body] = codes + 2
+    return flat, np.arange(len(flat)) - np.repeat(begin, sizes), np.append([START, END], hashes)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -116,23 +111,56 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def ordered(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of the rows by their columns."""
+def _keys(columns: list[np.ndarray]) -> np.ndarray | None:
+    """A number for each row, in the order of the rows; none where 64 bits are too few even for the places of the columns' values among their own."""
+    columns = list(columns)
     bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    for i, c in enumerate(columns):
+        if sum(bits) <= 64:
+            break
+        codes, values = pd.factorize(c)
+        rank = np.empty(len(values), np.uint32)
+        rank[np.argsort(values)] = np.arange(len(values))
+        columns[i], bits[i] = rank[codes], len(values).bit_length()
     if sum(bits) > 64:
-        return np.lexsort(columns[::-1])
+        return None
     packed = columns[0].astype(np.uint64)
     for c, n in zip(columns[1:], bits[1:], strict=True):
-        packed = (packed << np.uint64(n)) | c.astype(np.uint64)
-    return np.argsort(packed)
+        packed <<= np.uint64(n)
+        packed |= c.astype(np.uint64)
+    return packed
+
+
+def ordered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by their columns, and in it where each of the different rows begins."""
+    keys = _keys(columns)
+    if keys is None:
+        order = np.lexsort(columns[::-1])
+        return order, np.flatnonzero(_starts(*(c[order] for c in columns)))
+    order = np.argsort(keys)
+    return order, np.flatnonzero(_starts(keys[order]))
 
 
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal rows as one with the sum of their counts, in order."""
-    order = ordered(columns)
-    columns, counts = [c[order] for c in columns], counts[order]
-    first = np.flatnonzero(_starts(*columns))
-    return [c[first] for c in columns], np.add.reduceat(counts, first) if len(first) else counts
+    order, first = ordered(columns)
+    rows = order[first]
+    return [c[rows] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def tallied(columns: list[np.ndarray], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of numbers below n, equal ones as one with how many they are, in order."""
+    bits = np.uint64(n.bit_length())
+    if len(columns) * int(bits) > 64:
+        return summed(columns, np.ones(len(columns[0]), np.int64))
+    keys = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        keys <<= bits
+        keys |= c.astype(np.uint64)
+    keys.sort()
+    first = np.flatnonzero(_starts(keys))
+    counts, keys, mask = np.diff(np.append(first, len(keys))), keys[first], (np.uint64(1) << bits) - np.uint64(1)
+    return [keys >> (bits * np.uint64(i)) & mask for i in range(len(columns) - 1, -1, -1)], counts
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -184,9 +212,11 @@ class Deal:
     def of(self, columns: list[np.ndarray]) -> np.ndarray:
         if columns[0].dtype == np.uint64:
             return self.of_hash(columns[0])
-        h, more = _stirred(np.uint64(0), columns[0]), columns[0] < self.hot
+        h, more = _stirred(np.uint64(0), columns[0]), np.flatnonzero(columns[0] < self.hot)
         for c in columns[1:]:
-            h, more = np.where(more, _stirred(h, c), h), more & (c < self.hot)
+            own = c[more]
+            h[more] = _stirred(h[more], own)
+            more = more[own < self.hot]
         return self.of_hash(h)
 
     def all_hot(self, columns: list[np.ndarray]) -> np.ndarray:
@@ -194,10 +224,9 @@ class Deal:
 
 
 def _blobs(level: int, columns: list[np.ndarray], counts: np.ndarray, deal: Deal) -> pd.DataFrame:
-    """The rows as packed arrays, one for each bucket."""
-    columns, counts = summed(columns, counts)
+    """Different rows, in order, as packed arrays, one for each bucket."""
     bucket = deal.of(columns)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.min_scalar_type(deal.buckets)), kind="stable")
     bucket, counts, columns = bucket[order], counts[order], [c[order] for c in columns]
     rows = [("grams", level, b, _pack_words([c[a:e] for c in columns]), _pack(counts[a:e])) for b, a, e in _runs(bucket)]
     return pd.DataFrame(rows, columns=_COLUMNS)
@@ -212,14 +241,16 @@ def _gathered(docs: DataFrame, text: str, order: int, deal: Deal, at_once: int,
     """Packed n-grams of the texts, summed over at_once tokens at a time; without known words, the hashes of words and ends (level 0)."""
 
     def grams(texts: list[str | None], reader: Reader | None) -> pd.DataFrame:
-        flat, place = sequences(texts)
+        flat, place, words = sequences(texts)
         ends = np.flatnonzero(place > 0)
         if reader is None:
-            codes, words = pd.factorize(flat[ends])
-            return _blobs(0, [words], np.bincount(codes, minlength=len(words)), deal)
-        ids = reader.numbered(flat, place)[0]
-        columns = [np.where(place[ends] >= back, ids[np.maximum(ends - back, 0)], np.uint32(NO_WORD)) for back in range(order - 1, -1, -1)]
-        return _blobs(order, columns, np.ones(len(ends), np.int64), deal)
+            counts = np.bincount(flat[ends], minlength=len(words))
+            return _blobs(0, *summed([words[counts > 0]], counts[counts > 0]), deal)
+        values, rank = np.unique(np.append(np.uint32(NO_WORD), reader.numbered(words)[0]), return_inverse=True)
+        own = rank[1:].astype(np.uint32)[flat]
+        columns = [np.where(place[ends] >= back, own[np.maximum(ends - back, 0)], rank[0]) for back in range(order - 1, -1, -1)]
+        columns, counts = tallied(columns, len(values))
+        return _blobs(order, [values[c] for c in columns], counts, deal)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _reader(known.value) if known else None
@@ -325,7 +356,7 @@ def _merged(blobs: DataFrame, level: int, deal: Deal, folder: str) -> DataFrame:
                 else:
                     whole = columns[0] != NO_WORD
                     if level > 1:
-                        extra.append(_blobs(level - 1, columns[1:], np.where(whole, 1, counts), deal))
+                        extra.append(_blobs(level - 1, *summed(columns[1:], np.where(whole, 1, counts)), deal))
                     columns, counts = [c[whole] for c in columns], counts[whole]
                     hot = deal.all_hot(columns[:-1]) if level > 1 else np.zeros(len(counts), bool)
                     arrays, known["places"] = _tree_arrays(columns, counts, hot)
@@ -524,6 +555,8 @@ class Reader:
         self.model = model
         self.files: dict[str, np.ndarray] = {}
         self.discounts = [level.discounts for level in model.levels]
+        #: Of each level, each of the places for all buckets.
+        self.places = [np.ascontiguousarray(level.places.T) for level in model.levels]
         #: Of each level, the buckets' order by files. Small numbers are sorted faster.
         self.lines = [np.argsort(np.argsort(level.file, kind="stable")).astype(np.min_scalar_type(len(level.file))) for level in model.levels]
 
@@ -552,7 +585,7 @@ class Reader:
                 continue
             own = np.flatnonzero(own)
             whole, b = self._file(level.files[f]), bucket[own]
-            keys, n, rank, small, large, m = level.places[b].T
+            keys, n, rank, small, large, m = self.places[0][:, b]
             found, hit = _find(self._file(level.files[f], np.uint64), keys // 2, keys // 2 + n, hashes[own])
             at = (found - keys // 2)[hit]
             c = self._counts(level.files[f], at, small[hit], large[hit], m[hit])
@@ -560,22 +593,19 @@ class Reader:
             ids[own[hit]] = level.first[b[hit], np.frexp(c.astype(float))[1]] + whole[rank[hit] + at]
         return ids, counts
 
-    def numbered(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each position's number, and its word's count in training."""
-        codes, words = pd.factorize(flat)
+    def numbered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each of these hashes, the first of which is the start, and its count in training."""
         order = np.argsort(words)
         ids, counts = np.zeros(len(words), np.uint32), np.zeros(len(words), np.int64)
         ids[order], counts[order] = self.words(words[order])
-        out = ids[codes]
-        out[place == 0] = START_ID
-        return out, counts[codes]
+        ids[0] = START_ID
+        return ids, counts
 
     def search(self, k: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Each n-gram's count, and its context's sum of counts and what discounts take from it: (2, n)."""
+        """Of different n-grams in order: each one's count, and its context's sum of counts and what discounts take from it: (2, n)."""
         level, deal = self.model.levels[k], self.model.deal
-        order = ordered(columns)
         bucket = deal.of(columns)
-        order = order[np.argsort(self.lines[k][bucket[order]], kind="stable")]
+        order = np.argsort(self.lines[k][bucket], kind="stable")
         columns, bucket = [c[order] for c in columns], bucket[order]
         counts, sums = np.zeros(len(order), np.int64), np.zeros((2, len(order)))
         for f, a, e in _runs(level.file[bucket]):
@@ -592,47 +622,53 @@ class Reader:
         return np.stack([sums[0], self.discounts[k][1:] @ sums[1:]])
 
     def _descend(self, k: int, file: str, columns: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of n-grams sorted by bucket and words: what several have in common is searched once."""
-        whole, level = self._file(file), self.model.levels[k]
+        """Of different n-grams sorted by bucket and words: what several have in common is searched once."""
+        whole, places = self._file(file), self.places[k]
         new = _starts(bucket, columns[0])
         first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        places = level.places[bucket[first]]
-        lo, hi = places[:, 0], places[:, 0] + places[:, -1]
+        own = bucket[first]
+        lo = places[0][own]
+        hi = lo + places[-1][own]
         sums = np.zeros((2, len(bucket)))
         for depth in range(k):
             found, hit = _find(whole, lo, hi, columns[depth][first])
-            at = np.where(hit, found - places[:, 2 * depth], 0)
+            at = np.where(hit, found - places[2 * depth][own], 0)
             if depth == k - 1:
                 break
-            begin = places[:, 2 * depth + 1] + at
+            begin = places[2 * depth + 1][own] + at
             lo, hi = (np.where(hit, whole[begin + i].astype(np.int64), 0) for i in (0, 1))
+            parent = group
             if depth == k - 2:
-                sums = self._taken(k, self._sums(file, places, at, lo, hi))[:, group]
-            new = new | _starts(columns[depth + 1])
-            first = np.flatnonzero(new)
-            parent, group = group[first], np.cumsum(new) - 1
-            places = places[parent]
-            lo, hi = lo[parent] + places[:, 2 * depth + 2], hi[parent] + places[:, 2 * depth + 2]
-        counts = np.zeros(len(first), np.int64)
-        counts[hit] = self._counts(file, at[hit], *places[hit][:, [2 * k - 1, 2 * k, -3]].T)
-        return counts[group], sums
-
-    def _sums(self, file: str, places: np.ndarray, context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+                sums = self._taken(k, self._sums(file, places, own, at, lo, hi))[:, group]
+                first = slice(None)
+            else:
+                new = new | _starts(columns[depth + 1])
+                first = np.flatnonzero(new)
+                parent, group = group[first], np.cumsum(new) - 1
+            own = own[parent]
+            lo, hi = lo[parent] + places[2 * depth + 2][own], hi[parent] + places[2 * depth + 2][own]
+        counts = np.zeros(len(own), np.int64)
+        own = own[hit]
+        counts[hit] = self._counts(file, at[hit], places[2 * k - 1][own], places[2 * k][own], places[-3][own])
+        return counts, sums
+
+    def _sums(self, file: str, places: np.ndarray, bucket: np.ndarray, context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The sums of contexts whose n-grams are from lo to hi."""
         whole, small = self._file(file), self._file(file, np.uint8)
         out = np.zeros((4, len(lo)), np.int64)
         many = hi - lo > FEW
-        for i in range(FEW):
-            own = np.flatnonzero(~many & (lo + i < hi))
-            if not len(own):
-                break
-            c = small[4 * places[own, -6] + lo[own] + i].astype(np.int64)
+        own = np.flatnonzero(~many & (hi > lo))
+        at, left = 4 * places[-6][bucket[own]] + lo[own], (hi - lo)[own]
+        while len(own):
+            c = small[at]
             out[0, own] += c
             out[np.minimum(c, 3), own] += 1
             many[own[c == 255]] = True
+            more = left > 1
+            own, at, left = own[more], at[more] + 1, left[more] - 1
         some = np.flatnonzero(many)
         if len(some):
-            start, n = places[some, -4], places[some, -2]
+            start, n = places[-4][bucket[some]], places[-2][bucket[some]]
             found, hit = _find(whole, start, start + n, context[some])
             some, found, n = some[hit], found[hit], n[hit]
             out[0, some] = _whole(whole, found + n, found + 2 * n)
@@ -650,27 +686,33 @@ class Reader:
                 out[:, a:e][:, hit] = whole[n : 5 * n].reshape(4, n)[:, at[hit]]
         return out
 
-    def probabilities(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, flat: np.ndarray, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The probability of every word but the starts after the words before it, and the count of each word in training."""
         model = self.model
         ends = np.flatnonzero(place > 0)
-        ids, known = self.numbered(flat, place)
-        words, back = np.unique(ids[ends], return_inverse=True)
-        p = self._lowest(self.search(1, [words])[0])[back]
-        unknown = FIRST_ID + model.types
+        ids, known = self.numbered(words)
+        # The texts' own words by their places among them: few bits for each.
+        values, rank = np.unique(ids, return_inverse=True)
+        own = rank.astype(np.uint32)[flat]
+        p = self._lowest(self.search(1, [values])[0])[own[ends]]
+        unknown = np.searchsorted(values, FIRST_ID + model.types)
         for k in range(2, model.order + 1):
             deep = np.flatnonzero(place[ends] >= k - 1)
-            columns = [ids[ends[deep] - k + 1 + i] for i in range(k)]
+            columns = [own[ends[deep] - k + 1 + i] for i in range(k)]
             seen = np.logical_and.reduce([c < unknown for c in columns[:-1]])
-            deep, columns = deep[seen], [c[seen] for c in columns]
+            if not seen.all():
+                deep, columns = deep[seen], [c[seen] for c in columns]
             if not len(deep):
                 continue
-            counts, sums = self.search(k, columns)
-            total = np.maximum(sums[0], 1)
+            # Equal n-grams have one probability.
+            order, first = ordered(columns)
+            deep, once = deep[order], order[first]
+            counts, sums = self.search(k, [values[c[once]] for c in columns])
+            total, low = np.maximum(sums[0], 1), p[deep[first]]
             d = self.discounts[k]
             direct = np.maximum(counts - d[np.minimum(counts, 3)], 0)
-            p[deep] = np.where(sums[0] > 0, (direct + sums[1] * p[deep]) / total, p[deep])
-        return p, known[ends]
+            p[deep] = np.repeat(np.where(sums[0] > 0, (direct + sums[1] * low) / total, low), np.diff(np.append(first, len(deep))))
+        return p, known[flat[ends]]
 
     def _lowest(self, counts: np.ndarray) -> np.ndarray:
         """Of single words: how many words they follow, discounted; the rest is shared by all words and one unknown."""
@@ -692,9 +734,14 @@ def _whole(array: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarra
 
 
 def _find(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of q stands between its lo and hi, where the array is sorted, and whether it does."""
+    """Where each of q stands between its lo and hi, where the array is sorted, and whether it does. Neighbours of one range are searched together."""
     q, at, last = q.astype(array.dtype), lo.copy(), len(array) - 1
-    own = np.flatnonzero(hi > lo)
+    first = np.flatnonzero(_starts(lo, hi))
+    sizes = np.diff(np.append(first, len(lo)))
+    many = sizes >= MANY
+    for a, n in zip(first[many].tolist(), sizes[many].tolist(), strict=True):
+        at[a : a + n] += np.searchsorted(array[lo[a] : hi[a]], q[a : a + n])
+    own = np.flatnonzero((hi > lo) & np.repeat(~many, sizes))
     now, left, own_q = lo[own], (hi - lo)[own], q[own]
     while len(own):
         # Half of what is left is passed over where its last value is too small.
@@ -727,8 +774,8 @@ def score_texts(docs: DataFrame, model: NGrams, text: str = "text", at_once: int
     names = [f.name for f in kept]
 
     def of(reader: Reader, texts: list[str | None]) -> np.ndarray:
-        flat, place = sequences(texts)
-        p, known = reader.probabilities(flat, place)
+        flat, place, words = sequences(texts)
+        p, known = reader.probabilities(flat, place, words)
         n, types = reader.model.tokens, reader.model.types
         cuts = np.flatnonzero(place == 0)
         cuts = cuts - np.arange(len(cuts))

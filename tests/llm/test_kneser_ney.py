@@ -130,3 +130,55 @@ def test_a_model_is_few_bytes_an_ngram_and_leaves_nothing_else(spark):
     before = size()
     model = K.count_ngrams(docs, order=3)
     assert size() - before < 16 * sum(level.distinct for level in model.levels)
+
+
+def test_equal_ngrams_are_searched_once(spark, monkeypatch):
+    texts = ["a b c d e f"] * 50 + ["b c d zz a"]
+    model = K.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    rows, search = [], K.Reader.search
+    monkeypatch.setattr(K.Reader, "search", lambda self, k, columns: rows.append((k, len(columns[0]))) or search(self, k, columns))
+    K.Reader(model).probabilities(*K.sequences(texts))
+    grams = lambda k: {g for t in texts for s in [["<s>", *t.split(), "</s>"]] for g in zip(*(s[i:] for i in range(k)), strict=False)}
+    assert [k for k, _ in rows] == [1, 2, 3]
+    assert all(n <= len(grams(k)) for k, n in rows[1:])
+
+
+def test_numbers_of_many_words_are_sorted_as_one_key(monkeypatch):
+    rng = np.random.default_rng(2)
+    pool = rng.integers(1 << 26, 1 << 27, 500).astype(np.uint32)
+    columns, counts = [rng.choice(pool[: 20 + 200 * i], 5_000) for i in range(3)], rng.integers(1, 9, 5_000)
+    want = Counter()
+    for row, n in zip(zip(*(c.tolist() for c in columns), strict=True), counts.tolist(), strict=True):
+        want[row] += n
+    monkeypatch.setattr(np, "lexsort", None)
+    got, sums = K.summed(columns, counts)
+    assert list(zip(zip(*(c.tolist() for c in got), strict=True), sums.tolist(), strict=True)) == sorted(want.items())
+
+
+def test_rows_that_fit_no_key_are_summed_too():
+    columns = [np.random.default_rng(i).permutation(40_000).astype(np.uint32) << 12 for i in range(5)]
+    columns = [np.append(c, c[:7]) for c in columns]
+    want = sorted(Counter(zip(*(c.tolist() for c in columns), strict=True)).items())
+    for got, sums in (K.summed(columns, np.ones(40_007, np.int64)), K.tallied(columns, 1 << 28)):
+        assert list(zip(zip(*(c.tolist() for c in got), strict=True), sums.tolist(), strict=True)) == want
+
+
+def test_words_end_at_ascii_white_space_only():
+    texts = ["".join(f"{chr(i)}Wo{chr(i)}" for i in range(128)), None, "", " \t\n", " x y\u0085Äİ \x1cB", " lead", "trail "]
+    flat, place, words = K.sequences(texts)
+    want = [[K.START, *(K.xxhash.xxh64_intdigest(w, 42) for w in (t or "").encode().lower().split()), K.END] for t in texts]
+    assert words[flat].tolist() == [int(h) for text in want for h in text]
+    assert place.tolist() == [i for text in want for i in range(len(text))]
+    assert [len(x) for x in K.sequences([])[:2]] == [0, 0]
+
+
+def test_ranges_of_few_and_many_words_are_searched_alike():
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 4_000, n)).astype(np.uint32) for n in (0, 1, 3, 900, 2_000)]
+    array, begin = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    of = np.sort(np.concatenate([np.repeat([1, 3], 5 * K.MANY), rng.integers(0, 5, 60), [4]]))
+    q = rng.integers(0, 4_100, len(of))
+    at, hit = K._find(array, begin[of], begin[of + 1], q)
+    want = [int(begin[i] + np.searchsorted(parts[i], x)) for i, x in zip(of, q, strict=True)]
+    assert at.tolist() == want
+    assert hit.tolist() == [bool(x in parts[i]) for i, x in zip(of, q, strict=True)]
